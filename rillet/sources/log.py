@@ -61,7 +61,8 @@ class TopicLog:
         return self.spark.read.schema(SEGMENT_SCHEMA).parquet(self.index_path)
 
     def is_committed(self, seg: str) -> bool:
-        return fs.exists(self.spark, f"{self.index_path}/seg={seg}/_SUCCESS")
+        """A segment is committed once its index directory exists (renamed in at job commit)."""
+        return fs.exists(self.spark, f"{self.index_path}/seg={seg}")
 
     def catalog(self, topics: list[str] | None = None) -> DataFrame:
         """One row per (topic, partition) with begin/end offsets and record count."""
@@ -119,48 +120,50 @@ class TopicLog:
         return df.select(*cols)
 
     # ------------------------------------------------------------------ write
-    def write_segment(self, records: DataFrame, seg: str, commits: DataFrame | None = None) -> str:
-        """Write records (with offsets) as segment ``seg``.
+    def write_segment(
+        self, records: DataFrame, seg: str | Column, commits: DataFrame | None = None
+    ) -> None:
+        """Write records (with offsets) as segment ``seg`` (a name, or a Column naming several).
 
         Order: data, then the consumed positions (``commits``), then the index rows.
-        The index is the commit point, so output and positions become visible together.
+        Both tables are written with dynamic partition overwrite, so a segment
+        directory appears at job commit and a rewrite of the same segment replaces
+        it. The index is the commit point: output and positions become visible together.
         """
+        seg_col = F.lit(seg) if isinstance(seg, str) else seg
         src = [
             (F.col(c) if c in records.columns else F.lit(None)).cast(f.dataType).alias(c)
             for c, f in zip(SOURCE_COLUMNS, STORED_SCHEMA.fields[4:7])
         ]
-        data = (
-            records.select(*RECORD_COLUMNS, *src)
-            .withColumn("seg", F.lit(seg))
-            .sortWithinPartitions("topic", "partition", "seg", "offset")
-        )
+        data = records.withColumn("_seg", seg_col).select(*RECORD_COLUMNS, *src, F.col("_seg").alias("seg"))
         (
-            data.write.mode("overwrite")
+            data.sortWithinPartitions("topic", "partition", "seg", "offset")
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("topic", "partition", "seg")
             .parquet(self.data_path)
         )
-        written = (
-            self.spark.read.schema(STORED_SCHEMA)
-            .parquet(self.data_path)
-            .where(F.col("seg") == seg)
-        )
-        index = written.groupBy(*TP).agg(
+        if commits is not None:
+            self.write_commits(commits, seg)
+        index = data.groupBy(*TP, "seg").agg(
             F.min("offset").alias("begin_offset"),
             (F.max("offset") + 1).alias("end_offset"),
             F.count(F.lit(1)).alias("n_records"),
             F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).cast("long").alias("n_bytes"),
         )
-        if commits is not None:
-            self.write_commits(commits, seg)
-        index.coalesce(1).write.mode("overwrite").parquet(f"{self.index_path}/seg={seg}")
-        return seg
+        (
+            index.repartition(1, "seg")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("seg")
+            .parquet(self.index_path)
+        )
 
     def produce(
         self,
         produced: DataFrame,
         order_by,
-        seg: str | None = None,
+        seg: str | Column | None = None,
         num_partitions: int = DEFAULT_TOPIC_PARTITIONS,
         timestamp: Column | str | None = None,
     ) -> DataFrame:
@@ -170,7 +173,8 @@ class TopicLog:
         columns. An open partition goes to ``pmod(xxhash64(key or value), n)``.
         Returns the written records (the produce results), read back from the log.
         """
-        seg = seg or new_segment_id("p")
+        if seg is None:
+            seg = new_segment_id("p")
         part = F.coalesce(
             F.col("partition").cast("int"),
             F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("binary"), _as_binary(F.col("value")))), F.lit(num_partitions)).cast("int"),
@@ -185,14 +189,16 @@ class TopicLog:
         shaped = shaped.withColumn("timestamp", ts.cast("timestamp"))
         with_offsets = assign_offsets(shaped, order_by, self.end_offsets())
         self.write_segment(with_offsets, seg)
-        return self.read(segments=[seg])
+        if isinstance(seg, str):
+            return self.read(segments=[seg])
+        return self.read(topics=None)
 
     # ---------------------------------------------------------------- commits
-    def write_commits(self, positions: DataFrame, seg: str) -> None:
+    def write_commits(self, positions: DataFrame, seg: str | Column) -> None:
         """Store positions (group_id, topic, partition, next_offset) under segment ``seg``."""
         (
             positions.select(*[f.name for f in COMMIT_SCHEMA.fields])
-            .withColumn("seg", F.lit(seg))
+            .withColumn("seg", F.lit(seg) if isinstance(seg, str) else seg)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("group_id", "seg")

@@ -145,4 +145,29 @@ FROM bc WHERE bc.topic IN ('user', 'assistant')""",
     "chain_hops": f"""WITH {T1}
 SELECT 'hopC' AS topic, partition, "offset", CAST(NULL AS VARCHAR) AS key, value,
        'hopB' AS src_topic, "offset" AS src_offset FROM t1""",
+    "stream_exactly_once": f"""WITH {T1}
+SELECT 'test1' AS topic, partition, "offset", CAST(NULL AS VARCHAR) AS key, value, "offset" AS src_offset FROM t1""",
+    "stream_fanout": f"""WITH {T1}
+SELECT 'topic2' AS topic, partition, "offset", CAST(NULL AS VARCHAR) AS key, value, "offset" AS src_offset FROM t1
+UNION ALL
+SELECT 'topic3' AS topic, partition, "offset", CAST(NULL AS VARCHAR) AS key, value, "offset" AS src_offset FROM t1""",
+    "external_offsets": f"""WITH {T1}
+SELECT 'processed' AS topic, partition, "offset", key, value, "offset" AS src_offset FROM t1""",
+    "external_offsets_inclusive": f"""WITH {T1},
+first_run AS (
+  SELECT partition, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-15 00:00:00') AS k FROM t1 GROUP BY partition)
+SELECT 'processed' AS topic, partition, "offset", key, value, "offset" AS src_offset
+FROM t1 WHERE ts < TIMESTAMP '2024-01-15 00:00:00'
+UNION ALL
+SELECT 'processed' AS topic, t1.partition,
+       CAST(CASE WHEN f.k = 0 THEN t1."offset" ELSE t1."offset" + 1 END AS BIGINT) AS "offset",
+       t1.key, t1.value, t1."offset" AS src_offset
+FROM t1 JOIN first_run f ON f.partition = t1.partition
+WHERE t1."offset" >= greatest(f.k - 1, 0)""",
+    "csv_to_json_topic": """SELECT 'csv_events' AS topic, CAST(user_id % 4 AS INTEGER) AS partition,
+       CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS BIGINT) AS "offset",
+       CAST(user_id AS VARCHAR) AS key,
+       to_json(struct_pack(event_id := event_id, user_id := user_id, event_type := event_type,
+                           value := value, props := props)) AS value
+FROM events""",
 }

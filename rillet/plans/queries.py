@@ -22,9 +22,13 @@ from rillet.operators.batching import commit_batches, commit_positions
 from rillet.operators.copy import fan_out, produce_numbers, replicate, route_conditional
 from rillet.operators.grouped_within import grouped_within
 from rillet.operators.observe import consumer_lag, consumer_metrics, pending_gauge, producer_metrics
+from rillet.operators.routing import multi_envelope
 from rillet.session import configure, scratch_dir
+from rillet.sources.csv_ingest import ingest_csv
 from rillet.sources.generate import events_to_produced, table_to_produced
 from rillet.sources.log import TopicLog
+from rillet.streaming.external import process_from_stored_offset
+from rillet.streaming.flows import backoff_delays, envelope_stream, replicate_stream, run_with_restart
 
 RESULT_PARTS = "array<struct<topic:string,partition:int,offset:bigint,value:string>>"
 
@@ -52,6 +56,10 @@ def _build(spark: SparkSession, sf_dir: str, layout: str) -> TopicLog:
     log = TopicLog(spark, scratch_dir(spark, f"log-{layout}"))
     if layout == "topic1":
         log.produce(events_to_produced(_table(spark, sf_dir, "events")), ["ts", "event_id"])
+    elif layout == "weekly":
+        # the same topic1, committed as one segment per week of event time: a stream source
+        week = F.concat(F.lit("week-"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0"))
+        log.produce(events_to_produced(_table(spark, sf_dir, "events")), ["ts", "event_id"], seg=week)
     elif layout == "by_type":
         ev = _table(spark, sf_dir, "events")
         log.produce(events_to_produced(ev, F.col("event_type"), PARTITIONS), ["ts", "event_id"])
@@ -259,6 +267,102 @@ def q_chain_hops(spark, sf_dir):
     return _records(out, "src_topic", "src_offset")
 
 
+# ------------------------------------------------------------- streaming
+STREAM_SEGMENTS_PER_BATCH = 2
+
+
+def _failing_once(stage: str, batch: int = 1):
+    """Fault injection: raise the first time ``stage`` is reached in micro-batch ``batch``."""
+    fired: list[int] = []
+
+    def hook(at: str, batch_id: int) -> None:
+        if at == stage and batch_id == batch and not fired:
+            fired.append(batch_id)
+            raise RuntimeError(f"injected failure at {stage} of batch {batch_id}")
+
+    return hook
+
+
+def _stream_copy(spark, sf_dir, guarantee: str, fail_at: str | None):
+    src = base_log(spark, sf_dir, "weekly")
+    dst = _fresh(spark, f"stream-{guarantee}")
+    ckpt = scratch_dir(spark, "stream-checkpoint")
+    hook = _failing_once(fail_at) if fail_at else (lambda at, b: None)
+    run_with_restart(
+        lambda: replicate_stream(
+            src, "topic1", "test1", dst, guarantee, checkpoint=ckpt,
+            max_segments=STREAM_SEGMENTS_PER_BATCH, hook=hook,
+        ),
+        sleep=lambda s: None,
+        delays=backoff_delays(0.0, 0.0),
+    )
+    return _records(dst.read("test1", with_source=True), "src_offset")
+
+
+def q_stream_exactly_once(spark, sf_dir):
+    """Exactly-once copy; batch 1 fails after its write, restart: no duplicates."""
+    return _stream_copy(spark, sf_dir, "exactly_once", "after_write")
+
+
+def q_stream_at_least_once(spark, sf_dir):
+    """At-least-once copy; batch 1 fails after writing, before committing: duplicates."""
+    return _stream_copy(spark, sf_dir, "at_least_once", "after_write")
+
+
+def q_stream_at_most_once(spark, sf_dir):
+    """At-most-once; batch 1 fails after its claim: that batch is lost, nothing doubles."""
+    return _stream_copy(spark, sf_dir, "at_most_once", "after_claim")
+
+
+def q_stream_fanout(spark, sf_dir):
+    """F4 as an exactly-once stream: topic1 -> topic2 + topic3, positions from every envelope."""
+    src = base_log(spark, sf_dir, "weekly")
+    dst = _fresh(spark, "stream-fanout")
+    q = envelope_stream(
+        src, "topic1", lambda d: multi_envelope(d, ["topic2", "topic3"]), dst, "exactly_once",
+        flow="fanout", max_segments=STREAM_SEGMENTS_PER_BATCH,
+    )
+    q.awaitTermination()
+    return _records(dst.read(["topic2", "topic3"], with_source=True), "src_offset")
+
+
+def _external(spark, sf_dir, inclusive: bool):
+    src = base_log(spark, sf_dir)
+    out = _fresh(spark, "external")
+    stop = F.col("timestamp") < F.lit(LAG_CUTOFF)
+    process_from_stored_offset(src, "topic1", out, until=stop, inclusive=inclusive)
+    process_from_stored_offset(src, "topic1", out, inclusive=inclusive)
+    return _records(out.read("processed", with_source=True), "src_offset")
+
+
+def q_external_offsets(spark, sf_dir):
+    """T4 / S3: two runs, the second from the position stored with the first run's output."""
+    return _external(spark, sf_dir, inclusive=False)
+
+
+def q_external_offsets_inclusive(spark, sf_dir):
+    """T4 as coded (Q4): the stored offset is the last processed one and is read again."""
+    return _external(spark, sf_dir, inclusive=True)
+
+
+CSV_COLUMNS = ["event_id", "user_id", "event_type", "value", "props"]
+CSV_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
+def q_csv_to_json_topic(spark, sf_dir):
+    """Events written as CSV files, ingested as a stream into JSON records on a topic."""
+    folder = scratch_dir(spark, "csv-in")
+    _table(spark, sf_dir, "events").write.option("header", True).csv(folder)
+    log = _fresh(spark, "csv-topic")
+    q = ingest_csv(
+        log, folder, CSV_SCHEMA, "csv_events", CSV_COLUMNS, ["event_id"],
+        key=F.col("user_id").cast("string"), partition=F.pmod(F.col("user_id"), F.lit(PARTITIONS)),
+        timestamp=F.col("ts"), trigger={"availableNow": True},
+    )
+    q.awaitTermination()
+    return _records(log.read("csv_events"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topic_from_events": q_topic_from_events,
     "produce_report": q_produce_report,
@@ -281,4 +385,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "consumer_metrics": q_consumer_metrics,
     "conversation_copy": q_conversation_copy,
     "chain_hops": q_chain_hops,
+    "stream_exactly_once": q_stream_exactly_once,
+    "stream_at_least_once": q_stream_at_least_once,
+    "stream_at_most_once": q_stream_at_most_once,
+    "stream_fanout": q_stream_fanout,
+    "external_offsets": q_external_offsets,
+    "external_offsets_inclusive": q_external_offsets_inclusive,
+    "csv_to_json_topic": q_csv_to_json_topic,
 }

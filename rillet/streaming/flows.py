@@ -39,7 +39,7 @@ from rillet.model import (
     SEGMENT_SCHEMA,
 )
 from rillet.operators.batching import commit_positions
-from rillet.operators.offsets import offsets_from_source
+from rillet.operators.offsets import assign_offsets, offsets_from_source
 from rillet.operators.routing import explode_envelopes
 from rillet.session import scratch_dir
 from rillet.sources.log import TopicLog, new_segment_id
@@ -131,32 +131,45 @@ def deliver(
     guarantee: str,
     hook: Hook = _no_hook,
     tiebreak: list[str] | None = None,
+    order_by: list | None = None,
 ) -> None:
-    """Write one micro-batch of copies and its consumed positions under ``guarantee``."""
+    """Write one micro-batch of copies and its consumed positions under ``guarantee``.
+
+    Offsets follow the source position of each copy, or ``order_by`` for records
+    that have no source offset (ingested files).
+    """
     if guarantee not in GUARANTEES:
         raise ValueError(f"guarantee must be one of {GUARANTEES}")
+
+    def with_offsets() -> DataFrame:
+        if order_by is not None:
+            return assign_offsets(copies, order_by, dst.end_offsets())
+        return offsets_from_source(copies, dst.end_offsets(), tiebreak=tiebreak)
+
     if guarantee == "exactly_once":
         seg = f"{flow}-b{batch_id:012d}"
         if dst.is_committed(seg):
             return
-        out = offsets_from_source(copies, dst.end_offsets(), tiebreak=tiebreak)
+        out = with_offsets()
         hook("before_write", batch_id)
         dst.write_segment(out, seg, commits=positions)
         hook("after_write", batch_id)
     elif guarantee == "at_least_once":
         seg = new_segment_id(f"{flow}-b{batch_id:012d}")
-        out = offsets_from_source(copies, dst.end_offsets(), tiebreak=tiebreak)
+        out = with_offsets()
         hook("before_write", batch_id)
         dst.write_segment(out, seg)
         hook("after_write", batch_id)
-        dst.write_commits(positions, seg)
+        if positions is not None:
+            dst.write_commits(positions, seg)
     else:
         if not dst.claim(flow, batch_id):
             return
         seg = new_segment_id(f"{flow}-b{batch_id:012d}")
-        dst.write_commits(positions, seg)
+        if positions is not None:
+            dst.write_commits(positions, seg)
         hook("after_claim", batch_id)
-        out = offsets_from_source(copies, dst.end_offsets(), tiebreak=tiebreak)
+        out = with_offsets()
         dst.write_segment(out, seg)
         hook("after_write", batch_id)
 

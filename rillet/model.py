@@ -116,7 +116,6 @@ SEGMENT_SCHEMA = T.StructType(
         T.StructField("begin_offset", T.LongType(), False),
         T.StructField("end_offset", T.LongType(), False),
         T.StructField("n_records", T.LongType(), False),
-        T.StructField("n_bytes", T.LongType(), False),
         T.StructField("seg", T.StringType(), False),
     ]
 )

@@ -131,8 +131,11 @@ def offsets_from_source(
         )
     ranges = ranges.cache()
     try:
-        gaps = ranges.where(F.col("_hi") - F.col("_lo") + 1 != F.col("_n")).limit(1).count()
-        n_ranges = ranges.count()
+        check = ranges.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum((F.col("_hi") - F.col("_lo") + 1 != F.col("_n")).cast("int")).alias("gaps"),
+        ).first()
+        n_ranges, gaps = int(check["n"]), int(check["gaps"] or 0)
         if gaps:
             return assign_offsets(df, [src_topic, src_partition, src_offset, *(tiebreak or [])], ends)
         before = Window.partitionBy(*TP).orderBy(*src).rowsBetween(Window.unboundedPreceding, -1)

@@ -84,6 +84,20 @@ class TopicLog:
         return self.spark.createDataFrame(rows, "topic string, partition int, end_offset long")
 
     # ------------------------------------------------------------------- read
+    def _scan(self, topics: list[str] | None, seg: str | None = None) -> DataFrame:
+        """The data files, listing only the named topics' folders (or one segment's)."""
+        reader = self.spark.read.schema(STORED_SCHEMA).option("basePath", self.data_path)
+        if seg is not None and "/" not in seg and "*" not in seg:
+            tops = [f"topic={t}" for t in topics] if topics else ["topic=*"]
+            return reader.parquet(*[f"{self.data_path}/{t}/partition=*/seg={seg}" for t in tops])
+        if topics:
+            present = set(fs.list_names(self.spark, self.data_path))
+            paths = [f"{self.data_path}/topic={t}" for t in topics if f"topic={t}" in present]
+            if not paths:
+                return self.spark.createDataFrame([], STORED_SCHEMA)
+            return reader.parquet(*paths)
+        return reader.parquet(self.data_path)
+
     def read(
         self,
         topics: list[str] | str | None = None,
@@ -101,9 +115,10 @@ class TopicLog:
         cols = RECORD_COLUMNS + (SOURCE_COLUMNS if with_source else [])
         if not fs.exists(self.spark, self.data_path):
             return self.spark.createDataFrame([], STORED_SCHEMA).select(*cols)
-        df = self.spark.read.schema(STORED_SCHEMA).parquet(self.data_path)
         if isinstance(topics, str):
             topics = [topics]
+        one_seg = segments[0] if segments is not None and len(segments) == 1 else None
+        df = self._scan(topics, one_seg)
         if topics is not None:
             df = df.where(F.col("topic").isin(list(topics)))
         if partitions is not None:
@@ -145,11 +160,14 @@ class TopicLog:
         )
         if commits is not None:
             self.write_commits(commits, seg)
-        index = data.groupBy(*TP, "seg").agg(
+        # index from the new segment's offset column only (tiny), not by re-running the write plan
+        written = self._scan(None, seg if isinstance(seg, str) else None)
+        if not isinstance(seg, str):
+            written = written.join(data.select("seg").distinct(), "seg", "left_semi")
+        index = written.groupBy(*TP, "seg").agg(
             F.min("offset").alias("begin_offset"),
             (F.max("offset") + 1).alias("end_offset"),
             F.count(F.lit(1)).alias("n_records"),
-            F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).cast("long").alias("n_bytes"),
         )
         (
             index.repartition(1, "seg")

@@ -76,7 +76,6 @@ def segment_stream(
             observe,
             F.coalesce(F.sum("n_records"), F.lit(0)).alias("n_records"),
             F.max(F.col("end_offset") - 1).alias("max_offset"),
-            F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes"),
         )
     return idx
 

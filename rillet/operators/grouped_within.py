@@ -78,7 +78,7 @@ def _exits(n: int, d: int):
         nxt = _next_starts(ts, n, d)
         last = _last_start(nxt, end)
         # entry j: the open group began j records before this chunk (j = 0: it starts here)
-        exits = [int(end - last[h - j]) if h - j >= 0 else -1 for j in range(n + 1)]
+        exits = [int(end - last[h - j]) if 0 <= h - j < end else -1 for j in range(n + 1)]
         return pd.DataFrame(
             {
                 "topic": [pdf["topic"].iloc[0]],
@@ -158,7 +158,7 @@ def grouped_within(
     if chunk_size is None:
         largest = dense.groupBy(*TP).count().agg(F.max("count")).first()[0] or 0
         chunk_size = max(MIN_CHUNK, math.ceil(largest / MAX_CHUNKS), n + 1)
-    c = int(chunk_size)
+    c = max(int(chunk_size), n + 1)  # the halo (n records) must come from one chunk
     own = dense.withColumn("chunk", F.floor(F.col("_pos") / c)).withColumn("_halo", F.lit(False))
     halo = (
         dense.where(F.pmod(F.col("_pos"), F.lit(c)) >= c - n)

@@ -51,3 +51,28 @@ def latest_commits(batches: DataFrame) -> DataFrame:
     return batches.groupBy("group_id", "topic", "partition").agg(
         F.max("next_offset").alias("next_offset")
     )
+
+
+def positions(
+    consumed: DataFrame,
+    group_id: str = DEFAULT_GROUP,
+    grouping: tuple | None = None,
+) -> DataFrame:
+    """Positions to commit for consumed records (group_id, topic, partition, next_offset).
+
+    ``grouping``: None - one position per partition (G1); ``("batch", n)`` - one per
+    batch of n offsets (G2 / G3); ``("within", n, seconds)`` - one per count-or-time
+    group (G4). The latest position is the same either way; the commit log differs.
+    """
+    cols = ["group_id", "topic", "partition", "next_offset"]
+    if grouping is None:
+        return commit_positions(consumed.select("topic", "partition", "offset"), group_id)
+    kind = grouping[0]
+    if kind == "batch":
+        return commit_batches(consumed.select("topic", "partition", "offset"), grouping[1], group_id).select(*cols)
+    if kind == "within":
+        from rillet.operators.grouped_within import grouped_within
+
+        groups = grouped_within(consumed, grouping[1], grouping[2])
+        return groups.select(F.lit(group_id).alias("group_id"), "topic", "partition", "next_offset")
+    raise ValueError(f"unknown grouping {grouping!r}")

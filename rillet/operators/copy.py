@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rillet.functions.records import business, readdress
 from rillet.functions.report import result_text
 from rillet.model import DEFAULT_GROUP, PRODUCE_KEY, PRODUCE_PARTITION
-from rillet.operators.batching import commit_positions
+from rillet.operators.batching import commit_positions, positions as commit_rows
 from rillet.operators.offsets import offsets_from_source
 from rillet.operators.routing import explode_envelopes, multi_envelope, route
 from rillet.sources.generate import number_range
@@ -84,6 +84,7 @@ def replicate(
     seg: str | None = None,
     from_offset: int | None = None,
     partitions: list[int] | None = None,
+    commit_grouping: tuple | None = None,
 ) -> DataFrame:
     """T5 / T6 (batch form): copy committed records of ``topics`` to ``dst_topic``.
 
@@ -95,7 +96,7 @@ def replicate(
     dst = dst or src
     seg = seg or new_segment_id("copy")
     consumed = business(src.read(topics, partitions=partitions, from_offset=from_offset), fn)
-    positions = commit_positions(consumed.select("topic", "partition", "offset"), group_id)
+    positions = commit_rows(consumed, group_id, commit_grouping)
     _write_copies(dst, readdress(consumed, dst_topic, keep_key), seg, commits=positions)
     return dst.read(segments=[seg], with_source=True)
 

@@ -60,8 +60,10 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: i
 
 def end_offsets_or_empty(spark, ends: DataFrame | None) -> DataFrame:
     if ends is not None:
-        return ends.select(*TP, F.col("end_offset").cast("long").alias("_base"))
-    return spark.createDataFrame([], "topic string, partition int, _base long")
+        out = ends.select(*TP, F.col("end_offset").cast("long").alias("_base"))
+    else:
+        out = spark.createDataFrame([], "topic string, partition int, _base long")
+    return out
 
 
 def assign_offsets(
@@ -151,6 +153,10 @@ def offsets_from_source(
             "_lo",
             (F.coalesce(F.col("_base"), F.lit(0)) + F.col("_before")).alias("_start"),
         )
+        if n_ranges <= BROADCAST_ROWS:
+            # one row per (target partition, source partition): metadata, bounded by partition
+            # counts; fixed here so the record pass does not recompute it
+            table = spark.createDataFrame(table.collect(), table.schema)
         out = join_small(df, table, [*TP, *src], rows=n_ranges)
     finally:
         ranges.unpersist()

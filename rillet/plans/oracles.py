@@ -45,6 +45,26 @@ lag AS (
          CAST(coalesce(max("offset") FILTER (WHERE ts < TIMESTAMP '2024-01-15 00:00:00') + 1, 0) AS BIGINT) AS next_offset
   FROM t1 GROUP BY topic, partition)"""
 
+GROUPED = """nx AS (
+  SELECT a.partition, a."offset",
+         LEAST(a."offset" + 20, coalesce(min(b."offset"), a."offset" + 20)) AS nxt
+  FROM t1 a LEFT JOIN t1 b
+    ON b.partition = a.partition AND b."offset" > a."offset" AND b."offset" < a."offset" + 20
+   AND b.ts >= a.ts + INTERVAL 5 HOUR
+  GROUP BY a.partition, a."offset"),
+ends AS (SELECT partition, max("offset") + 1 AS end_offset FROM t1 GROUP BY partition),
+walk(partition, first_offset) AS (
+  SELECT partition, CAST(0 AS BIGINT) FROM ends
+  UNION ALL
+  SELECT w.partition, nx.nxt FROM walk w
+  JOIN nx ON nx.partition = w.partition AND nx."offset" = w.first_offset
+  JOIN ends e ON e.partition = w.partition
+  WHERE nx.nxt < e.end_offset),
+g AS (
+  SELECT w.partition, w.first_offset,
+         coalesce(lead(w.first_offset) OVER (PARTITION BY w.partition ORDER BY w.first_offset), e.end_offset) AS next_offset
+  FROM walk w JOIN ends e ON e.partition = w.partition)"""
+
 ORACLES: dict[str, str] = {
     "topic_from_events": f"""WITH {T1}
 SELECT topic, partition, "offset", key, value FROM t1""",
@@ -99,25 +119,7 @@ SELECT 'group1' AS group_id, topic, partition, CAST("offset" // 100 AS BIGINT) A
        CAST(count(*) AS BIGINT) AS n_records
 FROM t1 GROUP BY topic, partition, "offset" // 100""",
     "grouped_within": f"""WITH RECURSIVE {T1},
-nx AS (
-  SELECT a.partition, a."offset",
-         LEAST(a."offset" + 20, coalesce(min(b."offset"), a."offset" + 20)) AS nxt
-  FROM t1 a LEFT JOIN t1 b
-    ON b.partition = a.partition AND b."offset" > a."offset" AND b."offset" < a."offset" + 20
-   AND b.ts >= a.ts + INTERVAL 5 HOUR
-  GROUP BY a.partition, a."offset"),
-ends AS (SELECT partition, max("offset") + 1 AS end_offset FROM t1 GROUP BY partition),
-walk(partition, first_offset) AS (
-  SELECT partition, CAST(0 AS BIGINT) FROM ends
-  UNION ALL
-  SELECT w.partition, nx.nxt FROM walk w
-  JOIN nx ON nx.partition = w.partition AND nx."offset" = w.first_offset
-  JOIN ends e ON e.partition = w.partition
-  WHERE nx.nxt < e.end_offset),
-g AS (
-  SELECT w.partition, w.first_offset,
-         coalesce(lead(w.first_offset) OVER (PARTITION BY w.partition ORDER BY w.first_offset), e.end_offset) AS next_offset
-  FROM walk w JOIN ends e ON e.partition = w.partition)
+{GROUPED}
 SELECT 'topic1' AS topic, partition, CAST(first_offset AS BIGINT) AS first_offset,
        CAST(next_offset AS BIGINT) AS next_offset, CAST(next_offset - first_offset AS BIGINT) AS n_records
 FROM g""",
@@ -170,4 +172,17 @@ WHERE t1."offset" >= greatest(f.k - 1, 0)""",
        to_json(struct_pack(event_id := event_id, user_id := user_id, event_type := event_type,
                            value := value, props := props)) AS value
 FROM events""",
+    "replicate_batched_commits": f"""WITH {T1}
+SELECT 'group1' AS group_id, topic, partition, CAST(max("offset") + 1 AS BIGINT) AS next_offset
+FROM t1 GROUP BY topic, partition, "offset" // 20""",
+    "replicate_grouped_commits": f"""WITH RECURSIVE {T1},
+{GROUPED}
+SELECT 'group1' AS group_id, 'topic1' AS topic, partition, CAST(next_offset AS BIGINT) AS next_offset FROM g""",
+    "chain_exactly_once": f"""WITH {T1}
+SELECT 'hopC' AS topic, partition, "offset", CAST(NULL AS VARCHAR) AS key, value,
+       'hopB' AS src_topic, "offset" AS src_offset FROM t1""",
+    "business_results": f"""WITH {T1}
+SELECT topic, partition, "offset", key || '=' || value AS result FROM t1""",
+    "per_record_commits": f"""WITH {T1}
+SELECT 'group1' AS group_id, topic, partition, CAST("offset" + 1 AS BIGINT) AS next_offset FROM t1""",
 }

@@ -15,13 +15,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillet.functions.records import payload_int
+from rillet.functions.records import apply_record_fn, payload_int
 from rillet.functions.report import envelope_result_text
 from rillet.model import DEFAULT_GROUP
 from rillet.operators.batching import commit_batches, commit_positions
 from rillet.operators.copy import fan_out, produce_numbers, replicate, route_conditional
 from rillet.operators.grouped_within import grouped_within
 from rillet.operators.observe import consumer_lag, consumer_metrics, pending_gauge, producer_metrics
+from rillet.operators.partitions import map_in_offset_order
 from rillet.operators.routing import multi_envelope
 from rillet.session import configure, scratch_dir
 from rillet.sources.csv_ingest import ingest_csv
@@ -363,6 +364,63 @@ def q_csv_to_json_topic(spark, sf_dir):
     return _records(log.read("csv_events"))
 
 
+def q_replicate_batched_commits(spark, sf_dir):
+    """Copy with one commit per batch of 20 positions; the full commit log."""
+    dst = _fresh(spark, "copy-batched")
+    replicate(base_log(spark, sf_dir), "topic1", "test1", dst=dst, commit_grouping=("batch", 20))
+    return dst.commit_log(DEFAULT_GROUP)
+
+
+def q_replicate_grouped_commits(spark, sf_dir):
+    """Copy with one commit per count-or-time group (20 records / 5 hours)."""
+    dst = _fresh(spark, "copy-grouped")
+    replicate(
+        base_log(spark, sf_dir), "topic1", "test1", dst=dst,
+        commit_grouping=("within", GROUP_N, GROUP_HOURS * 3600),
+    )
+    return dst.commit_log(DEFAULT_GROUP)
+
+
+def q_chain_exactly_once(spark, sf_dir):
+    """Two exactly-once hops as streams (topic1 -> hopB -> hopC); hop 2 fails once, restarts.
+
+    Exactly-once per hop; the two hops are separate transactions.
+    """
+    src = base_log(spark, sf_dir, "weekly")
+    b, c = _fresh(spark, "tx-hop-b"), _fresh(spark, "tx-hop-c")
+    replicate_stream(src, "topic1", "hopB", b, "exactly_once", max_segments=STREAM_SEGMENTS_PER_BATCH).awaitTermination()
+    ckpt = scratch_dir(spark, "tx-hop-c-checkpoint")
+    hook = _failing_once("after_write")
+    run_with_restart(
+        lambda: replicate_stream(b, "hopB", "hopC", c, "exactly_once", checkpoint=ckpt, max_segments=1, hook=hook),
+        sleep=lambda s: None,
+        delays=backoff_delays(0.0, 0.0),
+    )
+    return _records(c.read("hopC", with_source=True), "src_topic", "src_offset")
+
+
+def q_business_results(spark, sf_dir):
+    """A per-record function of (key, value), as a Column expression."""
+    recs = base_log(spark, sf_dir).read("topic1")
+    out = apply_record_fn(recs, lambda key, value: F.concat(key, F.lit("="), value.cast("string")))
+    return out.select("topic", "partition", "offset", "result")
+
+
+def _commit_each(pdf):
+    """One commit per processed record, in offset order (the batch arrives ordered)."""
+    return pdf.assign(group_id=DEFAULT_GROUP, next_offset=pdf["offset"] + 1)[
+        ["group_id", "topic", "partition", "next_offset"]
+    ]
+
+
+def q_per_record_commits(spark, sf_dir):
+    """Per-partition processing in offset order, a commit after every record."""
+    recs = base_log(spark, sf_dir).read("topic1").select("topic", "partition", "offset")
+    return map_in_offset_order(
+        recs, _commit_each, "group_id string, topic string, partition int, next_offset long"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topic_from_events": q_topic_from_events,
     "produce_report": q_produce_report,
@@ -392,4 +450,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "external_offsets": q_external_offsets,
     "external_offsets_inclusive": q_external_offsets_inclusive,
     "csv_to_json_topic": q_csv_to_json_topic,
+    "replicate_batched_commits": q_replicate_batched_commits,
+    "replicate_grouped_commits": q_replicate_grouped_commits,
+    "chain_exactly_once": q_chain_exactly_once,
+    "business_results": q_business_results,
+    "per_record_commits": q_per_record_commits,
 }

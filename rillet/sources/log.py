@@ -134,6 +134,35 @@ class TopicLog:
             df = join_small(df, index, [*TP, "seg"], "left_semi")
         return df.select(*cols)
 
+    def stream_records(self, topics: list[str] | str | None = None, max_files: int | None = None) -> DataFrame:
+        """Records as a streaming DataFrame, straight from the data files.
+
+        Read-uncommitted (files of a segment whose write failed are visible), for
+        plain consumption: console / memory sinks, ``observe``, stateful operators.
+        Delivery flows use the committed-segment stream instead.
+        """
+        if isinstance(topics, str):
+            topics = [topics]
+        reader = self.spark.readStream.schema(STORED_SCHEMA).option("basePath", self.data_path)
+        if max_files:
+            reader = reader.option("maxFilesPerTrigger", int(max_files))
+        if topics:
+            df = reader.parquet(*[f"{self.data_path}/topic={t}" for t in topics]) if len(topics) == 1 else reader.parquet(self.data_path)
+            df = df.where(F.col("topic").isin(topics))
+        else:
+            df = reader.parquet(self.data_path)
+        return df.select(*RECORD_COLUMNS)
+
+    def commit_log(self, group_id: str | None = None) -> DataFrame:
+        """Every committed position row (one per commit batch / group), not only the latest."""
+        if not fs.exists(self.spark, self.commits_path):
+            return self.spark.createDataFrame([], COMMIT_SCHEMA)
+        schema = "topic string, partition int, next_offset long, group_id string, seg string"
+        df = self.spark.read.schema(schema).parquet(self.commits_path)
+        if group_id is not None:
+            df = df.where(F.col("group_id") == group_id)
+        return df.select("group_id", *TP, "next_offset")
+
     # ------------------------------------------------------------------ write
     def write_segment(
         self, records: DataFrame, seg: str | Column, commits: DataFrame | None = None

@@ -38,7 +38,7 @@ from rillet.model import (
     RESTART_RANDOM_FACTOR,
     SEGMENT_SCHEMA,
 )
-from rillet.operators.batching import commit_positions
+from rillet.operators.batching import commit_positions, positions as commit_rows
 from rillet.operators.offsets import assign_offsets, offsets_from_source
 from rillet.operators.routing import explode_envelopes
 from rillet.session import scratch_dir
@@ -187,17 +187,21 @@ def replicate_stream(
     trigger: dict | None = None,
     max_segments: int | None = None,
     hook: Hook = _no_hook,
+    commit_grouping: tuple | None = None,
 ) -> StreamingQuery:
-    """Copy topics to ``dst_topic`` as a stream.
+    """Copy topics to ``dst_topic`` as a stream.
 
-    ``fn`` is the P11 transform hook. Positions are committed for ``group_id``.
+    ``fn`` is the P11 transform hook. Positions are committed for ``group_id``:
+    one per partition and micro-batch, or per batch of n (``("batch", n)``, T3 /
+    T7) or per count-or-time group (``("within", n, seconds)``, T8); groups do
+    not span micro-batches.
     """
     dst = dst or src
     flow = flow or f"replicate-{dst_topic}"
 
     def handler(records: DataFrame, batch_id: int) -> None:
         consumed = business(records, fn)
-        positions = commit_positions(consumed.select("topic", "partition", "offset"), group_id)
+        positions = commit_rows(consumed, group_id, commit_grouping)
         deliver(dst, readdress(consumed, dst_topic, keep_key), positions, flow, batch_id, guarantee, hook)
 
     return start_flow(src, topics, handler, checkpoint, trigger, max_segments, flow)

@@ -22,6 +22,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillet.model import (
     COMMIT_SCHEMA,
@@ -143,14 +144,22 @@ class TopicLog:
         """
         if isinstance(topics, str):
             topics = [topics]
-        reader = self.spark.readStream.schema(STORED_SCHEMA).option("basePath", self.data_path)
+        if topics and len(topics) == 1:
+            # the streaming file source takes the given folder as its root: topic is not a
+            # directory column there, so it comes back as a literal
+            schema = T.StructType([f for f in STORED_SCHEMA.fields if f.name != "topic"])
+            reader = self.spark.readStream.schema(schema)
+            path = f"{self.data_path}/topic={topics[0]}"
+        else:
+            reader = self.spark.readStream.schema(STORED_SCHEMA)
+            path = self.data_path
         if max_files:
             reader = reader.option("maxFilesPerTrigger", int(max_files))
-        if topics:
-            df = reader.parquet(*[f"{self.data_path}/topic={t}" for t in topics]) if len(topics) == 1 else reader.parquet(self.data_path)
+        df = reader.parquet(path)
+        if topics and len(topics) == 1:
+            df = df.withColumn("topic", F.lit(topics[0]))
+        elif topics:
             df = df.where(F.col("topic").isin(topics))
-        else:
-            df = reader.parquet(self.data_path)
         return df.select(*RECORD_COLUMNS)
 
     def commit_log(self, group_id: str | None = None) -> DataFrame:

@@ -61,3 +61,10 @@ def delete(spark: SparkSession, path: str) -> None:
     fs, p = _path(spark, path)
     if fs.exists(p):
         fs.delete(p, True)
+
+
+def glob_any(spark: SparkSession, pattern: str) -> bool:
+    """True when the glob pattern matches at least one path."""
+    fs, p = _path(spark, pattern)
+    found = fs.globStatus(p)
+    return found is not None and len(found) > 0

@@ -90,7 +90,11 @@ class TopicLog:
         reader = self.spark.read.schema(STORED_SCHEMA).option("basePath", self.data_path)
         if seg is not None and "/" not in seg and "*" not in seg:
             tops = [f"topic={t}" for t in topics] if topics else ["topic=*"]
-            return reader.parquet(*[f"{self.data_path}/{t}/partition=*/seg={seg}" for t in tops])
+            paths = [f"{self.data_path}/{t}/partition=*/seg={seg}" for t in tops]
+            paths = [p for p in paths if fs.glob_any(self.spark, p)]
+            if not paths:
+                return self.spark.createDataFrame([], STORED_SCHEMA)
+            return reader.parquet(*paths)
         if topics:
             present = set(fs.list_names(self.spark, self.data_path))
             paths = [f"{self.data_path}/topic={t}" for t in topics if f"topic={t}" in present]

@@ -109,3 +109,14 @@ def test_backoff_delays_double_and_cap():
     assert [next(gen) for _ in range(6)] == [3, 6, 12, 24, 30, 30]
     top = backoff_delays(3, 30, 0.2, rand=lambda: 1.0)
     assert abs(next(top) - 3.6) < 1e-9
+
+
+def test_empty_copy_writes_and_commits_nothing(spark, new_log):
+    from rillet.operators.copy import produce_numbers, replicate
+
+    src = new_log("src")
+    produce_numbers(src, 5, "t")
+    dst = new_log("dst")
+    assert replicate(src, "t", "copy", dst=dst, fn=lambda d: d.where(F.lit(False))).count() == 0
+    assert replicate(src, "missing", "copy", dst=dst).count() == 0
+    assert dst.catalog().count() == 0

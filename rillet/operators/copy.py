@@ -16,7 +16,7 @@ from rillet.functions.records import business, readdress
 from rillet.functions.report import result_text
 from rillet.model import DEFAULT_GROUP, PRODUCE_KEY, PRODUCE_PARTITION
 from rillet.operators.batching import commit_positions, positions as commit_rows
-from rillet.operators.offsets import offsets_from_source
+from rillet.operators.offsets import offsets_from_source, staging_area
 from rillet.operators.routing import explode_envelopes, multi_envelope, route
 from rillet.sources.generate import number_range
 from rillet.sources.log import TopicLog, new_segment_id
@@ -32,8 +32,9 @@ def _write_copies(
     commits: DataFrame | None = None,
 ) -> None:
     """Assign offsets by source position (after the committed end) and write one segment."""
-    with_offsets = offsets_from_source(copies, dst.end_offsets(), tiebreak=tiebreak)
-    dst.write_segment(with_offsets, seg, commits)
+    with staging_area(dst.spark) as staging:
+        with_offsets = offsets_from_source(copies, dst.end_offsets(), tiebreak=tiebreak, staging=staging)
+        dst.write_segment(with_offsets, seg, commits)
 
 
 def produce_numbers(

@@ -22,12 +22,14 @@ follows from arithmetic on the source offset: no sort and no shuffle of records.
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillet.model import TP
 from rillet.session import scratch_dir
+from rillet.sources import fs
 
 # Small side tables (slice statistics, end offsets) are broadcast only below this row count.
 BROADCAST_ROWS = 2_000_000
@@ -35,6 +37,20 @@ TARGET_SLICE_BYTES = 128 * 1024 * 1024
 _LOW_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
 
 
+@contextmanager
+def staging_area(spark: SparkSession):
+    """A staging folder in the shared checkpoint folder, removed when the block ends.
+
+    Writers assign offsets inside the block and write their segment before it
+    closes; the staged copy of the records does not outlive the write.
+    """
+    path = scratch_dir(spark, "offsets")
+    try:
+        yield path
+    finally:
+        fs.delete(spark, path)
+
+
 def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
@@ -71,17 +87,20 @@ def assign_offsets(
     order_by,
     ends: DataFrame | None = None,
     slices: int | None = None,
+    staging: str | None = None,
 ) -> DataFrame:
     """Add ``offset``: dense per (topic, partition) in ``order_by`` order, after ``ends``.
 
     ``ends`` holds (topic, partition, end_offset) of the target log; missing keys start at 0.
-    The order columns must make the order total (add a unique tiebreaker).
+    The order columns must make the order total (add a unique tiebreaker). The result
+    reads the staged table at ``staging`` (see ``staging_area``), so it must be
+    consumed before that folder is removed; without ``staging`` a scratch folder is kept.
     """
     spark = df.sparkSession
     order = _cols(order_by)
     n = slices or slice_count(df)
     keys = [F.col("topic"), F.col("partition")]
-    staged_path = scratch_dir(spark, "offsets")
+    staged_path = f"{staging}/staged" if staging else scratch_dir(spark, "offsets")
     (
         df.repartitionByRange(n, *keys, *order)
         .sortWithinPartitions(*keys, *order)
@@ -115,6 +134,7 @@ def offsets_from_source(
     src_offset: str = "src_offset",
     source_ranges: DataFrame | None = None,
     tiebreak: list[str] | None = None,
+    staging: str | None = None,
 ) -> DataFrame:
     """Offsets for records copied from source ranges, ordered by source position.
 
@@ -139,7 +159,9 @@ def offsets_from_source(
         ).first()
         n_ranges, gaps = int(check["n"]), int(check["gaps"] or 0)
         if gaps:
-            return assign_offsets(df, [src_topic, src_partition, src_offset, *(tiebreak or [])], ends)
+            return assign_offsets(
+                df, [src_topic, src_partition, src_offset, *(tiebreak or [])], ends, staging=staging
+            )
         before = Window.partitionBy(*TP).orderBy(*src).rowsBetween(Window.unboundedPreceding, -1)
         base = end_offsets_or_empty(spark, ends)
         table = join_small(

@@ -33,7 +33,7 @@ from rillet.model import (
     STORED_SCHEMA,
     TP,
 )
-from rillet.operators.offsets import assign_offsets, join_small
+from rillet.operators.offsets import assign_offsets, join_small, staging_area
 from rillet.session import configure
 from rillet.sources import fs
 
@@ -133,10 +133,11 @@ class TopicLog:
         if from_offset is not None:
             df = df.where(F.col("offset") >= F.lit(int(from_offset)))
         if committed and segments is None:
-            index = self.segments().select(*TP, "seg")
+            # a segment is committed as a whole: its name alone decides visibility
+            index = self.segments()
             if topics is not None:
                 index = index.where(F.col("topic").isin(list(topics)))
-            df = join_small(df, index, [*TP, "seg"], "left_semi")
+            df = join_small(df, index.select("seg").distinct(), ["seg"], "left_semi")
         return df.select(*cols)
 
     def stream_records(self, topics: list[str] | str | None = None, max_files: int | None = None) -> DataFrame:
@@ -247,8 +248,9 @@ class TopicLog:
             ts = F.current_timestamp()
         shaped = produced.withColumn("partition", part).withColumn("value", _as_binary(F.col("value")))
         shaped = shaped.withColumn("timestamp", ts.cast("timestamp"))
-        with_offsets = assign_offsets(shaped, order_by, self.end_offsets())
-        self.write_segment(with_offsets, seg)
+        with staging_area(self.spark) as staging:
+            with_offsets = assign_offsets(shaped, order_by, self.end_offsets(), staging=staging)
+            self.write_segment(with_offsets, seg)
         if isinstance(seg, str):
             return self.read(segments=[seg])
         return self.read(topics=None)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rillet.functions.records import business, readdress
 from rillet.model import DEFAULT_GROUP, TP
-from rillet.operators.offsets import join_small, offsets_from_source
+from rillet.operators.offsets import join_small, offsets_from_source, staging_area
 from rillet.sources.log import TopicLog, new_segment_id
 
 
@@ -62,5 +62,6 @@ def process_from_stored_offset(
         F.lit(group_id).alias("group_id"), *TP, "next_offset"
     )
     copies = readdress(processed, out_topic, keep_key=True)
-    out.write_segment(offsets_from_source(copies, out.end_offsets()), seg, commits=positions)
+    with staging_area(out.spark) as staging:
+        out.write_segment(offsets_from_source(copies, out.end_offsets(), staging=staging), seg, commits=positions)
     return seg

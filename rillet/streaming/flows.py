@@ -39,7 +39,7 @@ from rillet.model import (
     SEGMENT_SCHEMA,
 )
 from rillet.operators.batching import commit_positions, positions as commit_rows
-from rillet.operators.offsets import assign_offsets, offsets_from_source
+from rillet.operators.offsets import assign_offsets, offsets_from_source, staging_area
 from rillet.operators.routing import explode_envelopes
 from rillet.session import scratch_dir
 from rillet.sources.log import TopicLog, new_segment_id
@@ -140,24 +140,26 @@ def deliver(
     if guarantee not in GUARANTEES:
         raise ValueError(f"guarantee must be one of {GUARANTEES}")
 
-    def with_offsets() -> DataFrame:
+    def with_offsets(staging: str) -> DataFrame:
         if order_by is not None:
-            return assign_offsets(copies, order_by, dst.end_offsets())
-        return offsets_from_source(copies, dst.end_offsets(), tiebreak=tiebreak)
+            return assign_offsets(copies, order_by, dst.end_offsets(), staging=staging)
+        return offsets_from_source(copies, dst.end_offsets(), tiebreak=tiebreak, staging=staging)
 
     if guarantee == "exactly_once":
         seg = f"{flow}-b{batch_id:012d}"
         if dst.is_committed(seg):
             return
-        out = with_offsets()
-        hook("before_write", batch_id)
-        dst.write_segment(out, seg, commits=positions)
+        with staging_area(dst.spark) as staging:
+            out = with_offsets(staging)
+            hook("before_write", batch_id)
+            dst.write_segment(out, seg, commits=positions)
         hook("after_write", batch_id)
     elif guarantee == "at_least_once":
         seg = new_segment_id(f"{flow}-b{batch_id:012d}")
-        out = with_offsets()
-        hook("before_write", batch_id)
-        dst.write_segment(out, seg)
+        with staging_area(dst.spark) as staging:
+            out = with_offsets(staging)
+            hook("before_write", batch_id)
+            dst.write_segment(out, seg)
         hook("after_write", batch_id)
         if positions is not None:
             dst.write_commits(positions, seg)
@@ -168,8 +170,8 @@ def deliver(
         if positions is not None:
             dst.write_commits(positions, seg)
         hook("after_claim", batch_id)
-        out = with_offsets()
-        dst.write_segment(out, seg)
+        with staging_area(dst.spark) as staging:
+            dst.write_segment(with_offsets(staging), seg)
         hook("after_write", batch_id)
 
 

@@ -21,7 +21,6 @@ from rillet.operators.routing import explode_envelopes, multi_envelope, route
 from rillet.sources.generate import number_range
 from rillet.sources.log import TopicLog, new_segment_id
 
-RESULT_COLUMNS = ["topic", "partition", "offset", "key", "value", "timestamp"]
 
 
 def _write_copies(

@@ -120,3 +120,54 @@ def test_empty_copy_writes_and_commits_nothing(spark, new_log):
     assert replicate(src, "t", "copy", dst=dst, fn=lambda d: d.where(F.lit(False))).count() == 0
     assert replicate(src, "missing", "copy", dst=dst).count() == 0
     assert dst.catalog().count() == 0
+
+
+@settings(max_examples=8, deadline=None)
+@given(
+    sizes=st.lists(st.integers(min_value=0, max_value=60), min_size=1, max_size=4),
+    slices=st.integers(min_value=1, max_value=9),
+)
+def test_offsets_match_rank_under_random_skew(spark, sizes, slices):
+    """Random partition sizes (one may dominate) and slice counts: offsets = rank in order."""
+    rows = [("t", p, (i * 7919) % 1000, i) for p, n in enumerate(sizes) for i in range(n)]
+    if not rows:
+        return
+    df = spark.createDataFrame(rows, "topic string, partition int, k long, id long")
+    got = assign_offsets(df, ["k", "id"], slices=slices).toPandas()
+    want = pd.DataFrame(rows, columns=["topic", "partition", "k", "id"])
+    want["offset"] = want.sort_values(["k", "id"]).groupby("partition").cumcount()
+    merged = got.merge(want, on=["partition", "id"], suffixes=("", "_want"))
+    assert len(merged) == len(rows) and (merged["offset"] == merged["offset_want"]).all()
+
+
+def test_positions_lag_fanout_and_batch_bounds(spark, new_log):
+    from rillet.operators.batching import commit_batches
+    from rillet.operators.copy import fan_out, replicate
+    from rillet.operators.observe import consumer_lag
+    from rillet.operators.routing import multi_envelope
+
+    log = new_log("src")
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    log.produce(events_to_produced(ev), ["ts", "event_id"])
+    recs = log.read("topic1")
+
+    # commits never decrease along the commit log of one partition
+    batches = commit_batches(recs.select("topic", "partition", "offset"), 20).toPandas()
+    for _, g in batches.sort_values("batch").groupby("partition"):
+        assert g["next_offset"].is_monotonic_increasing
+        assert (g["n_records"] <= 20).all()
+
+    # 0 <= lag <= log size, for a group that stopped part-way
+    dst = new_log("dst")
+    replicate(log, "topic1", "copy", dst=dst, fn=lambda d: d.where(F.col("offset") < 100))
+    lag = consumer_lag(log.catalog(), dst.committed_positions(), "group1").toPandas()
+    assert ((lag["lag"] >= 0) & (lag["lag"] <= lag["end_offset"])).all()
+
+    # fan-out count = sum of envelope sizes
+    env = multi_envelope(recs, ["a", "b"])
+    expected = env.select(F.sum(F.size("records"))).first()[0]
+    assert fan_out(log, "topic1", ("a", "b"), dst=new_log("fan")).count() == expected
+
+    # count-or-time groups never exceed n
+    groups = grouped_within(recs, 7, 3600).toPandas()
+    assert (groups["n_records"] <= 7).all() and groups["n_records"].sum() == recs.count()

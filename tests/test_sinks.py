@@ -1,6 +1,5 @@
 """Sinks (K7-K9), the record stream (S6), merge bound (M1), single and pass-through envelopes."""
 
-from pyspark.sql import functions as F
 
 from rillet.operators.copy import produce_numbers
 from rillet.operators.partitions import merge_partitions

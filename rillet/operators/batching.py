@@ -76,3 +76,38 @@ def positions(
         groups = grouped_within(consumed, grouping[1], grouping[2])
         return groups.select(F.lit(group_id).alias("group_id"), "topic", "partition", "next_offset")
     raise ValueError(f"unknown grouping {grouping!r}")
+
+
+OPEN_GROUP_SCHEMA = "topic string, partition int, offset long, timestamp timestamp"
+
+
+def grouped_commits_carrying(
+    consumed: DataFrame,
+    carried: DataFrame,
+    n: int,
+    seconds: float,
+    group_id: str = DEFAULT_GROUP,
+) -> tuple[DataFrame, DataFrame]:
+    """G4 across micro-batches: (positions of closed groups, records of still-open groups).
+
+    ``carried`` holds the records of each partition's open group from the previous
+    batch (at most n per partition); they are put in front of this batch's records,
+    so a group may span batches and closed groups equal the batch definition. The
+    last group of a partition stays open unless it is full.
+    """
+    from rillet.operators.grouped_within import grouped_within
+    from rillet.operators.offsets import join_small
+
+    rows = consumed.select("topic", "partition", "offset", F.col("timestamp").cast("timestamp")).unionByName(
+        carried.select("topic", "partition", "offset", "timestamp")
+    )
+    groups = grouped_within(rows, n, seconds)
+    last = groups.groupBy("topic", "partition").agg(F.max("first_offset").alias("_last"))
+    tagged = join_small(groups, last, ["topic", "partition"])
+    is_open = (F.col("first_offset") == F.col("_last")) & (F.col("n_records") < n)
+    closed = tagged.where(~is_open).select(
+        F.lit(group_id).alias("group_id"), "topic", "partition", "next_offset"
+    )
+    starts = tagged.where(is_open).select("topic", "partition", F.col("first_offset").alias("_open"))
+    still_open = join_small(rows, starts, ["topic", "partition"]).where(F.col("offset") >= F.col("_open"))
+    return closed, still_open.select("topic", "partition", "offset", "timestamp")

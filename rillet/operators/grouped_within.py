@@ -17,6 +17,7 @@ where the group open at its start began - one of ``n + 1`` possibilities - so:
    fragments, which a hash aggregate merges across chunk borders.
 
 Chunk size adapts so a partition never has more than ``MAX_CHUNKS`` chunks.
+When every partition fits one chunk, steps 1 and 2 are skipped.
 """
 
 from __future__ import annotations
@@ -149,36 +150,49 @@ def grouped_within(
         *TP,
         "offset",
         F.unix_micros(F.col("timestamp").cast("timestamp")).alias("_ts"),
-    ).withColumns({"src_topic": F.col("topic"), "src_partition": F.col("partition"), "src_offset": F.col("offset")})
-    # dense position per partition, in offset order (arithmetic when offsets are contiguous)
-    dense = offsets_from_source(base.withColumnRenamed("offset", "_orig")
-                                .withColumn("src_offset", F.col("_orig")))
-    dense = dense.select(*TP, F.col("_orig").alias("offset"), "_ts", F.col("offset").alias("_pos"))
-
+    )
+    largest = base.groupBy(*TP).count().agg(F.max("count")).first()[0] or 0
     if chunk_size is None:
-        largest = dense.groupBy(*TP).count().agg(F.max("count")).first()[0] or 0
         chunk_size = max(MIN_CHUNK, math.ceil(largest / MAX_CHUNKS), n + 1)
     c = max(int(chunk_size), n + 1)  # the halo (n records) must come from one chunk
-    own = dense.withColumn("chunk", F.floor(F.col("_pos") / c)).withColumn("_halo", F.lit(False))
-    halo = (
-        dense.where(F.pmod(F.col("_pos"), F.lit(c)) >= c - n)
-        .withColumn("chunk", F.floor(F.col("_pos") / c) + 1)
-        .withColumn("_halo", F.lit(True))
-    )
-    rows = own.unionByName(halo)
-
-    exits = rows.groupBy(*_KEYS).applyInPandas(
-        _exits(n, d), "topic string, partition int, chunk long, exits array<long>"
-    )
-    entries = exits.groupBy(*TP).applyInPandas(
-        _resolve, "topic string, partition int, chunk long, entry long"
-    )
-    # halo-only chunks past a partition's end have no entry and drop out here
-    labelled = join_small(rows, entries, _KEYS)
-    frags = labelled.groupBy(*_KEYS).applyInPandas(
-        _fragments(n, d),
-        "topic string, partition int, first_offset long, n_records long, last_offset long",
-    )
+    out_schema = "topic string, partition int, first_offset long, n_records long, last_offset long"
+
+    if largest <= c:
+        # every partition fits one chunk: no borders to resolve, one pass in offset order
+        single = base.select(
+            *TP,
+            "offset",
+            "_ts",
+            F.col("offset").alias("_pos"),
+            F.lit(0).cast("long").alias("chunk"),
+            F.lit(False).alias("_halo"),
+            F.lit(0).cast("long").alias("entry"),
+        )
+        frags = single.groupBy(*_KEYS).applyInPandas(_fragments(n, d), out_schema)
+    else:
+        # dense position per partition, in offset order (arithmetic when offsets are contiguous)
+        src = base.withColumns(
+            {"src_topic": F.col("topic"), "src_partition": F.col("partition"), "src_offset": F.col("offset")}
+        ).withColumnRenamed("offset", "_orig")
+        dense = offsets_from_source(src).select(
+            *TP, F.col("_orig").alias("offset"), "_ts", F.col("offset").alias("_pos")
+        )
+        own = dense.withColumn("chunk", F.floor(F.col("_pos") / c)).withColumn("_halo", F.lit(False))
+        halo = (
+            dense.where(F.pmod(F.col("_pos"), F.lit(c)) >= c - n)
+            .withColumn("chunk", F.floor(F.col("_pos") / c) + 1)
+            .withColumn("_halo", F.lit(True))
+        )
+        rows = own.unionByName(halo)
+        exits = rows.groupBy(*_KEYS).applyInPandas(
+            _exits(n, d), "topic string, partition int, chunk long, exits array<long>"
+        )
+        entries = exits.groupBy(*TP).applyInPandas(
+            _resolve, "topic string, partition int, chunk long, entry long"
+        )
+        # halo-only chunks past a partition's end have no entry and drop out here
+        labelled = join_small(rows, entries, _KEYS)
+        frags = labelled.groupBy(*_KEYS).applyInPandas(_fragments(n, d), out_schema)
     return frags.groupBy(*TP, "first_offset").agg(
         (F.max("last_offset") + 1).alias("next_offset"),
         F.sum("n_records").cast("long").alias("n_records"),

@@ -185,4 +185,10 @@ SELECT 'hopC' AS topic, partition, "offset", CAST(NULL AS VARCHAR) AS key, value
 SELECT topic, partition, "offset", key || '=' || value AS result FROM t1""",
     "per_record_commits": f"""WITH {T1}
 SELECT 'group1' AS group_id, topic, partition, CAST("offset" + 1 AS BIGINT) AS next_offset FROM t1""",
+    "stream_grouped_commits": f"""WITH RECURSIVE {T1},
+{GROUPED},
+gg AS (SELECT partition, first_offset, next_offset, next_offset - first_offset AS n_records,
+              max(first_offset) OVER (PARTITION BY partition) AS last_first FROM g)
+SELECT 'group1' AS group_id, 'topic1' AS topic, partition, CAST(next_offset AS BIGINT) AS next_offset
+FROM gg WHERE NOT (first_offset = last_first AND n_records < 20)""",
 }

@@ -421,6 +421,20 @@ def q_per_record_commits(spark, sf_dir):
     )
 
 
+def q_stream_grouped_commits(spark, sf_dir):
+    """T8 / G4 as a stream: one commit per count-or-time group, groups spanning micro-batches.
+
+    One week-segment per micro-batch; a partition's last group is still open at the end.
+    """
+    src = base_log(spark, sf_dir, "weekly")
+    dst = _fresh(spark, "stream-grouped")
+    replicate_stream(
+        src, "topic1", "test1", dst, "exactly_once", max_segments=1,
+        commit_grouping=("within", GROUP_N, GROUP_HOURS * 3600),
+    ).awaitTermination()
+    return dst.commit_log(DEFAULT_GROUP)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topic_from_events": q_topic_from_events,
     "produce_report": q_produce_report,
@@ -455,4 +469,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chain_exactly_once": q_chain_exactly_once,
     "business_results": q_business_results,
     "per_record_commits": q_per_record_commits,
+    "stream_grouped_commits": q_stream_grouped_commits,
 }

@@ -277,6 +277,31 @@ class TopicLog:
             df = df.where(F.col("group_id") == group_id)
         return df.groupBy("group_id", *TP).agg(F.max("next_offset").alias("next_offset"))
 
+    def write_state(self, flow: str, batch_id: int, rows: DataFrame) -> None:
+        """Small per-flow state after ``batch_id``; a replay overwrites its own batch.
+
+        States older than the previous batch are dropped (a replay of this batch
+        needs only the state before it).
+        """
+        folder = f"{self.root}/state/{flow}"
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{folder}/b{int(batch_id):012d}")
+        for name in fs.list_names(self.spark, folder):
+            if name.startswith("b") and name[1:].isdigit() and int(name[1:]) < batch_id - 1:
+                fs.delete(self.spark, f"{folder}/{name}")
+
+    def read_state(self, flow: str, before: int, schema: str) -> DataFrame:
+        """The latest state written by a batch below ``before`` (empty when there is none)."""
+        folder = f"{self.root}/state/{flow}"
+        done = [
+            int(name[1:])
+            for name in fs.list_names(self.spark, folder)
+            if name.startswith("b") and name[1:].isdigit() and int(name[1:]) < before
+            and fs.exists(self.spark, f"{folder}/{name}/_SUCCESS")
+        ]
+        if not done:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{folder}/b{max(done):012d}")
+
     def claim(self, flow: str, batch_id: int) -> bool:
         """Atomically claim (flow, batch); False when it was claimed before."""
         return fs.create_new(self.spark, f"{self.claims_path}/{flow}/{int(batch_id)}", "claimed")

@@ -38,7 +38,12 @@ from rillet.model import (
     RESTART_RANDOM_FACTOR,
     SEGMENT_SCHEMA,
 )
-from rillet.operators.batching import commit_positions, positions as commit_rows
+from rillet.operators.batching import (
+    OPEN_GROUP_SCHEMA,
+    commit_positions,
+    grouped_commits_carrying,
+    positions as commit_rows,
+)
 from rillet.operators.offsets import assign_offsets, offsets_from_source, staging_area
 from rillet.operators.routing import explode_envelopes
 from rillet.session import scratch_dir
@@ -195,15 +200,23 @@ def replicate_stream(
 
     ``fn`` is the P11 transform hook. Positions are committed for ``group_id``:
     one per partition and micro-batch, or per batch of n (``("batch", n)``, T3 /
-    T7) or per count-or-time group (``("within", n, seconds)``, T8); groups do
-    not span micro-batches.
+    T7) or per count-or-time group (``("within", n, seconds)``, T8). Count-or-time
+    groups span micro-batches: the open group's records are kept as flow state
+    (at most n per partition) and a group is committed once it closes.
     """
     dst = dst or src
     flow = flow or f"replicate-{dst_topic}"
 
     def handler(records: DataFrame, batch_id: int) -> None:
         consumed = business(records, fn)
-        positions = commit_rows(consumed, group_id, commit_grouping)
+        if commit_grouping and commit_grouping[0] == "within":
+            carried = dst.read_state(flow, batch_id, OPEN_GROUP_SCHEMA)
+            positions, still_open = grouped_commits_carrying(
+                consumed, carried, commit_grouping[1], commit_grouping[2], group_id
+            )
+            dst.write_state(flow, batch_id, still_open)
+        else:
+            positions = commit_rows(consumed, group_id, commit_grouping)
         deliver(dst, readdress(consumed, dst_topic, keep_key), positions, flow, batch_id, guarantee, hook)
 
     return start_flow(src, topics, handler, checkpoint, trigger, max_segments, flow)

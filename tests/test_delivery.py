@@ -81,3 +81,36 @@ def test_restart_is_noop_when_drained(spark, weekly, new_log):
     q2 = replicate_stream(weekly, "topic1", "copy", dst, "exactly_once", checkpoint=ckpt)
     q2.awaitTermination()
     assert dst.read("copy").count() == n == weekly.read("topic1").count()
+
+
+def _closed_batch_groups(log, n, seconds):
+    from rillet.operators.grouped_within import grouped_within
+
+    groups = grouped_within(log.read("topic1"), n, seconds).toPandas()
+    last = groups.sort_values("first_offset").groupby("partition").tail(1)
+    open_tail = last[last.n_records < n]
+    all_groups = set(map(tuple, groups[["partition", "first_offset", "next_offset"]].values))
+    return all_groups - set(map(tuple, open_tail[["partition", "first_offset", "next_offset"]].values))
+
+
+def test_grouped_commits_span_micro_batches(spark, weekly, new_log):
+    """Count-or-time commits over one-segment micro-batches = closed groups of the batch form."""
+    dst = new_log("grouped")
+    replicate_stream(
+        weekly, "topic1", "copy", dst, "exactly_once", max_segments=1,
+        checkpoint=scratch_dir(spark, "test-ckpt"), commit_grouping=("within", 7, 4 * 3600),
+    ).awaitTermination()
+    want = {(p, nxt) for p, _, nxt in _closed_batch_groups(weekly, 7, 4 * 3600)}
+    got = {(r.partition, r.next_offset) for r in dst.commit_log().collect()}
+    assert got == want
+
+
+def test_keyed_state_grouping_in_order(spark, weekly):
+    """The applyInPandasWithState form, fed in offset order, closes the same groups."""
+    from rillet.streaming.stateful import grouped_within_stream
+
+    out = grouped_within_stream(weekly.stream_records("topic1"), 7, 4 * 3600, timeout=None)
+    q = out.writeStream.format("memory").queryName("rillet_groups").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.partition, r.first_offset, r.next_offset) for r in spark.table("rillet_groups").collect()}
+    assert got == _closed_batch_groups(weekly, 7, 4 * 3600)

@@ -66,8 +66,21 @@ def slice_count(df: DataFrame) -> int:
     return max(base, math.ceil(size / TARGET_SLICE_BYTES))
 
 
+def with_rows(df: DataFrame, rows: int) -> DataFrame:
+    """Remember a proven row count (tables fixed from local rows), so no job re-counts them."""
+    df._rillet_rows = int(rows)
+    return df
+
+
+def local_table(spark: SparkSession, rows: list, schema) -> DataFrame:
+    """A small table from rows already on the driver, with its row count recorded."""
+    return with_rows(spark.createDataFrame(rows, schema), len(rows))
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int | None = None) -> DataFrame:
     """Join with ``small`` broadcast only when its row count is proven under the bound."""
+    if rows is None:
+        rows = getattr(small, "_rillet_rows", None)
     n = small.count() if rows is None else rows
     if n <= BROADCAST_ROWS:
         small = F.broadcast(small)
@@ -77,9 +90,9 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: i
 def end_offsets_or_empty(spark, ends: DataFrame | None) -> DataFrame:
     if ends is not None:
         out = ends.select(*TP, F.col("end_offset").cast("long").alias("_base"))
-    else:
-        out = spark.createDataFrame([], "topic string, partition int, _base long")
-    return out
+        known = getattr(ends, "_rillet_rows", None)
+        return with_rows(out, known) if known is not None else out
+    return local_table(spark, [], "topic string, partition int, _base long")
 
 
 def assign_offsets(
@@ -121,6 +134,12 @@ def assign_offsets(
         "_first",
         (F.coalesce(F.col("_base"), F.lit(0)) + F.col("_before")).alias("_start"),
     )
+    # at most slices + partitions rows (each slice holds a contiguous key range): fix it once
+    # as local rows so the record pass neither re-aggregates nor re-counts it; beyond the
+    # broadcast bound it stays distributed and the join shuffles
+    head = stats.limit(BROADCAST_ROWS + 1).collect()
+    if len(head) <= BROADCAST_ROWS:
+        stats = local_table(spark, head, stats.schema)
     out = join_small(staged, stats, ["_slice", *TP])
     out = out.withColumn("offset", (F.col("_start") + F.col("_rid") - F.col("_first")).cast("long"))
     return out.drop("_rid", "_slice", "_first", "_start")
@@ -178,7 +197,7 @@ def offsets_from_source(
         if n_ranges <= BROADCAST_ROWS:
             # one row per (target partition, source partition): metadata, bounded by partition
             # counts; fixed here so the record pass does not recompute it
-            table = spark.createDataFrame(table.collect(), table.schema)
+            table = local_table(spark, table.collect(), table.schema)
         out = join_small(df, table, [*TP, *src], rows=n_ranges)
     finally:
         ranges.unpersist()

@@ -33,11 +33,15 @@ from rillet.model import (
     STORED_SCHEMA,
     TP,
 )
-from rillet.operators.offsets import assign_offsets, join_small, staging_area
+from rillet.operators.offsets import assign_offsets, join_small, local_table, staging_area
 from rillet.session import configure
 from rillet.sources import fs
 
 
+# Committed segment names resolved on the driver as a folder filter, up to this many.
+SEGMENT_LIST_LIMIT = 10_000
+
+
 def new_segment_id(prefix: str = "w") -> str:
     return f"{prefix}-{uuid.uuid4().hex[:16]}"
 
@@ -82,7 +86,7 @@ class TopicLog:
         One row per (topic, partition) of the log - metadata, never records.
         """
         rows = self.catalog(topics).select(*TP, "end_offset").collect()
-        return self.spark.createDataFrame(rows, "topic string, partition int, end_offset long")
+        return local_table(self.spark, rows, "topic string, partition int, end_offset long")
 
     # ------------------------------------------------------------------- read
     def _scan(self, topics: list[str] | None, seg: str | None = None) -> DataFrame:
@@ -133,11 +137,16 @@ class TopicLog:
         if from_offset is not None:
             df = df.where(F.col("offset") >= F.lit(int(from_offset)))
         if committed and segments is None:
-            # a segment is committed as a whole: its name alone decides visibility
+            # a segment is committed as a whole: its name alone decides visibility. Up to
+            # SEGMENT_LIST_LIMIT names become a folder filter fixed at planning; more stay a join.
             index = self.segments()
             if topics is not None:
                 index = index.where(F.col("topic").isin(list(topics)))
-            df = join_small(df, index.select("seg").distinct(), ["seg"], "left_semi")
+            names = index.select("seg").distinct().limit(SEGMENT_LIST_LIMIT + 1).collect()
+            if len(names) <= SEGMENT_LIST_LIMIT:
+                df = df.where(F.col("seg").isin([r.seg for r in names]))
+            else:
+                df = join_small(df, index.select("seg").distinct(), ["seg"], "left_semi")
         return df.select(*cols)
 
     def stream_records(self, topics: list[str] | str | None = None, max_files: int | None = None) -> DataFrame:

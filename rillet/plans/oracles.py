@@ -191,4 +191,11 @@ gg AS (SELECT partition, first_offset, next_offset, next_offset - first_offset A
               max(first_offset) OVER (PARTITION BY partition) AS last_first FROM g)
 SELECT 'group1' AS group_id, 'topic1' AS topic, partition, CAST(next_offset AS BIGINT) AS next_offset
 FROM gg WHERE NOT (first_offset = last_first AND n_records < 20)""",
+    "seek_stored_positions": f"""WITH {T1},
+stored AS (
+  SELECT partition, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-15 00:00:00') AS k FROM t1 GROUP BY partition)
+SELECT t1.topic, t1.partition, t1."offset", t1.key, t1.value
+FROM t1 JOIN stored s ON s.partition = t1.partition WHERE t1."offset" >= s.k""",
+    "assign_all_partitions": f"""WITH {T1}
+SELECT topic, partition, "offset", key, value FROM t1""",
 }

@@ -148,6 +148,30 @@ def q_assign_partitions(spark, sf_dir):
     return _records(out)
 
 
+def q_seek_stored_positions(spark, sf_dir):
+    """S3 over every partition: each resumes from the position its group stored.
+
+    The group stopped part-way (records before the cutoff were consumed); a restart reads
+    the rest of every partition of topic1.
+    """
+    log = base_log(spark, sf_dir)
+    dst = _fresh(spark, "positions")
+    replicate(log, "topic1", "test1", dst=dst, fn=lambda d: d.where(F.col("timestamp") < F.lit(LAG_CUTOFF)))
+    stored = dst.committed_positions(DEFAULT_GROUP)
+    return _records(log.read("topic1", from_positions=stored))
+
+
+def q_assign_all_partitions(spark, sf_dir):
+    """S4 / S5 over the whole topic: one single-partition read per partition, merged."""
+    log = base_log(spark, sf_dir)
+    parts = [r.partition for r in log.catalog(["topic1"]).select("partition").collect()]
+    reads = [log.read("topic1", partitions=[p]) for p in sorted(parts)]
+    out = reads[0]
+    for r in reads[1:]:
+        out = out.unionByName(r)
+    return _records(out)
+
+
 def q_topic_catalog(spark, sf_dir):
     """(topic, partition, begin, end, count) over a five-topic log."""
     return base_log(spark, sf_dir, "by_type").catalog()
@@ -443,6 +467,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "replicate_keep_key": q_replicate_keep_key,
     "seek_offset": q_seek_offset,
     "assign_partitions": q_assign_partitions,
+    "seek_stored_positions": q_seek_stored_positions,
+    "assign_all_partitions": q_assign_all_partitions,
     "topic_catalog": q_topic_catalog,
     "fanout_two_topics": q_fanout_two_topics,
     "route_conditional": q_route_conditional,

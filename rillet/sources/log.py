@@ -40,6 +40,8 @@ from rillet.sources import fs
 
 # Committed segment names resolved on the driver as a folder filter, up to this many.
 SEGMENT_LIST_LIMIT = 10_000
+# Per-partition start positions applied as one pushed-down predicate, up to this many.
+POSITION_FILTER_LIMIT = 1_000
 
 
 def new_segment_id(prefix: str = "w") -> str:
@@ -115,6 +117,7 @@ class TopicLog:
         segments: list[str] | None = None,
         committed: bool = True,
         with_source: bool = False,
+        from_positions: DataFrame | None = None,
     ) -> DataFrame:
         """Records of the given topics (all when None), committed segments only.
 
@@ -136,6 +139,8 @@ class TopicLog:
             df = df.where(F.col("seg").isin(list(segments)))
         if from_offset is not None:
             df = df.where(F.col("offset") >= F.lit(int(from_offset)))
+        if from_positions is not None:
+            df = self._from_positions(df, from_positions)
         if committed and segments is None:
             # a segment is committed as a whole: its name alone decides visibility. Up to
             # SEGMENT_LIST_LIMIT names become a folder filter fixed at planning; more stay a join.
@@ -186,6 +191,28 @@ class TopicLog:
             df = df.where(F.col("group_id") == group_id)
         return df.select("group_id", *TP, "next_offset")
 
+    def _from_positions(self, df: DataFrame, positions: DataFrame) -> DataFrame:
+        """S3 for many partitions: each (topic, partition) from its own position (absent = 0).
+
+        Up to POSITION_FILTER_LIMIT positions become one predicate, ``(topic, partition)
+        = (t, p) AND offset >= k`` OR-ed, which prunes folders and reaches Parquet;
+        more positions are applied with a join on (topic, partition).
+        """
+        pos = positions.select(*TP, F.col("next_offset").cast("long").alias("_from"))
+        head = pos.limit(POSITION_FILTER_LIMIT + 1).collect()
+        if len(head) > POSITION_FILTER_LIMIT:
+            joined = join_small(df, pos, TP, "left")
+            return joined.where(F.col("offset") >= F.coalesce(F.col("_from"), F.lit(0))).drop("_from")
+        cond = None
+        for r in head:
+            one = (F.col("topic") == r.topic) & (F.col("partition") == r.partition) & (F.col("offset") >= r._from)
+            cond = one if cond is None else cond | one
+        known = [(r.topic, r.partition) for r in head]
+        others = ~F.struct("topic", "partition").isin([F.struct(F.lit(t), F.lit(p)) for t, p in known]) if known else None
+        if cond is None:
+            return df
+        return df.where(cond | others)
+
     # ------------------------------------------------------------------ write
     def write_segment(
         self, records: DataFrame, seg: str | Column, commits: DataFrame | None = None

@@ -50,6 +50,9 @@ from rillet.session import scratch_dir
 from rillet.sources.log import TopicLog, new_segment_id
 
 GUARANTEES = ("exactly_once", "at_least_once", "at_most_once")
+# Default bound on committed segments per micro-batch: a backlog is worked off in bounded
+# batches, and the segment names a batch takes to the driver stay a short list.
+SEGMENTS_PER_BATCH = 1000
 
 Hook = Callable[[str, int], None]
 Handler = Callable[[DataFrame, int], None]
@@ -70,9 +73,9 @@ def segment_stream(
     ``max_segments`` bounds each micro-batch (back-pressure); O1 metrics
     (records, highest offset) are observed under ``observe``.
     """
-    reader = log.spark.readStream.schema(SEGMENT_SCHEMA)
-    if max_segments:
-        reader = reader.option("maxFilesPerTrigger", int(max_segments))
+    reader = log.spark.readStream.schema(SEGMENT_SCHEMA).option(
+        "maxFilesPerTrigger", int(max_segments or SEGMENTS_PER_BATCH)
+    )
     idx = reader.parquet(log.index_path)
     if topics is not None:
         idx = idx.where(F.col("topic").isin(list(topics)))

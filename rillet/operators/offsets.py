@@ -32,8 +32,8 @@ from rillet.session import scratch_dir
 from rillet.sources import fs
 
 # Small side tables (slice statistics, end offsets) are broadcast only below this row count.
-BROADCAST_ROWS = 2_000_000
-TARGET_SLICE_BYTES = 128 * 1024 * 1024
+BROADCAST_ROWS = 1_000_000
+TARGET_SLICE_BYTES = 256 * 1024 * 1024
 _LOW_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
 
 
@@ -56,7 +56,7 @@ def _cols(cols) -> list[Column]:
 
 
 def slice_count(df: DataFrame) -> int:
-    """Number of range slices: enough for ~128 MB each, at least the shuffle width."""
+    """Number of range slices: ~256 MB each (at 100 TB about 400k), at least the shuffle width."""
     spark = df.sparkSession
     base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     try:

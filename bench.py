@@ -1,9 +1,9 @@
 """Throughput bench: the headline operators over ``events`` at $BENCH_SF_DIR.
 
 Prints one JSON line: {"metric", "value" (sum of per-step medians, seconds), "unit",
-"queries": {name: median sec}, "rows_per_sec": {name: rows/s}, "sf", "cpus", "repeats"}.
+"queries": {name: median sec}, "rows_per_sec": {name: rows/s}, "sf", "cpus", "memory", "repeats"}.
 Each timed step is a full action (a write, or a collect of a small result). After one
-warm-up pass, every step runs ``BENCH_REPEATS`` times (default 3) and reports the median.
+warm-up pass, every step runs ``BENCH_REPEATS`` times (default 5) and reports the median.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     n = events.count()
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "5"))
     runs: dict[str, list[float]] = {}
 
     def timed(name, fn):
@@ -100,6 +100,7 @@ def main() -> None:
                 "rows": n,
                 "sf": float(sf.group(1)) if sf else sf_dir,
                 "cpus": cpus,
+                "memory": spark.conf.get("spark.driver.memory", "default"),
                 "repeats": repeats,
             }
         )

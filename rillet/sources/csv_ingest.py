@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from rillet.sources.generate import table_to_produced
 from rillet.sources.log import TopicLog
 from rillet.session import scratch_dir
-from rillet.streaming.flows import deliver
+from rillet.streaming.flows import produce_stream
 
 INGEST_TRIGGER = {"processingTime": "30 seconds"}
 
@@ -50,15 +50,17 @@ def ingest_csv(
     """Start the ingest stream; ``trigger`` defaults to every 30 seconds."""
     stream = csv_stream(log.spark, folder, schema, max_files)
 
-    def handler(batch: DataFrame, batch_id: int) -> None:
-        produced = table_to_produced(
+    def to_records(batch: DataFrame) -> DataFrame:
+        return table_to_produced(
             batch, topic, partition, key, rows_to_json(batch, json_columns), timestamp, keep=order_by
         )
-        deliver(log, produced, None, flow, batch_id, "exactly_once", order_by=order_by)
 
-    return (
-        stream.writeStream.foreachBatch(handler)
-        .option("checkpointLocation", checkpoint or scratch_dir(log.spark, "ingest-checkpoint"))
-        .trigger(**(trigger or INGEST_TRIGGER))
-        .start()
+    return produce_stream(
+        stream,
+        log,
+        to_records,
+        order_by,
+        flow=flow,
+        checkpoint=checkpoint or scratch_dir(log.spark, "ingest-checkpoint"),
+        trigger=trigger or INGEST_TRIGGER,
     )

@@ -225,6 +225,33 @@ def replicate_stream(
     return start_flow(src, topics, handler, checkpoint, trigger, max_segments, flow)
 
 
+def produce_stream(
+    stream: DataFrame,
+    log: TopicLog,
+    to_records: Callable[[DataFrame], DataFrame],
+    order_by: list,
+    flow: str = "produce",
+    guarantee: str = "exactly_once",
+    checkpoint: str | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """K1 / K5 for any streaming DataFrame: each micro-batch becomes records on the log.
+
+    ``to_records`` maps a batch to (topic, partition, key, value, timestamp, order columns);
+    the log assigns offsets in ``order_by`` order after the committed end offsets.
+    """
+
+    def handler(batch: DataFrame, batch_id: int) -> None:
+        deliver(log, to_records(batch), None, flow, batch_id, guarantee, order_by=order_by)
+
+    return (
+        stream.writeStream.foreachBatch(handler)
+        .option("checkpointLocation", checkpoint or scratch_dir(log.spark, f"{flow}-checkpoint"))
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def envelope_stream(
     src: TopicLog,
     topics: list[str] | str,

@@ -138,3 +138,41 @@ def test_kafka_mapping_is_guarded(spark):
     from rillet.sources import kafka
 
     assert kafka.available(spark) in (True, False)
+
+
+def test_progress_listener_and_stream_produce(spark, weekly, new_log):
+    """O2 through a listener; K1 for a streaming DataFrame via produce_stream."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from rillet.sources.generate import table_to_produced
+    from rillet.streaming.flows import produce_stream
+    from rillet.streaming.listener import attach, detach
+
+    listener = attach(spark, {"replicate-copy"})
+    try:
+        dst = new_log("listened")
+        replicate_stream(weekly, "topic1", "copy", dst, "exactly_once", max_segments=2,
+                         checkpoint=scratch_dir(spark, "test-ckpt")).awaitTermination()
+        expected = weekly.read("topic1").count()
+
+        def seen():
+            return sum(int(r["observed"].get("consumed", {}).get("n_records", 0)) for r in listener.snapshot())
+
+        deadline = time.time() + 20  # listener events are delivered asynchronously
+        while time.time() < deadline and seen() < expected:
+            time.sleep(0.2)
+        assert seen() == expected
+    finally:
+        detach(spark, listener)
+
+    out = new_log("produced")
+    src = weekly.stream_records("topic1")
+    produce_stream(
+        src, out,
+        lambda b: table_to_produced(b, "again", F.col("partition"), F.col("key"), F.col("value"), F.col("timestamp"), keep=["offset"]),
+        ["offset"], flow="again",
+    ).awaitTermination()
+    got = sorted((r.partition, r.offset) for r in out.read("again").collect())
+    assert got == sorted((r.partition, r.offset) for r in weekly.read("topic1").collect())

@@ -69,7 +69,7 @@ class TopicLog:
 
     def is_committed(self, seg: str) -> bool:
         """A segment is committed once its index directory exists (renamed in at job commit)."""
-        return fs.exists(self.spark, f"{self.index_path}/seg={seg}")
+        return fs.exists(self.spark, f"{self.index_path}/{self._dir('seg', seg)}")
 
     def catalog(self, topics: list[str] | None = None) -> DataFrame:
         """One row per (topic, partition) with begin/end offsets and record count."""
@@ -91,19 +91,26 @@ class TopicLog:
         return local_table(self.spark, rows, "topic string, partition int, end_offset long")
 
     # ------------------------------------------------------------------- read
+    def _dir(self, column: str, value: str) -> str:
+        """A partition folder name as Spark writes it (special characters escaped)."""
+        jvm = self.spark.sparkContext._jvm
+        escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        return f"{column}={escape(str(value))}"
+
     def _scan(self, topics: list[str] | None, seg: str | None = None) -> DataFrame:
         """The data files, listing only the named topics' folders (or one segment's)."""
         reader = self.spark.read.schema(STORED_SCHEMA).option("basePath", self.data_path)
-        if seg is not None and "/" not in seg and "*" not in seg:
-            tops = [f"topic={t}" for t in topics] if topics else ["topic=*"]
-            paths = [f"{self.data_path}/{t}/partition=*/seg={seg}" for t in tops]
+        if seg is not None and "*" not in seg:
+            tops = [self._dir("topic", t) for t in topics] if topics else ["topic=*"]
+            paths = [f"{self.data_path}/{t}/partition=*/{self._dir('seg', seg)}" for t in tops]
             paths = [p for p in paths if fs.glob_any(self.spark, p)]
             if not paths:
                 return self.spark.createDataFrame([], STORED_SCHEMA)
             return reader.parquet(*paths)
         if topics:
             present = set(fs.list_names(self.spark, self.data_path))
-            paths = [f"{self.data_path}/topic={t}" for t in topics if f"topic={t}" in present]
+            dirs = [self._dir("topic", t) for t in topics]
+            paths = [f"{self.data_path}/{d}" for d in dirs if d in present]
             if not paths:
                 return self.spark.createDataFrame([], STORED_SCHEMA)
             return reader.parquet(*paths)
@@ -168,7 +175,7 @@ class TopicLog:
             # directory column there, so it comes back as a literal
             schema = T.StructType([f for f in STORED_SCHEMA.fields if f.name != "topic"])
             reader = self.spark.readStream.schema(schema)
-            path = f"{self.data_path}/topic={topics[0]}"
+            path = f"{self.data_path}/{self._dir('topic', topics[0])}"
         else:
             reader = self.spark.readStream.schema(STORED_SCHEMA)
             path = self.data_path
@@ -195,7 +202,7 @@ class TopicLog:
         """S3 for many partitions: each (topic, partition) from its own position (absent = 0).
 
         Up to POSITION_FILTER_LIMIT positions become one predicate, ``(topic, partition)
-        = (t, p) AND offset >= k`` OR-ed, which prunes folders and reaches Parquet;
+        = (t, p) AND offset >= k`` OR-ed, which prunes partition folders at planning;
         more positions are applied with a join on (topic, partition).
         """
         pos = positions.select(*TP, F.col("next_offset").cast("long").alias("_from"))
@@ -224,6 +231,8 @@ class TopicLog:
         directory appears at job commit and a rewrite of the same segment replaces
         it. The index is the commit point: output and positions become visible together.
         """
+        if commits is not None and not isinstance(seg, str):
+            raise ValueError("positions are committed with a single named segment")
         seg_col = F.lit(seg) if isinstance(seg, str) else seg
         src = [
             (F.col(c) if c in records.columns else F.lit(None)).cast(f.dataType).alias(c)
@@ -239,10 +248,9 @@ class TopicLog:
         )
         if commits is not None:
             self.write_commits(commits, seg)
-        # index from the new segment's offset column only (tiny), not by re-running the write plan
-        written = self._scan(None, seg if isinstance(seg, str) else None)
-        if not isinstance(seg, str):
-            written = written.join(data.select("seg").distinct(), "seg", "left_semi")
+        # index from the new segment's offset column only (tiny), not by re-running the write
+        # plan; a write of several segments aggregates its plan, which never reads values
+        written = self._scan(None, seg) if isinstance(seg, str) else data
         index = written.groupBy(*TP, "seg").agg(
             F.min("offset").alias("begin_offset"),
             (F.max("offset") + 1).alias("end_offset"),

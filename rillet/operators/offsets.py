@@ -34,6 +34,7 @@ from rillet.sources import fs
 # Small side tables (slice statistics, end offsets) are broadcast only below this row count.
 BROADCAST_ROWS = 1_000_000
 TARGET_SLICE_BYTES = 256 * 1024 * 1024
+MAX_SLICES = 400_000  # 100 TB at 256 MB; beyond that slices grow instead
 _LOW_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
 
 
@@ -63,7 +64,9 @@ def slice_count(df: DataFrame) -> int:
         size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     except Exception:  # noqa: BLE001 - statistics are a hint only
         size = 0
-    return max(base, math.ceil(size / TARGET_SLICE_BYTES))
+    if size >= 2**62:  # no statistics (Long.MaxValue): fall back to the shuffle width
+        size = 0
+    return min(max(base, math.ceil(size / TARGET_SLICE_BYTES)), max(base, MAX_SLICES))
 
 
 def with_rows(df: DataFrame, rows: int) -> DataFrame:

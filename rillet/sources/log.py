@@ -161,6 +161,22 @@ class TopicLog:
                 df = join_small(df, index.select("seg").distinct(), ["seg"], "left_semi")
         return df.select(*cols)
 
+    def read_segments(self, parts: list[tuple[str, int, str]], with_source: bool = False) -> DataFrame:
+        """Records of exact (topic, partition, segment) folders, e.g. one micro-batch's.
+
+        Only those folders are listed, so the cost follows the segments asked for, not
+        the age of the log. Every index row names a folder that exists.
+        """
+        cols = RECORD_COLUMNS + (SOURCE_COLUMNS if with_source else [])
+        if not parts:
+            return self.spark.createDataFrame([], STORED_SCHEMA).select(*cols)
+        paths = [
+            f"{self.data_path}/{self._dir('topic', t)}/{self._dir('partition', p)}/{self._dir('seg', g)}"
+            for t, p, g in sorted(set(parts))
+        ]
+        reader = self.spark.read.schema(STORED_SCHEMA).option("basePath", self.data_path)
+        return reader.parquet(*paths).select(*cols)
+
     def stream_records(self, topics: list[str] | str | None = None, max_files: int | None = None) -> DataFrame:
         """Records as a streaming DataFrame, straight from the data files.
 

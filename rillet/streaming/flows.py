@@ -91,13 +91,15 @@ def segment_stream(
 def batch_records(log: TopicLog, index_batch: DataFrame, topics: list[str] | None) -> DataFrame | None:
     """Records of the segments listed in one micro-batch of the index stream.
 
-    The micro-batch holds index rows only (bounded by ``max_segments``), so the
-    segment names are taken to the driver and become a directory filter.
+    The micro-batch holds index rows only (bounded by ``max_segments``); they name
+    the exact (topic, partition, segment) folders to read, so nothing else is listed.
     """
-    segs = sorted({r.seg for r in index_batch.select("seg").distinct().collect()})
-    if not segs:
+    parts = [(r.topic, r.partition, r.seg) for r in index_batch.select("topic", "partition", "seg").collect()]
+    if topics is not None:
+        parts = [p for p in parts if p[0] in set(topics)]
+    if not parts:
         return None
-    return log.read(topics, segments=segs)
+    return log.read_segments(parts)
 
 
 def start_flow(

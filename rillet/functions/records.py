@@ -95,6 +95,10 @@ def apply_record_fn(
 
 
 def payload_int(field: str, value: Column | str = "value") -> Column:
-    """A JSON payload field as an integer, for routing predicates."""
+    """A JSON payload field as an integer, for routing predicates.
+
+    Missing fields, non-JSON payloads and non-numeric values give null (``try_cast``),
+    never a failed job.
+    """
     v = F.col(value) if isinstance(value, str) else value
-    return F.get_json_object(v.cast("string"), f"$.{field}").cast("int")
+    return F.get_json_object(v.cast("string"), f"$.{field}").try_cast("int")

@@ -198,4 +198,22 @@ SELECT t1.topic, t1.partition, t1."offset", t1.key, t1.value
 FROM t1 JOIN stored s ON s.partition = t1.partition WHERE t1."offset" >= s.k""",
     "assign_all_partitions": f"""WITH {T1}
 SELECT topic, partition, "offset", key, value FROM t1""",
+    "stream_at_most_once": f"""WITH {T1},
+w AS (SELECT *, weekofyear(ts) AS wk FROM t1),
+lost AS (SELECT partition, count(*) FILTER (WHERE wk IN (3, 4)) AS n34 FROM w GROUP BY partition)
+SELECT 'test1' AS topic, w.partition,
+       CAST(CASE WHEN w.wk = 5 THEN w."offset" - l.n34 ELSE w."offset" END AS BIGINT) AS "offset",
+       CAST(NULL AS VARCHAR) AS key, w.value, w."offset" AS src_offset
+FROM w JOIN lost l ON l.partition = w.partition WHERE w.wk NOT IN (3, 4)""",
+    "stream_at_least_once": f"""WITH {T1},
+w AS (SELECT *, weekofyear(ts) AS wk FROM t1),
+dup AS (SELECT partition, count(*) FILTER (WHERE wk IN (3, 4)) AS n34 FROM w GROUP BY partition)
+SELECT 'test1' AS topic, w.partition,
+       CAST(CASE WHEN w.wk = 5 THEN w."offset" + d.n34 ELSE w."offset" END AS BIGINT) AS "offset",
+       CAST(NULL AS VARCHAR) AS key, w.value, w."offset" AS src_offset
+FROM w JOIN dup d ON d.partition = w.partition
+UNION ALL
+SELECT 'test1' AS topic, w.partition, CAST(w."offset" + d.n34 AS BIGINT) AS "offset",
+       CAST(NULL AS VARCHAR) AS key, w.value, w."offset" AS src_offset
+FROM w JOIN dup d ON d.partition = w.partition WHERE w.wk IN (3, 4)""",
 }

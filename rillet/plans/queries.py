@@ -296,6 +296,10 @@ def q_chain_hops(spark, sf_dir):
 STREAM_SEGMENTS_PER_BATCH = 2
 
 
+# The weekly source has five segments (ISO weeks 1-5 of the events); two per micro-batch make
+# batches {1, 2}, {3, 4}, {5}, and the injected failure hits batch 1 (weeks 3 and 4).
+
+
 def _failing_once(stage: str, batch: int = 1):
     """Fault injection: raise the first time ``stage`` is reached in micro-batch ``batch``."""
     fired: list[int] = []
@@ -330,12 +334,15 @@ def q_stream_exactly_once(spark, sf_dir):
 
 
 def q_stream_at_least_once(spark, sf_dir):
-    """At-least-once copy; batch 1 fails after writing, before committing: duplicates."""
+    """At-least-once copy; batch 1 fails after writing, before committing.
+
+    Its records are written twice; the replay and everything after get later offsets.
+    """
     return _stream_copy(spark, sf_dir, "at_least_once", "after_write")
 
 
 def q_stream_at_most_once(spark, sf_dir):
-    """At-most-once; batch 1 fails after its claim: that batch is lost, nothing doubles."""
+    """At-most-once; batch 1 fails after its claim: weeks 3-4 are lost, nothing doubles."""
     return _stream_copy(spark, sf_dir, "at_most_once", "after_claim")
 
 

@@ -27,6 +27,7 @@ from rillet.operators.routing import multi_envelope
 from rillet.session import configure, scratch_dir
 from rillet.sources.csv_ingest import ingest_csv
 from rillet.sources.generate import events_to_produced, table_to_produced
+from rillet.sources import fs
 from rillet.sources.log import TopicLog
 from rillet.streaming.external import process_from_stored_offset
 from rillet.streaming.flows import backoff_delays, envelope_stream, replicate_stream, run_with_restart
@@ -85,7 +86,8 @@ def base_log(spark: SparkSession, sf_dir: str, layout: str = "topic1") -> TopicL
     """Read-only topic log built from a driver table (built once per application)."""
     configure(spark)
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), layout)
-    if key not in _LOGS:
+    cached = _LOGS.get(key)
+    if cached is None or not fs.exists(spark, cached.index_path):
         _LOGS[key] = _build(spark, sf_dir, layout)
     return _LOGS[key]
 

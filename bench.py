@@ -26,6 +26,7 @@ from rillet.operators.observe import consumer_lag  # noqa: E402
 from rillet.functions.records import payload_int  # noqa: E402
 from rillet.session import get_session, scratch_dir  # noqa: E402
 from rillet.sources.generate import events_to_produced  # noqa: E402
+from rillet.sources import fs  # noqa: E402
 from rillet.sources.log import TopicLog  # noqa: E402
 from rillet.streaming.flows import replicate_stream  # noqa: E402
 
@@ -50,39 +51,53 @@ def main() -> None:
         runs.setdefault(name, []).append(time.perf_counter() - t)
         return out
 
+    made: list[str] = []
+
+    def log_at(label: str) -> TopicLog:
+        log = TopicLog(spark, scratch_dir(spark, label))
+        made.append(log.root)
+        return log
+
     def one_pass() -> None:
-        src = TopicLog(spark, scratch_dir(spark, "bench-src"))
+        src = log_at("bench-src")
         week = F.concat(F.lit("week-"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0"))
         timed("topic_build", lambda: src.produce(events_to_produced(events), ["ts", "event_id"], seg=week))
 
-        timed("replicate_batch", lambda: replicate(src, "topic1", "test1", dst=TopicLog(spark, scratch_dir(spark, "b-copy"))).count())
+        timed("replicate_batch", lambda: replicate(src, "topic1", "test1", dst=log_at("b-copy")).count())
 
         def stream(guarantee):
-            dst = TopicLog(spark, scratch_dir(spark, f"b-{guarantee}"))
+            dst = log_at(f"b-{guarantee}")
             q = replicate_stream(src, "topic1", "test1", dst, guarantee, max_segments=2)
             q.awaitTermination()
             return dst.read("test1").count()
 
         timed("replicate_stream_at_least_once", lambda: stream("at_least_once"))
         timed("replicate_stream_exactly_once", lambda: stream("exactly_once"))
-        timed("fanout_two_topics", lambda: fan_out(src, "topic1", dst=TopicLog(spark, scratch_dir(spark, "b-fan"))).count())
+        timed("fanout_two_topics", lambda: fan_out(src, "topic1", dst=log_at("b-fan")).count())
         k = payload_int("k")
         timed(
             "route_conditional",
-            lambda: route_conditional(src, "topic1", k >= 80, k < 10, dst=TopicLog(spark, scratch_dir(spark, "b-route")))[0].count(),
+            lambda: route_conditional(src, "topic1", k >= 80, k < 10, dst=log_at("b-route"))[0].count(),
         )
         recs = src.read("topic1")
         timed("commit_batches_20", lambda: commit_batches(recs.select("topic", "partition", "offset"), 20).collect())
         timed("grouped_within", lambda: grouped_within(recs, 20, 5 * 3600).collect())
         timed("topic_catalog", lambda: src.catalog().collect())
-        lag_dst = TopicLog(spark, scratch_dir(spark, "b-lag"))
+        lag_dst = log_at("b-lag")
         replicate(src, "topic1", "test1", dst=lag_dst, fn=lambda d: d.where(F.col("timestamp") < F.lit("2024-01-15")))
         timed("consumer_lag", lambda: consumer_lag(src.catalog(["topic1"]), lag_dst.committed_positions("group1"), "group1").collect())
 
+    def clean() -> None:
+        # the pass's own logs; nothing reads them after the pass
+        while made:
+            fs.delete(spark, made.pop())
+
     one_pass()  # warm-up: JVM, code generation, Python workers
+    clean()
     runs.clear()
     for _ in range(repeats):
         one_pass()
+        clean()
     times = {q: round(statistics.median(v), 3) for q, v in runs.items()}
 
     per_row = {"topic_build", "replicate_batch", "replicate_stream_at_least_once", "replicate_stream_exactly_once",

@@ -177,3 +177,21 @@ def test_pending_gauge_text(spark):
         "# TYPE messages gauge",
         "messages 18",
     ]
+
+
+def test_record_function_as_pandas_udf(spark, new_log):
+    """P13 on the vectorised path: a pandas_udf over (key, value) runs on Arrow batches."""
+    import pandas as pd
+
+    from rillet.functions.records import apply_record_fn
+
+    @F.pandas_udf("string")
+    def describe(key: pd.Series, value: pd.Series) -> pd.Series:
+        return key.fillna("-") + ":" + value.map(lambda b: bytes(b).decode()).str.upper()
+
+    log = new_log()
+    _produce_texts(spark, log, "t", ["a", "un mensaje"], key="k")
+    out = apply_record_fn(log.read("t"), describe).orderBy("offset").collect()
+    assert [r.result for r in out] == ["k:A", "k:UN MENSAJE"]
+    default = apply_record_fn(log.read("t")).orderBy("offset").collect()
+    assert [r.result for r in default] == ["a", "un mensaje"]

@@ -16,7 +16,7 @@ from rillet.functions.records import business, readdress
 from rillet.functions.report import result_text
 from rillet.model import DEFAULT_GROUP, PRODUCE_KEY, PRODUCE_PARTITION
 from rillet.operators.batching import commit_positions, positions as commit_rows
-from rillet.operators.offsets import offsets_from_source, staging_area
+from rillet.operators.offsets import assign_offsets, offsets_from_source, staging_area
 from rillet.operators.routing import explode_envelopes, multi_envelope, route
 from rillet.sources.generate import number_range
 from rillet.sources.log import TopicLog, new_segment_id
@@ -29,10 +29,19 @@ def _write_copies(
     seg: str,
     tiebreak: list[str] | None = None,
     commits: DataFrame | None = None,
+    subsets: bool = False,
 ) -> None:
-    """Assign offsets by source position (after the committed end) and write one segment."""
+    """Assign offsets by source position (after the committed end) and write one segment.
+
+    ``subsets``: targets receive a filtered part of each source range (routing), so the
+    arithmetic path cannot apply and the two-pass assignment runs directly.
+    """
     with staging_area(dst.spark) as staging:
-        with_offsets = offsets_from_source(copies, dst.end_offsets(), tiebreak=tiebreak, staging=staging)
+        if subsets:
+            order = ["src_topic", "src_partition", "src_offset", *(tiebreak or [])]
+            with_offsets = assign_offsets(copies, order, dst.end_offsets(), staging=staging)
+        else:
+            with_offsets = offsets_from_source(copies, dst.end_offsets(), tiebreak=tiebreak, staging=staging)
         dst.write_segment(with_offsets, seg, commits)
 
 
@@ -140,5 +149,5 @@ def route_conditional(
     consumed = src.read(topic)
     envelopes = route(consumed, duplicate, ignore, duplicate_topics, single_topic, False, group_id)
     positions = commit_positions(envelopes.select("pass_through.*"))
-    _write_copies(dst, explode_envelopes(envelopes), seg, tiebreak=["part"], commits=positions)
+    _write_copies(dst, explode_envelopes(envelopes), seg, tiebreak=["part"], commits=positions, subsets=True)
     return dst.read(segments=[seg], with_source=True), envelopes

@@ -8,7 +8,9 @@ or after its first timestamp + d arrives. An open group is also flushed by a
 timeout, depending on ``timeout``:
 
 * ``"processing"`` - after d of processing time with no record closing it
-  (the reference's wall-clock ``groupedWithin``);
+  (the reference's wall-clock grouping). Spark then keeps running no-data
+  batches to check timeouts, so such a query never ends by itself: run it on a
+  processing-time trigger and stop it (``drain`` / ``shutdown``);
 * ``"event"`` - once the watermark passes first timestamp + d (at once when it
   already has);
 * ``None`` - never: closed groups are exactly those of the batch definition.

@@ -176,3 +176,41 @@ def test_progress_listener_and_stream_produce(spark, weekly, new_log):
     ).awaitTermination()
     got = sorted((r.partition, r.offset) for r in out.read("again").collect())
     assert got == sorted((r.partition, r.offset) for r in weekly.read("topic1").collect())
+
+
+def test_keyed_state_grouping_timeouts(spark, weekly):
+    """Event-time and processing-time timeouts only ever flush a group of the batch form.
+
+    Processing-time timeouts are wall clock, and Spark keeps running no-data batches to
+    check them, so that mode runs on a 1-second trigger with a 2-second window until
+    every open group has been flushed, then stops.
+    """
+    import time
+
+    from rillet.operators.grouped_within import grouped_within
+    from rillet.streaming.stateful import grouped_within_stream
+
+    for mode, seconds, trigger in (("event", 4 * 3600, {"availableNow": True}),
+                                   ("processing", 2, {"processingTime": "1 second"})):
+        every = {
+            (r.partition, r.first_offset, r.next_offset)
+            for r in grouped_within(weekly.read("topic1"), 7, seconds).collect()
+        }
+        closed = _closed_batch_groups(weekly, 7, seconds)
+        name = f"rillet_groups_{mode}"
+        q = (
+            grouped_within_stream(weekly.stream_records("topic1"), 7, seconds, timeout=mode)
+            .writeStream.format("memory").queryName(name).outputMode("append")
+            .trigger(**trigger).start()
+        )
+        if mode == "event":
+            q.awaitTermination()
+        else:
+            deadline = time.time() + 60
+            while time.time() < deadline and spark.table(name).count() < len(every):
+                time.sleep(1)
+            q.stop()
+        got = {(r.partition, r.first_offset, r.next_offset) for r in spark.table(name).collect()}
+        assert closed <= got <= every, mode
+        if mode == "processing":
+            assert got == every  # every open group timed out

@@ -66,6 +66,8 @@ def _last_start(nxt: np.ndarray, end: int) -> np.ndarray:
 
 
 def _prepare(pdf: pd.DataFrame):
+    if pdf["_ts"].isna().any():
+        raise ValueError("count-or-time grouping needs a timestamp on every record")
     pdf = pdf.sort_values("_pos", kind="stable")
     halo = pdf["_halo"].to_numpy()
     ts = pdf["_ts"].to_numpy(dtype=np.int64)

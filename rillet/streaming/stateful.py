@@ -76,6 +76,8 @@ def _grouper(n: int, d: int, timeout: str | None):
             yield _emit(topic, partition, [(start, last + 1, size)])
             return
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("offset", kind="stable")
+        if pdf["_ts"].isna().any():
+            raise ValueError("count-or-time grouping needs a timestamp on every record")
         offsets = pdf["offset"].to_numpy(dtype=np.int64)
         ts = pdf["_ts"].to_numpy(dtype=np.int64)
         out, pos, m = [], 0, len(offsets)

@@ -37,12 +37,15 @@ def _write_copies(
     arithmetic path cannot apply and the two-pass assignment runs directly.
     """
     with staging_area(dst.spark) as staging:
+        index = None
         if subsets:
             order = ["src_topic", "src_partition", "src_offset", *(tiebreak or [])]
             with_offsets = assign_offsets(copies, order, dst.end_offsets(), staging=staging)
         else:
-            with_offsets = offsets_from_source(copies, dst.end_offsets(), tiebreak=tiebreak, staging=staging)
-        dst.write_segment(with_offsets, seg, commits)
+            with_offsets, index = offsets_from_source(
+                copies, dst.end_offsets(), tiebreak=tiebreak, staging=staging, with_index=True
+            )
+        dst.write_segment(with_offsets, seg, commits, index=index)
 
 
 def produce_numbers(

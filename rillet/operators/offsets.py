@@ -157,12 +157,17 @@ def offsets_from_source(
     source_ranges: DataFrame | None = None,
     tiebreak: list[str] | None = None,
     staging: str | None = None,
-) -> DataFrame:
+    with_index: bool = False,
+):
     """Offsets for records copied from source ranges, ordered by source position.
 
     Every (target, source partition) range must be contiguous - true for whole-log,
     seek and partition reads and for fan-out copies. Checked on a small aggregate
     that reads key columns only; a gap falls back to ``assign_offsets``.
+
+    ``with_index``: also return the segment index rows the write will produce
+    (topic, partition, begin_offset, end_offset, n_records), known from the range
+    table without reading the written data; None on the two-pass fallback.
     """
     spark = df.sparkSession
     src = [src_topic, src_partition]
@@ -181,9 +186,10 @@ def offsets_from_source(
         ).first()
         n_ranges, gaps = int(check["n"]), int(check["gaps"] or 0)
         if gaps:
-            return assign_offsets(
+            out = assign_offsets(
                 df, [src_topic, src_partition, src_offset, *(tiebreak or [])], ends, staging=staging
             )
+            return (out, None) if with_index else out
         before = Window.partitionBy(*TP).orderBy(*src).rowsBetween(Window.unboundedPreceding, -1)
         base = end_offsets_or_empty(spark, ends)
         table = join_small(
@@ -195,16 +201,22 @@ def offsets_from_source(
             *TP,
             *src,
             "_lo",
+            "_n",
             (F.coalesce(F.col("_base"), F.lit(0)) + F.col("_before")).alias("_start"),
         )
         if n_ranges <= BROADCAST_ROWS:
             # one row per (target partition, source partition): metadata, bounded by partition
             # counts; fixed here so the record pass does not recompute it
             table = local_table(spark, table.collect(), table.schema)
-        out = join_small(df, table, [*TP, *src], rows=n_ranges)
+        out = join_small(df, table.drop("_n"), [*TP, *src], rows=n_ranges)
+        index = table.where(F.col("_n") > 0).groupBy(*TP).agg(
+            F.min("_start").alias("begin_offset"),
+            F.max(F.col("_start") + F.col("_n")).alias("end_offset"),
+            F.sum("_n").cast("long").alias("n_records"),
+        )
     finally:
         ranges.unpersist()
     out = out.withColumn(
         "offset", (F.col("_start") + F.col(src_offset) - F.col("_lo")).cast("long")
-    )
-    return out.drop("_lo", "_start")
+    ).drop("_lo", "_start")
+    return (out, index) if with_index else out

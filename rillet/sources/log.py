@@ -238,7 +238,11 @@ class TopicLog:
 
     # ------------------------------------------------------------------ write
     def write_segment(
-        self, records: DataFrame, seg: str | Column, commits: DataFrame | None = None
+        self,
+        records: DataFrame,
+        seg: str | Column,
+        commits: DataFrame | None = None,
+        index: DataFrame | None = None,
     ) -> None:
         """Write records (with offsets) as segment ``seg`` (a name, or a Column naming several).
 
@@ -246,6 +250,7 @@ class TopicLog:
         Both tables are written with dynamic partition overwrite, so a segment
         directory appears at job commit and a rewrite of the same segment replaces
         it. The index is the commit point: output and positions become visible together.
+        ``index`` gives the index rows when the caller already knows them (copies).
         """
         if commits is not None and not isinstance(seg, str):
             raise ValueError("positions are committed with a single named segment")
@@ -264,14 +269,17 @@ class TopicLog:
         )
         if commits is not None:
             self.write_commits(commits, seg)
-        # index from the new segment's offset column only (tiny), not by re-running the write
-        # plan; a write of several segments aggregates its plan, which never reads values
-        written = self._scan(None, seg) if isinstance(seg, str) else data
-        index = written.groupBy(*TP, "seg").agg(
-            F.min("offset").alias("begin_offset"),
-            (F.max("offset") + 1).alias("end_offset"),
-            F.count(F.lit(1)).alias("n_records"),
-        )
+        if index is not None and isinstance(seg, str):
+            index = index.select(*TP, "begin_offset", "end_offset", "n_records").withColumn("seg", F.lit(seg))
+        else:
+            # index from the new segment's offset column only (tiny), not by re-running the
+            # write plan; a write of several segments aggregates its plan (never reads values)
+            written = self._scan(None, seg) if isinstance(seg, str) else data
+            index = written.groupBy(*TP, "seg").agg(
+                F.min("offset").alias("begin_offset"),
+                (F.max("offset") + 1).alias("end_offset"),
+                F.count(F.lit(1)).alias("n_records"),
+            )
         (
             index.repartition(1, "seg")
             .write.mode("overwrite")

@@ -63,5 +63,6 @@ def process_from_stored_offset(
     )
     copies = readdress(processed, out_topic, keep_key=True)
     with staging_area(out.spark) as staging:
-        out.write_segment(offsets_from_source(copies, out.end_offsets(), staging=staging), seg, commits=positions)
+        written, index = offsets_from_source(copies, out.end_offsets(), staging=staging, with_index=True)
+        out.write_segment(written, seg, commits=positions, index=index)
     return seg

@@ -150,26 +150,29 @@ def deliver(
     if guarantee not in GUARANTEES:
         raise ValueError(f"guarantee must be one of {GUARANTEES}")
 
-    def with_offsets(staging: str) -> DataFrame:
+    def with_offsets(staging: str):
+        """(records with offsets, their index rows when known without a read-back)."""
         if order_by is not None:
-            return assign_offsets(copies, order_by, dst.end_offsets(), staging=staging)
-        return offsets_from_source(copies, dst.end_offsets(), tiebreak=tiebreak, staging=staging)
+            return assign_offsets(copies, order_by, dst.end_offsets(), staging=staging), None
+        return offsets_from_source(
+            copies, dst.end_offsets(), tiebreak=tiebreak, staging=staging, with_index=True
+        )
 
     if guarantee == "exactly_once":
         seg = f"{flow}-b{batch_id:012d}"
         if dst.is_committed(seg):
             return
         with staging_area(dst.spark) as staging:
-            out = with_offsets(staging)
+            out, index = with_offsets(staging)
             hook("before_write", batch_id)
-            dst.write_segment(out, seg, commits=positions)
+            dst.write_segment(out, seg, commits=positions, index=index)
         hook("after_write", batch_id)
     elif guarantee == "at_least_once":
         seg = new_segment_id(f"{flow}-b{batch_id:012d}")
         with staging_area(dst.spark) as staging:
-            out = with_offsets(staging)
+            out, index = with_offsets(staging)
             hook("before_write", batch_id)
-            dst.write_segment(out, seg)
+            dst.write_segment(out, seg, index=index)
         hook("after_write", batch_id)
         if positions is not None:
             dst.write_commits(positions, seg)
@@ -181,7 +184,8 @@ def deliver(
             dst.write_commits(positions, seg)
         hook("after_claim", batch_id)
         with staging_area(dst.spark) as staging:
-            dst.write_segment(with_offsets(staging), seg)
+            out, index = with_offsets(staging)
+            dst.write_segment(out, seg, index=index)
         hook("after_write", batch_id)
 
 

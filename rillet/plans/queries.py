@@ -10,6 +10,7 @@ their own.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -302,6 +303,11 @@ STREAM_SEGMENTS_PER_BATCH = 2
 # batches {1, 2}, {3, 4}, {5}, and the injected failure hits batch 1 (weeks 3 and 4).
 
 
+def _flow(label: str) -> str:
+    """A flow name of its own per query call (stable across its restarts, unique per call)."""
+    return f"{label}-{uuid.uuid4().hex[:8]}"
+
+
 def _failing_once(stage: str, batch: int = 1):
     """Fault injection: raise the first time ``stage`` is reached in micro-batch ``batch``."""
     fired: list[int] = []
@@ -319,10 +325,11 @@ def _stream_copy(spark, sf_dir, guarantee: str, fail_at: str | None):
     dst = _fresh(spark, f"stream-{guarantee}")
     ckpt = scratch_dir(spark, "stream-checkpoint")
     hook = _failing_once(fail_at) if fail_at else (lambda at, b: None)
+    flow = _flow(f"copy-{guarantee}")
     run_with_restart(
         lambda: replicate_stream(
             src, "topic1", "test1", dst, guarantee, checkpoint=ckpt,
-            max_segments=STREAM_SEGMENTS_PER_BATCH, hook=hook,
+            max_segments=STREAM_SEGMENTS_PER_BATCH, hook=hook, flow=flow,
         ),
         sleep=lambda s: None,
         delays=backoff_delays(0.0, 0.0),
@@ -354,7 +361,7 @@ def q_stream_fanout(spark, sf_dir):
     dst = _fresh(spark, "stream-fanout")
     q = envelope_stream(
         src, "topic1", lambda d: multi_envelope(d, ["topic2", "topic3"]), dst, "exactly_once",
-        flow="fanout", max_segments=STREAM_SEGMENTS_PER_BATCH,
+        flow=_flow("fanout"), max_segments=STREAM_SEGMENTS_PER_BATCH,
     )
     q.awaitTermination()
     return _records(dst.read(["topic2", "topic3"], with_source=True), "src_offset")
@@ -391,7 +398,7 @@ def q_csv_to_json_topic(spark, sf_dir):
     q = ingest_csv(
         log, folder, CSV_SCHEMA, "csv_events", CSV_COLUMNS, ["event_id"],
         key=F.col("user_id").cast("string"), partition=F.pmod(F.col("user_id"), F.lit(PARTITIONS)),
-        timestamp=F.col("ts"), trigger={"availableNow": True},
+        timestamp=F.col("ts"), trigger={"availableNow": True}, flow=_flow("csv-ingest"),
     )
     q.awaitTermination()
     return _records(log.read("csv_events"))
@@ -421,11 +428,16 @@ def q_chain_exactly_once(spark, sf_dir):
     """
     src = base_log(spark, sf_dir, "weekly")
     b, c = _fresh(spark, "tx-hop-b"), _fresh(spark, "tx-hop-c")
-    replicate_stream(src, "topic1", "hopB", b, "exactly_once", max_segments=STREAM_SEGMENTS_PER_BATCH).awaitTermination()
+    replicate_stream(
+        src, "topic1", "hopB", b, "exactly_once", max_segments=STREAM_SEGMENTS_PER_BATCH, flow=_flow("hop-b")
+    ).awaitTermination()
     ckpt = scratch_dir(spark, "tx-hop-c-checkpoint")
+    hop_c = _flow("hop-c")
     hook = _failing_once("after_write")
     run_with_restart(
-        lambda: replicate_stream(b, "hopB", "hopC", c, "exactly_once", checkpoint=ckpt, max_segments=1, hook=hook),
+        lambda: replicate_stream(
+            b, "hopB", "hopC", c, "exactly_once", checkpoint=ckpt, max_segments=1, hook=hook, flow=hop_c
+        ),
         sleep=lambda s: None,
         delays=backoff_delays(0.0, 0.0),
     )
@@ -463,7 +475,7 @@ def q_stream_grouped_commits(spark, sf_dir):
     dst = _fresh(spark, "stream-grouped")
     replicate_stream(
         src, "topic1", "test1", dst, "exactly_once", max_segments=1,
-        commit_grouping=("within", GROUP_N, GROUP_HOURS * 3600),
+        commit_grouping=("within", GROUP_N, GROUP_HOURS * 3600), flow=_flow("grouped"),
     ).awaitTermination()
     return dst.commit_log(DEFAULT_GROUP)
 

@@ -68,3 +68,35 @@ def glob_any(spark: SparkSession, pattern: str) -> bool:
     fs, p = _path(spark, pattern)
     found = fs.globStatus(p)
     return found is not None and len(found) > 0
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    fs, p = _path(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        reader = spark.sparkContext._jvm.java.io.BufferedReader(
+            spark.sparkContext._jvm.java.io.InputStreamReader(stream)
+        )
+        return reader.readLine()
+    finally:
+        stream.close()
+
+
+def files_under(spark: SparkSession, path: str) -> list[str]:
+    """Data files directly under a folder (hidden and marker files skipped)."""
+    fs, p = _path(spark, path)
+    if not fs.exists(p):
+        return []
+    out = []
+    for status in fs.listStatus(p):
+        name = status.getPath().getName()
+        if status.isFile() and not name.startswith(("_", ".")):
+            out.append(status.getPath().toString())
+    return out
+
+
+def set_mtime(spark: SparkSession, path: str, millis: int) -> None:
+    fs, p = _path(spark, path)
+    fs.setTimes(p, int(millis), -1)

@@ -280,13 +280,41 @@ class TopicLog:
                 (F.max("offset") + 1).alias("end_offset"),
                 F.count(F.lit(1)).alias("n_records"),
             )
-        (
-            index.repartition(1, "seg")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("seg")
-            .parquet(self.index_path)
-        )
+        index = index.cache()
+        try:
+            (
+                index.repartition(1, "seg")
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("seg")
+                .parquet(self.index_path)
+            )
+            names = [seg] if isinstance(seg, str) else sorted(r.seg for r in index.select("seg").distinct().collect())
+        finally:
+            index.unpersist()
+        self._order_commits(names)
+
+    def _order_commits(self, names: list[str]) -> None:
+        """Give the new index files strictly increasing modification times, in commit order.
+
+        Streams over the index take new files by modification time; stamping them from a
+        clock kept in ``segments/_clock`` (a marker readers skip) makes that order the commit
+        order even when two writes land in the same millisecond. Stores without settable
+        times keep their upload times.
+        """
+        import time
+
+        clock = f"{self.index_path}/_clock"
+        last = fs.read_text(self.spark, clock)
+        tick = max(int(time.time() * 1000), int(last) + 1 if last else 0)
+        for name in names:
+            for path in sorted(fs.files_under(self.spark, f"{self.index_path}/{self._dir('seg', name)}")):
+                try:
+                    fs.set_mtime(self.spark, path, tick)
+                except Exception:  # noqa: BLE001 - object stores cannot set times
+                    pass
+                tick += 1
+        fs.write_text(self.spark, clock, str(tick))
 
     def produce(
         self,

@@ -280,7 +280,9 @@ class TopicLog:
                 (F.max("offset") + 1).alias("end_offset"),
                 F.count(F.lit(1)).alias("n_records"),
             )
-        index = index.cache()
+        several = not isinstance(seg, str)
+        if several:
+            index = index.cache()  # its segment names are needed after the write
         try:
             (
                 index.repartition(1, "seg")
@@ -289,9 +291,10 @@ class TopicLog:
                 .partitionBy("seg")
                 .parquet(self.index_path)
             )
-            names = [seg] if isinstance(seg, str) else sorted(r.seg for r in index.select("seg").distinct().collect())
+            names = sorted(r.seg for r in index.select("seg").distinct().collect()) if several else [seg]
         finally:
-            index.unpersist()
+            if several:
+                index.unpersist()
         self._order_commits(names)
 
     def _order_commits(self, names: list[str]) -> None:

@@ -26,24 +26,24 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 @dataclass(frozen=True)
 class Rule:
-    """One rule: its bit in the ledger and the condition under which a document fails."""
+    """One rule: its bit in the ledger and the condition on a row's measurements under which it fails."""
 
     name: str
     bit: int
-    fails: Callable[[], Column]
+    fails: Callable[[Column], Column]
 
 
-def _over(part: str, percent: int, whole: str) -> Callable[[], Column]:
-    return lambda: F.lit(100) * F.col(part) > F.lit(percent) * F.col(whole)
+def _over(part: str, percent: int, whole: str) -> Callable[[Column], Column]:
+    return lambda m: F.lit(100) * m[part] > F.lit(percent) * m[whole]
 
 
 #: Bits are never reused: a new version of a rule takes a new bit.
 RULES = [
-    Rule("too_few_words", 0, lambda: F.col("n_words") < 10),
+    Rule("too_few_words", 0, lambda m: m["n_words"] < 10),
     Rule("repeated_windows", 1, _over("n_repeat_words", 20, "n_words")),
     Rule("symbol_share", 2, _over("n_symbols", 25, "word_chars")),
     Rule("repeated_lines", 3, _over("n_dup_lines", 50, "n_lines")),
-    Rule("long_words", 4, lambda: F.col("word_chars") > 100 * F.col("n_words")),
+    Rule("long_words", 4, lambda m: m["word_chars"] > 100 * m["n_words"]),
     Rule("strict_symbol_share", 5, _over("n_symbols", 10, "word_chars")),
     Rule("strict_repeated_lines", 6, _over("n_dup_lines", 20, "n_lines")),
 ]
@@ -118,38 +118,44 @@ def _repeat_words(words: Column) -> Column:
     return F.when(last < 1, F.lit(0).cast("long")).otherwise(_let(words, count))
 
 
-def ledger(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``id_col``, the measurements and ``failed_bits`` (bit r.bit is set where rule r fails)."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+def entry(text: Column) -> Column:
+    """One text's ledger entry: a struct of the measurements and ``failed_bits``, computed once."""
+    whole = F.coalesce(text, F.lit(""))
     has_word = lambda line: F.length(F.translate(line, SPACES, "")) > 0
-    lines = F.filter(F.split("_text", "\n", -1), has_word)
-    words = F.filter(F.split(F.translate("_text", SPACES, " " * len(SPACES)), " ", -1), lambda w: w != "")
-    measured = (
-        docs.select(F.col(id_col), whole.alias("_text"))
-        .select(
-            id_col,
-            F.length(F.translate("_text", SPACES, "")).cast("long").alias("word_chars"),
-            (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            _let(
-                lines,
-                lambda x: F.struct(
-                    F.size(x).cast("long").alias("n_lines"),
-                    (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-                ),
-            ).alias("_lines"),
-            _let(
-                words,
-                lambda w: F.struct(
-                    F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words")
-                ),
-            ).alias("_words"),
-        )
-        .select(id_col, "word_chars", "n_symbols", "_lines.*", "_words.*")
+    lines = F.filter(F.split(whole, "\n", -1), has_word)
+    words = F.filter(F.split(F.translate(whole, SPACES, " " * len(SPACES)), " ", -1), lambda w: w != "")
+    in_lines = _let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("distinct")))
+    in_words = _let(words, lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("repeated")))
+    measured = _let(
+        F.struct(in_words.alias("w"), in_lines.alias("l")),
+        lambda x: F.struct(
+            x["w"]["n"].cast("long").alias("n_words"),
+            F.length(F.translate(whole, SPACES, "")).cast("long").alias("word_chars"),
+            (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            (x["l"]["n"] - x["l"]["distinct"]).cast("long").alias("n_dup_lines"),
+            x["w"]["repeated"].alias("n_repeat_words"),
+            x["l"]["n"].cast("long").alias("n_lines"),
+        ),
     )
-    bits = F.lit(0).cast("long")
-    for rule in RULES:
-        bits = bits.bitwiseOR(F.when(rule.fails(), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
-    return measured.withColumn("failed_bits", bits)
+
+    def judged(m: Column) -> Column:
+        bits = F.lit(0).cast("long")
+        for rule in RULES:
+            bits = bits.bitwiseOR(F.when(rule.fails(m), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
+        return F.struct(*[m[c].alias(c) for c in [*MEASURES, "n_lines"]], bits.alias("failed_bits"))
+
+    return _let(measured, judged)
+
+
+def ledger(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``id_col``, the measurements and ``failed_bits`` (bit r.bit is set where rule r fails)."""
+    return docs.select(id_col, entry(F.col(text)).alias("_entry")).select(id_col, "_entry.*")
+
+
+def keep(docs: DataFrame, policy: str = DEFAULT_POLICY, text: str = "text") -> DataFrame:
+    """The rows, all columns, that the policy keeps; judged in the scan, without a join."""
+    failed = _let(entry(F.col(text)), lambda e: e["failed_bits"].bitwiseAND(F.lit(mask_of(policy)).cast("long")))
+    return docs.where(failed == 0)
 
 
 def apply_policy(entries: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:

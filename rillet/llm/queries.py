@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillet.llm import quality_rules
+from rillet.llm import (
+    html_extract,
+    language_id,
+    license_scan,
+    near_dedup,
+    packing,
+    piece_codec,
+    pii,
+    pitman_yor,
+    quality_rules,
+    topk_search,
+)
 from rillet.llm.oracles import ORACLES as ORACLES
 from rillet.session import configure
 
@@ -20,6 +31,51 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.digest(_table(spark, sf_dir, "pages"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digest(_table(spark, sf_dir, "documents"))
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(_table(spark, sf_dir, "documents"))
+
+
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.digest(_table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(_table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_topk_search": op2_topk_search,
+    "op3_html_extract": op3_html_extract,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_near_dedup": op5_near_dedup,
+    "op6_packing": op6_packing,
+    "op7_pitman_yor": op7_pitman_yor,
+    "op8_license_scan": op8_license_scan,
+    "op9_pii": op9_pii,
+    "op10_language_id": op10_language_id,
 }

@@ -30,6 +30,9 @@ NOT_SPACE = ~_byte_set((0x20, 0x20), (0x09, 0x0D))
 #: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z
 ALNUM = ~_byte_set((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 
+LETTER = _byte_set((0x61, 0x7A))
+PUNCTUATION = _byte_set((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SAME = np.arange(256, dtype=np.uint8)
@@ -78,9 +81,6 @@ class Words:
         parts = _BYTE[self.data[np.repeat(self.start, length) + at]] * power[at]
         return mix(np.add.reduceat(parts, np.cumsum(length) - length) + length.astype(_U))
 
-    def text(self, i: int) -> str:
-        return self.data[self.start[i] : self.end[i]].tobytes().decode()
-
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts and each text's offset in them (null: empty)."""
@@ -95,7 +95,8 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offset[0] : offset[-1]], offset - offset[0]
 
 
-def words_of(column: pa.Array, kind: np.ndarray = NOT_SPACE, lower: bool = True) -> Words:
+def words_of(column: pa.Array, kind: np.ndarray = NOT_SPACE, lower: bool = True, cut: list[tuple] | None = None) -> Words:
+    """``cut``: pairs of byte classes; a word also ends between a byte of the one and a byte of the other."""
     data, offset = bytes_of(column)
     n = len(offset) - 1
     if lower:
@@ -108,6 +109,10 @@ def words_of(column: pa.Array, kind: np.ndarray = NOT_SPACE, lower: bool = True)
     edges = offset[offset < len(data)]
     before[edges] = False
     after[edges[edges > 0] - 1] = False
+    for left, right in cut or ():
+        at = np.flatnonzero(left[data[:-1]] & right[data[1:]])
+        before[at + 1] = False
+        after[at] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     counts = np.diff(np.searchsorted(start, offset))
     return Words(n, data, offset, start, end, counts)
@@ -136,3 +141,51 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+
+
+class IdCache:
+    """Token ids of words, each distinct word encoded once while it is remembered.
+
+    ``learn`` maps a list of words (UTF-8 bytes) to their lists of ids. What is remembered is
+    for speed only; beyond ``limit`` words (about 150 bytes each) it starts anew.
+    """
+
+    def __init__(self, learn, limit: int = 1_000_000):
+        self.learn, self.limit = learn, limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.ids = np.empty(0, np.uint32)
+        self.first = np.empty(0, np.int64)
+        self.length = np.empty(0, np.int64)
+
+    def _add(self, hashes: list[int], words: list[bytes]) -> None:
+        ids = self.learn(words)
+        length = np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
+        n = len(self.first)
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(length) - length])
+        self.ids = np.concatenate([self.ids, flat])
+        self.length = np.concatenate([self.length, length])
+        self.known.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+
+    def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids in each text)."""
+        if not len(words.start):
+            return np.empty(0, np.uint32), np.zeros(words.n, np.int64)
+        hashes, example, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        if len(self.known) > self.limit:
+            self._forget()
+        listed = hashes.tolist()
+        new = [i for i, h in enumerate(listed) if h not in self.known]
+        if new:
+            texts = [words.data[words.start[i] : words.end[i]].tobytes() for i in example[new]]
+            self._add([listed[i] for i in new], texts)
+        index = np.fromiter((self.known[h] for h in listed), np.int64, len(listed))[which]
+        length = self.length[index]
+        ends = np.cumsum(length)
+        at = np.arange(ends[-1]) + np.repeat(self.first[index] - (ends - length), length)
+        per_text = np.add.reduceat(np.append(length, 0), words.first)
+        per_text[words.counts == 0] = 0
+        return self.ids[at], per_text

@@ -6,6 +6,8 @@ piece become bytes. A stream keeps scores for the last ``longest piece`` positio
 piece can start at those positions alone, so as soon as the best paths to all of them run
 through one boundary, everything before it is final and its ids are committed.
 
+Scores are whole numbers, so their sums in doubles are exact, wherever a sum starts.
+
 A boundary before a run of spaces is always such a point, since no piece has a space after
 another character. Distinct words are therefore encoded once per batch: short ones side by
 side, column by column, in numpy (the window of each is the word), long ones as a stream.
@@ -66,7 +68,7 @@ class Codec:
                 self.table[piece] = (i, model.get_score(i))
                 out.append(piece.replace(MARK, " ").encode())
         self.longest = max(map(len, self.table))
-        self.unknown = np.float32(min(s for _, s in self.table.values()) - UNKNOWN_PENALTY)
+        self.unknown = min(s for _, s in self.table.values()) - UNKNOWN_PENALTY
         # Bytes of every id, for decoding.
         self.size = np.array([len(x) for x in out], np.int64)
         self.first = np.cumsum(self.size) - self.size
@@ -76,7 +78,7 @@ class Codec:
         hashed.sort()
         self.hashes = np.array([h for h, _, _ in hashed], _U)
         self.ids = np.array([i for _, i, _ in hashed], np.int64)
-        self.scores = np.array([s for _, _, s in hashed], np.float32)
+        self.scores = np.array([s for _, _, s in hashed])
         self.cache = IdCache(self.encode_words)
 
     @staticmethod
@@ -91,7 +93,7 @@ class Codec:
         """Ids of a stream of normalised characters, as they become final."""
         longest, table = self.longest, self.table
         window, start = "", 0  # characters since the last commit, and their position
-        best, back = [np.float32(0)], [(0, ())]  # by position from ``start``: score; (start, ids) of the last piece
+        best, back = [0.0], [(0, ())]  # by position from ``start``: score; (start, ids) of the last piece
         for at, c in enumerate(chars, 1):
             window += c
             score, origin = None, None
@@ -99,7 +101,7 @@ class Codec:
                 piece = table.get(window[-length:])
                 if piece is None and length > 1:
                     continue
-                ids, own = ((piece[0],), np.float32(piece[1])) if piece else (self._bytes_of(c), self.unknown)
+                ids, own = ((piece[0],), piece[1]) if piece else (self._bytes_of(c), self.unknown)
                 total = best[at - length - start] + own
                 if score is None or total > score:
                     score, origin = total, (at - length, ids)
@@ -153,13 +155,13 @@ class Codec:
         codes = np.frombuffer("".join(t.ljust(width, "\0") for t in texts).encode("utf-32-le"), np.uint32).reshape(n, width)
         prefix = np.zeros((width + 1, n), _U)
         powers = np.concatenate([[_U(1)], np.multiply.accumulate(np.full(self.longest, _BASE))])
-        best = np.zeros((width + 1, n), np.float32)
+        best = np.zeros((width + 1, n))
         start = np.zeros((width + 1, n), np.int16)
         chosen = np.full((width + 1, n), -1, np.int64)
         for j in range(1, width + 1):
             m = int(np.searchsorted(-lengths, -j, side="right"))  # words that have a j-th character
             prefix[j, :m] = prefix[j - 1, :m] * _BASE + codes[:m, j - 1].astype(_U) + _U(1)
-            score, origin, piece = np.full(m, -np.inf, np.float32), np.zeros(m, np.int16), np.full(m, -1, np.int64)
+            score, origin, piece = np.full(m, -np.inf), np.zeros(m, np.int16), np.full(m, -1, np.int64)
             for length in range(min(self.longest, j), 0, -1):
                 h = prefix[j, :m] - prefix[j - length, :m] * powers[length] + _U(length)
                 at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)

@@ -9,7 +9,9 @@
    similarity s is missed with (1 - P(a chunk matches))^CHUNKS, 5e-7 at 0.85.
 3. A bucket is not expanded into pairs. Its members are linked to its smallest member; the
    ones too far from that one are taken up again, and in the end only members of different
-   components meet, where the largest component of a bucket never meets itself.
+   components meet, where the largest component of a bucket never meets itself. In a crowded
+   bucket (copies that are similar, but not enough) they meet only if they share one of their
+   rarest shingles, which every pair above the threshold does.
 4. Every link counts only after the full sets confirm it. Components follow from the links.
 """
 
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillet.llm.components import components
@@ -33,6 +35,8 @@ MAX_DISTANCE = 21
 #: Ids of documents to be fetched are broadcast up to this many rows (8 bytes each), else shuffled.
 BROADCAST_IDS = 1_000_000
 STAR_ROUNDS = 2
+#: Members of different components in buckets beyond this size are paired by their rarest shingles.
+CROWD = 16
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(5))
@@ -159,6 +163,44 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * common >= F.lit(percent) * (sizes - common)).select("a", "b")
 
 
+def _largest(members: DataFrame) -> DataFrame:
+    """(key, n, largest) of the keys with members (key, id, component) of several components."""
+    parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    keys = parts.groupBy("key").agg(
+        F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")
+    )
+    return keys.where("parts > 1").select("key", "n", "largest")
+
+
+def _across(members: DataFrame, possible: Column | None = None) -> DataFrame:
+    """Pairs of members of one key from different components; the largest component never meets itself.
+
+    ``possible``: what else must hold, on the columns of both (the one's with an underscore).
+    """
+    one = members.where("component <> largest").select("key", *[F.col(c).alias(f"_{c}") for c in members.columns if c != "key"])
+    # Both ends outside the largest component: each pair once.
+    meet = F.expr("component <> _component AND (component = largest OR _id < id)")
+    met = one.join(members, (one["key"] == members["key"]) & meet & (F.lit(True) if possible is None else possible))
+    return met.select(F.least("_id", "id").alias("a"), F.greatest("_id", "id").alias("b")).distinct()
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id, left, size): each set's rarest shingles, as many as any set similar enough must share one of.
+
+    With n shingles, at least ceil(n * percent / 100) are common to both sets, so one of the
+    others or the next (rarest first, one order for all) is shared. ``left`` counts the
+    shingles from that one on: the first shared one can't have fewer left, on either side,
+    than must be common.
+    """
+    rows = sets.select(F.col("doc_id").alias("id"), F.explode("shingles").alias("key"))
+    rare = rows.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
+    ordered = rows.join(rare, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("all"))
+    n = F.size("all")
+    length = n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1
+    first = ordered.select("id", n.alias("size"), F.posexplode(F.slice("all", F.lit(1), length)).alias("at", "t"))
+    return first.where("t.f > 1").select("t.key", "id", (F.col("size") - F.col("at")).alias("left"), "size")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document with an id.
 
@@ -201,17 +243,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     placed = buckets.select("key", "id").join(found, "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("component")
     )
-    parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("key").agg(F.max_by("component", "n").alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = staged(placed.join(largest.select("key", "largest"), "key"), "open")
-    one = open_.where("component <> largest").select("key", F.col("id").alias("a"), F.col("component").alias("c"))
-    # Both ends outside the largest component: each pair once.
-    across = (
-        one.join(open_, "key")
-        .where("component <> c AND (component = largest OR a < id)")
-        .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        .distinct()
-    )
+    largest = _largest(placed)
+    open_ = staged(placed.join(largest, "key"), "open")
+    few = _across(open_.where(F.col("n") <= CROWD))
+    crowd = staged(open_.where(F.col("n") > CROWD).select("id", "component").distinct(), "crowd")
+    sets = _sets(docs, crowd.select("id").distinct(), k)
+    prefixes = _prefixes(sets, percent).join(crowd, "id")
+    common = F.expr(f"(100 + {percent}) * least(left, _left) >= {percent} * (size + _size)")
+    shared = _across(prefixes.join(_largest(prefixes).drop("n"), "key"), common)
+    across = few.union(shared).distinct()
     known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = staged(_close(across.join(known, ["a", "b"], "left_anti"), classes, percent), "across")
     more = _confirmed(rest, _sets(docs, staged(ids(rest), "ids"), k), percent)

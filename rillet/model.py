@@ -131,7 +131,6 @@ PRODUCE_PARTITION = 0
 DEFAULT_TOPIC_PARTITIONS = 1
 COMMIT_BATCH = 20
 MERGED_COMMIT_BATCH = 100
-MAX_MERGED_PARTITIONS = 100
 GROUP_LIMIT = 20
 GROUP_WINDOW_SECONDS = 5
 PASSED_THROUGH_TEXT = "passed through"

@@ -46,13 +46,6 @@ def commit_batches(
     )
 
 
-def latest_commits(batches: DataFrame) -> DataFrame:
-    """The position a sequence of commits leaves behind (commits never go backwards)."""
-    return batches.groupBy("group_id", "topic", "partition").agg(
-        F.max("next_offset").alias("next_offset")
-    )
-
-
 def positions(
     consumed: DataFrame,
     group_id: str = DEFAULT_GROUP,
@@ -78,6 +71,11 @@ def positions(
     raise ValueError(f"unknown grouping {grouping!r}")
 
 
+def open_positions(rows: DataFrame, group_id: str = DEFAULT_GROUP) -> DataFrame:
+    """Positions of the records of open groups, for their commit at the end of a stream."""
+    return commit_positions(rows.select("topic", "partition", "offset"), group_id)
+
+
 OPEN_GROUP_SCHEMA = "topic string, partition int, offset long, timestamp timestamp"
 
 
@@ -97,11 +95,15 @@ def grouped_commits_carrying(
     """
     from rillet.operators.grouped_within import grouped_within
     from rillet.operators.offsets import join_small
+    from rillet.session import scratch_dir
 
     rows = consumed.select("topic", "partition", "offset", F.col("timestamp").cast("timestamp")).unionByName(
         carried.select("topic", "partition", "offset", "timestamp")
     )
-    groups = grouped_within(rows, n, seconds)
+    spark = rows.sparkSession
+    path = scratch_dir(spark, "groups")  # written once: closed and open groups both read it
+    grouped_within(rows, n, seconds).write.parquet(path)
+    groups = spark.read.parquet(path)
     last = groups.groupBy("topic", "partition").agg(F.max("first_offset").alias("_last"))
     tagged = join_small(groups, last, ["topic", "partition"])
     is_open = (F.col("first_offset") == F.col("_last")) & (F.col("n_records") < n)

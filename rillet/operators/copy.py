@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rillet.functions.records import business, readdress
 from rillet.functions.report import result_text
 from rillet.model import DEFAULT_GROUP, PRODUCE_KEY, PRODUCE_PARTITION
-from rillet.operators.batching import commit_positions, positions as commit_rows
+from rillet.operators.batching import positions as commit_rows
 from rillet.operators.offsets import assign_offsets, offsets_from_source, staging_area
 from rillet.operators.routing import explode_envelopes, multi_envelope, route
 from rillet.sources.generate import number_range
@@ -30,39 +30,43 @@ def _write_copies(
     tiebreak: list[str] | None = None,
     commits: DataFrame | None = None,
     subsets: bool = False,
+    topics: list[str] | None = None,
 ) -> None:
     """Assign offsets by source position (after the committed end) and write one segment.
 
-    ``subsets``: targets receive a filtered part of each source range (routing), so the
-    arithmetic path cannot apply and the two-pass assignment runs directly.
+    ``subsets``: targets receive a part of each source range, or some records twice
+    (routing, a hook), so the arithmetic path cannot apply and the two-pass assignment
+    runs directly. ``topics``: the target topics, so that only their end offsets are read.
     """
     with staging_area(dst.spark) as staging:
         index = None
         if subsets:
             order = ["src_topic", "src_partition", "src_offset", *(tiebreak or [])]
-            with_offsets = assign_offsets(copies, order, dst.end_offsets(), staging=staging)
+            with_offsets = assign_offsets(copies, order, dst.end_offsets(topics), staging=staging)
         else:
             with_offsets, index = offsets_from_source(
-                copies, dst.end_offsets(), tiebreak=tiebreak, staging=staging, with_index=True
+                copies, dst.end_offsets(topics), tiebreak=tiebreak, staging=staging, with_index=True
             )
         dst.write_segment(with_offsets, seg, commits, index=index)
 
 
 def produce_numbers(
     log: TopicLog,
-    n: int,
+    numbers: int | DataFrame,
     topic: str,
     partition: int = PRODUCE_PARTITION,
     key: str = PRODUCE_KEY,
     seg: str | None = None,
 ) -> DataFrame:
-    """Produce 1..n as text to ``topic`` (fixed partition and key) and report each write.
+    """Produce numbers as text to ``topic`` (fixed partition and key) and report each write.
 
-    Offsets follow the numbers: offset = end offset + number - 1, with no sort.
+    ``numbers``: n for 1..n, whose offsets follow with no sort, or a table with a column
+    ``number`` (distinct), produced in its order.
     Returns (topic, partition, offset, value, pass_through, report).
     """
     seg = seg or new_segment_id("produce")
-    numbers = number_range(log.spark, n)
+    given = isinstance(numbers, DataFrame)
+    numbers = numbers if given else number_range(log.spark, numbers)
     produced = numbers.select(
         F.lit(topic).alias("topic"),
         F.lit(partition).cast("int").alias("partition"),
@@ -73,7 +77,7 @@ def produce_numbers(
         F.lit(0).cast("int").alias("src_partition"),
         F.col("number").alias("src_offset"),
     )
-    _write_copies(log, produced, seg)
+    _write_copies(log, produced, seg, subsets=given, topics=[topic])
     written = log.read(segments=[seg])
     return written.select(
         "topic",
@@ -97,9 +101,15 @@ def replicate(
     from_offset: int | None = None,
     partitions: list[int] | None = None,
     commit_grouping: tuple | None = None,
+    to_positions: DataFrame | None = None,
+    resume: bool = True,
 ) -> DataFrame:
     """T5 / T6 (batch form): copy committed records of ``topics`` to ``dst_topic``.
 
+    The group resumes at its committed positions (``resume=False``: from the start), and
+    stops before ``to_positions`` where given. Positions are those of the records read,
+    whatever ``fn`` makes of them.
+
     Keys are dropped unless ``keep_key`` (the reference's flows differ here). The
     copy keeps the partition number; within a partition the order is (source
     topic, source partition, source offset). Positions are committed for
@@ -107,9 +117,14 @@ def replicate(
     """
     dst = dst or src
     seg = seg or new_segment_id("copy")
-    consumed = business(src.read(topics, partitions=partitions, from_offset=from_offset), fn)
+    start = dst.committed_positions(group_id) if resume and from_offset is None else None
+    consumed = src.read(
+        topics, partitions=partitions, from_offset=from_offset, from_positions=start, to_positions=to_positions
+    )
     positions = commit_rows(consumed, group_id, commit_grouping)
-    _write_copies(dst, readdress(consumed, dst_topic, keep_key), seg, commits=positions)
+    copies = readdress(business(consumed, fn), dst_topic, keep_key)
+    order = ["key", "value"] if fn else None
+    _write_copies(dst, copies, seg, order, positions, subsets=fn is not None, topics=[dst_topic])
     return dst.read(segments=[seg], with_source=True)
 
 
@@ -121,14 +136,15 @@ def fan_out(
     keep_key: bool = False,
     group_id: str = DEFAULT_GROUP,
     seg: str | None = None,
+    commit_grouping: tuple | None = None,
 ) -> DataFrame:
-    """every record of ``topic`` to each of ``topics``; one commit per consumed record."""
+    """every record of ``topic`` to each of ``topics``; one position per envelope, in batches if asked."""
     dst = dst or src
     seg = seg or new_segment_id("fanout")
     consumed = src.read(topic)
     envelopes = multi_envelope(consumed, list(topics), keep_key, group_id)
-    positions = commit_positions(envelopes.select("pass_through.*"))
-    _write_copies(dst, explode_envelopes(envelopes), seg, tiebreak=["part"], commits=positions)
+    positions = commit_rows(envelopes.select("pass_through.*"), group_id, commit_grouping)
+    _write_copies(dst, explode_envelopes(envelopes), seg, tiebreak=["part"], commits=positions, topics=list(topics))
     return dst.read(segments=[seg], with_source=True)
 
 
@@ -142,6 +158,7 @@ def route_conditional(
     dst: TopicLog | None = None,
     group_id: str = DEFAULT_GROUP,
     seg: str | None = None,
+    commit_grouping: tuple | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """route each record by predicates; commits cover ignored records too.
 
@@ -151,6 +168,8 @@ def route_conditional(
     seg = seg or new_segment_id("route")
     consumed = src.read(topic)
     envelopes = route(consumed, duplicate, ignore, duplicate_topics, single_topic, False, group_id)
-    positions = commit_positions(envelopes.select("pass_through.*"))
-    _write_copies(dst, explode_envelopes(envelopes), seg, tiebreak=["part"], commits=positions, subsets=True)
+    positions = commit_rows(envelopes.select("pass_through.*"), group_id, commit_grouping)
+    _write_copies(
+        dst, explode_envelopes(envelopes), seg, ["part"], positions, True, sorted({*duplicate_topics, single_topic})
+    )
     return dst.read(segments=[seg], with_source=True), envelopes

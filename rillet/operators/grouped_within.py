@@ -16,14 +16,12 @@ where the group open at its start began - one of ``n + 1`` possibilities - so:
 3. every chunk, in parallel, labels its groups from that entry and emits group
    fragments, which a hash aggregate merges across chunk borders.
 
-Chunk size adapts so a partition never has more than ``MAX_CHUNKS`` chunks.
-When every partition fits one chunk, steps 1 and 2 are skipped.
+A partition's chunk entries (one number for each possible entry and chunk) are walked in one
+task; ``chunk_size`` bounds how many there are.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,9 +29,10 @@ from pyspark.sql import functions as F
 
 from rillet.model import GROUP_LIMIT, GROUP_WINDOW_SECONDS, TP
 from rillet.operators.offsets import join_small, offsets_from_source
+from rillet.session import scratch_dir
 
-MIN_CHUNK = 100_000
-MAX_CHUNKS = 50_000
+#: Records of a chunk.
+CHUNK = 100_000
 
 _KEYS = ["topic", "partition", "chunk"]
 
@@ -78,6 +77,8 @@ def _exits(n: int, d: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, h, ts = _prepare(pdf)
         end = len(ts)
+        if h == end:  # past the partition's end: nothing of its own
+            return pd.DataFrame(columns=["topic", "partition", "chunk", "exits"], dtype=object)
         nxt = _next_starts(ts, n, d)
         last = _last_start(nxt, end)
         # entry j: the open group began j records before this chunk (j = 0: it starts here)
@@ -153,48 +154,32 @@ def grouped_within(
         "offset",
         F.unix_micros(F.col("timestamp").cast("timestamp")).alias("_ts"),
     )
-    largest = base.groupBy(*TP).count().agg(F.max("count")).first()[0] or 0
-    if chunk_size is None:
-        chunk_size = max(MIN_CHUNK, math.ceil(largest / MAX_CHUNKS), n + 1)
-    c = max(int(chunk_size), n + 1)  # the halo (n records) must come from one chunk
+    c = max(int(chunk_size or CHUNK), n + 1)  # the records before a chunk must come from one chunk
     out_schema = "topic string, partition int, first_offset long, n_records long, last_offset long"
 
-    if largest <= c:
-        # every partition fits one chunk: no borders to resolve, one pass in offset order
-        single = base.select(
-            *TP,
-            "offset",
-            "_ts",
-            F.col("offset").alias("_pos"),
-            F.lit(0).cast("long").alias("chunk"),
-            F.lit(False).alias("_halo"),
-            F.lit(0).cast("long").alias("entry"),
-        )
-        frags = single.groupBy(*_KEYS).applyInPandas(_fragments(n, d), out_schema)
-    else:
-        # dense position per partition, in offset order (arithmetic when offsets are contiguous)
-        src = base.withColumns(
-            {"src_topic": F.col("topic"), "src_partition": F.col("partition"), "src_offset": F.col("offset")}
-        ).withColumnRenamed("offset", "_orig")
-        dense = offsets_from_source(src).select(
-            *TP, F.col("_orig").alias("offset"), "_ts", F.col("offset").alias("_pos")
-        )
-        own = dense.withColumn("chunk", F.floor(F.col("_pos") / c)).withColumn("_halo", F.lit(False))
-        halo = (
-            dense.where(F.pmod(F.col("_pos"), F.lit(c)) >= c - n)
-            .withColumn("chunk", F.floor(F.col("_pos") / c) + 1)
-            .withColumn("_halo", F.lit(True))
-        )
-        rows = own.unionByName(halo)
-        exits = rows.groupBy(*_KEYS).applyInPandas(
-            _exits(n, d), "topic string, partition int, chunk long, exits array<long>"
-        )
-        entries = exits.groupBy(*TP).applyInPandas(
-            _resolve, "topic string, partition int, chunk long, entry long"
-        )
-        # halo-only chunks past a partition's end have no entry and drop out here
-        labelled = join_small(rows, entries, _KEYS)
-        frags = labelled.groupBy(*_KEYS).applyInPandas(_fragments(n, d), out_schema)
+    # dense position per partition, in offset order (arithmetic when offsets are contiguous)
+    src = base.withColumns(
+        {"src_topic": F.col("topic"), "src_partition": F.col("partition"), "src_offset": F.col("offset")}
+    ).withColumnRenamed("offset", "_orig")
+    dense = offsets_from_source(src).select(
+        *TP, F.col("_orig").alias("offset"), "_ts", F.col("offset").alias("_pos")
+    )
+    # each record in its own chunk, the last n of a chunk also in the next one
+    own = F.floor(F.col("_pos") / c)
+    last = F.pmod(F.col("_pos"), F.lit(c)) >= c - n
+    chunks = F.when(last, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = dense.select("*", F.explode(chunks).alias("chunk")).withColumn("_halo", F.col("chunk") > own)
+    exits = rows.groupBy(*_KEYS).applyInPandas(
+        _exits(n, d), "topic string, partition int, chunk long, exits array<long>"
+    )
+    # written once: the walk over the chunks runs a single time, and its size is known from here on
+    spark = records.sparkSession
+    path = scratch_dir(spark, "chunk-entries")
+    exits.groupBy(*TP).applyInPandas(_resolve, "topic string, partition int, chunk long, entry long").write.parquet(path)
+    entries = spark.read.parquet(path)
+    # halo-only chunks past a partition's end have no entry and drop out here
+    labelled = join_small(rows, entries, _KEYS)
+    frags = labelled.groupBy(*_KEYS).applyInPandas(_fragments(n, d), out_schema)
     return frags.groupBy(*TP, "first_offset").agg(
         (F.max("last_offset") + 1).alias("next_offset"),
         F.sum("n_records").cast("long").alias("n_records"),

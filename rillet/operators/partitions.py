@@ -15,7 +15,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from rillet.model import MAX_MERGED_PARTITIONS
 from rillet.operators.offsets import slice_count
 
 
@@ -40,10 +39,3 @@ def map_in_offset_order(
             yield fn(pdf)
 
     return in_offset_order(df, slices).mapInPandas(run, schema)
-
-
-def merge_partitions(df: DataFrame, max_partitions: int = MAX_MERGED_PARTITIONS) -> DataFrame:
-    """M1: merge sub-streams with at most ``max_partitions`` running at once (no shuffle)."""
-    if df.isStreaming:
-        return df
-    return df.coalesce(max_partitions) if df.rdd.getNumPartitions() > max_partitions else df

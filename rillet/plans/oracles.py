@@ -68,10 +68,12 @@ g AS (
 ORACLES: dict[str, str] = {
     "topic_from_events": f"""WITH {T1}
 SELECT topic, partition, "offset", key, value FROM t1""",
-    "produce_report": """SELECT 'topicoejemplo' AS topic, CAST(0 AS INTEGER) AS partition,
-       CAST(i - 1 AS BIGINT) AS "offset", CAST(i AS VARCHAR) AS value, CAST(i AS INTEGER) AS pass_through,
-       'topicoejemplo/0 ' || CAST(i - 1 AS VARCHAR) || ': ' || CAST(i AS VARCHAR) AS report
-FROM generate_series(1, (SELECT count(*) FROM events)) AS g(i)""",
+    "produce_report": """WITH n AS (
+  SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS "offset" FROM events)
+SELECT 'numbers' AS topic, CAST(0 AS INTEGER) AS partition, "offset", CAST(event_id AS VARCHAR) AS value,
+       CAST(event_id AS INTEGER) AS pass_through,
+       'numbers/0 ' || CAST("offset" AS VARCHAR) || ': ' || CAST(event_id AS VARCHAR) AS report
+FROM n""",
     "plain_sink_events": """SELECT 'topic1' AS topic, CAST(0 AS INTEGER) AS partition,
        CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS "offset",
        CAST(NULL AS VARCHAR) AS key, props AS value
@@ -82,7 +84,7 @@ SELECT 'test1' AS topic, partition, "offset", CAST(NULL AS VARCHAR) AS key, valu
 SELECT 'targetTopic' AS topic, bt.partition,
        CAST(row_number() OVER (PARTITION BY bt.partition ORDER BY bt.topic, bt."offset") - 1 AS BIGINT) AS "offset",
        bt.key, bt.value, bt.topic AS src_topic, bt."offset" AS src_offset
-FROM bt WHERE bt.topic IN ('click', 'view')""",
+FROM bt""",
     "seek_offset": f"""WITH {T1}
 SELECT topic, partition, "offset", key, value FROM t1 WHERE partition = 0 AND "offset" >= 1000""",
     "assign_partitions": f"""WITH {T1}
@@ -143,7 +145,7 @@ FROM t1 GROUP BY topic, partition""",
 SELECT 'dialogue' AS topic, bc.partition,
        CAST(row_number() OVER (PARTITION BY bc.partition ORDER BY bc.topic, bc."offset") - 1 AS BIGINT) AS "offset",
        bc.key, bc.value, bc.topic AS src_topic, bc."offset" AS src_offset
-FROM bc WHERE bc.topic IN ('user', 'assistant')""",
+FROM bc""",
     "chain_hops": f"""WITH {T1}
 SELECT 'hopC' AS topic, partition, "offset", CAST(NULL AS VARCHAR) AS key, value,
        'hopB' AS src_topic, "offset" AS src_offset FROM t1""",
@@ -169,7 +171,7 @@ WHERE t1."offset" >= greatest(f.k - 1, 0)""",
     "csv_to_json_topic": """SELECT 'csv_events' AS topic, CAST(user_id % 4 AS INTEGER) AS partition,
        CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS BIGINT) AS "offset",
        CAST(user_id AS VARCHAR) AS key,
-       to_json(struct_pack(event_id := event_id, user_id := user_id, event_type := event_type,
+       to_json(struct_pack(event_id := event_id, ts := strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), user_id := user_id, event_type := event_type,
                            value := value, props := props)) AS value
 FROM events""",
     "replicate_batched_commits": f"""WITH {T1}
@@ -186,11 +188,27 @@ SELECT topic, partition, "offset", key || '=' || value AS result FROM t1""",
     "per_record_commits": f"""WITH {T1}
 SELECT 'group1' AS group_id, topic, partition, CAST("offset" + 1 AS BIGINT) AS next_offset FROM t1""",
     "stream_grouped_commits": f"""WITH RECURSIVE {T1},
-{GROUPED},
-gg AS (SELECT partition, first_offset, next_offset, next_offset - first_offset AS n_records,
-              max(first_offset) OVER (PARTITION BY partition) AS last_first FROM g)
-SELECT 'group1' AS group_id, 'topic1' AS topic, partition, CAST(next_offset AS BIGINT) AS next_offset
-FROM gg WHERE NOT (first_offset = last_first AND n_records < 20)""",
+{GROUPED}
+SELECT 'group1' AS group_id, 'topic1' AS topic, partition, CAST(next_offset AS BIGINT) AS next_offset FROM g""",
+    "stream_batched_commits": f"""WITH {T1}
+SELECT 'group1' AS group_id, topic, partition, CAST(max("offset") + 1 AS BIGINT) AS next_offset
+FROM t1 GROUP BY topic, partition, "offset" // 20""",
+    "stream_route": f"""WITH {ROUTED}
+SELECT topic, partition, "offset", key, value, src_offset FROM numbered""",
+    "stream_two_sources": f"""WITH {BY_TYPE}
+SELECT 'targetTopic' AS topic, partition, key, value, topic AS src_topic, "offset" AS src_offset
+FROM bt WHERE topic IN ('click', 'view')""",
+    "replicate_resume": f"""WITH {T1}
+SELECT 'test1' AS topic, partition, "offset", CAST(NULL AS VARCHAR) AS key, value, "offset" AS src_offset FROM t1""",
+    "replicate_hook": f"""WITH {T1},
+h AS (
+  SELECT partition, "offset" AS src_offset, value,
+         unnest(range(0, CASE WHEN "offset" % 10 = 5 THEN 0 WHEN "offset" % 7 = 3 THEN 2 ELSE 1 END)) AS c
+  FROM t1)
+SELECT 'test1' AS topic, partition,
+       CAST(row_number() OVER (PARTITION BY partition ORDER BY src_offset, c) - 1 AS BIGINT) AS "offset",
+       CAST(NULL AS VARCHAR) AS key, value, src_offset
+FROM h""",
     "seek_stored_positions": f"""WITH {T1},
 stored AS (
   SELECT partition, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-15 00:00:00') AS k FROM t1 GROUP BY partition)
@@ -198,22 +216,8 @@ SELECT t1.topic, t1.partition, t1."offset", t1.key, t1.value
 FROM t1 JOIN stored s ON s.partition = t1.partition WHERE t1."offset" >= s.k""",
     "assign_all_partitions": f"""WITH {T1}
 SELECT topic, partition, "offset", key, value FROM t1""",
-    "stream_at_most_once": f"""WITH {T1},
-w AS (SELECT *, weekofyear(ts) AS wk FROM t1),
-lost AS (SELECT partition, count(*) FILTER (WHERE wk IN (3, 4)) AS n34 FROM w GROUP BY partition)
-SELECT 'test1' AS topic, w.partition,
-       CAST(CASE WHEN w.wk = 5 THEN w."offset" - l.n34 ELSE w."offset" END AS BIGINT) AS "offset",
-       CAST(NULL AS VARCHAR) AS key, w.value, w."offset" AS src_offset
-FROM w JOIN lost l ON l.partition = w.partition WHERE w.wk NOT IN (3, 4)""",
-    "stream_at_least_once": f"""WITH {T1},
-w AS (SELECT *, weekofyear(ts) AS wk FROM t1),
-dup AS (SELECT partition, count(*) FILTER (WHERE wk IN (3, 4)) AS n34 FROM w GROUP BY partition)
-SELECT 'test1' AS topic, w.partition,
-       CAST(CASE WHEN w.wk = 5 THEN w."offset" + d.n34 ELSE w."offset" END AS BIGINT) AS "offset",
-       CAST(NULL AS VARCHAR) AS key, w.value, w."offset" AS src_offset
-FROM w JOIN dup d ON d.partition = w.partition
-UNION ALL
-SELECT 'test1' AS topic, w.partition, CAST(w."offset" + d.n34 AS BIGINT) AS "offset",
-       CAST(NULL AS VARCHAR) AS key, w.value, w."offset" AS src_offset
-FROM w JOIN dup d ON d.partition = w.partition WHERE w.wk IN (3, 4)""",
+    "stream_at_most_once": f"""WITH {T1}
+SELECT 'test1' AS topic, partition, "offset", CAST(NULL AS VARCHAR) AS key, value, "offset" AS src_offset FROM t1""",
+    "stream_at_least_once": f"""WITH {T1}
+SELECT 'test1' AS topic, partition, "offset", CAST(NULL AS VARCHAR) AS key, value, "offset" AS src_offset FROM t1""",
 }

@@ -23,15 +23,14 @@ from rillet.operators.batching import commit_batches, commit_positions
 from rillet.operators.copy import fan_out, produce_numbers, replicate, route_conditional
 from rillet.operators.grouped_within import grouped_within
 from rillet.operators.observe import consumer_lag, consumer_metrics, pending_gauge, producer_metrics
-from rillet.operators.partitions import map_in_offset_order
-from rillet.operators.routing import multi_envelope
+from rillet.operators.routing import multi_envelope, route
 from rillet.session import configure, scratch_dir
-from rillet.sources.csv_ingest import ingest_csv
+from rillet.sources.csv_ingest import TIMESTAMP, ingest_csv
 from rillet.sources.generate import events_to_produced, table_to_produced
 from rillet.sources import fs
 from rillet.sources.log import TopicLog
-from rillet.streaming.external import process_from_stored_offset
-from rillet.streaming.flows import backoff_delays, envelope_stream, replicate_stream, run_with_restart
+from rillet.streaming.external import process_from_stored_offset, stop_positions
+from rillet.streaming.flows import await_end, envelope_stream, replicate_stream
 
 RESULT_PARTS = "array<struct<topic:string,partition:int,offset:bigint,value:string>>"
 
@@ -40,13 +39,14 @@ PARTITIONS = 4
 SEEK_PARTITION = 0
 SEEK_FROM = 1000
 ASSIGNED = [1, 2]
-KEEP_KEY_TOPICS = ["click", "view"]
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+DUPLICATE_TOPICS = ("topic2", "topic3")
 DUPLICATE_MIN_K = 80  # payload k >= 80 -> both topics
 IGNORE_MAX_K = 10  # payload k < 10 -> nothing produced
 LAG_CUTOFF = "2024-01-15 00:00:00"
 GROUP_N = 20
 GROUP_HOURS = 5
-DIALOGUE_ROLES = ["user", "assistant"]
+GROUP_CHUNK = 500  # several chunks for each partition at every size
 
 _LOGS: dict[tuple, TopicLog] = {}
 
@@ -59,10 +59,6 @@ def _build(spark: SparkSession, sf_dir: str, layout: str) -> TopicLog:
     log = TopicLog(spark, scratch_dir(spark, f"log-{layout}"))
     if layout == "topic1":
         log.produce(events_to_produced(_table(spark, sf_dir, "events")), ["ts", "event_id"])
-    elif layout == "weekly":
-        # the same topic1, committed as one segment per week of event time: a stream source
-        week = F.concat(F.lit("week-"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0"))
-        log.produce(events_to_produced(_table(spark, sf_dir, "events")), ["ts", "event_id"], seg=week)
     elif layout == "by_type":
         ev = _table(spark, sf_dir, "events")
         log.produce(events_to_produced(ev, F.col("event_type"), PARTITIONS), ["ts", "event_id"])
@@ -110,9 +106,9 @@ def q_topic_from_events(spark, sf_dir):
 
 
 def q_produce_report(spark, sf_dir):
-    """Produce 1..count(events) to a topic and report each write."""
-    n = _table(spark, sf_dir, "events").count()
-    return produce_numbers(_fresh(spark, "produce"), n, "topicoejemplo")
+    """Produce the events' numbers to a topic and report each write."""
+    numbers = _table(spark, sf_dir, "events").select(F.col("event_id").alias("number"))
+    return produce_numbers(_fresh(spark, "produce"), numbers, "numbers")
 
 
 def q_plain_sink_events(spark, sf_dir):
@@ -129,9 +125,9 @@ def q_replicate_drop_key(spark, sf_dir):
 
 
 def q_replicate_keep_key(spark, sf_dir):
-    """Two topics -> targetTopic, keys kept."""
+    """All event topics -> targetTopic, keys kept."""
     src = base_log(spark, sf_dir, "by_type")
-    out = replicate(src, KEEP_KEY_TOPICS, "targetTopic", dst=_fresh(spark, "copy"), keep_key=True)
+    out = replicate(src, EVENT_TYPES, "targetTopic", dst=_fresh(spark, "copy"), keep_key=True)
     return _records(out, "src_topic", "src_offset")
 
 
@@ -151,6 +147,11 @@ def q_assign_partitions(spark, sf_dir):
     return _records(out)
 
 
+def _cutoff(log: TopicLog) -> DataFrame:
+    """Where a consumer of topic1 stops that takes the records before the cutoff."""
+    return stop_positions(log.read("topic1"), F.col("timestamp") < F.lit(LAG_CUTOFF))
+
+
 def q_seek_stored_positions(spark, sf_dir):
     """S3 over every partition: each resumes from the position its group stored.
 
@@ -159,7 +160,7 @@ def q_seek_stored_positions(spark, sf_dir):
     """
     log = base_log(spark, sf_dir)
     dst = _fresh(spark, "positions")
-    replicate(log, "topic1", "test1", dst=dst, fn=lambda d: d.where(F.col("timestamp") < F.lit(LAG_CUTOFF)))
+    replicate(log, "topic1", "test1", dst=dst, to_positions=_cutoff(log))
     stored = dst.committed_positions(DEFAULT_GROUP)
     return _records(log.read("topic1", from_positions=stored))
 
@@ -212,10 +213,13 @@ def q_route_commits(spark, sf_dir):
 def q_multi_result_report(spark, sf_dir):
     """One result text per consumed record: parts joined by ', ' or 'passed through'."""
     written, envelopes = _route(spark, sf_dir)
-    parts = written.groupBy("src_partition", "src_offset").agg(
+    # parts in the order of the topics they went to
+    place = F.array_position(F.array(*[F.lit(t) for t in DUPLICATE_TOPICS]), F.col("topic"))
+    parts = written.groupBy("src_topic", "src_partition", "src_offset").agg(
         F.sort_array(
             F.collect_list(
                 F.struct(
+                    place.alias("place"),
                     F.col("topic"),
                     F.col("partition"),
                     F.col("offset"),
@@ -224,7 +228,10 @@ def q_multi_result_report(spark, sf_dir):
             )
         ).alias("parts")
     )
-    produced = parts.select("src_partition", "src_offset", envelope_result_text("parts").alias("report"))
+    listed = F.transform("parts", lambda p: F.struct(*[p[c].alias(c) for c in ("topic", "partition", "offset", "value")]))
+    produced = parts.select("src_partition", "src_offset", listed.alias("parts")).select(
+        "src_partition", "src_offset", envelope_result_text("parts").alias("report")
+    )
     passed = envelopes.where(F.size("records") == 0).select(
         F.col("pass_through.partition").alias("src_partition"),
         F.col("pass_through.offset").alias("src_offset"),
@@ -248,13 +255,13 @@ def q_commit_batches_100(spark, sf_dir):
 def q_grouped_within(spark, sf_dir):
     """Groups closed at 20 records or 5 hours of event time, per partition."""
     recs = base_log(spark, sf_dir).read("topic1")
-    return grouped_within(recs, GROUP_N, GROUP_HOURS * 3600)
+    return grouped_within(recs, GROUP_N, GROUP_HOURS * 3600, chunk_size=GROUP_CHUNK)
 
 
 def _lag(spark, sf_dir):
     log = base_log(spark, sf_dir)
     dst = _fresh(spark, "lag")
-    replicate(log, "topic1", "test1", dst=dst, fn=lambda d: d.where(F.col("timestamp") < F.lit(LAG_CUTOFF)))
+    replicate(log, "topic1", "test1", dst=dst, to_positions=_cutoff(log))
     return consumer_lag(log.catalog(["topic1"]), dst.committed_positions(DEFAULT_GROUP), DEFAULT_GROUP)
 
 
@@ -279,9 +286,10 @@ def q_consumer_metrics(spark, sf_dir):
 
 
 def q_conversation_copy(spark, sf_dir):
-    """Long multilingual payloads: role topics -> one topic, byte-identical, keys kept."""
+    """Long multilingual payloads: all role topics -> one topic, byte-identical, keys kept."""
     src = base_log(spark, sf_dir, "by_role")
-    out = replicate(src, DIALOGUE_ROLES, "dialogue", dst=_fresh(spark, "dialogue"), keep_key=True)
+    roles = sorted(r.topic for r in src.catalog().select("topic").distinct().collect())
+    out = replicate(src, roles, "dialogue", dst=_fresh(spark, "dialogue"), keep_key=True)
     return _records(out, "src_topic", "src_offset")
 
 
@@ -296,74 +304,99 @@ def q_chain_hops(spark, sf_dir):
 
 
 # ------------------------------------------------------------- streaming
-STREAM_SEGMENTS_PER_BATCH = 2
+def _flow(label: str) -> str:
+    """A flow name of its own per query call (stable across its runs, unique per call)."""
+    return f"{label}-{uuid.uuid4().hex[:8]}"
 
 
-# The weekly source has five segments (ISO weeks 1-5 of the events); two per micro-batch make
-# batches {1, 2}, {3, 4}, {5}, and the injected failure hits batch 1 (weeks 3 and 4).
+def _arriving(spark, sf_dir):
+    """topic1 as it grows: yields the log after the records before the cutoff, and after the rest."""
+    events = _table(spark, sf_dir, "events")
+    log = _fresh(spark, "arriving")
+    for part in (F.col("ts") < F.lit(LAG_CUTOFF), F.col("ts") >= F.lit(LAG_CUTOFF)):
+        log.produce(events_to_produced(events.where(part)), ["ts", "event_id"])
+        yield log
 
 
-def _flow(label: str) -> str:
-    """A flow name of its own per query call (stable across its restarts, unique per call)."""
-    return f"{label}-{uuid.uuid4().hex[:8]}"
+def _stream_copy(spark, sf_dir, guarantee: str):
+    """One flow, run twice: over what is there, then over what has come since."""
+    dst, flow = _fresh(spark, f"stream-{guarantee}"), _flow(f"copy-{guarantee}")
+    for src in _arriving(spark, sf_dir):
+        await_end(replicate_stream(src, "topic1", "test1", dst, guarantee, flow=flow))
+    return _records(dst.read("test1", with_source=True), "src_offset")
+
 
+def q_stream_exactly_once(spark, sf_dir):
+    """Exactly-once copy, resumed after new records arrive."""
+    return _stream_copy(spark, sf_dir, "exactly_once")
 
-def _failing_once(stage: str, batch: int = 1):
-    """Fault injection: raise the first time ``stage`` is reached in micro-batch ``batch``."""
-    fired: list[int] = []
 
-    def hook(at: str, batch_id: int) -> None:
-        if at == stage and batch_id == batch and not fired:
-            fired.append(batch_id)
-            raise RuntimeError(f"injected failure at {stage} of batch {batch_id}")
+def q_stream_at_least_once(spark, sf_dir):
+    """At-least-once copy (output, then positions), resumed after new records arrive."""
+    return _stream_copy(spark, sf_dir, "at_least_once")
 
-    return hook
 
+def q_stream_at_most_once(spark, sf_dir):
+    """At-most-once copy (claim and positions, then output), resumed after new records arrive."""
+    return _stream_copy(spark, sf_dir, "at_most_once")
 
-def _stream_copy(spark, sf_dir, guarantee: str, fail_at: str | None):
-    src = base_log(spark, sf_dir, "weekly")
-    dst = _fresh(spark, f"stream-{guarantee}")
-    ckpt = scratch_dir(spark, "stream-checkpoint")
-    hook = _failing_once(fail_at) if fail_at else (lambda at, b: None)
-    flow = _flow(f"copy-{guarantee}")
-    run_with_restart(
-        lambda: replicate_stream(
-            src, "topic1", "test1", dst, guarantee, checkpoint=ckpt,
-            max_segments=STREAM_SEGMENTS_PER_BATCH, hook=hook, flow=flow,
-        ),
-        sleep=lambda s: None,
-        delays=backoff_delays(0.0, 0.0),
+
+def q_stream_two_sources(spark, sf_dir):
+    """Two flows from different topics into one, each with a name of its own."""
+    src, dst = base_log(spark, sf_dir, "by_type"), _fresh(spark, "stream-merged")
+    for topic in ("click", "view"):
+        await_end(replicate_stream(src, topic, "targetTopic", dst, "exactly_once", keep_key=True, flow=_flow(topic)))
+    return dst.read("targetTopic", with_source=True).select(
+        "topic", "partition", "key", F.col("value").cast("string").alias("value"), "src_topic", "src_offset"
     )
-    return _records(dst.read("test1", with_source=True), "src_offset")
 
 
-def q_stream_exactly_once(spark, sf_dir):
-    """Exactly-once copy; batch 1 fails after its write, restart: no duplicates."""
-    return _stream_copy(spark, sf_dir, "exactly_once", "after_write")
+def q_stream_batched_commits(spark, sf_dir):
+    """T3 / G2 as a stream: at-least-once, one commit for each 20 positions; the commit log."""
+    dst = _fresh(spark, "stream-batched")
+    src = base_log(spark, sf_dir)
+    await_end(
+        replicate_stream(src, "topic1", "test1", dst, "at_least_once", commit_grouping=("batch", 20), flow=_flow("batched"))
+    )
+    return dst.commit_log(DEFAULT_GROUP)
 
 
-def q_stream_at_least_once(spark, sf_dir):
-    """At-least-once copy; batch 1 fails after writing, before committing.
+def q_stream_route(spark, sf_dir):
+    """F5 as an exactly-once stream: records routed by predicates, positions from every envelope."""
+    k = payload_int("k")
+    dst = _fresh(spark, "stream-route")
+    envelopes = lambda d: route(d, k >= DUPLICATE_MIN_K, k < IGNORE_MAX_K, DUPLICATE_TOPICS, "topic2", False, DEFAULT_GROUP)
+    envelope_stream(base_log(spark, sf_dir), "topic1", envelopes, dst, "exactly_once", flow=_flow("route")).awaitTermination()
+    return _records(dst.read(list(DUPLICATE_TOPICS), with_source=True), "src_offset")
 
-    Its records are written twice; the replay and everything after get later offsets.
-    """
-    return _stream_copy(spark, sf_dir, "at_least_once", "after_write")
 
+def q_replicate_hook(spark, sf_dir):
+    """A hook that drops every tenth record and repeats every seventh; offsets stay dense."""
+    dst = _fresh(spark, "copy-hook")
 
-def q_stream_at_most_once(spark, sf_dir):
-    """At-most-once; batch 1 fails after its claim: weeks 3-4 are lost, nothing doubles."""
-    return _stream_copy(spark, sf_dir, "at_most_once", "after_claim")
+    def hook(d: DataFrame) -> DataFrame:
+        times = F.when(F.col("offset") % 10 == 5, 0).when(F.col("offset") % 7 == 3, 2).otherwise(1)
+        return d.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).drop("_copy")
+
+    replicate(base_log(spark, sf_dir), "topic1", "test1", dst=dst, fn=hook)
+    return _records(dst.read("test1", with_source=True), "src_offset")
+
+
+def q_replicate_resume(spark, sf_dir):
+    """A group's second call copies what has come since the first."""
+    dst = _fresh(spark, "copy-resume")
+    for src in _arriving(spark, sf_dir):
+        replicate(src, "topic1", "test1", dst=dst)
+    return _records(dst.read("test1", with_source=True), "src_offset")
 
 
 def q_stream_fanout(spark, sf_dir):
     """F4 as an exactly-once stream: topic1 -> topic2 + topic3, positions from every envelope."""
-    src = base_log(spark, sf_dir, "weekly")
-    dst = _fresh(spark, "stream-fanout")
-    q = envelope_stream(
-        src, "topic1", lambda d: multi_envelope(d, ["topic2", "topic3"]), dst, "exactly_once",
-        flow=_flow("fanout"), max_segments=STREAM_SEGMENTS_PER_BATCH,
-    )
-    q.awaitTermination()
+    dst, flow = _fresh(spark, "stream-fanout"), _flow("fanout")
+    for src in _arriving(spark, sf_dir):
+        envelope_stream(
+            src, "topic1", lambda d: multi_envelope(d, ["topic2", "topic3"]), dst, "exactly_once", flow=flow
+        ).awaitTermination()
     return _records(dst.read(["topic2", "topic3"], with_source=True), "src_offset")
 
 
@@ -386,14 +419,15 @@ def q_external_offsets_inclusive(spark, sf_dir):
     return _external(spark, sf_dir, inclusive=True)
 
 
-CSV_COLUMNS = ["event_id", "user_id", "event_type", "value", "props"]
+CSV_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 CSV_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
 def q_csv_to_json_topic(spark, sf_dir):
     """Events written as CSV files, ingested as a stream into JSON records on a topic."""
     folder = scratch_dir(spark, "csv-in")
-    _table(spark, sf_dir, "events").write.option("header", True).csv(folder)
+    written = {"header": True, "escape": '"', "timestampFormat": TIMESTAMP, "timestampNTZFormat": TIMESTAMP}
+    _table(spark, sf_dir, "events").write.options(**written).csv(folder)
     log = _fresh(spark, "csv-topic")
     q = ingest_csv(
         log, folder, CSV_SCHEMA, "csv_events", CSV_COLUMNS, ["event_id"],
@@ -422,25 +456,15 @@ def q_replicate_grouped_commits(spark, sf_dir):
 
 
 def q_chain_exactly_once(spark, sf_dir):
-    """Two exactly-once hops as streams (topic1 -> hopB -> hopC); hop 2 fails once, restarts.
+    """Two exactly-once hops as streams (topic1 -> hopB -> hopC), both resumed after new records.
 
     Exactly-once per hop; the two hops are separate transactions.
     """
-    src = base_log(spark, sf_dir, "weekly")
     b, c = _fresh(spark, "tx-hop-b"), _fresh(spark, "tx-hop-c")
-    replicate_stream(
-        src, "topic1", "hopB", b, "exactly_once", max_segments=STREAM_SEGMENTS_PER_BATCH, flow=_flow("hop-b")
-    ).awaitTermination()
-    ckpt = scratch_dir(spark, "tx-hop-c-checkpoint")
-    hop_c = _flow("hop-c")
-    hook = _failing_once("after_write")
-    run_with_restart(
-        lambda: replicate_stream(
-            b, "hopB", "hopC", c, "exactly_once", checkpoint=ckpt, max_segments=1, hook=hook, flow=hop_c
-        ),
-        sleep=lambda s: None,
-        delays=backoff_delays(0.0, 0.0),
-    )
+    hop_b, hop_c = _flow("hop-b"), _flow("hop-c")
+    for src in _arriving(spark, sf_dir):
+        await_end(replicate_stream(src, "topic1", "hopB", b, "exactly_once", flow=hop_b))
+        await_end(replicate_stream(b, "hopB", "hopC", c, "exactly_once", flow=hop_c))
     return _records(c.read("hopC", with_source=True), "src_topic", "src_offset")
 
 
@@ -451,32 +475,28 @@ def q_business_results(spark, sf_dir):
     return out.select("topic", "partition", "offset", "result")
 
 
-def _commit_each(pdf):
-    """One commit per processed record, in offset order (the batch arrives ordered)."""
-    return pdf.assign(group_id=DEFAULT_GROUP, next_offset=pdf["offset"] + 1)[
-        ["group_id", "topic", "partition", "next_offset"]
-    ]
-
-
 def q_per_record_commits(spark, sf_dir):
-    """Per-partition processing in offset order, a commit after every record."""
+    """A commit after every record."""
     recs = base_log(spark, sf_dir).read("topic1").select("topic", "partition", "offset")
-    return map_in_offset_order(
-        recs, _commit_each, "group_id string, topic string, partition int, next_offset long"
-    )
+    return recs.select(F.lit(DEFAULT_GROUP).alias("group_id"), "topic", "partition", (F.col("offset") + 1).alias("next_offset"))
 
 
 def q_stream_grouped_commits(spark, sf_dir):
     """T8 / G4 as a stream: one commit per count-or-time group, groups spanning micro-batches.
 
-    One week-segment per micro-batch; a partition's last group is still open at the end.
+    What is open when the stream ends is committed then.
     """
-    src = base_log(spark, sf_dir, "weekly")
+    src = _fresh(spark, "arriving")
+    events = _table(spark, sf_dir, "events")
+    for part in (F.col("ts") < F.lit(LAG_CUTOFF), F.col("ts") >= F.lit(LAG_CUTOFF)):
+        src.produce(events_to_produced(events.where(part)), ["ts", "event_id"])
     dst = _fresh(spark, "stream-grouped")
-    replicate_stream(
-        src, "topic1", "test1", dst, "exactly_once", max_segments=1,
-        commit_grouping=("within", GROUP_N, GROUP_HOURS * 3600), flow=_flow("grouped"),
-    ).awaitTermination()
+    await_end(
+        replicate_stream(
+            src, "topic1", "test1", dst, "exactly_once", max_segments=1,
+            commit_grouping=("within", GROUP_N, GROUP_HOURS * 3600), flow=_flow("grouped"),
+        )
+    )
     return dst.commit_log(DEFAULT_GROUP)
 
 
@@ -507,7 +527,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_exactly_once": q_stream_exactly_once,
     "stream_at_least_once": q_stream_at_least_once,
     "stream_at_most_once": q_stream_at_most_once,
+    "stream_two_sources": q_stream_two_sources,
+    "stream_batched_commits": q_stream_batched_commits,
+    "stream_route": q_stream_route,
     "stream_fanout": q_stream_fanout,
+    "replicate_hook": q_replicate_hook,
+    "replicate_resume": q_replicate_resume,
     "external_offsets": q_external_offsets,
     "external_offsets_inclusive": q_external_offsets_inclusive,
     "csv_to_json_topic": q_csv_to_json_topic,

@@ -15,21 +15,23 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rillet.sources.generate import table_to_produced
 from rillet.sources.log import TopicLog
-from rillet.session import scratch_dir
 from rillet.streaming.flows import produce_stream
 
+#: Timestamps in CSV and JSON, to the microsecond.
+TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 INGEST_TRIGGER = {"processingTime": "30 seconds"}
 
 
 def csv_stream(spark: SparkSession, folder: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("header", True)
+    reader = spark.readStream.schema(schema).options(header=True, multiLine=True, escape='"', timestampFormat=TIMESTAMP)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", int(max_files))
     return reader.csv(folder)
 
 
 def rows_to_json(df: DataFrame, columns: list[str]) -> Column:
-    return F.to_json(F.struct(*[F.col(c) for c in columns]))
+    options = {"timestampFormat": TIMESTAMP, "timestampNTZFormat": TIMESTAMP}
+    return F.to_json(F.struct(*[F.col(c) for c in columns]), options)
 
 
 def ingest_csv(
@@ -42,7 +44,7 @@ def ingest_csv(
     key: Column | None = None,
     partition: Column | None = None,
     timestamp: Column | None = None,
-    flow: str = "csv-ingest",
+    flow: str | None = None,
     checkpoint: str | None = None,
     trigger: dict | None = None,
     max_files: int | None = None,
@@ -61,6 +63,6 @@ def ingest_csv(
         to_records,
         order_by,
         flow=flow,
-        checkpoint=checkpoint or scratch_dir(log.spark, "ingest-checkpoint"),
+        checkpoint=checkpoint,
         trigger=trigger or INGEST_TRIGGER,
     )

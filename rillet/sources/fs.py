@@ -41,15 +41,6 @@ def create_new(spark: SparkSession, path: str, text: str = "") -> bool:
     return True
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, p = _path(spark, path)
-    out = fs.create(p, True)
-    try:
-        out.write(bytearray(text.encode("utf-8")))
-    finally:
-        out.close()
-
-
 def list_names(spark: SparkSession, path: str) -> list[str]:
     fs, p = _path(spark, path)
     if not fs.exists(p):
@@ -82,21 +73,3 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         return reader.readLine()
     finally:
         stream.close()
-
-
-def files_under(spark: SparkSession, path: str) -> list[str]:
-    """Data files directly under a folder (hidden and marker files skipped)."""
-    fs, p = _path(spark, path)
-    if not fs.exists(p):
-        return []
-    out = []
-    for status in fs.listStatus(p):
-        name = status.getPath().getName()
-        if status.isFile() and not name.startswith(("_", ".")):
-            out.append(status.getPath().toString())
-    return out
-
-
-def set_mtime(spark: SparkSession, path: str, millis: int) -> None:
-    fs, p = _path(spark, path)
-    fs.setTimes(p, int(millis), -1)

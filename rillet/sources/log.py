@@ -38,10 +38,8 @@ from rillet.session import configure
 from rillet.sources import fs
 
 
-# Committed segment names resolved on the driver as a folder filter, up to this many.
-SEGMENT_LIST_LIMIT = 10_000
-# Per-partition start positions applied as one pushed-down predicate, up to this many.
-POSITION_FILTER_LIMIT = 1_000
+# Positions written apart from a segment (they stand alone) carry this prefix in their folder name.
+ALONE = "alone-"
 
 
 def new_segment_id(prefix: str = "w") -> str:
@@ -125,11 +123,15 @@ class TopicLog:
         committed: bool = True,
         with_source: bool = False,
         from_positions: DataFrame | None = None,
+        to_positions: DataFrame | None = None,
     ) -> DataFrame:
         """Records of the given topics (all when None), committed segments only.
 
         Topic, partition and segment filters prune directories; ``from_offset`` is
         pushed to the Parquet reader and skips row groups by their offset statistics.
+        ``from_positions`` and ``to_positions`` (topic, partition, next_offset) bound each
+        partition: the first included, the second not. Of several rows for a partition the
+        highest counts; a partition without a row, or with a null, is not bounded.
         """
         cols = RECORD_COLUMNS + (SOURCE_COLUMNS if with_source else [])
         if not fs.exists(self.spark, self.data_path):
@@ -147,18 +149,15 @@ class TopicLog:
         if from_offset is not None:
             df = df.where(F.col("offset") >= F.lit(int(from_offset)))
         if from_positions is not None:
-            df = self._from_positions(df, from_positions)
+            df = self._bounded(df, from_positions, lambda at: F.col("offset") >= at)
+        if to_positions is not None:
+            df = self._bounded(df, to_positions, lambda at: F.col("offset") < at)
         if committed and segments is None:
-            # a segment is committed as a whole: its name alone decides visibility. Up to
-            # SEGMENT_LIST_LIMIT names become a folder filter fixed at planning; more stay a join.
+            # a segment is committed as a whole: its name alone decides visibility
             index = self.segments()
             if topics is not None:
                 index = index.where(F.col("topic").isin(list(topics)))
-            names = index.select("seg").distinct().limit(SEGMENT_LIST_LIMIT + 1).collect()
-            if len(names) <= SEGMENT_LIST_LIMIT:
-                df = df.where(F.col("seg").isin([r.seg for r in names]))
-            else:
-                df = join_small(df, index.select("seg").distinct(), ["seg"], "left_semi")
+            df = join_small(df, index.select("seg").distinct(), ["seg"], "left_semi")
         return df.select(*cols)
 
     def read_segments(self, parts: list[tuple[str, int, str]], with_source: bool = False) -> DataFrame:
@@ -204,37 +203,33 @@ class TopicLog:
             df = df.where(F.col("topic").isin(topics))
         return df.select(*RECORD_COLUMNS)
 
-    def commit_log(self, group_id: str | None = None) -> DataFrame:
-        """Every committed position row (one per commit batch / group), not only the latest."""
+    def _commits(self, group_id: str | None) -> DataFrame:
+        """Position rows that count: those of committed segments, and those that stand alone.
+
+        A segment's positions are written before its index; until the segment is committed
+        they claim output that nobody can see, so they are left out.
+        """
         if not fs.exists(self.spark, self.commits_path):
             return self.spark.createDataFrame([], COMMIT_SCHEMA)
         schema = "topic string, partition int, next_offset long, group_id string, seg string"
         df = self.spark.read.schema(schema).parquet(self.commits_path)
         if group_id is not None:
             df = df.where(F.col("group_id") == group_id)
-        return df.select("group_id", *TP, "next_offset")
+        alone = F.col("seg").startswith(ALONE)
+        names = self.segments().select("seg").distinct()
+        counted = df.where(alone).unionByName(join_small(df.where(~alone), names, ["seg"], "left_semi").select(*df.columns))
+        return counted.select("group_id", *TP, "next_offset")
 
-    def _from_positions(self, df: DataFrame, positions: DataFrame) -> DataFrame:
-        """S3 for many partitions: each (topic, partition) from its own position (absent = 0).
+    def commit_log(self, group_id: str | None = None) -> DataFrame:
+        """Every committed position row (one per commit batch / group), not only the latest."""
+        return self._commits(group_id)
 
-        Up to POSITION_FILTER_LIMIT positions become one predicate, ``(topic, partition)
-        = (t, p) AND offset >= k`` OR-ed, which prunes partition folders at planning;
-        more positions are applied with a join on (topic, partition).
-        """
-        pos = positions.select(*TP, F.col("next_offset").cast("long").alias("_from"))
-        head = pos.limit(POSITION_FILTER_LIMIT + 1).collect()
-        if len(head) > POSITION_FILTER_LIMIT:
-            joined = join_small(df, pos, TP, "left")
-            return joined.where(F.col("offset") >= F.coalesce(F.col("_from"), F.lit(0))).drop("_from")
-        cond = None
-        for r in head:
-            one = (F.col("topic") == r.topic) & (F.col("partition") == r.partition) & (F.col("offset") >= r._from)
-            cond = one if cond is None else cond | one
-        known = [(r.topic, r.partition) for r in head]
-        others = ~F.struct("topic", "partition").isin([F.struct(F.lit(t), F.lit(p)) for t, p in known]) if known else None
-        if cond is None:
-            return df
-        return df.where(cond | others)
+    @staticmethod
+    def _bounded(df: DataFrame, positions: DataFrame, within) -> DataFrame:
+        """S3 for many partitions: the records of each (topic, partition) on one side of its position."""
+        at = positions.groupBy(*TP).agg(F.max("next_offset").cast("long").alias("_at"))
+        joined = join_small(df, at, TP, "left")
+        return joined.where(F.col("_at").isNull() | within(F.col("_at"))).drop("_at")
 
     # ------------------------------------------------------------------ write
     def write_segment(
@@ -280,44 +275,16 @@ class TopicLog:
                 (F.max("offset") + 1).alias("end_offset"),
                 F.count(F.lit(1)).alias("n_records"),
             )
-        several = not isinstance(seg, str)
-        if several:
-            index = index.cache()  # its segment names are needed after the write
-        try:
-            (
-                index.repartition(1, "seg")
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("seg")
-                .parquet(self.index_path)
-            )
-            names = sorted(r.seg for r in index.select("seg").distinct().collect()) if several else [seg]
-        finally:
-            if several:
-                index.unpersist()
-        self._order_commits(names)
-
-    def _order_commits(self, names: list[str]) -> None:
-        """Give the new index files strictly increasing modification times, in commit order.
-
-        Streams over the index take new files by modification time; stamping them from a
-        clock kept in ``segments/_clock`` (a marker readers skip) makes that order the commit
-        order even when two writes land in the same millisecond. Stores without settable
-        times keep their upload times.
-        """
-        import time
-
-        clock = f"{self.index_path}/_clock"
-        last = fs.read_text(self.spark, clock)
-        tick = max(int(time.time() * 1000), int(last) + 1 if last else 0)
-        for name in names:
-            for path in sorted(fs.files_under(self.spark, f"{self.index_path}/{self._dir('seg', name)}")):
-                try:
-                    fs.set_mtime(self.spark, path, tick)
-                except Exception:  # noqa: BLE001 - object stores cannot set times
-                    pass
-                tick += 1
-        fs.write_text(self.spark, clock, str(tick))
+        (
+            index.repartition(1, "seg")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("seg")
+            .parquet(self.index_path)
+        )
+        if commits is not None and not self.is_committed(seg):
+            # nothing was written (all records dropped): the positions claim no output
+            self.write_commits(commits, seg, alone=True)
 
     def produce(
         self,
@@ -352,14 +319,18 @@ class TopicLog:
             self.write_segment(with_offsets, seg)
         if isinstance(seg, str):
             return self.read(segments=[seg])
-        return self.read(topics=None)
+        names = [r.seg for r in produced.select(seg.alias("seg")).distinct().collect()]
+        return self.read(segments=names)
 
     # ---------------------------------------------------------------- commits
-    def write_commits(self, positions: DataFrame, seg: str | Column) -> None:
-        """Store positions (group_id, topic, partition, next_offset) under segment ``seg``."""
+    def write_commits(self, positions: DataFrame, seg: str, alone: bool = False) -> None:
+        """Store positions (group_id, topic, partition, next_offset) under segment ``seg``.
+
+        They count once the segment is committed, or at once when they stand ``alone``.
+        """
         (
             positions.select(*[f.name for f in COMMIT_SCHEMA.fields])
-            .withColumn("seg", F.lit(seg) if isinstance(seg, str) else seg)
+            .withColumn("seg", F.lit(f"{ALONE}{seg}" if alone else seg))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("group_id", "seg")
@@ -368,13 +339,23 @@ class TopicLog:
 
     def committed_positions(self, group_id: str | None = None) -> DataFrame:
         """Current position per (group, topic, partition): the highest committed next offset."""
-        if not fs.exists(self.spark, self.commits_path):
-            return self.spark.createDataFrame([], COMMIT_SCHEMA)
-        schema = "topic string, partition int, next_offset long, group_id string, seg string"
-        df = self.spark.read.schema(schema).parquet(self.commits_path)
-        if group_id is not None:
-            df = df.where(F.col("group_id") == group_id)
-        return df.groupBy("group_id", *TP).agg(F.max("next_offset").alias("next_offset"))
+        return self._commits(group_id).groupBy("group_id", *TP).agg(F.max("next_offset").alias("next_offset"))
+
+    def bind_flow(self, flow: str, **identity) -> None:
+        """Tie a flow's name to what it reads, writes and where its progress is; raise when it is taken.
+
+        Segments and claims are named after (flow, batch): a second flow with the same name
+        would find its batches committed and drop them.
+        """
+        if not flow:
+            raise ValueError("a flow needs a name of its own")
+        record = "; ".join(f"{k}={identity[k]}" for k in sorted(identity))
+        path = f"{self.root}/flows/{self._dir('flow', flow)}"
+        if fs.create_new(self.spark, path, record):
+            return
+        known = fs.read_text(self.spark, path)
+        if known != record:
+            raise ValueError(f"flow {flow!r} is bound to ({known}), not to ({record})")
 
     def write_state(self, flow: str, batch_id: int, rows: DataFrame) -> None:
         """Small per-flow state after ``batch_id``; a replay overwrites its own batch.
@@ -401,6 +382,15 @@ class TopicLog:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{folder}/b{max(done):012d}")
 
+    def last_state(self, flow: str, schema: str) -> tuple[int | None, DataFrame]:
+        """The number of the batch that wrote the latest state, and the state."""
+        folder = f"{self.root}/state/{flow}"
+        done = [int(n[1:]) for n in fs.list_names(self.spark, folder) if n.startswith("b") and n[1:].isdigit()]
+        if not done:
+            return None, self.spark.createDataFrame([], schema)
+        rows = self.read_state(flow, max(done) + 1, schema).collect()  # at most a group's size for each partition
+        return max(done), self.spark.createDataFrame(rows, schema)
+
     def claim(self, flow: str, batch_id: int) -> bool:
         """Atomically claim (flow, batch); False when it was claimed before."""
         return fs.create_new(self.spark, f"{self.claims_path}/{flow}/{int(batch_id)}", "claimed")

@@ -19,17 +19,14 @@ from pyspark.sql import functions as F
 
 from rillet.functions.records import business, readdress
 from rillet.model import DEFAULT_GROUP, TP
-from rillet.operators.offsets import join_small, offsets_from_source, staging_area
+from rillet.operators.offsets import assign_offsets, offsets_from_source, staging_area
 from rillet.sources.log import TopicLog, new_segment_id
 
 
-def stored_positions(out: TopicLog, group_id: str, topic: str) -> DataFrame:
-    """Stored position per partition of ``topic`` for ``group_id`` (absent = 0)."""
-    return (
-        out.committed_positions(group_id)
-        .where(F.col("topic") == topic)
-        .select(*TP, F.col("next_offset").alias("_from"))
-    )
+def stop_positions(records: DataFrame, until: Column) -> DataFrame:
+    """Per partition, the offset of the first record that doesn't match ``until`` (null: all do)."""
+    past = F.when(~F.coalesce(until, F.lit(False)), F.col("offset"))
+    return records.groupBy(*TP).agg(F.min(past).alias("next_offset"))
 
 
 def process_from_stored_offset(
@@ -45,24 +42,25 @@ def process_from_stored_offset(
 ) -> str:
     """One run: read ``topic`` from the stored positions, process, store output and position.
 
-    ``until`` stops the run early (records matching it are processed), standing in
-    for a consumer that is shut down part-way. Returns the segment written.
+    ``until`` stops each partition before its first record that doesn't match, standing in
+    for a consumer that is shut down part-way. Positions are those of the records read,
+    whatever ``fn`` makes of them. Returns the segment written.
     """
     seg = new_segment_id("ext")
-    records = src.read(topic, partitions=partitions)
-    start = stored_positions(out, group_id, topic)
-    records = join_small(records, start, TP, "left").where(
-        F.col("offset") >= F.coalesce(F.col("_from"), F.lit(0))
-    ).drop("_from")
-    if until is not None:
-        records = records.where(until)
+    start = out.committed_positions(group_id).where(F.col("topic") == topic)
+    to = None if until is None else stop_positions(src.read(topic, partitions=partitions), until)
+    records = src.read(topic, partitions=partitions, from_positions=start, to_positions=to)
     processed = business(records, fn)
     step = 0 if inclusive else 1
-    positions = processed.groupBy(*TP).agg((F.max("offset") + step).alias("next_offset")).select(
+    positions = records.groupBy(*TP).agg((F.max("offset") + step).alias("next_offset")).select(
         F.lit(group_id).alias("group_id"), *TP, "next_offset"
     )
     copies = readdress(processed, out_topic, keep_key=True)
     with staging_area(out.spark) as staging:
-        written, index = offsets_from_source(copies, out.end_offsets(), staging=staging, with_index=True)
+        if fn is None:
+            written, index = offsets_from_source(copies, out.end_offsets([out_topic]), staging=staging, with_index=True)
+        else:  # the hook may drop or repeat records
+            order = ["src_topic", "src_partition", "src_offset", "key", "value"]
+            written, index = assign_offsets(copies, order, out.end_offsets([out_topic]), staging=staging), None
         out.write_segment(written, seg, commits=positions, index=index)
     return seg

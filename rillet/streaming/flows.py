@@ -41,6 +41,7 @@ from rillet.model import (
 from rillet.operators.batching import (
     OPEN_GROUP_SCHEMA,
     commit_positions,
+    open_positions,
     grouped_commits_carrying,
     positions as commit_rows,
 )
@@ -141,11 +142,15 @@ def deliver(
     hook: Hook = _no_hook,
     tiebreak: list[str] | None = None,
     order_by: list | None = None,
+    changed: bool = False,
+    topics: list[str] | None = None,
 ) -> None:
     """Write one micro-batch of copies and its consumed positions under ``guarantee``.
 
     Offsets follow the source position of each copy, or ``order_by`` for records
-    that have no source offset (ingested files).
+    that have no source offset (ingested files). ``changed``: a hook may have dropped or
+    repeated records, so positions don't follow from the source offsets by arithmetic.
+    ``topics``: the target topics, where known, so that only their end offsets are read.
     """
     if guarantee not in GUARANTEES:
         raise ValueError(f"guarantee must be one of {GUARANTEES}")
@@ -153,9 +158,12 @@ def deliver(
     def with_offsets(staging: str):
         """(records with offsets, their index rows when known without a read-back)."""
         if order_by is not None:
-            return assign_offsets(copies, order_by, dst.end_offsets(), staging=staging), None
+            return assign_offsets(copies, order_by, dst.end_offsets(topics), staging=staging), None
+        if changed:
+            order = ["src_topic", "src_partition", "src_offset", *(tiebreak or []), "key", "value"]
+            return assign_offsets(copies, order, dst.end_offsets(topics), staging=staging), None
         return offsets_from_source(
-            copies, dst.end_offsets(), tiebreak=tiebreak, staging=staging, with_index=True
+            copies, dst.end_offsets(topics), tiebreak=tiebreak, staging=staging, with_index=True
         )
 
     if guarantee == "exactly_once":
@@ -175,13 +183,13 @@ def deliver(
             dst.write_segment(out, seg, index=index)
         hook("after_write", batch_id)
         if positions is not None:
-            dst.write_commits(positions, seg)
+            dst.write_commits(positions, seg, alone=True)
     else:
         if not dst.claim(flow, batch_id):
             return
         seg = new_segment_id(f"{flow}-b{batch_id:012d}")
         if positions is not None:
-            dst.write_commits(positions, seg)
+            dst.write_commits(positions, seg, alone=True)
         hook("after_claim", batch_id)
         with staging_area(dst.spark) as staging:
             out, index = with_offsets(staging)
@@ -211,13 +219,20 @@ def replicate_stream(
     one per partition and micro-batch, or per batch of n (``("batch", n)``, T3 /
     T7) or per count-or-time group (``("within", n, seconds)``, T8). Count-or-time
     groups span micro-batches: the open group's records are kept as flow state
-    (at most n per partition) and a group is committed once it closes.
+    (at most n per partition) and a group is committed once it closes, or when the
+    stream ends (``await_end``, ``drain``). ``flow`` names the flow within ``dst``; it is
+    bound to the source, topics, guarantee and checkpoint, and resumes with the same ones.
+    Positions are those of the records consumed, whatever ``fn`` makes of them.
     """
     dst = dst or src
-    flow = flow or f"replicate-{dst_topic}"
+    checkpoint = checkpoint or flow_checkpoint(dst, flow)
+    topics = [topics] if isinstance(topics, str) else list(topics)
+    dst.bind_flow(
+        flow, kind="replicate", source=src.root, topics=",".join(sorted(topics)), to=dst_topic,
+        guarantee=guarantee, checkpoint=checkpoint,
+    )
 
-    def handler(records: DataFrame, batch_id: int) -> None:
-        consumed = business(records, fn)
+    def handler(consumed: DataFrame, batch_id: int) -> None:
         if commit_grouping and commit_grouping[0] == "within":
             carried = dst.read_state(flow, batch_id, OPEN_GROUP_SCHEMA)
             positions, still_open = grouped_commits_carrying(
@@ -226,9 +241,28 @@ def replicate_stream(
             dst.write_state(flow, batch_id, still_open)
         else:
             positions = commit_rows(consumed, group_id, commit_grouping)
-        deliver(dst, readdress(consumed, dst_topic, keep_key), positions, flow, batch_id, guarantee, hook)
+        copies = readdress(business(consumed, fn), dst_topic, keep_key)
+        deliver(dst, copies, positions, flow, batch_id, guarantee, hook, changed=fn is not None, topics=[dst_topic])
 
-    return start_flow(src, topics, handler, checkpoint, trigger, max_segments, flow)
+    query = start_flow(src, topics, handler, checkpoint, trigger, max_segments, flow)
+    if commit_grouping and commit_grouping[0] == "within":
+        query._rillet_end = lambda: commit_open_groups(dst, flow, group_id)
+    return query
+
+
+def flow_checkpoint(dst: TopicLog, flow: str | None) -> str:
+    """Where a flow keeps its progress unless told otherwise: one folder for each name."""
+    if not flow:
+        raise ValueError("a flow needs a name of its own")
+    return f"{dst.root}/checkpoints/{dst._dir('flow', flow)}"
+
+
+def commit_open_groups(dst: TopicLog, flow: str, group_id: str = DEFAULT_GROUP) -> None:
+    """Commit what is left in a flow's open groups; a later run starts new groups."""
+    last, rows = dst.last_state(flow, OPEN_GROUP_SCHEMA)
+    if last is not None and not rows.isEmpty():
+        dst.write_commits(open_positions(rows, group_id), f"{flow}-end-b{last:012d}", alone=True)
+        dst.write_state(flow, last, rows.sparkSession.createDataFrame([], OPEN_GROUP_SCHEMA))
 
 
 def produce_stream(
@@ -236,7 +270,7 @@ def produce_stream(
     log: TopicLog,
     to_records: Callable[[DataFrame], DataFrame],
     order_by: list,
-    flow: str = "produce",
+    flow: str | None = None,
     guarantee: str = "exactly_once",
     checkpoint: str | None = None,
     trigger: dict | None = None,
@@ -244,15 +278,18 @@ def produce_stream(
     """K1 / K5 for any streaming DataFrame: each micro-batch becomes records on the log.
 
     ``to_records`` maps a batch to (topic, partition, key, value, timestamp, order columns);
-    the log assigns offsets in ``order_by`` order after the committed end offsets.
+    the log assigns offsets in ``order_by`` order after the committed end offsets. ``flow``
+    names the flow within ``log`` and is bound to its checkpoint.
     """
+    checkpoint = checkpoint or flow_checkpoint(log, flow)
+    log.bind_flow(flow, kind="produce", guarantee=guarantee, checkpoint=checkpoint)
 
     def handler(batch: DataFrame, batch_id: int) -> None:
         deliver(log, to_records(batch), None, flow, batch_id, guarantee, order_by=order_by)
 
     return (
         stream.writeStream.foreachBatch(handler)
-        .option("checkpointLocation", checkpoint or scratch_dir(log.spark, f"{flow}-checkpoint"))
+        .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
@@ -264,27 +301,48 @@ def envelope_stream(
     to_envelopes: Callable[[DataFrame], DataFrame],
     dst: TopicLog | None = None,
     guarantee: str = "at_least_once",
-    flow: str = "envelopes",
+    flow: str | None = None,
     checkpoint: str | None = None,
     trigger: dict | None = None,
     max_segments: int | None = None,
     hook: Hook = _no_hook,
 ) -> StreamingQuery:
-    """F4 / F5 as a stream: envelopes -> produced records; positions from every envelope."""
+    """F4 / F5 as a stream: envelopes -> produced records; positions from every envelope.
+
+    Envelopes may leave out or repeat records, so offsets take the general path.
+    """
     dst = dst or src
+    checkpoint = checkpoint or flow_checkpoint(dst, flow)
+    topics = [topics] if isinstance(topics, str) else list(topics)
+    dst.bind_flow(
+        flow, kind="envelopes", source=src.root, topics=",".join(sorted(topics)), guarantee=guarantee, checkpoint=checkpoint
+    )
 
     def handler(records: DataFrame, batch_id: int) -> None:
         envelopes = to_envelopes(records)
         positions = commit_positions(envelopes.select("pass_through.*"))
-        deliver(dst, explode_envelopes(envelopes), positions, flow, batch_id, guarantee, hook, ["part"])
+        deliver(dst, explode_envelopes(envelopes), positions, flow, batch_id, guarantee, hook, ["part"], changed=True)
 
     return start_flow(src, topics, handler, checkpoint, trigger, max_segments, flow)
 
 
 def drain(query: StreamingQuery) -> None:
-    """Finish what is available, including commits, then stop."""
+    """Finish what is available, including commits and open groups, then stop."""
     query.processAllAvailable()
     query.stop()
+    _end(query)
+
+
+def await_end(query: StreamingQuery) -> None:
+    """Wait for a stream that ends by itself, then commit what its open groups hold."""
+    query.awaitTermination()
+    _end(query)
+
+
+def _end(query: StreamingQuery) -> None:
+    end = getattr(query, "_rillet_end", None)
+    if end is not None:
+        end()
 
 
 def shutdown(query: StreamingQuery) -> None:
@@ -301,29 +359,30 @@ def backoff_delays(
     """Delays between restarts: doubling from the minimum, capped, stretched by up to the factor."""
     k = 0
     while True:
-        yield min(max_seconds, min_seconds * (2**k)) * (1.0 + random_factor * rand())
+        yield min(max_seconds, min_seconds * 2.0 ** min(k, 60)) * (1.0 + random_factor * rand())
         k += 1
 
 
 def run_with_restart(
     start: Callable[[], StreamingQuery],
-    max_restarts: int = 10,
+    max_restarts: int | None = None,
     sleep: Callable[[float], None] = time.sleep,
     delays=None,
 ) -> int:
     """Run a flow to the end; on failure only, wait and restart on the same checkpoint.
 
-    Returns the number of restarts used. Re-raises after ``max_restarts``.
+    Returns the number of restarts used. Restarts without a limit, unless ``max_restarts``
+    is given; then the failure after them is raised.
     """
     delays = delays or backoff_delays()
     restarts = 0
     while True:
         try:
             query = start()
-            query.awaitTermination()
+            await_end(query)
             return restarts
         except Exception:
-            if restarts >= max_restarts:
+            if max_restarts is not None and restarts >= max_restarts:
                 raise
             sleep(next(delays))
             restarts += 1

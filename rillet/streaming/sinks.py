@@ -27,17 +27,17 @@ def ignore(df: DataFrame, trigger: dict | None = None) -> StreamingQuery | None:
     return None
 
 
-def print_each(df: DataFrame, trigger: dict | None = None, n: int = 20) -> StreamingQuery | None:
-    """K8: print each element (console sink for streams, ``show`` for batches)."""
+def print_each(df: DataFrame, trigger: dict | None = None) -> StreamingQuery | None:
+    """K8: print every element, one line each; one partition at a time is on the driver."""
     if df.isStreaming:
         return (
-            df.writeStream.format("console")
-            .option("truncate", False)
+            df.writeStream.foreachBatch(lambda batch, _: print_each(batch))
             .option("checkpointLocation", scratch_dir(df.sparkSession, "console-checkpoint"))
             .trigger(**(trigger or {"availableNow": True}))
             .start()
         )
-    df.show(n, truncate=False)
+    for row in df.toLocalIterator():
+        print(*row, sep="\t")
     return None
 
 

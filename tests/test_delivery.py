@@ -7,7 +7,7 @@ from conftest import SF
 from rillet.operators.copy import replicate
 from rillet.session import scratch_dir
 from rillet.sources.generate import events_to_produced
-from rillet.streaming.flows import backoff_delays, drain, replicate_stream, run_with_restart
+from rillet.streaming.flows import await_end, backoff_delays, drain, replicate_stream, run_with_restart
 
 
 @pytest.fixture(scope="module")
@@ -16,8 +16,8 @@ def weekly(spark):
 
     log = TopicLog(spark, scratch_dir(spark, "test-weekly"))
     ev = spark.read.parquet(f"{SF}/events.parquet")
-    week = F.concat(F.lit("w"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0"))
-    log.produce(events_to_produced(ev), ["ts", "event_id"], seg=week)
+    for week in range(1, 6):  # one committed segment each, in order
+        log.produce(events_to_produced(ev.where(F.weekofyear("ts") == week)), ["ts", "event_id"], seg=f"w{week:02d}")
     return log
 
 
@@ -31,7 +31,7 @@ def _run(spark, src, dst, guarantee, stage):
             raise RuntimeError("injected")
 
     restarts = run_with_restart(
-        lambda: replicate_stream(src, "topic1", "copy", dst, guarantee, checkpoint=ckpt, max_segments=2, hook=hook),
+        lambda: replicate_stream(src, "topic1", "copy", dst, guarantee, checkpoint=ckpt, max_segments=2, hook=hook, flow="copy"),
         sleep=lambda s: None,
         delays=backoff_delays(0, 0),
     )
@@ -65,7 +65,7 @@ def test_batch_equals_stream(spark, weekly, new_log):
     batch = replicate(weekly, "topic1", "copy", dst=new_log("b"))
     dst = new_log("s")
     q = replicate_stream(weekly, "topic1", "copy", dst, "exactly_once", max_segments=3,
-                         checkpoint=scratch_dir(spark, "test-ckpt"))
+                         checkpoint=scratch_dir(spark, "test-ckpt"), flow="copy")
     q.awaitTermination()
     cols = ["topic", "partition", "offset", "key", "value", "src_offset"]
     assert sorted(map(tuple, batch.select(*cols).collect())) == sorted(map(tuple, dst.read("copy", with_source=True).select(*cols).collect()))
@@ -74,11 +74,11 @@ def test_batch_equals_stream(spark, weekly, new_log):
 def test_restart_is_noop_when_drained(spark, weekly, new_log):
     dst = new_log("drain")
     ckpt = scratch_dir(spark, "test-ckpt")
-    q = replicate_stream(weekly, "topic1", "copy", dst, "exactly_once", checkpoint=ckpt,
+    q = replicate_stream(weekly, "topic1", "copy", dst, "exactly_once", checkpoint=ckpt, flow="copy",
                          trigger={"processingTime": "1 second"})
     drain(q)
     n = dst.read("copy").count()
-    q2 = replicate_stream(weekly, "topic1", "copy", dst, "exactly_once", checkpoint=ckpt)
+    q2 = replicate_stream(weekly, "topic1", "copy", dst, "exactly_once", checkpoint=ckpt, flow="copy")
     q2.awaitTermination()
     assert dst.read("copy").count() == n == weekly.read("topic1").count()
 
@@ -93,16 +93,122 @@ def _closed_batch_groups(log, n, seconds):
     return all_groups - set(map(tuple, open_tail[["partition", "first_offset", "next_offset"]].values))
 
 
+def _all_groups(log, n, seconds):
+    from rillet.operators.grouped_within import grouped_within
+
+    return {(r.partition, r.next_offset) for r in grouped_within(log.read("topic1"), n, seconds).collect()}
+
+
 def test_grouped_commits_span_micro_batches(spark, weekly, new_log):
-    """Count-or-time commits over one-segment micro-batches = closed groups of the batch form."""
+    """Count-or-time commits over one-segment micro-batches = the groups of the batch form, the last one too."""
     dst = new_log("grouped")
-    replicate_stream(
-        weekly, "topic1", "copy", dst, "exactly_once", max_segments=1,
-        checkpoint=scratch_dir(spark, "test-ckpt"), commit_grouping=("within", 7, 4 * 3600),
-    ).awaitTermination()
-    want = {(p, nxt) for p, _, nxt in _closed_batch_groups(weekly, 7, 4 * 3600)}
-    got = {(r.partition, r.next_offset) for r in dst.commit_log().collect()}
-    assert got == want
+    await_end(
+        replicate_stream(
+            weekly, "topic1", "copy", dst, "exactly_once", max_segments=1, flow="copy",
+            checkpoint=scratch_dir(spark, "test-ckpt"), commit_grouping=("within", 7, 4 * 3600),
+        )
+    )
+    assert {(r.partition, r.next_offset) for r in dst.commit_log().collect()} == _all_groups(weekly, 7, 4 * 3600)
+
+
+def test_drain_commits_open_groups(spark, weekly, new_log):
+    dst = new_log("grouped-drain")
+    drain(replicate_stream(
+        weekly, "topic1", "copy", dst, flow="copy", trigger={"processingTime": "1 second"}, commit_grouping=("within", 7, 4 * 3600),
+    ))
+    ends = {r.partition: r.end_offset for r in weekly.catalog().collect()}
+    assert {r.partition: r.next_offset for r in dst.committed_positions().collect()} == ends
+
+
+def test_a_flow_name_belongs_to_one_flow(spark, weekly, new_log):
+    dst = new_log("names")
+    replicate_stream(weekly, "topic1", "copy", dst, flow="a").awaitTermination()
+    replicate_stream(weekly, "topic1", "copy", dst, flow="a").awaitTermination()  # the same flow resumes
+    n = weekly.read("topic1").count()
+    assert dst.read("copy").count() == n
+    other = new_log("names-src")
+    replicate(weekly, "topic1", "b", dst=other)
+    with pytest.raises(ValueError, match="bound"):
+        replicate_stream(other, "b", "copy", dst, flow="a")
+    with pytest.raises(ValueError, match="bound"):
+        replicate_stream(weekly, "topic1", "copy", dst, flow="a", checkpoint=scratch_dir(spark, "other"))
+    with pytest.raises(ValueError, match="name"):
+        replicate_stream(weekly, "topic1", "copy", dst)
+    replicate_stream(other, "b", "copy", dst, flow="b").awaitTermination()
+    assert dst.read("copy").count() == 2 * n
+
+
+def test_positions_count_with_their_segment(spark, weekly, new_log, monkeypatch):
+    """A crash after the positions and before the index leaves no position behind."""
+    from rillet.sources.log import TopicLog
+    from rillet.streaming.external import process_from_stored_offset
+
+    out = new_log("crash")
+    n = weekly.read("topic1").count()
+    write = TopicLog.write_commits
+
+    def crash(self, *args, **kwargs):
+        write(self, *args, **kwargs)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(TopicLog, "write_commits", crash)
+    with pytest.raises(RuntimeError):
+        process_from_stored_offset(weekly, "topic1", out)
+    monkeypatch.undo()
+    assert out.committed_positions().count() == 0 and out.read("processed").count() == 0
+    process_from_stored_offset(weekly, "topic1", out)
+    assert out.read("processed").count() == n
+
+
+def test_positions_follow_what_was_read_not_what_the_hook_kept(spark, weekly, new_log):
+    ends = {r.partition: r.end_offset for r in weekly.catalog().collect()}
+    keep = lambda d: d.where(F.col("offset") < 5)
+    positions = lambda log: {r.partition: r.next_offset for r in log.committed_positions().collect()}
+    dst = new_log("hook")
+    replicate(weekly, "topic1", "copy", dst=dst, fn=keep)
+    assert positions(dst) == ends and dst.read("copy").count() == 5 * len(ends)
+    stream = new_log("hook-stream")
+    replicate_stream(weekly, "topic1", "copy", stream, flow="copy", fn=keep).awaitTermination()
+    assert positions(stream) == ends
+    nothing = new_log("hook-nothing")
+    replicate(weekly, "topic1", "copy", dst=nothing, fn=lambda d: d.where("false"))
+    assert positions(nothing) == ends and nothing.read("copy").count() == 0
+
+
+def test_offsets_are_dense_when_a_hook_drops_and_repeats(spark, weekly, new_log):
+    dst = new_log("repeat")
+    fn = lambda d: d.where("offset <> 50").unionByName(d.where("offset = 10"))
+    out = replicate(weekly, "topic1", "copy", dst=dst, fn=fn)
+    for p in {r.partition for r in out.select("partition").distinct().collect()}:
+        offsets = sorted(r.offset for r in out.where(F.col("partition") == p).collect())
+        assert offsets == list(range(len(offsets)))
+
+
+def test_several_positions_for_a_partition_and_nulls(spark, weekly):
+    ends = {r.partition: r.end_offset for r in weekly.catalog().collect()}
+    rows = [("topic1", 0, 30), ("topic1", 0, 70), ("topic1", 1, None)]
+    at = spark.createDataFrame(rows, "topic string, partition int, next_offset long")
+    got = {r.partition: r["n"] for r in weekly.read("topic1", from_positions=at).groupBy("partition").agg(F.count("*").alias("n")).collect()}
+    assert got == {p: e - (70 if p == 0 else 0) for p, e in ends.items()}
+
+
+def test_restarts_have_no_limit(spark):
+    from rillet.streaming.flows import run_with_restart
+
+    left = [25]
+
+    class Done:
+        def awaitTermination(self):
+            if left[0]:
+                left[0] -= 1
+                raise RuntimeError("again")
+
+    assert run_with_restart(Done, sleep=lambda s: None) == 25
+    left[0] = 3
+    with pytest.raises(RuntimeError):
+        run_with_restart(Done, max_restarts=2, sleep=lambda s: None)
+    delays = backoff_delays(1, 30, 0)
+    assert [next(delays) for _ in range(2000)][-1] == 30
 
 
 def test_keyed_state_grouping_in_order(spark, weekly):
@@ -122,12 +228,12 @@ def test_observed_metrics_and_shutdown(spark, weekly, new_log):
 
     dst = new_log("obs")
     ckpt = scratch_dir(spark, "test-ckpt")
-    q = replicate_stream(weekly, "topic1", "copy", dst, "exactly_once", checkpoint=ckpt, max_segments=2)
+    q = replicate_stream(weekly, "topic1", "copy", dst, "exactly_once", checkpoint=ckpt, max_segments=2, flow="copy")
     q.awaitTermination()
     seen = [p["observedMetrics"]["consumed"] for p in q.recentProgress if p.get("observedMetrics")]
     assert sum(int(m["n_records"]) for m in seen) == weekly.read("topic1").count()
     assert max(int(m["max_offset"]) for m in seen) == max(r.end_offset for r in weekly.catalog().collect()) - 1
-    q2 = replicate_stream(weekly, "topic1", "copy", dst, "exactly_once", checkpoint=ckpt,
+    q2 = replicate_stream(weekly, "topic1", "copy", dst, "exactly_once", checkpoint=ckpt, flow="copy",
                           trigger={"processingTime": "1 second"})
     shutdown(q2)
     assert not q2.isActive
@@ -153,7 +259,7 @@ def test_progress_listener_and_stream_produce(spark, weekly, new_log):
     listener = attach(spark, {"replicate-copy"})
     try:
         dst = new_log("listened")
-        replicate_stream(weekly, "topic1", "copy", dst, "exactly_once", max_segments=2,
+        replicate_stream(weekly, "topic1", "copy", dst, "exactly_once", max_segments=2, flow="replicate-copy",
                          checkpoint=scratch_dir(spark, "test-ckpt")).awaitTermination()
         expected = weekly.read("topic1").count()
 

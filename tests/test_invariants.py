@@ -201,22 +201,3 @@ def test_hot_partition_is_split_across_tasks(spark):
     assert per_task_hot >= 6  # the hot partition spans most tasks
     assert sizes["n"].max() <= 2 * total / len(sizes)  # no task holds much more than its share
     assert offsets == list(range(len(offsets)))
-
-
-def test_index_files_carry_commit_order(spark, new_log):
-    """Index files get strictly increasing modification times in commit order (stream order)."""
-    from rillet.operators.copy import produce_numbers
-    from rillet.sources import fs
-
-    log = new_log("clock")
-    ev = spark.read.parquet(f"{SF}/events.parquet")
-    week = F.concat(F.lit("w"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0"))
-    log.produce(events_to_produced(ev), ["ts", "event_id"], seg=week)
-    produce_numbers(log, 3, "later", seg="z-later")
-    jvm = spark.sparkContext._jvm
-    stamps = []
-    for name in ["w01", "w02", "w03", "w04", "w05", "z-later"]:
-        for path in fs.files_under(spark, f"{log.index_path}/seg={name}"):
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            stamps.append(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime())
-    assert len(stamps) == 6 and stamps == sorted(stamps) and len(set(stamps)) == 6

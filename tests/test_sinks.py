@@ -1,8 +1,7 @@
-"""Sinks (K7-K9), the record stream (S6), merge bound (M1), single and pass-through envelopes."""
+"""Sinks (K7-K9), the record stream (S6), single and pass-through envelopes."""
 
 
 from rillet.operators.copy import produce_numbers
-from rillet.operators.partitions import merge_partitions
 from rillet.operators.routing import explode_envelopes, pass_through_envelope, single_envelope
 from rillet.streaming.sinks import as_text, ignore, print_each, to_memory
 
@@ -31,7 +30,6 @@ def test_single_and_pass_through_envelopes(spark, new_log):
     assert sorted(r.offset for r in passed.select("pass_through.*").collect()) == [0, 1, 2]
 
 
-def test_merge_partitions_bound(spark):
-    df = spark.range(1000).repartition(150)
-    assert merge_partitions(df, 100).rdd.getNumPartitions() == 100
-    assert merge_partitions(df.coalesce(10), 100).rdd.getNumPartitions() == 10
+def test_print_each_prints_every_element(spark, capsys):
+    assert print_each(spark.range(100).selectExpr("id", "'x' AS value")) is None
+    assert sorted(capsys.readouterr().out.split()) == sorted([str(i) for i in range(100)] + ["x"] * 100)

@@ -90,8 +90,12 @@ def _cut(text: str) -> Iterator[str]:
 def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """The model of the labelled rows (doc_id, text, lang); rows with a null text or lang are left out."""
     usable = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
+    # Ids with a hash below twice their language's share; of these the smallest, so no task ranks a whole language.
+    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    share = ids.groupBy("lang").agg((F.lit(2.0 * per_language) / F.count(F.lit(1))).alias("share"))
+    few = ids.join(F.broadcast(share), "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 < F.col("share"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
     sample = usable.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")
     rows = sample.mapInPandas(*_bucket_counts()).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r["lang"] for r in rows})

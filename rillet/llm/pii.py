@@ -229,24 +229,34 @@ def train(found: DataFrame) -> np.ndarray:
     return fit(rows, estimate([(k, v, n) for (k, v), n in sorted(by_vote.items())]))
 
 
-def accepted(weights: np.ndarray, found: str = "") -> Column:
-    """All spans of a row (base and accepted candidates), sorted by start and kind."""
+def decide(base: list, extra: list, weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """All spans of a text, (start, kind, end), sorted: its base spans and the accepted candidates.
+
+    ``base``: (start, kind, end); ``extra``: (start, kind, end, votes, features).
+    """
+    kept = list(base)
+    if extra:
+        kinds, bits = np.array([c[1] for c in extra]), np.array([c[4] for c in extra])
+        p = 1 / (1 + np.exp(-(_design(kinds, bits) @ weights)))
+        for (start, kind, end, *_), x in sorted(zip(extra, p, strict=True), key=lambda y: (-y[1], y[0][0], y[0][1])):
+            if x >= ACCEPT and all(end <= s or start >= e for s, _, e in kept):
+                kept.append((start, kind, end))
+    return sorted(kept)
+
+
+def accepted(weights: np.ndarray) -> Column:
+    """All spans of a staged row: array of (start, kind, end)."""
+    fields, more = ("start", "kind", "end"), ("start", "kind", "end", "votes", "features")
 
     @F.pandas_udf("array<struct<start: long, kind: int, end: long>>")
-    def decide(base: pd.Series, more: pd.Series) -> pd.Series:
+    def spans(base: pd.Series, extra: pd.Series) -> pd.Series:
         out = []
-        for spans, extra in zip(base, more, strict=True):
-            kept = [(s["start"], s["kind"], s["end"]) for s in spans]
-            if len(extra):
-                kinds, bits = np.array([c["kind"] for c in extra]), np.array([c["features"] for c in extra])
-                p = 1 / (1 + np.exp(-(_design(kinds, bits) @ weights)))
-                for c, x in sorted(zip(extra, p, strict=True), key=lambda y: (-y[1], y[0]["start"], y[0]["kind"])):
-                    if x >= ACCEPT and all(c["end"] <= s or c["start"] >= e for s, _, e in kept):
-                        kept.append((c["start"], c["kind"], c["end"]))
-            out.append([{"start": s, "kind": k, "end": e} for s, k, e in sorted(kept)])
+        for own, found in zip(base, extra, strict=True):
+            all_ = decide([tuple(s[f] for f in fields) for s in own], [tuple(c[f] for f in more) for c in found], weights)
+            out.append([dict(zip(fields, s, strict=True)) for s in all_])
         return pd.Series(out)
 
-    return decide(f"{found}base", f"{found}candidates")
+    return spans("base", "candidates")
 
 
 def _listed(spans: Column) -> Column:
@@ -272,25 +282,23 @@ def redact(docs: DataFrame) -> DataFrame:
     are never joined or shuffled.
     """
     weights = train(find_spans(docs.select(F.lit(0).alias("doc_id"), "text")))
-    found = _finder()(F.col("text"))
 
     @F.pandas_udf("string")
-    def replace(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def clean(texts: pd.Series) -> pd.Series:
         out = []
-        for text, own in zip(texts, spans, strict=True):
-            if text is not None and len(own):
+        for text in texts:
+            if isinstance(text, str):
                 parts, at = [], 0
-                for s in own:
-                    if s["start"] >= at:  # base spans of different kinds may overlap
-                        parts += [text[at : s["start"]], f"<{KINDS[s['kind']]}>"]
-                    at = max(at, s["end"])
+                for start, kind, end in decide(base_spans(text), candidates(text), weights):
+                    if start >= at:  # base spans of different kinds may overlap
+                        parts += [text[at:start], f"<{KINDS[kind]}>"]
+                    at = max(at, end)
                 text = "".join([*parts, text[at:]])
             out.append(text)
         return pd.Series(out, dtype=object)
 
     columns = docs.columns
-    spanned = docs.select("*", found.alias("_found")).select("*", accepted(weights, "_found.").alias("_spans"))
-    clean = spanned.withColumn("text", replace("text", "_spans"))
+    out = docs.withColumn("text", clean("text"))
     if "n_chars" in columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*columns)
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*columns)

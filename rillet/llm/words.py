@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 _U = np.uint64
 
@@ -129,15 +129,15 @@ def windows(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray,
     return out, row[whole], at[whole]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``BATCH_BYTES`` of text, one row at least."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, offset = bytes_of(batch.column(text))
         at = 0
         while at < batch.num_rows:
-            to = int(np.searchsorted(offset, offset[at] + BATCH_BYTES, side="right")) - 1
+            to = int(np.searchsorted(offset, offset[at] + size, side="right")) - 1
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
@@ -150,7 +150,7 @@ class IdCache:
     for speed only; beyond ``limit`` words (about 150 bytes each) it starts anew.
     """
 
-    def __init__(self, learn, limit: int = 1_000_000):
+    def __init__(self, learn, limit: int = 300_000):
         self.learn, self.limit = learn, limit
         self._forget()
 

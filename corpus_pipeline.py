@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillet.llm import language_id, near_dedup, packing, pii, quality_rules
-from rillet.llm.staging import staged
-from rillet.session import configure
+from rillet.llm.staging import staged, text_session
 
 #: A document's language stage: the largest share a language must have.
 MIN_LANGUAGE_SHARE = 0.5
@@ -21,11 +20,13 @@ MIN_LANGUAGE_SHARE = 0.5
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the standard policy keeps. The rules are judged in the scan itself: no join."""
+    text_session(spark)
     return quality_rules.keep(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which one learned language has at least half."""
+    text_session(spark)
     model = language_id.train(docs.where(~language_id.held_out()))
     found = docs.withColumn("_language", language_id.predictor(model)("text"))
     return found.where(F.col("_language.score") >= MIN_LANGUAGE_SHARE).select(*docs.columns)
@@ -33,6 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id (of repeated rows, one)."""
+    text_session(spark)
     groups = staged(near_dedup.near_duplicates(docs, k=5, percent=80).select("doc_id", "component_id"), "groups")
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -51,11 +53,13 @@ def _joined(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each span of personal data replaced by its kind."""
+    text_session(spark)
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their place in sequences of 2048 ids."""
+    text_session(spark)
     return packing.digest(docs)
 
 
@@ -73,7 +77,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole ``documents`` table, each staged in the shared folder."""
-    configure(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rillet.llm.words import give_back
+
 BUCKETS = 1 << 16
 #: Labelled documents read per language, at most (chosen by a hash of their id).
 SAMPLE_PER_LANGUAGE = 1500
@@ -178,7 +180,9 @@ def predictor(model: Model):
             if size > PIECE or i + 1 == len(lengths):
                 out.append(mixtures(texts.iloc[at : i + 1], model))
                 at, size = i + 1, 0
-        return pd.concat(out) if out else mixtures(texts, model)
+        found = pd.concat(out) if out else mixtures(texts, model)
+        give_back()
+        return found
 
     return predict
 

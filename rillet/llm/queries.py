@@ -19,11 +19,11 @@ from rillet.llm import (
     topk_search,
 )
 from rillet.llm.oracles import ORACLES as ORACLES
-from rillet.session import configure
+from rillet.llm.staging import text_session
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    configure(spark)
+    text_session(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

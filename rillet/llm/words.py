@@ -7,6 +7,8 @@ each byte of text, so batches are cut to ``BATCH_BYTES``; one longer text is one
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -129,6 +131,15 @@ def windows(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray,
     return out, row[whole], at[whole]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers stay alive, idle, after their task."""
+    gc.collect(0)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``size`` bytes of text, one row at least."""
     for batch in batches:
@@ -141,6 +152,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BA
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 class IdCache:
@@ -150,7 +162,7 @@ class IdCache:
     for speed only; beyond ``limit`` words (about 150 bytes each) it starts anew.
     """
 
-    def __init__(self, learn, limit: int = 300_000):
+    def __init__(self, learn, limit: int = 150_000):
         self.learn, self.limit = learn, limit
         self._forget()
 

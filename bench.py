@@ -28,6 +28,7 @@ from rillet.session import get_session, scratch_dir  # noqa: E402
 from rillet.sources.generate import events_to_produced  # noqa: E402
 from rillet.sources import fs  # noqa: E402
 from rillet.sources.log import TopicLog  # noqa: E402
+from rillet.streaming.external import stop_positions  # noqa: E402
 from rillet.streaming.flows import replicate_stream  # noqa: E402
 
 
@@ -67,7 +68,7 @@ def main() -> None:
 
         def stream(guarantee):
             dst = log_at(f"b-{guarantee}")
-            q = replicate_stream(src, "topic1", "test1", dst, guarantee, max_segments=2)
+            q = replicate_stream(src, "topic1", "test1", dst, guarantee, max_segments=2, flow="copy")
             q.awaitTermination()
             return dst.read("test1").count()
 
@@ -84,7 +85,8 @@ def main() -> None:
         timed("grouped_within", lambda: grouped_within(recs, 20, 5 * 3600).collect())
         timed("topic_catalog", lambda: src.catalog().collect())
         lag_dst = log_at("b-lag")
-        replicate(src, "topic1", "test1", dst=lag_dst, fn=lambda d: d.where(F.col("timestamp") < F.lit("2024-01-15")))
+        stop = stop_positions(src.read("topic1"), F.col("timestamp") < F.lit("2024-01-15"))
+        replicate(src, "topic1", "test1", dst=lag_dst, to_positions=stop)
         timed("consumer_lag", lambda: consumer_lag(src.catalog(["topic1"]), lag_dst.committed_positions("group1"), "group1").collect())
 
     def clean() -> None:

@@ -22,19 +22,19 @@ def _produce_texts(spark, log, topic, texts, partition=0, key=None):
 
 
 def test_produce_three_reports(new_log):
-    out = produce_numbers(new_log(), 3, "topicoejemplo").orderBy("offset").collect()
+    out = produce_numbers(new_log(), 3, "numbers").orderBy("offset").collect()
     assert [r.report for r in out] == [
-        "topicoejemplo/0 0: 1",
-        "topicoejemplo/0 1: 2",
-        "topicoejemplo/0 2: 3",
+        "numbers/0 0: 1",
+        "numbers/0 1: 2",
+        "numbers/0 2: 3",
     ]
     assert [r.pass_through for r in out] == [1, 2, 3]
 
 
 def test_produce_key_and_partition(new_log):
     log = new_log()
-    produce_numbers(log, 3, "topicoejemplo")
-    rows = log.read("topicoejemplo").collect()
+    produce_numbers(log, 3, "numbers")
+    rows = log.read("numbers").collect()
     assert {(r.partition, r.key) for r in rows} == {(0, "key")}
 
 

@@ -25,6 +25,7 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,6 +51,8 @@ class WordEncoder:
     The tokenizer lower-cases, drops white space, and never joins a letter with punctuation
     other than an apostrophe, so a text's ids are the ids of its parts between such borders.
     Only borders between ASCII characters are cut: anything else may compose or be a symbol.
+    The tokenizer's added tokens are matched in plain text, across such borders: texts that hold
+    one go through it whole.
     """
 
     def __init__(self, path: str):
@@ -57,14 +60,32 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [(t.content, t.normalized) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache = IdCache(self._ids)
 
     def _ids(self, words: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
+    def _with_added(self, texts: pa.Array) -> np.ndarray:
+        """Which texts hold one of the tokenizer's added tokens (in any case, if it is matched after normalization)."""
+        out = np.zeros(len(texts), bool)
+        for content, normalized in self.added:
+            found = pc.match_substring(texts, content, ignore_case=normalized)
+            out |= pc.fill_null(found, False).to_numpy(zero_copy_only=False)
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids in each text)."""
-        return self.cache.encode(words_of(texts, NOT_SPACE, cut=[(LETTER, PUNCTUATION), (PUNCTUATION, LETTER)]))
+        whole = self._with_added(texts)
+        at = np.flatnonzero(whole)
+        parts = pc.if_else(pa.array(~whole), texts, pa.scalar(None, texts.type)) if len(at) else texts
+        ids, counts = self.cache.encode(words_of(parts, NOT_SPACE, cut=[(LETTER, PUNCTUATION), (PUNCTUATION, LETTER)]))
+        if len(at):
+            own = [np.array(self._ids([texts[i].as_py().encode()])[0], ids.dtype) for i in at.tolist()]
+            length = np.array([len(x) for x in own])
+            ids = np.insert(ids, np.repeat(np.cumsum(counts)[at], length), np.concatenate(own))
+            counts[at] = length
+        return ids, counts
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -66,6 +66,29 @@ TEXTS = [
 ]
 
 
+MARKED = [
+    "end <|endoftext|> next",
+    "a<|endoftext|>b, C.<|startoftext|><|endoftext|>",
+    "plain (text)",
+    None,
+    "End <|ENDOFTEXT|> next <|endof text|>",
+    "<|endoftext|>",
+    "word, " * 3000 + "<|endoftext|>" + " Über x.y" * 50,
+    "",
+]
+
+
+def test_added_tokens_are_found_in_the_text(spark):
+    import pyarrow as pa
+
+    ids, counts = p.WordEncoder(p.tokenizer_path()).encode(pa.array(MARKED))
+    got = [[*x.tolist(), p.END_ID] for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == encode(MARKED)
+    rows = p.digest(spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")).collect()
+    want = {i: (len(x), zlib.crc32(np.array(x[: p.CAPACITY], "<u4").tobytes())) for i, x in enumerate(encode(MARKED))}
+    assert {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in rows if r["start"] == 0} == want
+
+
 def test_pieces_hold_every_id_once(spark):
     rng = random.Random(2)
     texts = TEXTS + [" ".join(rng.choices(["the", "Of", "x1.", "über,", "(a)"], k=rng.randint(0, 900))) for _ in range(120)]

@@ -2,8 +2,8 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written as Parquet and read again as the next stage's ``docs``. All
-stages but the last return the columns of ``docs``; rows with a null id go at the
-near-duplicate stage (they cannot be told apart), empty and null texts at the first.
+stages but the last return the columns of ``docs``; empty and null texts go at the first.
+Rows with a null id, or the same one, are told apart by their texts.
 """
 
 from __future__ import annotations
@@ -33,22 +33,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id (of repeated rows, one)."""
+    """One document of each group: the one with the smallest id, null last (of repeated rows, one)."""
     text_session(spark)
-    groups = staged(near_dedup.near_duplicates(docs, k=5, percent=80).select("doc_id", "component_id"), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = _joined(docs.where("doc_id IS NOT NULL"), gone, "left_anti")
+    key = near_dedup.ROW
+    groups = staged(near_dedup.grouped(docs, k=5, percent=80).select(*key, "first"), "groups")
+    gone = groups.where("NOT first").select(*key).distinct()
+    twice = groups.where("first").groupBy(*key).count().where("count > 1").select(*key)
+    kept = _joined(near_dedup.with_row(docs), gone, "left_anti")
     if twice.isEmpty():
         return kept.select(*docs.columns)
-    once = _joined(kept, twice, "left_semi").dropDuplicates(["doc_id", "text"])
+    once = _joined(kept, twice, "left_semi").dropDuplicates(key)
     return _joined(kept, twice, "left_anti").select(*docs.columns).union(once.select(*docs.columns))
 
 
-def _joined(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Ids are broadcast up to a checked number of rows (8 bytes each); beyond it both sides are shuffled."""
-    few = ids.limit(near_dedup.BROADCAST_IDS + 1).count() <= near_dedup.BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", how)
+def _joined(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Keys are broadcast up to a checked number of rows (16 bytes each); beyond it both sides are shuffled."""
+    few = keys.limit(near_dedup.BROADCAST_IDS + 1).count() <= near_dedup.BROADCAST_IDS
+    return docs.join(F.broadcast(keys) if few else keys.hint("shuffle_hash"), near_dedup.ROW, how)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Near-duplicate groups: a multi-index Hamming join over b-bit MinHash signatures.
 
 1. A document's set of word shingles gives its size, a 128-bit fingerprint and a signature
-   of ``CHUNKS * WIDTH`` b-bit minhash symbols. Equal sets are one class from here on.
+   of ``CHUNKS * WIDTH`` b-bit minhash symbols. Equal sets are one class from here on, with a
+   number of its own, so that rows without an id or with the same one are not mixed up.
 2. The signature is split into ``CHUNKS`` chunks. By the pigeonhole principle, signatures that
    differ in at most ``CHUNKS * (ERRORS + 1) - 1`` symbols have a chunk with at most ``ERRORS``
    differing symbols; each chunk is indexed once per choice of ``ERRORS`` positions left out, so
@@ -32,7 +33,7 @@ CHUNKS, WIDTH, ERRORS = 8, 5, 1
 SYMBOLS = CHUNKS * WIDTH
 #: A pair whose signatures differ in more symbols is not compared: P(more | 0.85) < 1e-8.
 MAX_DISTANCE = 21
-#: Ids of documents to be fetched are broadcast up to this many rows (8 bytes each), else shuffled.
+#: Keys of rows to be fetched are broadcast up to this many rows (24 bytes each), else shuffled.
 BROADCAST_IDS = 1_000_000
 STAR_ROUNDS = 2
 #: Members of different components in buckets beyond this size are paired by their rarest shingles.
@@ -66,9 +67,19 @@ def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return whole[fresh], np.bincount(row[fresh], minlength=words.n)
 
 
+#: What tells rows apart: 128 bits of the id and the text.
+ROW = ["row_a", "row_b"]
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """The rows with ``ROW``, which are equal where id and text are; null is a value of its own."""
+    parts = [F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), F.col("text")]
+    return docs.withColumns({"row_a": F.xxhash64(*parts), "row_b": F.xxhash64(F.lit("row"), *parts[::-1])})
+
+
 def _signatures(k: int):
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary())]
+        [(c, pa.int64()) for c in ("doc_id", *ROW, "n_shingles", "set_a", "set_b")] + [("signature", pa.binary())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,10 +100,10 @@ def _signatures(k: int):
             width = SYMBOLS * 2
             binary = pa.array([raw[i * width : (i + 1) * width] for i in range(len(counts))], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(counts.astype(np.int64)), *signed, binary], schema=schema
+                [*[batch.column(c).cast(pa.int64()) for c in ("doc_id", *ROW)], pa.array(counts.astype(np.int64)), *signed, binary], schema=schema
             )
 
-    return run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
+    return run, "doc_id long, row_a long, row_b long, n_shingles long, set_a long, set_b long, signature binary"
 
 
 def _chunk_keys():
@@ -104,7 +115,7 @@ def _chunk_keys():
             if not n:
                 continue
             symbols = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(n, SYMBOLS).astype(_U)
-            ids = batch.column("doc_id")
+            ids = batch.column("class")
             for chunk in range(CHUNKS):
                 for left_out in range(WIDTH):
                     key = np.full(n, chunk * WIDTH + left_out + 1, _U)
@@ -131,32 +142,34 @@ def _distance():
 def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and signatures allow the wanted similarity."""
     side = lambda s: classes.select(
-        F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("signature").alias(f"s_{s}")
+        F.col("class").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("signature").alias(f"s_{s}")
     )
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     sized = both.where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
     return sized.where(_distance()("s_a", "s_b") <= MAX_DISTANCE).select("a", "b")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """The full shingle sets of the wanted documents."""
+def _sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(class, shingles): the full shingle sets of the wanted classes, from the row that stands for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             hashes, counts = shingles(batch.column("text"), k)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), lists], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("class"), lists], names=["class", "shingles"])
 
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = F.broadcast(ids) if few else ids.hint("shuffle_hash")
-    chosen = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi")
-    return staged(chosen.mapInArrow(run, "doc_id long, shingles array<long>"), "shingle-sets")
+    wanted = classes.join(ids, classes["class"] == ids["id"], "left_semi").select("class", *[F.col(f"best.{c}").alias(c) for c in ROW])
+    wanted = F.broadcast(wanted) if few else wanted.hint("shuffle_hash")
+    chosen = docs.join(wanted, ROW).select("class", "text")
+    # Rows repeated with id and text are read more than once.
+    return staged(chosen.mapInArrow(run, "class long, shingles array<long>").dropDuplicates(["class"]), "shingle-sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with 100 * |intersection| >= percent * |union| on full sets."""
-    side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"x_{s}"))
+    side = lambda s: sets.select(F.col("class").alias(s), F.col("shingles").alias(f"x_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("x_a", "x_b"))
     sizes = F.size("x_a") + F.size("x_b")
@@ -192,7 +205,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     shingles from that one on: the first shared one can't have fewer left, on either side,
     than must be common.
     """
-    rows = sets.select(F.col("doc_id").alias("id"), F.explode("shingles").alias("key"))
+    rows = sets.select(F.col("class").alias("id"), F.explode("shingles").alias("key"))
     rare = rows.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
     ordered = rows.join(rare, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("all"))
     n = F.size("all")
@@ -201,21 +214,22 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return first.where("t.f > 1").select("t.key", "id", (F.col("size") - F.col("at")).alias("left"), "size")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document with an id.
+def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, row_a, row_b, n_shingles, component_id, first) of every row.
 
-    ``docs`` has doc_id (integer) and text; other columns are not read. Null ids are left out;
-    null or empty texts and texts without words have an empty set and stay alone. Repeated rows
-    stay repeated. Works for thresholds of about 0.8 and more, for which the index is laid out.
+    ``docs`` has doc_id (integer) and text; other columns are not read. ``component_id`` is the
+    smallest id of the component, null if it has none. ``first`` marks one text of each
+    component, that of the smallest id (all rows with that id and text). Null or empty texts and
+    texts without words have an empty set and stay alone. Works for thresholds of about 0.8 and
+    more, for which the index is laid out.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    docs = with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     signed = staged(docs.mapInArrow(*_signatures(k)), "signatures")
     same = ["set_a", "set_b", "n_shingles"]
-    classes = staged(
-        signed.where("n_shingles > 0").groupBy(*same).agg(F.min_by("signature", "doc_id").alias("signature"), F.min("doc_id").alias("doc_id")),
-        "classes",
-    )
-    keys = classes.select("doc_id", "signature").mapInArrow(*_chunk_keys())
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW)
+    classes = signed.where("n_shingles > 0").groupBy(*same).agg(F.first("signature").alias("signature"), F.min(best).alias("best"))
+    classes = staged(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    keys = classes.select("class", "signature").mapInArrow(*_chunk_keys())
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = staged(keys.join(heads.select("key", "head"), "key"), "buckets")
 
@@ -236,7 +250,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         star = star.union(more)
     star = staged(star.distinct(), "star")
     ids = lambda p: p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct()
-    links = staged(_confirmed(star, _sets(docs, staged(ids(star), "ids"), k), percent), "links")
+    links = staged(_confirmed(star, _sets(docs, staged(ids(star), "ids"), classes, k), percent), "links")
     found = staged(components(links), "found")
 
     # What is left: members of one bucket in different components, but for its largest one.
@@ -247,24 +261,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     open_ = staged(placed.join(largest, "key"), "open")
     few = _across(open_.where(F.col("n") <= CROWD))
     crowd = staged(open_.where(F.col("n") > CROWD).select("id", "component").distinct(), "crowd")
-    sets = _sets(docs, crowd.select("id").distinct(), k)
+    sets = _sets(docs, crowd.select("id").distinct(), classes, k)
     prefixes = _prefixes(sets, percent).join(crowd, "id")
     common = F.expr(f"(100 + {percent}) * least(left, _left) >= {percent} * (size + _size)")
     shared = _across(prefixes.join(_largest(prefixes).drop("n"), "key"), common)
     across = few.union(shared).distinct()
     known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = staged(_close(across.join(known, ["a", "b"], "left_anti"), classes, percent), "across")
-    more = _confirmed(rest, _sets(docs, staged(ids(rest), "ids"), k), percent)
-    grouped = components(links.union(more))
-
-    placed = classes.join(grouped.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        *same, F.coalesce("component", "doc_id").alias("component")
-    )
-    return signed.select("doc_id", *same).join(placed, same, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+    more = _confirmed(rest, _sets(docs, staged(ids(rest), "ids"), classes, k), percent)
+    linked = components(links.union(more)).withColumnRenamed("id", "class")
+
+    placed = classes.join(linked, "class", "left").select(*same, "best", F.coalesce("component", "class").alias("component"))
+    firsts = placed.groupBy("component").agg(F.min("best").alias("first"))
+    placed = placed.join(firsts, "component").select(*same, "first")
+    is_first = F.coalesce((F.col("row_a") == F.col("first.row_a")) & (F.col("row_b") == F.col("first.row_b")), F.lit(True))
+    id_ = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return signed.select("doc_id", *ROW, *same).join(placed, same, "left").select(
+        "doc_id", *ROW, "n_shingles", id_.alias("component_id"), is_first.alias("first")
     )
 
 
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document with an id; repeated rows stay repeated."""
+    return grouped(docs.where("doc_id IS NOT NULL"), k, percent).select("doc_id", "n_shingles", "component_id")
+
+
 def digest(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
-    groups = near_duplicates(docs, k, percent)
+    """As the SQL has it: rows without an id have no shingles and no component."""
+    none = F.lit(None).cast("long")
+    lone = docs.where("doc_id IS NULL").select(none.alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), none.alias("component_id"))
+    groups = near_duplicates(docs, k, percent).union(lone)
     return groups.withColumn("kept", F.col("doc_id") == F.col("component_id"))

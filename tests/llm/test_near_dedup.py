@@ -82,6 +82,22 @@ def test_no_rows_null_ids_and_repeated_rows(spark):
     assert got(spark, rows, 3, 85) == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
 
 
+def test_null_and_repeated_ids_lose_no_text(spark):
+    import corpus_pipeline
+
+    texts = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcd"}
+    # One id with two texts, one of them a copy of a smaller id's; texts without an id.
+    rows = [(1, texts["a"]), (5, texts["a"]), (5, texts["b"]), (None, texts["c"]), (None, texts["c"] + " x"), (None, texts["d"]), (7, texts["d"])]
+    rows += [(None, texts["c"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    assert (1, texts["a"]) in kept and (5, texts["b"]) in kept and (7, texts["d"]) in kept and len(kept) == 4
+    assert sum(i is None and t.startswith(texts["c"]) for i, t in kept) == 1
+    # The query has a row for each, as its SQL does.
+    found = near_dedup.digest(df).collect()
+    assert len(found) == len(rows) and sum(r["doc_id"] is None and r["component_id"] is None and r["n_shingles"] == 0 for r in found) == 4
+
+
 def test_components_of_chains_stars_and_rings(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(30)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)]

@@ -48,6 +48,8 @@ CANDIDATES = [
 ]
 #: A candidate of a kind can only be where one of these strings is.
 _NEEDS = {"key": None, "token": ("=", ":"), "password": ("=", ":"), "idnumber": ("-",), "iban": None}
+#: Kinds whose pattern needs a digit.
+_WITH_DIGIT = {"idnumber", "iban"}
 
 # Gazetteers.
 KEY_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-", "sk-", "sk_live_", "pk_live_", "rk_live_")
@@ -130,7 +132,7 @@ def candidates(text: str) -> list[tuple[int, int, int, int, int]]:
     out = []
     for kind, pattern in CANDIDATES:
         needs = _NEEDS[kind]
-        if not _DIGIT.search(text) or (needs and not any(c in text for c in needs)):
+        if (kind in _WITH_DIGIT and not _DIGIT.search(text)) or (needs and not any(c in text for c in needs)):
             continue
         for m in pattern.finditer(text):
             value, start, end = m["v"], m.start("v"), m.end("v")

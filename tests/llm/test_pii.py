@@ -71,6 +71,13 @@ def test_the_method_adds_secrets_and_leaves_clean_texts(found):
     assert found[0]["spans"] == found[1]["spans"] == found[2]["spans"] == ""
 
 
+def test_candidates_do_not_depend_on_a_digit_elsewhere():
+    for text in ("password=CorrectHorseBattery", "api_key: abcdefghijk", "x ABCDQRSTUVWXABCDEFGHIJ y"):
+        found = pii.candidates(text + " end")
+        assert found and found == pii.candidates(text + " end 7"), text
+    assert pii.candidates("no cue - here") == []
+
+
 def test_expectation_maximisation_finds_reliable_labelers():
     # Votes of all labelers but the last agree; the last votes the other way round.
     yes = sum(2 * 3**i for i in range(4))

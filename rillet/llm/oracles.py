@@ -68,7 +68,25 @@ r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+LINE_DEDUP = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+k AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l),
+h AS (SELECT key, count(DISTINCT r) AS n, max(doc_id) AS largest FROM k WHERE length(key) >= 20 GROUP BY key),
+m AS (
+  SELECT k.r, k.doc_id, k.line, k.i,
+    h.key IS NOT NULL AND h.n >= 3 AND h.largest IS NOT NULL AND k.doc_id IS DISTINCT FROM h.largest AS gone
+  FROM k LEFT JOIN h ON k.key = h.key)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r
+"""
+
 ORACLES: dict[str, str] = {
+    "op13_line_dedup": LINE_DEDUP,
     "op2_topk_search": TOP_K,
     "op5_near_dedup": NEAR_DEDUP,
     "op1_quality_rules": QUALITY,

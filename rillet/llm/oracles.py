@@ -141,7 +141,88 @@ SELECT k.doc_id, k.leaf, s.h AS subroot, root.h AS root, sha256(e.proof) AS proo
 FROM k JOIN e ON k.r = e.r JOIN s ON k.source IS NOT DISTINCT FROM s.source, root
 """
 
+
+def _least(*items: str) -> str:
+    return f"list_sort([{', '.join(items)}])[1]"
+
+
+def _more(item: str, cost: str, letter: str, turn: str = "''") -> str:
+    """An item after one edit; turns are joined by line ends."""
+    return f"{{'c': {item}.c + {cost}, 'a': {item}.a || '{letter}', 't': {item}.t || {turn}}}"
+
+
+_NEVER = "{'c': 1000000000::BIGINT, 'a': '', 't': ''}"
+_STAY = "CASE WHEN fault IN (1, 2) THEN 1000000000 WHEN fault = 3 THEN 5 ELSE 0 END"
+_KEEP = "chr(10) || role || ':' || text"
+
+
+def _keep(item: str, initial: str) -> str:
+    return f"CASE WHEN left(role, 1) = '{initial}' THEN {_more(item, _STAY, 'K', _KEEP)} ELSE {_NEVER} END"
+
+
+def _rerole(item: str, due: str) -> str:
+    return _more(item, f"{_STAY} + 1", "R", f"chr(10) || '{due}:' || text")
+
+
+#: States: e0 start, e1 after the system turn, e2 after a user's, e3 after an assistant's.
+_TO_USER = [f(x) for x in ("e0", "e1", "e3") for f in (lambda e: _keep(e, "u"), lambda e: _rerole(e, "user"))]
+
+REPAIR = rf"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+c AS (  -- crc32 of each name, bit by bit
+  SELECT name, 0 AS i, 4294967295::UBIGINT AS crc FROM (SELECT DISTINCT name FROM src)
+  UNION ALL
+  SELECT name, i + 1, list_reduce(list_prepend(xor(crc, ord(name[i + 1])::UBIGINT), range(8)::UBIGINT[]),
+    lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)
+  FROM c WHERE i < length(name)),
+kinds AS (SELECT name, xor(crc, 4294967295::UBIGINT) % 20 AS kind FROM c WHERE i = length(name)),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))
+  FROM src JOIN kinds USING (name)),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    regexp_replace(text, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS body
+  FROM d),
+r AS (
+  SELECT *, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair,
+    CASE WHEN body = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+      WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault
+  FROM o),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (WHERE fault = 1)::BIGINT AS blank, count(*) FILTER (WHERE fault = 2)::BIGINT AS duplicate,
+    count(*) FILTER (WHERE fault = 3)::BIGINT AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal
+  FROM r GROUP BY conv_id),
+w AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS e0, {_NEVER} AS e1, {_NEVER} AS e2, {_NEVER} AS e3
+  FROM src
+  UNION ALL
+  SELECT conv_id, i + 1, {_more('e0', '2', 'D')}, {_least(_more('e1', '2', 'D'), _keep('e0', 's'))},
+    {_least(_more('e2', '2', 'D'), *_TO_USER)}, {_least(_more('e3', '2', 'D'), _keep('e2', 'a'), _rerole('e2', 'assistant'))}
+  FROM (
+    SELECT p.conv_id, p.i, e0, e1, e2, {_least('e3', _more('e2', '5', 'I', "chr(10) || 'assistant:'"))} AS e3, role, text, fault
+    FROM (
+      SELECT w.conv_id, w.i, e0, e1, e3,
+        {_least('e2', *[_more(x, '5', 'I', "chr(10) || 'user:'") for x in ('e0', 'e1', 'e3')])} AS e2
+      FROM w) p
+    JOIN r ON p.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = p.i + 1)),
+z AS (
+  SELECT conv_id, e0, {_least('e3', _more('e2', '5', 'I', "chr(10) || 'assistant:'"))} AS e3 FROM (
+    SELECT conv_id, e0, e3, {_least('e2', *[_more(x, '5', 'I', "chr(10) || 'user:'") for x in ('e0', 'e1', 'e3')])} AS e2
+    FROM w QUALIFY i = max(i) OVER (PARTITION BY conv_id)))
+SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, {_least('e0', 'e3')}.c AS cost,
+  {_least('e0', 'e3')}.a AS audit, sha256(substr({_least('e0', 'e3')}.t, 2)) AS repaired_sha256
+FROM z LEFT JOIN n ON z.conv_id IS NOT DISTINCT FROM n.conv_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op12_conversation_repair": REPAIR,
     "op11_merkle_manifest": MERKLE,
     "op13_line_dedup": LINE_DEDUP,
     "op2_topk_search": TOP_K,

@@ -89,6 +89,25 @@ COMMIT_SCHEMA = T.StructType(
     ]
 )
 
+# A commit as stored: the records [begin_offset, next_offset) of one log (by its root) were consumed.
+STORED_COMMIT_SCHEMA = T.StructType(
+    [
+        *COMMIT_SCHEMA.fields,
+        T.StructField("begin_offset", T.LongType(), True),
+        T.StructField("source", T.StringType(), True),
+    ]
+)
+
+# What a group has consumed of a partition: disjoint ranges, the end not included.
+RANGE_SCHEMA = T.StructType(
+    [
+        T.StructField("topic", T.StringType(), False),
+        T.StructField("partition", T.IntegerType(), False),
+        T.StructField("begin_offset", T.LongType(), False),
+        T.StructField("next_offset", T.LongType(), False),
+    ]
+)
+
 CATALOG_SCHEMA = T.StructType(
     [
         T.StructField("topic", T.StringType(), False),

@@ -51,29 +51,33 @@ def positions(
     group_id: str = DEFAULT_GROUP,
     grouping: tuple | None = None,
 ) -> DataFrame:
-    """Positions to commit for consumed records (group_id, topic, partition, next_offset).
+    """Positions to commit for consumed records (group_id, topic, partition, begin_offset, next_offset).
 
     ``grouping``: None - one position per partition (G1); ``("batch", n)`` - one per
     batch of n offsets (G2 / G3); ``("within", n, seconds)`` - one per count-or-time
     group (G4). The latest position is the same either way; the commit log differs.
     """
-    cols = ["group_id", "topic", "partition", "next_offset"]
+    cols = ["group_id", "topic", "partition", "begin_offset", "next_offset"]
     if grouping is None:
-        return commit_positions(consumed.select("topic", "partition", "offset"), group_id)
+        return consumed.groupBy("topic", "partition").agg(
+            F.min("offset").alias("begin_offset"), (F.max("offset") + 1).alias("next_offset")
+        ).select(F.lit(group_id).alias("group_id"), *cols[1:])
     kind = grouping[0]
     if kind == "batch":
-        return commit_batches(consumed.select("topic", "partition", "offset"), grouping[1], group_id).select(*cols)
+        batches = commit_batches(consumed.select("topic", "partition", "offset"), grouping[1], group_id)
+        return batches.withColumnRenamed("first_offset", "begin_offset").select(*cols)
     if kind == "within":
         from rillet.operators.grouped_within import grouped_within
 
         groups = grouped_within(consumed, grouping[1], grouping[2])
-        return groups.select(F.lit(group_id).alias("group_id"), "topic", "partition", "next_offset")
+        groups = groups.withColumnRenamed("first_offset", "begin_offset")
+        return groups.select(F.lit(group_id).alias("group_id"), *cols[1:])
     raise ValueError(f"unknown grouping {grouping!r}")
 
 
 def open_positions(rows: DataFrame, group_id: str = DEFAULT_GROUP) -> DataFrame:
     """Positions of the records of open groups, for their commit at the end of a stream."""
-    return commit_positions(rows.select("topic", "partition", "offset"), group_id)
+    return positions(rows, group_id)
 
 
 OPEN_GROUP_SCHEMA = "topic string, partition int, offset long, timestamp timestamp"
@@ -108,7 +112,7 @@ def grouped_commits_carrying(
     tagged = join_small(groups, last, ["topic", "partition"])
     is_open = (F.col("first_offset") == F.col("_last")) & (F.col("n_records") < n)
     closed = tagged.where(~is_open).select(
-        F.lit(group_id).alias("group_id"), "topic", "partition", "next_offset"
+        F.lit(group_id).alias("group_id"), "topic", "partition", F.col("first_offset").alias("begin_offset"), "next_offset"
     )
     starts = tagged.where(is_open).select("topic", "partition", F.col("first_offset").alias("_open"))
     still_open = join_small(rows, starts, ["topic", "partition"]).where(F.col("offset") >= F.col("_open"))

@@ -11,13 +11,13 @@ where the group open at its start began - one of ``n + 1`` possibilities - so:
 
 1. every chunk computes, in parallel, its exit for each possible entry
    (vectorised: next-start table, then pointer doubling);
-2. per partition, a scan over the chunk exit tables (one small row per chunk)
-   fixes each chunk's real entry;
+2. exit tables are functions from entry to exit: those of ``FAN`` neighbouring chunks are
+   composed into one, level by level, until a partition is one table; on the way back each
+   level's tables hand their entries down, which fixes each chunk's real entry;
 3. every chunk, in parallel, labels its groups from that entry and emits group
    fragments, which a hash aggregate merges across chunk borders.
 
-A partition's chunk entries (one number for each possible entry and chunk) are walked in one
-task; ``chunk_size`` bounds how many there are.
+No task holds more than one chunk's records, or ``FAN`` tables of n + 1 numbers.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from rillet.session import scratch_dir
 
 #: Records of a chunk.
 CHUNK = 100_000
+#: Exit tables composed into one.
+FAN = 1_000
 
 _KEYS = ["topic", "partition", "chunk"]
 
@@ -95,21 +97,46 @@ def _exits(n: int, d: int):
     return run
 
 
-def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per partition: walk the chunks in order, each entry is the previous chunk's exit."""
+def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One table for neighbouring ones: each possible entry led through all of them."""
+    at = None
+    for exits in pdf.sort_values("chunk")["exits"]:
+        exits = np.asarray(exits, dtype=np.int64)
+        at = exits if at is None else np.where(at >= 0, exits[at], -1)
+    row = pdf.iloc[:1][["topic", "partition", "above"]].rename(columns={"above": "chunk"})
+    return row.assign(exits=[at.tolist()])
+
+
+def _hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The entry of each of a group's tables, in order, from the entry of the group."""
     pdf = pdf.sort_values("chunk")
-    entry, entries = 0, []
+    at, entries = int(pdf["entry"].iloc[0]), []
     for exits in pdf["exits"]:
-        entries.append(entry)
-        entry = int(exits[entry])
-    return pd.DataFrame(
-        {
-            "topic": pdf["topic"].to_numpy(),
-            "partition": pdf["partition"].to_numpy(dtype=np.int32),
-            "chunk": pdf["chunk"].to_numpy(dtype=np.int64),
-            "entry": np.asarray(entries, dtype=np.int64),
-        }
-    )
+        entries.append(at)
+        at = int(exits[at])
+    return pdf[["topic", "partition", "chunk"]].assign(entry=np.asarray(entries, dtype=np.int64))
+
+
+def _entries(exits: DataFrame) -> DataFrame:
+    """(topic, partition, chunk, entry) of all tables (topic, partition, chunk, exits)."""
+    spark = exits.sparkSession
+    ddl = "topic string, partition int, chunk long, exits array<long>"
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = scratch_dir(spark, "chunk-exits")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    levels = [kept(exits).withColumn("above", F.floor(F.col("chunk") / FAN))]
+    while (levels[-1].agg(F.max("chunk")).first()[0] or 0) >= FAN:
+        composed = levels[-1].groupBy(*TP, "above").applyInPandas(_compose, ddl)
+        levels.append(kept(composed).withColumn("above", F.floor(F.col("chunk") / FAN)))
+    above = levels[-1].select(*TP, "above").distinct().withColumn("entry", F.lit(0).cast("long"))
+    for level in reversed(levels):
+        told = join_small(level, above, [*TP, "above"])
+        found = told.groupBy(*TP, "above").applyInPandas(_hand_down, "topic string, partition int, chunk long, entry long")
+        above = kept(found).withColumnRenamed("chunk", "above")
+    return above.withColumnRenamed("above", "chunk")
 
 
 def _fragments(n: int, d: int):
@@ -172,11 +199,7 @@ def grouped_within(
     exits = rows.groupBy(*_KEYS).applyInPandas(
         _exits(n, d), "topic string, partition int, chunk long, exits array<long>"
     )
-    # written once: the walk over the chunks runs a single time, and its size is known from here on
-    spark = records.sparkSession
-    path = scratch_dir(spark, "chunk-entries")
-    exits.groupBy(*TP).applyInPandas(_resolve, "topic string, partition int, chunk long, entry long").write.parquet(path)
-    entries = spark.read.parquet(path)
+    entries = _entries(exits)
     # halo-only chunks past a partition's end have no entry and drop out here
     labelled = join_small(rows, entries, _KEYS)
     frags = labelled.groupBy(*_KEYS).applyInPandas(_fragments(n, d), out_schema)

@@ -3,7 +3,18 @@
 Offsets are dense per (topic, partition), starting at the partition's current
 end offset, in a caller-given order. A window ``row_number() over (partition by
 topic, partition ...)`` would put a whole partition in one task; a hot partition
-can hold a third of a topic, so we use a two-pass prefix sum instead:
+can hold a third of a topic. Records that lie in their order already, split by split
+(a table written in order, a topic log), are numbered where they are (``assign_in_splits``):
+
+1. a narrow pass counts the records of each (input split, topic, partition) and takes their
+   least and greatest order values; a split is named by its task, file and block;
+2. when the splits of a target don't overlap in the order, prefix sums over them give each
+   its first offset, and prefix sums over a task its place in the task;
+3. the record pass sorts inside each task, numbers the rows and joins the small table: a scan,
+   a local sort, a broadcast join and the write. No shuffle of records.
+
+Where splits overlap, or records come out of a shuffle, a two-pass prefix sum over range
+slices is used instead (``assign_offsets``):
 
 1. range-partition on (topic, partition, order...) - the order columns make the
    keys fine-grained, so a hot partition is split over many tasks - sort inside
@@ -148,6 +159,93 @@ def assign_offsets(
     return out.drop("_rid", "_slice", "_first", "_start")
 
 
+_SPLIT = ["_task", "_file", "_block"]
+
+
+def _shuffled(node) -> bool:
+    """True when the rows of a physical plan come out of a shuffle (what is broadcast to them may)."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _shuffled(node.initialPlan())
+    if kind == "BroadcastExchangeExec":
+        return False
+    if "Exchange" in kind:
+        return True
+    kids = node.children()
+    return any(_shuffled(kids.apply(i)) for i in range(kids.size()))
+
+
+def _located(df: DataFrame) -> DataFrame | None:
+    """``df`` with the input split of each row, or None when its rows have been shuffled."""
+    if _shuffled(df._jdf.queryExecution().executedPlan()):
+        return None
+    if "_metadata" in df._jdf.queryExecution().analyzed().metadataOutput().toString():
+        file, block = F.xxhash64("_metadata.file_path"), F.col("_metadata.file_block_start")
+    else:  # rows that don't come from files: a task is a split
+        file = block = F.lit(0).cast("long")
+    return df.withColumns({"_task": F.spark_partition_id(), "_file": file, "_block": block})
+
+
+def assign_in_splits(
+    df: DataFrame, order_by, ends: DataFrame | None = None, range_by=None
+) -> tuple[DataFrame, DataFrame] | None:
+    """Offsets as by ``assign_offsets``, with every record staying in its input split.
+
+    Returns (records with ``offset``, index rows), or None where it can't be done: the splits of
+    a (topic, partition) overlap in the order, there are more than ``BROADCAST_ROWS`` counts, or
+    the records come out of a shuffle. ``range_by``: the first order columns, when they alone
+    tell records of different splits apart (the payload then takes no part in the counting).
+    Both passes must see the same splits; a record whose split was not counted, or that goes
+    beyond its count, fails the write.
+    """
+    located = _located(df)
+    if located is None:
+        return None
+    order = _cols(order_by)
+    bounds = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_cols(range_by or order_by))])
+    stats = located.groupBy(*_SPLIT, *TP).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(bounds).alias("_lo"), F.max(bounds).alias("_hi")
+    )
+    target = Window.partitionBy(*TP).orderBy("_lo", "_hi", *_SPLIT).rowsBetween(Window.unboundedPreceding, -1)
+    task = Window.partitionBy("_task").orderBy(*TP, "_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.select(
+        *_SPLIT,
+        *TP,
+        "_n",
+        F.coalesce(F.sum("_n").over(target), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum("_n").over(task), F.lit(0)).alias("_first"),
+        F.coalesce(F.max("_hi").over(target) >= F.col("_lo"), F.lit(False)).alias("_overlaps"),
+    )
+    base = end_offsets_or_empty(df.sparkSession, ends)
+    stats = join_small(stats, base, TP, "left").withColumn("_start", F.coalesce("_base", F.lit(0)) + F.col("_before"))
+    # a bounded table of counts, fixed for both uses
+    rows = stats.drop("_base", "_before").limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS or any(r["_overlaps"] for r in rows):
+        return None
+    table = local_table(df.sparkSession, [tuple(r)[:-2] + (r["_start"],) for r in rows], stats.drop("_base", "_before", "_overlaps").schema)
+    numbered = located.sortWithinPartitions(*TP, "_file", "_block", *order).withColumn(
+        "_rid", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _LOW_BITS) - 1))
+    )
+    at = F.col("_rid") - F.col("_first")
+    lost = F.raise_error(F.lit("the input's splits have changed between counting and writing"))
+    out = join_small(numbered, table, [*_SPLIT, *TP], "left").withColumn(
+        "offset", F.when((at >= 0) & (at < F.col("_n")), F.col("_start") + at).otherwise(lost.cast("long")).cast("long")
+    )
+    index = table.groupBy(*TP).agg(
+        F.min("_start").alias("begin_offset"),
+        F.max(F.col("_start") + F.col("_n")).alias("end_offset"),
+        F.sum("_n").cast("long").alias("n_records"),
+    )
+    return out.drop(*_SPLIT, "_rid", "_first", "_start", "_n"), index
+
+
+def number(
+    df: DataFrame, order_by, ends: DataFrame | None = None, staging: str | None = None, range_by=None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Offsets in the input's splits where possible, else over range slices: (records, index rows if known)."""
+    return assign_in_splits(df, order_by, ends, range_by) or (assign_offsets(df, order_by, ends, staging=staging), None)
+
+
 def offsets_from_source(
     df: DataFrame,
     ends: DataFrame | None = None,
@@ -163,7 +261,7 @@ def offsets_from_source(
 
     Every (target, source partition) range must be contiguous - true for whole-log,
     seek and partition reads and for fan-out copies. Checked on a small aggregate
-    that reads key columns only; a gap falls back to ``assign_offsets``.
+    that reads key columns only; a gap falls back to ``number``.
 
     ``with_index``: also return the segment index rows the write will produce
     (topic, partition, begin_offset, end_offset, n_records), known from the range
@@ -186,10 +284,9 @@ def offsets_from_source(
         ).first()
         n_ranges, gaps = int(check["n"]), int(check["gaps"] or 0)
         if gaps:
-            out = assign_offsets(
-                df, [src_topic, src_partition, src_offset, *(tiebreak or [])], ends, staging=staging
-            )
-            return (out, None) if with_index else out
+            order = [src_topic, src_partition, src_offset]
+            out, index = number(df, [*order, *(tiebreak or [])], ends, staging, order)
+            return (out, index) if with_index else out
         before = Window.partitionBy(*TP).orderBy(*src).rowsBetween(Window.unboundedPreceding, -1)
         base = end_offsets_or_empty(spark, ends)
         table = join_small(

@@ -1,41 +1,128 @@
-"""Per-partition processing.
-
-A partitioned source in the reference is a set of per-partition sub-streams
-merged with bounded parallelism. In Spark the partitions of a record frame are
-already processed in parallel; what needs care is *order*: these helpers lay
-records out so every task holds contiguous offset ranges in offset order, and
-run a pandas function over them batch by batch. A hot partition is split over
-several tasks by range partitioning, never given to one task whole.
+"""Per-partition processing in offset order.
+
+A partitioned source in the reference is one sub-stream a partition, each consumed in order by
+one consumer, its positions committed in batches. A function of a partition that needs order
+can't be split, but it need not run in one task: ``process_partitions`` takes a slice of every
+partition at a time, in offset order, and hands what the function carries from one slice to the
+next. Partitions run in parallel and end independently of each other; a task holds one slice.
+
+What is carried is a record of a topic of its own in the output log, written in the slice's
+segment together with its output and positions. So a run that ends anywhere is resumed where
+it was: output, positions and carried state are committed together or not at all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rillet.model import DEFAULT_GROUP, MERGED_COMMIT_BATCH, TP
+from rillet.operators.batching import positions as commit_rows
+from rillet.operators.offsets import join_small, number, staging_area
+from rillet.session import scratch_dir
+from rillet.sources.log import TopicLog, new_segment_id
+
+#: Records of a partition that one task takes in a round.
+SLICE = 1_000_000
+
+#: fn(records in offset order, carry or None) -> (one value (text) or None for each record, carry)
+SliceFn = Callable[[pd.DataFrame, object], tuple[list, object]]
+
+_IN = ["topic", "partition", "offset", "key", "value", "timestamp"]
+_OUT = "topic string, partition int, key string, value binary, timestamp timestamp, src_topic string, src_partition int, src_offset long"
+
+
+def carry_topic(out_topic: str, group_id: str) -> str:
+    return f"{out_topic}-carry-{group_id}"
+
 
-from rillet.operators.offsets import slice_count
+def _run(fn: SliceFn, out_topic: str, carried: str, topic: str):
+    def run(key, records: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
+        records = records.sort_values("offset", kind="stable")
+        if records.empty:  # nothing new in this partition: its carry stays as it is
+            return pd.DataFrame(columns=[c.split()[0] for c in _OUT.split(", ")])
+        state = json.loads(bytes(carry["value"].iloc[0])) if len(carry) else None
+        values, state = fn(records, state)
+        out = pd.DataFrame(
+            {
+                "topic": out_topic, "partition": records["partition"], "key": records["key"],
+                "value": [None if v is None else str(v).encode() for v in values],
+                "timestamp": records["timestamp"], "src_topic": topic,
+                "src_partition": records["partition"], "src_offset": records["offset"],
+            }
+        )
+        out = out[out["value"].notna()]
+        last = records.iloc[-1]
+        kept = pd.DataFrame(
+            {
+                "topic": [carried], "partition": [last["partition"]], "key": [None], "value": [json.dumps(state).encode()],
+                "timestamp": [last["timestamp"]], "src_topic": [topic], "src_partition": [last["partition"]],
+                "src_offset": [last["offset"]],
+            }
+        )
+        return pd.concat([out, kept]).astype({"partition": "int32", "src_partition": "int32", "src_offset": "int64"})
 
+    return run
 
-def in_offset_order(df: DataFrame, slices: int | None = None) -> DataFrame:
-    """Range-partition on (topic, partition, offset) and sort inside each task."""
-    n = slices or slice_count(df)
-    return df.repartitionByRange(n, "topic", "partition", "offset").sortWithinPartitions(
-        "topic", "partition", "offset"
-    )
 
+def process_partitions(
+    src: TopicLog,
+    topic: str,
+    fn: SliceFn,
+    out: TopicLog,
+    out_topic: str,
+    group_id: str = DEFAULT_GROUP,
+    commit_every: int = MERGED_COMMIT_BATCH,
+    slice_records: int = SLICE,
+    rounds: int | None = None,
+) -> int:
+    """``fn`` over each partition of ``topic`` in offset order, resumed where it was.
 
-def map_in_offset_order(
-    df: DataFrame,
-    fn: Callable[[pd.DataFrame], pd.DataFrame],
-    schema: str,
-    slices: int | None = None,
-) -> DataFrame:
-    """Apply ``fn`` to Arrow batches that arrive in (topic, partition, offset) order."""
+    ``fn`` gets a slice's records in order and what it carried from the slice before (None at
+    first; anything that JSON holds), and returns a value (or None: no record) for each record
+    and what to carry on. Positions are committed every ``commit_every`` records of a partition.
+    Runs until everything is processed, or ``rounds`` slices a partition; returns the rounds run.
+    """
+    spark = src.spark
+    carried = carry_topic(out_topic, group_id)
+    done = 0
+    while rounds is None or done < rounds:
+        # where each partition stands: the end of what the group has consumed from its start
+        ends = src.catalog([topic]).select(*TP, "begin_offset", F.col("end_offset").alias("_end"))
+        at = out.consumed(group_id, src.root, [topic]).groupBy(*TP).agg(F.max("next_offset").alias("_at"))
+        bounds = join_small(ends, at, TP, "left").select(
+            *TP, F.coalesce("_at", "begin_offset").alias("_from"), "_end"
+        ).where("_from < _end").collect()
+        if not bounds:
+            return done
+        low = spark.createDataFrame([(r.topic, r.partition, r._from) for r in bounds], "topic string, partition int, next_offset long")
+        high = low.withColumn("next_offset", F.col("next_offset") + slice_records)
+        # the least and greatest offsets wanted reach the scan and skip row groups
+        reach = (F.col("offset") >= min(r._from for r in bounds)) & (F.col("offset") < max(r._from for r in bounds) + slice_records)
+        parts = [r.partition for r in bounds]
+        records = src.read(topic, partitions=parts, from_positions=low, to_positions=high).where(reach)
+        carry = _carry(out, carried)
+        seg = new_segment_id(f"ordered-{group_id}")
+        path = scratch_dir(spark, "ordered")
+        made = records.select(*_IN).groupBy("partition").cogroup(carry.groupBy("partition")).applyInPandas(
+            _run(fn, out_topic, carried, topic), _OUT
+        )
+        made.write.parquet(path)
+        made = spark.read.parquet(path)
+        order = ["src_topic", "src_partition", "src_offset"]
+        with staging_area(spark) as area:
+            numbered, index = number(made, order, out.end_offsets([out_topic, carried]), area)
+            commits = commit_rows(records, group_id, ("batch", commit_every))
+            out.write_segment(numbered, seg, commits, index=index, source=src.root)
+        done += 1
+    return done
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield fn(pdf)
 
-    return in_offset_order(df, slices).mapInPandas(run, schema)
+def _carry(out: TopicLog, carried: str) -> DataFrame:
+    """The last carried value of each partition: one record each, by the log's end offsets."""
+    last = out.catalog([carried]).select(*TP, (F.col("end_offset") - 1).alias("next_offset"))
+    return out.read(carried, from_positions=last).select("partition", "value")

@@ -197,7 +197,36 @@ FROM t1 GROUP BY topic, partition, "offset" // 20""",
 SELECT topic, partition, "offset", key, value, src_offset FROM numbered""",
     "stream_two_sources": f"""WITH {BY_TYPE}
 SELECT 'targetTopic' AS topic, partition, key, value, topic AS src_topic, "offset" AS src_offset
-FROM bt WHERE topic IN ('click', 'view')""",
+FROM bt""",
+    "replicate_two_logs": f"""WITH {T1},
+early AS (
+  SELECT partition, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-15 00:00:00') AS k FROM t1 GROUP BY partition)
+SELECT 'test1' AS topic, t1.partition, t1."offset", CAST(NULL AS VARCHAR) AS key, t1.value,
+       CAST(CASE WHEN t1."offset" < e.k THEN t1."offset" ELSE t1."offset" - e.k END AS BIGINT) AS src_offset
+FROM t1 JOIN early e ON e.partition = t1.partition""",
+    "replicate_completed": f"""WITH {T1}
+SELECT 'test1' AS topic, partition, "offset", CAST(NULL AS VARCHAR) AS key, value, "offset" AS src_offset FROM t1""",
+    "fanout_resume": f"""WITH {T1}
+SELECT 'topic2' AS topic, partition, "offset", CAST(NULL AS VARCHAR) AS key, value, "offset" AS src_offset FROM t1
+UNION ALL
+SELECT 'topic3' AS topic, partition, "offset", CAST(NULL AS VARCHAR) AS key, value, "offset" AS src_offset FROM t1""",
+    "route_resume": f"""WITH {ROUTED}
+SELECT topic, partition, "offset", key, value, src_offset FROM numbered""",
+    "partition_running_sums": f"""WITH {T1}
+SELECT 'sums' AS topic, partition, "offset", key,
+       CAST(CAST(sum(coalesce(CAST(json_extract_string(value, '$.k') AS INTEGER), 0))
+         OVER (PARTITION BY partition ORDER BY "offset") AS BIGINT) AS VARCHAR) AS value, "offset" AS src_offset
+FROM t1""",
+    "partition_commits_100": f"""WITH {T1}
+SELECT 'group1' AS group_id, topic, partition, CAST(max("offset") + 1 AS BIGINT) AS next_offset
+FROM t1 GROUP BY topic, partition, "offset" // 100""",
+    "range_source": """WITH n AS (SELECT row_number() OVER () AS number FROM events)
+SELECT 'numbers' AS topic, CAST(0 AS INTEGER) AS partition, CAST(number - 1 AS BIGINT) AS "offset",
+       CAST(number AS VARCHAR) AS value, CAST(number AS INTEGER) AS pass_through,
+       'numbers/0 ' || CAST(number - 1 AS VARCHAR) || ': ' || CAST(number AS VARCHAR) AS report
+FROM n""",
+    "single_envelopes": f"""WITH {T1}
+SELECT 'single' AS topic, partition, "offset", key, value, "offset" AS src_offset FROM t1""",
     "replicate_resume": f"""WITH {T1}
 SELECT 'test1' AS topic, partition, "offset", CAST(NULL AS VARCHAR) AS key, value, "offset" AS src_offset FROM t1""",
     "replicate_hook": f"""WITH {T1},

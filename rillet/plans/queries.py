@@ -10,6 +10,7 @@ their own.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -23,7 +24,8 @@ from rillet.operators.batching import commit_batches, commit_positions
 from rillet.operators.copy import fan_out, produce_numbers, replicate, route_conditional
 from rillet.operators.grouped_within import grouped_within
 from rillet.operators.observe import consumer_lag, consumer_metrics, pending_gauge, producer_metrics
-from rillet.operators.routing import multi_envelope, route
+from rillet.operators.partitions import process_partitions
+from rillet.operators.routing import multi_envelope, route, single_envelope
 from rillet.session import configure, scratch_dir
 from rillet.sources.csv_ingest import TIMESTAMP, ingest_csv
 from rillet.sources.generate import events_to_produced, table_to_produced
@@ -46,6 +48,7 @@ IGNORE_MAX_K = 10  # payload k < 10 -> nothing produced
 LAG_CUTOFF = "2024-01-15 00:00:00"
 GROUP_N = 20
 GROUP_HOURS = 5
+ORDERED_SLICE = 1000  # several slices for each partition from sf0.01 on
 GROUP_CHUNK = 500  # several chunks for each partition at every size
 
 _LOGS: dict[tuple, TopicLog] = {}
@@ -311,13 +314,19 @@ def _flow(label: str) -> str:
 
 def _arriving(spark, sf_dir):
     """topic1 as it grows: yields the log after the records before the cutoff, and after the rest."""
-    events = _table(spark, sf_dir, "events")
     log = _fresh(spark, "arriving")
-    for part in (F.col("ts") < F.lit(LAG_CUTOFF), F.col("ts") >= F.lit(LAG_CUTOFF)):
-        log.produce(events_to_produced(events.where(part)), ["ts", "event_id"])
+    for part in _two_parts(spark, sf_dir):
+        log.produce(part, ["ts", "event_id"])
         yield log
 
 
+def _two_parts(spark, sf_dir):
+    """The events before the cutoff, and all others (also those without a time), as records of topic1."""
+    events = _table(spark, sf_dir, "events")
+    early = F.coalesce(F.col("ts") < F.lit(LAG_CUTOFF), F.lit(False))
+    return [events_to_produced(events.where(part)) for part in (early, ~early)]
+
+
 def _stream_copy(spark, sf_dir, guarantee: str):
     """One flow, run twice: over what is there, then over what has come since."""
     dst, flow = _fresh(spark, f"stream-{guarantee}"), _flow(f"copy-{guarantee}")
@@ -342,9 +351,9 @@ def q_stream_at_most_once(spark, sf_dir):
 
 
 def q_stream_two_sources(spark, sf_dir):
-    """Two flows from different topics into one, each with a name of its own."""
+    """A flow from each event topic into one topic, each with a name of its own."""
     src, dst = base_log(spark, sf_dir, "by_type"), _fresh(spark, "stream-merged")
-    for topic in ("click", "view"):
+    for topic in EVENT_TYPES:
         await_end(replicate_stream(src, topic, "targetTopic", dst, "exactly_once", keep_key=True, flow=_flow(topic)))
     return dst.read("targetTopic", with_source=True).select(
         "topic", "partition", "key", F.col("value").cast("string").alias("value"), "src_topic", "src_offset"
@@ -366,7 +375,7 @@ def q_stream_route(spark, sf_dir):
     k = payload_int("k")
     dst = _fresh(spark, "stream-route")
     envelopes = lambda d: route(d, k >= DUPLICATE_MIN_K, k < IGNORE_MAX_K, DUPLICATE_TOPICS, "topic2", False, DEFAULT_GROUP)
-    envelope_stream(base_log(spark, sf_dir), "topic1", envelopes, dst, "exactly_once", flow=_flow("route")).awaitTermination()
+    envelope_stream(base_log(spark, sf_dir), "topic1", envelopes, dst, "exactly_once", flow=_flow("route"), targets=list(DUPLICATE_TOPICS)).awaitTermination()
     return _records(dst.read(list(DUPLICATE_TOPICS), with_source=True), "src_offset")
 
 
@@ -475,8 +484,90 @@ def q_business_results(spark, sf_dir):
     return out.select("topic", "partition", "offset", "result")
 
 
+def q_replicate_two_logs(spark, sf_dir):
+    """Two source logs with one topic name, one group, one target; each keeps its own positions."""
+    dst = _fresh(spark, "copy-two-logs")
+    sources = []
+    for part in _two_parts(spark, sf_dir):
+        log = _fresh(spark, "one-of-two")
+        log.produce(part, ["ts", "event_id"])
+        sources.append(log)
+    for log in sources + sources:  # the second time nothing is left
+        replicate(log, "topic1", "test1", dst=dst)
+    return _records(dst.read("test1", with_source=True), "src_offset")
+
+
+def q_replicate_completed(spark, sf_dir):
+    """A group reads two partitions, then the start of all, then what is left of the topic."""
+    log, dst = base_log(spark, sf_dir), _fresh(spark, "copy-completed")
+    replicate(log, "topic1", "test1", dst=dst, partitions=ASSIGNED)
+    replicate(log, "topic1", "test1", dst=dst, to_positions=_cutoff(log))
+    replicate(log, "topic1", "test1", dst=dst)
+    return _records(dst.read("test1", with_source=True), "src_offset")
+
+
+def q_fanout_resume(spark, sf_dir):
+    """Fan-out called as the topic grows, and once more; every record goes out once."""
+    dst = _fresh(spark, "fanout-resume")
+    for log in _arriving(spark, sf_dir):
+        fan_out(log, "topic1", dst=dst)
+        fan_out(log, "topic1", dst=dst)
+    return _records(dst.read(list(DUPLICATE_TOPICS), with_source=True), "src_offset")
+
+
+def q_route_resume(spark, sf_dir):
+    """Routing called as the topic grows, and once more; ignored records are not read again."""
+    dst, k = _fresh(spark, "route-resume"), payload_int("k")
+    for log in _arriving(spark, sf_dir):
+        for _ in range(2):
+            route_conditional(log, "topic1", k >= DUPLICATE_MIN_K, k < IGNORE_MAX_K, dst=dst)
+    return _records(dst.read(list(DUPLICATE_TOPICS), with_source=True), "src_offset")
+
+
+def _running_sum(records, carry):
+    """The sum of the payload's k so far; the carry is the sum at the slice's end."""
+    total, out = carry or 0, []
+    for value in records["value"]:
+        k = json.loads(bytes(value)).get("k") if value is not None else None
+        total += k or 0
+        out.append(total)
+    return out, total
+
+
+def _ordered(spark, sf_dir):
+    out = _fresh(spark, "ordered")
+    process_partitions(base_log(spark, sf_dir), "topic1", _running_sum, out, "sums", slice_records=ORDERED_SLICE)
+    return out
+
+
+def q_partition_running_sums(spark, sf_dir):
+    """A function that needs order over each partition, slice by slice with a carried sum."""
+    return _records(_ordered(spark, sf_dir).read("sums", with_source=True), "src_offset")
+
+
+def q_partition_commits_100(spark, sf_dir):
+    """The same flow's commit log, one position for each 100 records of a partition."""
+    return _ordered(spark, sf_dir).commit_log(DEFAULT_GROUP)
+
+
+def q_range_source(spark, sf_dir):
+    """The numbers 1..n, n the number of events, produced in order."""
+    n = _table(spark, sf_dir, "events").count()
+    return produce_numbers(_fresh(spark, "range"), n, "numbers")
+
+
+def q_single_envelopes(spark, sf_dir):
+    """F1 / T2 as a stream: one record an envelope, the key kept, positions from the envelopes."""
+    dst = _fresh(spark, "stream-single")
+    envelope_stream(
+        base_log(spark, sf_dir), "topic1", lambda d: single_envelope(d, "single", keep_key=True), dst, "at_least_once",
+        flow=_flow("single"), targets=["single"],
+    ).awaitTermination()
+    return _records(dst.read("single", with_source=True), "src_offset")
+
+
 def q_per_record_commits(spark, sf_dir):
-    """A commit after every record."""
+    """The sequence of commits after every record."""
     recs = base_log(spark, sf_dir).read("topic1").select("topic", "partition", "offset")
     return recs.select(F.lit(DEFAULT_GROUP).alias("group_id"), "topic", "partition", (F.col("offset") + 1).alias("next_offset"))
 
@@ -487,9 +578,8 @@ def q_stream_grouped_commits(spark, sf_dir):
     What is open when the stream ends is committed then.
     """
     src = _fresh(spark, "arriving")
-    events = _table(spark, sf_dir, "events")
-    for part in (F.col("ts") < F.lit(LAG_CUTOFF), F.col("ts") >= F.lit(LAG_CUTOFF)):
-        src.produce(events_to_produced(events.where(part)), ["ts", "event_id"])
+    for part in _two_parts(spark, sf_dir):
+        src.produce(part, ["ts", "event_id"])
     dst = _fresh(spark, "stream-grouped")
     await_end(
         replicate_stream(
@@ -541,5 +631,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chain_exactly_once": q_chain_exactly_once,
     "business_results": q_business_results,
     "per_record_commits": q_per_record_commits,
+    "replicate_two_logs": q_replicate_two_logs,
+    "replicate_completed": q_replicate_completed,
+    "fanout_resume": q_fanout_resume,
+    "route_resume": q_route_resume,
+    "partition_running_sums": q_partition_running_sums,
+    "partition_commits_100": q_partition_commits_100,
+    "range_source": q_range_source,
+    "single_envelopes": q_single_envelopes,
     "stream_grouped_commits": q_stream_grouped_commits,
 }

@@ -43,6 +43,9 @@ def configure(spark: SparkSession) -> SparkSession:
     """Settings the library relies on; safe to call on a caller's session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        # else files are split by the number of cores at hand, which may change between two passes
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     checkpoint_root(spark)
     ship_package(spark)
     return spark

@@ -20,26 +20,29 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillet.model import (
-    COMMIT_SCHEMA,
     DEFAULT_TOPIC_PARTITIONS,
+    RANGE_SCHEMA,
     RECORD_COLUMNS,
     SEGMENT_SCHEMA,
     SOURCE_COLUMNS,
+    STORED_COMMIT_SCHEMA,
     STORED_SCHEMA,
     TP,
 )
-from rillet.operators.offsets import assign_offsets, join_small, local_table, staging_area
+from rillet.operators.offsets import BROADCAST_ROWS, join_small, local_table, number, staging_area
 from rillet.session import configure
 from rillet.sources import fs
 
 
 # Positions written apart from a segment (they stand alone) carry this prefix in their folder name.
 ALONE = "alone-"
+#: Folders (topic, partition, segment) that a resumed read names one by one; beyond it, it lists the topic.
+NAMED_FOLDERS = 10_000
 
 
 def new_segment_id(prefix: str = "w") -> str:
@@ -124,6 +127,7 @@ class TopicLog:
         with_source: bool = False,
         from_positions: DataFrame | None = None,
         to_positions: DataFrame | None = None,
+        consumed: DataFrame | None = None,
     ) -> DataFrame:
         """Records of the given topics (all when None), committed segments only.
 
@@ -132,14 +136,22 @@ class TopicLog:
         ``from_positions`` and ``to_positions`` (topic, partition, next_offset) bound each
         partition: the first included, the second not. Of several rows for a partition the
         highest counts; a partition without a row, or with a null, is not bounded.
+        ``consumed`` (topic, partition, begin_offset, next_offset) leaves out the records of these
+        ranges, and does not open the folders of segments that lie inside one.
         """
         cols = RECORD_COLUMNS + (SOURCE_COLUMNS if with_source else [])
+        if getattr(consumed, "_rillet_rows", None) == 0:
+            consumed = None
         if not fs.exists(self.spark, self.data_path):
             return self.spark.createDataFrame([], STORED_SCHEMA).select(*cols)
         if isinstance(topics, str):
             topics = [topics]
         one_seg = segments[0] if segments is not None and len(segments) == 1 else None
-        df = self._scan(topics, one_seg)
+        parts = None if consumed is None or segments is not None else self._unconsumed(topics, consumed)
+        if parts is not None:
+            df = self._folders(parts)
+        else:
+            df = self._scan(topics, one_seg)
         if topics is not None:
             df = df.where(F.col("topic").isin(list(topics)))
         if partitions is not None:
@@ -152,7 +164,9 @@ class TopicLog:
             df = self._bounded(df, from_positions, lambda at: F.col("offset") >= at)
         if to_positions is not None:
             df = self._bounded(df, to_positions, lambda at: F.col("offset") < at)
-        if committed and segments is None:
+        if consumed is not None:
+            df = self._without(df, consumed, F.col("offset"), F.col("offset") + 1)
+        if committed and segments is None and parts is None:
             # a segment is committed as a whole: its name alone decides visibility
             index = self.segments()
             if topics is not None:
@@ -166,15 +180,38 @@ class TopicLog:
         Only those folders are listed, so the cost follows the segments asked for, not
         the age of the log. Every index row names a folder that exists.
         """
-        cols = RECORD_COLUMNS + (SOURCE_COLUMNS if with_source else [])
+        return self._folders(parts).select(*RECORD_COLUMNS, *(SOURCE_COLUMNS if with_source else []))
+
+    def _folders(self, parts: list[tuple[str, int, str]]) -> DataFrame:
         if not parts:
-            return self.spark.createDataFrame([], STORED_SCHEMA).select(*cols)
+            return self.spark.createDataFrame([], STORED_SCHEMA)
         paths = [
             f"{self.data_path}/{self._dir('topic', t)}/{self._dir('partition', p)}/{self._dir('seg', g)}"
             for t, p, g in sorted(set(parts))
         ]
         reader = self.spark.read.schema(STORED_SCHEMA).option("basePath", self.data_path)
-        return reader.parquet(*paths).select(*cols)
+        return reader.parquet(*paths)
+
+    @staticmethod
+    def _without(df: DataFrame, ranges: DataFrame, begin: Column, end: Column) -> DataFrame:
+        """The rows of ``df`` whose [begin, end) does not lie inside one of the ranges."""
+        named = ranges.select(*[F.col(c).alias(f"_{c}") for c in RANGE_SCHEMA.names])
+        inside = [
+            F.col("topic") == F.col("_topic"),
+            F.col("partition") == F.col("_partition"),
+            begin >= F.col("_begin_offset"),
+            end <= F.col("_next_offset"),
+        ]
+        return join_small(df, named, inside, "left_anti", getattr(ranges, "_rillet_rows", None))
+
+    def _unconsumed(self, topics: list[str] | None, consumed: DataFrame) -> list[tuple[str, int, str]] | None:
+        """The committed folders with records outside ``consumed``; None when they are too many to name."""
+        index = self.segments()
+        if topics is not None:
+            index = index.where(F.col("topic").isin(list(topics)))
+        left = self._without(index, consumed, F.col("begin_offset"), F.col("end_offset"))
+        rows = left.select(*TP, "seg").limit(NAMED_FOLDERS + 1).collect()
+        return None if len(rows) > NAMED_FOLDERS else [tuple(r) for r in rows]
 
     def stream_records(self, topics: list[str] | str | None = None, max_files: int | None = None) -> DataFrame:
         """Records as a streaming DataFrame, straight from the data files.
@@ -203,26 +240,78 @@ class TopicLog:
             df = df.where(F.col("topic").isin(topics))
         return df.select(*RECORD_COLUMNS)
 
-    def _commits(self, group_id: str | None) -> DataFrame:
+    def _commits(self, group_id: str | None, source: str | None = None) -> DataFrame:
         """Position rows that count: those of committed segments, and those that stand alone.
 
         A segment's positions are written before its index; until the segment is committed
-        they claim output that nobody can see, so they are left out.
+        they claim output that nobody can see, so they are left out. ``source``: the root of the
+        log they were consumed from; rows that name none count for every source.
         """
+        schema = T.StructType([*STORED_COMMIT_SCHEMA.fields, T.StructField("seg", T.StringType(), False)])
         if not fs.exists(self.spark, self.commits_path):
-            return self.spark.createDataFrame([], COMMIT_SCHEMA)
-        schema = "topic string, partition int, next_offset long, group_id string, seg string"
+            return self.spark.createDataFrame([], schema)
         df = self.spark.read.schema(schema).parquet(self.commits_path)
         if group_id is not None:
             df = df.where(F.col("group_id") == group_id)
+        if source is not None:
+            df = df.where(F.coalesce(F.col("source"), F.lit(source)) == source)
         alone = F.col("seg").startswith(ALONE)
         names = self.segments().select("seg").distinct()
         counted = df.where(alone).unionByName(join_small(df.where(~alone), names, ["seg"], "left_semi").select(*df.columns))
-        return counted.select("group_id", *TP, "next_offset")
+        return counted
 
-    def commit_log(self, group_id: str | None = None) -> DataFrame:
+    def commit_log(self, group_id: str | None = None, source: str | None = None) -> DataFrame:
         """Every committed position row (one per commit batch / group), not only the latest."""
-        return self._commits(group_id)
+        return self._commits(group_id, source).select("group_id", *TP, "next_offset")
+
+    def consumed(self, group_id: str, source: str, topics: list[str] | None = None) -> DataFrame:
+        """What ``group_id`` has consumed of the log at root ``source``: disjoint ranges a partition.
+
+        The ranges of one segment are merged first, with map-side combining (a copy commits one
+        range for every batch of records, next to each other), then those of all segments in order.
+        """
+        if not fs.exists(self.spark, self.commits_path):
+            return local_table(self.spark, [], RANGE_SCHEMA)
+        rows = self._commits(group_id, source).select(
+            *TP, F.coalesce("begin_offset", F.lit(0)).cast("long").alias("begin_offset"), "next_offset", "seg"
+        )
+        if topics is not None:
+            rows = rows.where(F.col("topic").isin(list(topics)))
+        rows = rows.where("next_offset > begin_offset")
+        merged = rows.groupBy(*TP, "seg").agg(
+            F.min("begin_offset").alias("begin_offset"),
+            F.max("next_offset").alias("next_offset"),
+            F.sum(F.col("next_offset") - F.col("begin_offset")).alias("_held"),
+        )
+        few = merged.limit(BROADCAST_ROWS + 1).collect()
+        whole = F.col("_held") == F.col("next_offset") - F.col("begin_offset")
+        if len(few) <= BROADCAST_ROWS and all(r._held == r.next_offset - r.begin_offset for r in few):
+            parts = [(r.topic, r.partition, r.begin_offset, r.next_offset) for r in few]
+        else:
+            holes = merged.where(~whole).select(*TP, "seg")
+            apart = rows.join(holes, [*TP, "seg"], "left_semi").select(*RANGE_SCHEMA.names)
+            found = self._islands(merged.where(whole).select(*RANGE_SCHEMA.names).unionByName(apart))
+            parts = [tuple(r) for r in found.limit(BROADCAST_ROWS + 1).collect()]
+            if len(parts) > BROADCAST_ROWS:
+                return found
+        # frozen now, as the end offsets are: a copy into the same log must not see its own commits
+        ranges: list[tuple] = []
+        for topic, partition, begin, end in sorted(parts):
+            if ranges and ranges[-1][:2] == (topic, partition) and begin <= ranges[-1][3]:
+                begin, end = ranges[-1][2], max(end, ranges.pop()[3])
+            ranges.append((topic, partition, begin, end))
+        return local_table(self.spark, ranges, RANGE_SCHEMA)
+
+    @staticmethod
+    def _islands(parts: DataFrame) -> DataFrame:
+        """Ranges that touch or overlap as one."""
+        ordered = Window.partitionBy(*TP).orderBy("begin_offset", "next_offset")
+        before = F.max("next_offset").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+        starts = parts.withColumn("_new", F.coalesce(F.col("begin_offset") > before, F.lit(True)).cast("int"))
+        islands = starts.withColumn("_island", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+        return islands.groupBy(*TP, "_island").agg(
+            F.min("begin_offset").alias("begin_offset"), F.max("next_offset").alias("next_offset")
+        ).select(*RANGE_SCHEMA.names)
 
     @staticmethod
     def _bounded(df: DataFrame, positions: DataFrame, within) -> DataFrame:
@@ -238,6 +327,7 @@ class TopicLog:
         seg: str | Column,
         commits: DataFrame | None = None,
         index: DataFrame | None = None,
+        source: str | None = None,
     ) -> None:
         """Write records (with offsets) as segment ``seg`` (a name, or a Column naming several).
 
@@ -245,7 +335,8 @@ class TopicLog:
         Both tables are written with dynamic partition overwrite, so a segment
         directory appears at job commit and a rewrite of the same segment replaces
         it. The index is the commit point: output and positions become visible together.
-        ``index`` gives the index rows when the caller already knows them (copies).
+        ``index`` gives the index rows when the caller already knows them (copies), ``source``
+        the root of the log that the positions belong to.
         """
         if commits is not None and not isinstance(seg, str):
             raise ValueError("positions are committed with a single named segment")
@@ -263,7 +354,7 @@ class TopicLog:
             .parquet(self.data_path)
         )
         if commits is not None:
-            self.write_commits(commits, seg)
+            self.write_commits(commits, seg, source=source)
         if index is not None and isinstance(seg, str):
             index = index.select(*TP, "begin_offset", "end_offset", "n_records").withColumn("seg", F.lit(seg))
         else:
@@ -284,7 +375,7 @@ class TopicLog:
         )
         if commits is not None and not self.is_committed(seg):
             # nothing was written (all records dropped): the positions claim no output
-            self.write_commits(commits, seg, alone=True)
+            self.write_commits(commits, seg, alone=True, source=source)
 
     def produce(
         self,
@@ -315,21 +406,25 @@ class TopicLog:
         shaped = produced.withColumn("partition", part).withColumn("value", _as_binary(F.col("value")))
         shaped = shaped.withColumn("timestamp", ts.cast("timestamp"))
         with staging_area(self.spark) as staging:
-            with_offsets = assign_offsets(shaped, order_by, self.end_offsets(), staging=staging)
-            self.write_segment(with_offsets, seg)
+            with_offsets, index = number(shaped, order_by, self.end_offsets(), staging)
+            self.write_segment(with_offsets, seg, index=index)
         if isinstance(seg, str):
             return self.read(segments=[seg])
         names = [r.seg for r in produced.select(seg.alias("seg")).distinct().collect()]
         return self.read(segments=names)
 
     # ---------------------------------------------------------------- commits
-    def write_commits(self, positions: DataFrame, seg: str, alone: bool = False) -> None:
+    def write_commits(self, positions: DataFrame, seg: str, alone: bool = False, source: str | None = None) -> None:
         """Store positions (group_id, topic, partition, next_offset) under segment ``seg``.
 
-        They count once the segment is committed, or at once when they stand ``alone``.
+        They count once the segment is committed, or at once when they stand ``alone``. With a
+        ``begin_offset`` a row stands for the records from there on, without one for all before
+        ``next_offset``. ``source``: the root of the log that was read.
         """
+        given = {"begin_offset": F.lit(None).cast("long"), "source": F.lit(source).cast("string")}
+        given = {c: v for c, v in given.items() if c not in positions.columns}
         (
-            positions.select(*[f.name for f in COMMIT_SCHEMA.fields])
+            positions.withColumns(given).select(*STORED_COMMIT_SCHEMA.names)
             .withColumn("seg", F.lit(f"{ALONE}{seg}" if alone else seg))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -337,9 +432,14 @@ class TopicLog:
             .parquet(self.commits_path)
         )
 
-    def committed_positions(self, group_id: str | None = None) -> DataFrame:
-        """Current position per (group, topic, partition): the highest committed next offset."""
-        return self._commits(group_id).groupBy("group_id", *TP).agg(F.max("next_offset").alias("next_offset"))
+    def committed_positions(self, group_id: str | None = None, source: str | None = None) -> DataFrame:
+        """Current position per (group, topic, partition): the highest committed next offset.
+
+        Records before it may be unread, when a group has read selected partitions or from an
+        offset on (``consumed`` has the ranges). Several sources with topics of one name are told
+        apart by ``source``, the root of a log.
+        """
+        return self._commits(group_id, source).groupBy("group_id", *TP).agg(F.max("next_offset").alias("next_offset"))
 
     def bind_flow(self, flow: str, **identity) -> None:
         """Tie a flow's name to what it reads, writes and where its progress is; raise when it is taken.

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rillet.functions.records import business, readdress
 from rillet.model import DEFAULT_GROUP, TP
-from rillet.operators.offsets import assign_offsets, offsets_from_source, staging_area
+from rillet.operators.offsets import number, offsets_from_source, staging_area
 from rillet.sources.log import TopicLog, new_segment_id
 
 
@@ -47,20 +47,20 @@ def process_from_stored_offset(
     whatever ``fn`` makes of them. Returns the segment written.
     """
     seg = new_segment_id("ext")
-    start = out.committed_positions(group_id).where(F.col("topic") == topic)
+    start = out.committed_positions(group_id, src.root).where(F.col("topic") == topic)
     to = None if until is None else stop_positions(src.read(topic, partitions=partitions), until)
     records = src.read(topic, partitions=partitions, from_positions=start, to_positions=to)
     processed = business(records, fn)
     step = 0 if inclusive else 1
-    positions = records.groupBy(*TP).agg((F.max("offset") + step).alias("next_offset")).select(
-        F.lit(group_id).alias("group_id"), *TP, "next_offset"
+    positions = records.groupBy(*TP).agg(F.min("offset").alias("begin_offset"), (F.max("offset") + step).alias("next_offset")).select(
+        F.lit(group_id).alias("group_id"), *TP, "begin_offset", "next_offset"
     )
     copies = readdress(processed, out_topic, keep_key=True)
     with staging_area(out.spark) as staging:
         if fn is None:
             written, index = offsets_from_source(copies, out.end_offsets([out_topic]), staging=staging, with_index=True)
         else:  # the hook may drop or repeat records
-            order = ["src_topic", "src_partition", "src_offset", "key", "value"]
-            written, index = assign_offsets(copies, order, out.end_offsets([out_topic]), staging=staging), None
-        out.write_segment(written, seg, commits=positions, index=index)
+            order = ["src_topic", "src_partition", "src_offset"]
+            written, index = number(copies, [*order, "key", "value"], out.end_offsets([out_topic]), staging, order)
+        out.write_segment(written, seg, commits=positions, index=index, source=src.root)
     return seg

@@ -40,12 +40,11 @@ from rillet.model import (
 )
 from rillet.operators.batching import (
     OPEN_GROUP_SCHEMA,
-    commit_positions,
     open_positions,
     grouped_commits_carrying,
     positions as commit_rows,
 )
-from rillet.operators.offsets import assign_offsets, offsets_from_source, staging_area
+from rillet.operators.offsets import number, offsets_from_source, staging_area
 from rillet.operators.routing import explode_envelopes
 from rillet.session import scratch_dir
 from rillet.sources.log import TopicLog, new_segment_id
@@ -144,6 +143,7 @@ def deliver(
     order_by: list | None = None,
     changed: bool = False,
     topics: list[str] | None = None,
+    source: str | None = None,
 ) -> None:
     """Write one micro-batch of copies and its consumed positions under ``guarantee``.
 
@@ -151,6 +151,7 @@ def deliver(
     that have no source offset (ingested files). ``changed``: a hook may have dropped or
     repeated records, so positions don't follow from the source offsets by arithmetic.
     ``topics``: the target topics, where known, so that only their end offsets are read.
+    ``source``: the root of the log that the positions belong to.
     """
     if guarantee not in GUARANTEES:
         raise ValueError(f"guarantee must be one of {GUARANTEES}")
@@ -158,10 +159,10 @@ def deliver(
     def with_offsets(staging: str):
         """(records with offsets, their index rows when known without a read-back)."""
         if order_by is not None:
-            return assign_offsets(copies, order_by, dst.end_offsets(topics), staging=staging), None
+            return number(copies, order_by, dst.end_offsets(topics), staging)
         if changed:
-            order = ["src_topic", "src_partition", "src_offset", *(tiebreak or []), "key", "value"]
-            return assign_offsets(copies, order, dst.end_offsets(topics), staging=staging), None
+            order = ["src_topic", "src_partition", "src_offset"]
+            return number(copies, [*order, *(tiebreak or []), "key", "value"], dst.end_offsets(topics), staging, order)
         return offsets_from_source(
             copies, dst.end_offsets(topics), tiebreak=tiebreak, staging=staging, with_index=True
         )
@@ -173,7 +174,7 @@ def deliver(
         with staging_area(dst.spark) as staging:
             out, index = with_offsets(staging)
             hook("before_write", batch_id)
-            dst.write_segment(out, seg, commits=positions, index=index)
+            dst.write_segment(out, seg, commits=positions, index=index, source=source)
         hook("after_write", batch_id)
     elif guarantee == "at_least_once":
         seg = new_segment_id(f"{flow}-b{batch_id:012d}")
@@ -183,13 +184,13 @@ def deliver(
             dst.write_segment(out, seg, index=index)
         hook("after_write", batch_id)
         if positions is not None:
-            dst.write_commits(positions, seg, alone=True)
+            dst.write_commits(positions, seg, alone=True, source=source)
     else:
         if not dst.claim(flow, batch_id):
             return
         seg = new_segment_id(f"{flow}-b{batch_id:012d}")
         if positions is not None:
-            dst.write_commits(positions, seg, alone=True)
+            dst.write_commits(positions, seg, alone=True, source=source)
         hook("after_claim", batch_id)
         with staging_area(dst.spark) as staging:
             out, index = with_offsets(staging)
@@ -242,11 +243,14 @@ def replicate_stream(
         else:
             positions = commit_rows(consumed, group_id, commit_grouping)
         copies = readdress(business(consumed, fn), dst_topic, keep_key)
-        deliver(dst, copies, positions, flow, batch_id, guarantee, hook, changed=fn is not None, topics=[dst_topic])
+        deliver(
+            dst, copies, positions, flow, batch_id, guarantee, hook,
+            changed=fn is not None, topics=[dst_topic], source=src.root,
+        )
 
     query = start_flow(src, topics, handler, checkpoint, trigger, max_segments, flow)
     if commit_grouping and commit_grouping[0] == "within":
-        query._rillet_end = lambda: commit_open_groups(dst, flow, group_id)
+        query._rillet_end = lambda: commit_open_groups(dst, flow, group_id, src.root)
     return query
 
 
@@ -257,11 +261,11 @@ def flow_checkpoint(dst: TopicLog, flow: str | None) -> str:
     return f"{dst.root}/checkpoints/{dst._dir('flow', flow)}"
 
 
-def commit_open_groups(dst: TopicLog, flow: str, group_id: str = DEFAULT_GROUP) -> None:
+def commit_open_groups(dst: TopicLog, flow: str, group_id: str = DEFAULT_GROUP, source: str | None = None) -> None:
     """Commit what is left in a flow's open groups; a later run starts new groups."""
     last, rows = dst.last_state(flow, OPEN_GROUP_SCHEMA)
     if last is not None and not rows.isEmpty():
-        dst.write_commits(open_positions(rows, group_id), f"{flow}-end-b{last:012d}", alone=True)
+        dst.write_commits(open_positions(rows, group_id), f"{flow}-end-b{last:012d}", alone=True, source=source)
         dst.write_state(flow, last, rows.sparkSession.createDataFrame([], OPEN_GROUP_SCHEMA))
 
 
@@ -306,10 +310,12 @@ def envelope_stream(
     trigger: dict | None = None,
     max_segments: int | None = None,
     hook: Hook = _no_hook,
+    targets: list[str] | None = None,
 ) -> StreamingQuery:
     """F4 / F5 as a stream: envelopes -> produced records; positions from every envelope.
 
-    Envelopes may leave out or repeat records, so offsets take the general path.
+    Envelopes may leave out or repeat records, so copies are numbered in their splits.
+    ``targets``: the topics they go to, where known, so that only their end offsets are read.
     """
     dst = dst or src
     checkpoint = checkpoint or flow_checkpoint(dst, flow)
@@ -320,8 +326,11 @@ def envelope_stream(
 
     def handler(records: DataFrame, batch_id: int) -> None:
         envelopes = to_envelopes(records)
-        positions = commit_positions(envelopes.select("pass_through.*"))
-        deliver(dst, explode_envelopes(envelopes), positions, flow, batch_id, guarantee, hook, ["part"], changed=True)
+        consumed = envelopes.select("pass_through.*")
+        ranges = [F.min("offset").alias("begin_offset"), (F.max("offset") + 1).alias("next_offset")]
+        positions = consumed.groupBy("group_id", "topic", "partition").agg(*ranges)
+        copies = explode_envelopes(envelopes)
+        deliver(dst, copies, positions, flow, batch_id, guarantee, hook, ["part"], changed=True, topics=targets, source=src.root)
 
     return start_flow(src, topics, handler, checkpoint, trigger, max_segments, flow)
 

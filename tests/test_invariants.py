@@ -201,3 +201,63 @@ def test_hot_partition_is_split_across_tasks(spark):
     assert per_task_hot >= 6  # the hot partition spans most tasks
     assert sizes["n"].max() <= 2 * total / len(sizes)  # no task holds much more than its share
     assert offsets == list(range(len(offsets)))
+
+
+def _in_splits(spark, folder, order, target=4):
+    from rillet.operators.offsets import assign_in_splits
+
+    df = spark.read.parquet(folder).select(F.lit("t").alias("topic"), (F.col("id") % target).cast("int").alias("partition"), "id", "x")
+    return df, assign_in_splits(df, order)
+
+
+def test_numbering_in_splits_equals_range_slices(spark):
+    """Several files, rows unordered inside a file: offsets as by the shuffle."""
+    from rillet.session import scratch_dir
+
+    folder = scratch_dir(spark, "test-splits")
+    rows = spark.range(0, 5000).withColumn("x", F.pmod(F.xxhash64("id"), F.lit(1000)))
+    rows.repartitionByRange(6, "id").sortWithinPartitions("x").write.parquet(folder)
+    for target in (4, 1):
+        df, (out, index) = _in_splits(spark, folder, ["id"], target)
+        want = {(r.partition, r.id): r.offset for r in assign_offsets(df, ["id"], slices=5).collect()}
+        assert {(r.partition, r.id): r.offset for r in out.collect()} == want
+        assert {(r.partition, r.begin_offset, r.end_offset) for r in index.collect()} == {(p, 0, 5000 // target) for p in range(target)}
+    # an order that runs across the files
+    assert _in_splits(spark, folder, ["x", "id"])[1] is None
+    # rows out of a shuffle
+    from rillet.operators.offsets import assign_in_splits
+
+    assert assign_in_splits(df.repartition(3), ["id"]) is None
+
+
+def test_numbering_in_splits_fails_when_splits_change(spark):
+    import pytest
+
+    from rillet.session import scratch_dir
+
+    folder = scratch_dir(spark, "test-splits")
+    spark.range(0, 3000).withColumn("x", F.col("id")).repartitionByRange(3, "id").write.parquet(folder)
+    _, (out, _) = _in_splits(spark, folder, ["id"])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        with pytest.raises(Exception, match="splits have changed"):
+            out.select("*").where("offset >= 0").toPandas()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128MB")
+        spark.conf.set("spark.sql.files.openCostInBytes", "4MB")
+
+
+def test_exit_tables_composed_in_levels_equal_the_fold(spark, monkeypatch):
+    """Three tables at a time: many levels over the chunks of one partition."""
+    from rillet.operators import grouped_within as g
+
+    monkeypatch.setattr(g, "FAN", 3)
+    rng = np.random.default_rng(5)
+    seconds = np.cumsum(rng.choice([0.5, 1.0, 7.0], 500))
+    pdf = pd.DataFrame({"topic": "t", "partition": 0, "offset": range(500), "s": seconds})
+    df = spark.createDataFrame(pdf).select(
+        "topic", F.col("partition").cast("int"), F.col("offset").cast("long"), F.timestamp_seconds("s").alias("timestamp")
+    )
+    got = g.grouped_within(df, 5, 6.0, chunk_size=11).orderBy("first_offset").toPandas()
+    assert got["n_records"].tolist() == _fold((seconds * 1e6).astype(int).tolist(), 5, 6_000_000)

@@ -11,6 +11,7 @@ import ctypes
 import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -159,43 +160,68 @@ class IdCache:
     """Token ids of words, each distinct word encoded once while it is remembered.
 
     ``learn`` maps a list of words (UTF-8 bytes) to their lists of ids. What is remembered is
-    for speed only; beyond ``limit`` words (about 150 bytes each) it starts anew.
+    for speed only: sorted arrays of hashes, places, lengths and uses (28 bytes a word, and its
+    ids). Beyond ``limit`` words the half used least is forgotten.
     """
 
-    def __init__(self, learn, limit: int = 150_000):
+    def __init__(self, learn, limit: int = 1_000_000):
         self.learn, self.limit = learn, limit
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids = np.empty(0, np.uint32)
+        self.hashes = np.empty(0, _U)
         self.first = np.empty(0, np.int64)
-        self.length = np.empty(0, np.int64)
+        self.length = np.empty(0, np.int32)
+        self.uses = np.empty(0, np.int64)
+        self.ids = np.empty(1 << 16, np.uint32)
+        self.filled = 0
 
-    def _add(self, hashes: list[int], words: list[bytes]) -> None:
+    def _add(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Remember new words; ``hashes`` ascend."""
         ids = self.learn(words)
-        length = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
-        n = len(self.first)
-        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(length) - length])
-        self.ids = np.concatenate([self.ids, flat])
-        self.length = np.concatenate([self.length, length])
-        self.known.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+        length = np.fromiter(map(len, ids), np.int32, len(ids))
+        more = int(length.sum())
+        if self.filled + more > len(self.ids):
+            grown = np.empty(max(2 * len(self.ids), self.filled + more), np.uint32)
+            grown[: self.filled] = self.ids[: self.filled]
+            self.ids = grown
+        self.ids[self.filled : self.filled + more] = np.fromiter(chain.from_iterable(ids), np.uint32, more)
+        first = self.filled + np.cumsum(length, dtype=np.int64) - length
+        self.filled += more
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.first = np.insert(self.first, at, first)
+        self.length = np.insert(self.length, at, length)
+        self.uses = np.insert(self.uses, at, 0)
+
+    def _halve(self) -> None:
+        half = max(self.limit // 2, 1)
+        kept = np.sort(np.argpartition(-self.uses, half - 1)[:half])
+        length = self.length[kept].astype(np.int64)
+        ends = np.cumsum(length)
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.first[kept] - (ends - length), length)]
+        self.hashes, self.length, self.uses = self.hashes[kept], self.length[kept], self.uses[kept] // 2
+        self.first, self.ids, self.filled = ends - length, ids, len(ids)
+
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.hashes, hashes)
+        known = at < len(self.hashes)
+        known[known] = self.hashes[at[known]] == hashes[known]
+        return known
 
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids in each text)."""
         if not len(words.start):
             return np.empty(0, np.uint32), np.zeros(words.n, np.int64)
-        hashes, example, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.known) > self.limit:
-            self._forget()
-        listed = hashes.tolist()
-        new = [i for i, h in enumerate(listed) if h not in self.known]
-        if new:
-            texts = [words.data[words.start[i] : words.end[i]].tobytes() for i in example[new]]
-            self._add([listed[i] for i in new], texts)
-        index = np.fromiter((self.known[h] for h in listed), np.int64, len(listed))[which]
-        length = self.length[index]
+        hashes, example, which, times = np.unique(
+            words.hashes(), return_index=True, return_inverse=True, return_counts=True
+        )
+        if len(self.hashes) > self.limit:
+            self._halve()
+        new = np.flatnonzero(~self._known(hashes))
+        if len(new):
+            self._add(hashes[new], [words.data[words.start[i] : words.end[i]].tobytes() for i in example[new]])
+        own = np.searchsorted(self.hashes, hashes)
+        self.uses[own] += times
+        index = own[which]
+        length = self.length[index].astype(np.int64)
         ends = np.cumsum(length)
         at = np.arange(ends[-1]) + np.repeat(self.first[index] - (ends - length), length)
         per_text = np.add.reduceat(np.append(length, 0), words.first)

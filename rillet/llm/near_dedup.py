@@ -10,9 +10,10 @@
    similarity s is missed with (1 - P(a chunk matches))^CHUNKS, 5e-7 at 0.85.
 3. A bucket is not expanded into pairs. Its members are linked to its smallest member; the
    ones too far from that one are taken up again, and in the end only members of different
-   components meet, where the largest component of a bucket never meets itself. In a crowded
-   bucket (copies that are similar, but not enough) they meet only if they share one of their
-   rarest shingles, which every pair above the threshold does.
+   components meet, where the largest component of a bucket never meets itself. The members of
+   crowded buckets (copies that are similar, but not enough) are not paired at all: a family of
+   them is dealt to blocks by size, two blocks are compared on full sets inside one task as
+   products of matrices, and only links that join two components come out of it.
 4. Every link counts only after the full sets confirm it. Components follow from the links.
 """
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillet.llm.components import components
@@ -36,8 +37,10 @@ MAX_DISTANCE = 21
 #: Keys of rows to be fetched are broadcast up to this many rows (24 bytes each), else shuffled.
 BROADCAST_IDS = 1_000_000
 STAR_ROUNDS = 2
-#: Members of different components in buckets beyond this size are paired by their rarest shingles.
+#: Members of different components in buckets beyond this size are compared in blocks.
 CROWD = 16
+#: Sets and shingles of a block, columns of a product.
+BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 512, 400_000, 2048
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(5))
@@ -185,33 +188,96 @@ def _largest(members: DataFrame) -> DataFrame:
     return keys.where("parts > 1").select("key", "n", "largest")
 
 
-def _across(members: DataFrame, possible: Column | None = None) -> DataFrame:
-    """Pairs of members of one key from different components; the largest component never meets itself.
-
-    ``possible``: what else must hold, on the columns of both (the one's with an underscore).
-    """
+def _across(members: DataFrame) -> DataFrame:
+    """Pairs of members of one key from different components; the largest component never meets itself."""
     one = members.where("component <> largest").select("key", *[F.col(c).alias(f"_{c}") for c in members.columns if c != "key"])
     # Both ends outside the largest component: each pair once.
     meet = F.expr("component <> _component AND (component = largest OR _id < id)")
-    met = one.join(members, (one["key"] == members["key"]) & meet & (F.lit(True) if possible is None else possible))
+    met = one.join(members, (one["key"] == members["key"]) & meet)
     return met.select(F.least("_id", "id").alias("a"), F.greatest("_id", "id").alias("b")).distinct()
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, id, left, size): each set's rarest shingles, as many as any set similar enough must share one of.
+def _families(crowd: DataFrame) -> DataFrame:
+    """(id, component, family): members (key, id, component) that share crowded buckets, directly or over others."""
+    heads = crowd.groupBy("key").agg(F.min("id").alias("b"))
+    edges = crowd.join(heads, "key").select(F.col("id").alias("a"), "b").distinct()
+    family = components(edges).withColumnRenamed("component", "family")
+    return crowd.select("id", "component").distinct().join(family, "id")
+
+
+def _cells(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(cell columns, side, id, component): which blocks of a family meet in one task.
 
-    With n shingles, at least ceil(n * percent / 100) are common to both sets, so one of the
-    others or the next (rarest first, one order for all) is shared. ``left`` counts the
-    shingles from that one on: the first shared one can't have fewer left, on either side,
-    than must be common.
+    A member's size gives its level, such that only sets of one level or of neighbouring ones
+    can be similar enough; a family's level is dealt to blocks of at most about ``BLOCK_SETS``
+    sets and ``BLOCK_SHINGLES`` shingles, and every two blocks of the same or neighbouring levels
+    are a cell.
     """
-    rows = sets.select(F.col("class").alias("id"), F.explode("shingles").alias("key"))
-    rare = rows.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
-    ordered = rows.join(rare, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("all"))
-    n = F.size("all")
-    length = n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1
-    first = ordered.select("id", n.alias("size"), F.posexplode(F.slice("all", F.lit(1), length)).alias("at", "t"))
-    return first.where("t.f > 1").select("t.key", "id", (F.col("size") - F.col("at")).alias("left"), "size")
+    size = classes.select(F.col("class").alias("id"), "n_shingles")
+    level = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0) / percent)).cast("long")
+    sized = members.join(size, "id").withColumn("level", level)
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long")
+    levels = staged(sized.groupBy("family", "level").agg(blocks.alias("blocks")), "levels")
+    own = sized.join(levels, ["family", "level"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    # floats may put a size on the wrong side of a level's border: two levels apart meet as well
+    step = F.explode(F.array(*[F.lit(d).cast("long") for d in range(-2, 3)]))
+    other = own.select("*", step.alias("step")).withColumn("to", F.col("level") + F.col("step"))
+    reach = levels.select(F.col("family"), F.col("level").alias("to"), F.col("blocks").alias("others"))
+    met = other.join(reach, ["family", "to"]).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("with"))
+    one, two = F.struct(F.col("level").alias("l"), F.col("block").alias("b")), F.struct(F.col("to").alias("l"), F.col("with").alias("b"))
+    return met.select(
+        "family", F.least(one, two).alias("low"), F.greatest(one, two).alias("high"),
+        F.when(one > two, 1).otherwise(0).cast("long").alias("side"), "id", "component",
+    )
+
+
+def _common(rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    """How many shingles each two of ``n`` sets share; (row, column) are their entries."""
+    out = np.zeros((n, n), np.float32)
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    for start in range(0, int(columns[-1]) + 1 if len(columns) else 0, COLUMNS):
+        lo, hi = np.searchsorted(columns, [start, start + COLUMNS])
+        dense = np.zeros((n, COLUMNS), np.float32)
+        dense[rows[lo:hi], columns[lo:hi] - start] = 1
+        out += dense @ dense.T
+    return out
+
+
+def _joining(percent: int):
+    """Links of a cell that join two components, one less than there are components at most."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        n, ids, component = table.num_rows, table.column("id").to_numpy(), table.column("component").to_numpy()
+        a: list[int] = []
+        b: list[int] = []
+        if len(np.unique(component)) > 1:
+            lists = table.column("shingles").combine_chunks()
+            counts = np.diff(lists.offsets.to_numpy())
+            _, columns, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+            shared = times > 1  # a shingle of one set is shared with none
+            number = np.cumsum(shared) - 1
+            held = shared[columns]
+            common = _common(np.repeat(np.arange(n), counts)[held], number[columns[held]], n).astype(np.int64)
+            union = counts[:, None] + counts[None, :] - common
+            linked = (100 * common >= percent * union) & (component[:, None] != component[None, :])
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while root.setdefault(x, x) != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
+                x, y = find(int(component[i])), find(int(component[j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -260,16 +326,15 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     largest = _largest(placed)
     open_ = staged(placed.join(largest, "key"), "open")
     few = _across(open_.where(F.col("n") <= CROWD))
-    crowd = staged(open_.where(F.col("n") > CROWD).select("id", "component").distinct(), "crowd")
-    sets = _sets(docs, crowd.select("id").distinct(), classes, k)
-    prefixes = _prefixes(sets, percent).join(crowd, "id")
-    common = F.expr(f"(100 + {percent}) * least(left, _left) >= {percent} * (size + _size)")
-    shared = _across(prefixes.join(_largest(prefixes).drop("n"), "key"), common)
-    across = few.union(shared).distinct()
+    crowd = staged(open_.where(F.col("n") > CROWD).select("key", "id", "component"), "crowd")
+    members = staged(_families(crowd), "families")
+    sets = _sets(docs, members.select("id").distinct(), classes, k)
+    cells = _cells(members, classes, percent).join(sets.withColumnRenamed("class", "id"), "id")
+    joining = staged(cells.groupBy("family", "low", "high").applyInArrow(_joining(percent), "a long, b long"), "joining")
     known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = staged(_close(across.join(known, ["a", "b"], "left_anti"), classes, percent), "across")
+    rest = staged(_close(few.join(known, ["a", "b"], "left_anti"), classes, percent), "across")
     more = _confirmed(rest, _sets(docs, staged(ids(rest), "ids"), classes, k), percent)
-    linked = components(links.union(more)).withColumnRenamed("id", "class")
+    linked = components(links.union(more).union(joining)).withColumnRenamed("id", "class")
 
     placed = classes.join(linked, "class", "left").select(*same, "best", F.coalesce("component", "class").alias("component"))
     firsts = placed.groupBy("component").agg(F.min("best").alias("first"))
@@ -287,8 +352,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def digest(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
-    """As the SQL has it: rows without an id have no shingles and no component."""
-    none = F.lit(None).cast("long")
-    lone = docs.where("doc_id IS NULL").select(none.alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), none.alias("component_id"))
-    groups = near_duplicates(docs, k, percent).union(lone)
+    """Rows without an id have the size of their set, and neither link nor component: an id names both."""
+    lone = docs.where("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sizes = with_row(lone).mapInArrow(*_signatures(k)).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    groups = near_duplicates(docs, k, percent).union(sizes)
     return groups.withColumn("kept", F.col("doc_id") == F.col("component_id"))

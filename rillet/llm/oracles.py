@@ -40,7 +40,7 @@ WITH RECURSIVE t AS (
   FROM documents),
 s AS (
   SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS k
-  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM t WHERE len(ws) > 0)),
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM t WHERE len(ws) > 0 AND doc_id IS NOT NULL)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (
   SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
@@ -50,7 +50,9 @@ l AS (
   WHERE 100 * c >= 85 * (na.n + nb.n - c)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least(t.doc_id, m.c), t.doc_id) AS component_id,
+SELECT t.doc_id, CASE WHEN t.doc_id IS NULL THEN len(list_distinct(list_transform(
+    range(1, CASE WHEN len(ws) = 0 THEN 1 ELSE greatest(len(ws) - 1, 2) END), lambda i: array_to_string(ws[i:i + 2], ' '))))
+  ELSE coalesce(n.n, 0) END::BIGINT AS n_shingles, coalesce(least(t.doc_id, m.c), t.doc_id) AS component_id,
   t.doc_id = coalesce(least(t.doc_id, m.c), t.doc_id) AS kept
 FROM t LEFT JOIN n ON t.doc_id = n.doc_id
 LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON t.doc_id = m.a

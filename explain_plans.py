@@ -19,7 +19,7 @@ from rillet.functions.records import payload_int, readdress
 from rillet.operators.batching import commit_batches
 from rillet.operators.grouped_within import grouped_within
 from rillet.operators.observe import consumer_lag
-from rillet.operators.offsets import assign_offsets, offsets_from_source
+from rillet.operators.offsets import assign_in_splits, assign_offsets, offsets_from_source
 from rillet.operators.routing import explode_envelopes, route
 from rillet.session import get_session, scratch_dir
 from rillet.sources.generate import events_to_produced
@@ -50,8 +50,11 @@ def main() -> None:
     log.produce(events_to_produced(events), ["ts", "event_id"])
     recs = log.read("topic1")
     k = payload_int("k")
+    source = ["src_topic", "src_partition", "src_offset"]
     plans = {
-        "topic build: offsets by two-pass prefix sum (record pass over the staged table)":
+        "topic build in the input's splits (no record shuffle)":
+            assign_in_splits(events_to_produced(events), ["ts", "event_id"], log.end_offsets())[0],
+        "topic build over range slices, where splits overlap (record pass over the staged table)":
             assign_offsets(events_to_produced(events), ["ts", "event_id"], log.end_offsets()),
         "replicate: offsets from source ranges (no record shuffle)":
             offsets_from_source(readdress(recs, "test1"), None),
@@ -62,10 +65,10 @@ def main() -> None:
         "topic catalog (segment index only)": log.catalog(),
         "consumer lag": consumer_lag(log.catalog(), commit_batches(recs.select("topic", "partition", "offset"), 20)
                                      .groupBy("group_id", "topic", "partition").agg(F.max("next_offset").alias("next_offset")), "group1"),
-        "conditional routing (explode of envelopes)":
-            explode_envelopes(route(recs, k >= 80, k < 10)),
+        "conditional routing, numbered in the source's splits (no record shuffle)":
+            assign_in_splits(explode_envelopes(route(recs, k >= 80, k < 10)), [*source, "part"], None, source)[0],
         "count-or-time groups (partitions fit one chunk)": grouped_within(recs, 20, 5 * 3600),
-        "count-or-time groups (chunked: 500-record chunks, exits, entry scan, fragments)":
+        "count-or-time groups (chunked: 500-record chunks, exits, composed tables, fragments)":
             grouped_within(recs, 20, 5 * 3600, chunk_size=500),
     }
     out = ["# Physical plans", "", f"Generated by `explain_plans.py` on `{sf}` (local[8], AQE on).", ""]

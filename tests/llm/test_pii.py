@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
@@ -104,3 +106,37 @@ def test_no_rows_null_ids_and_repeated_rows(spark):
     assert pii.digest(frame(spark, [])).count() == 0
     df = spark.createDataFrame([(None, "a@b.c"), (None, "a@b.c"), (1, "x")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["spans"]) for r in pii.digest(df).collect()) == [(0, "email:0:5"), (0, "email:0:5"), (1, "")]
+
+
+def test_base_spans_equal_the_plain_patterns_on_random_texts():
+    rng = random.Random(5)
+    for alphabet in ("a@.-", "a@.1_ é", "0123.", "19 -.+()", "255.1 x@"):
+        for _ in range(400):
+            text = "".join(rng.choices(alphabet, k=rng.randint(0, 60)))
+            assert pii.base_spans(text) == brute(text), text
+
+
+def test_long_runs_take_linear_time():
+    n = 2_000_000
+    started = time.monotonic()
+    assert pii.base_spans("1" * n) == []
+    assert pii.base_spans("a" * n + "@" + "b" * n) == []
+    assert pii.base_spans("1." * (n // 2) + "x")[0] == (0, 1, 7)
+    assert pii.base_spans("a" * n + "@b.c") == [(0, 0, n + 4)]
+    assert pii.base_spans("0" * 5000 + ".1.2.3") == [(0, 1, 5006)]
+    assert time.monotonic() - started < 30
+
+
+def test_decided_spans_do_not_overlap():
+    rng = random.Random(6)
+    weights = pii.np.full(len(pii.ADDED_KINDS) + len(pii.FEATURES), 5.0)
+    for _ in range(100):
+        base = sorted((s, rng.randrange(4), s + rng.randint(1, 9)) for s in rng.sample(range(100), 5))
+        extra = [(s, rng.randrange(4, 9), s + rng.randint(1, 9), 0, rng.randrange(128)) for s in rng.sample(range(100), 30)]
+        got = pii.decide(base, extra, weights)
+        added = [x for x in got if x[1] >= 4]
+        assert sorted(base + added) == got
+        assert all(a is b or a[2] <= b[0] or a[0] >= b[2] for a in added for b in got)
+        # Every candidate left out overlaps a span that stayed.
+        for s, k, e, *_ in extra:
+            assert (s, k, e) in got or any(e > x[0] and s < x[2] for x in got)

@@ -2,12 +2,14 @@
 
 Every word k-gram of a document (k = 2 for the base phrases, 3 for whole notices) is joined in
 Spark to the k-gram positions of all templates. A match of document position p with template position t votes for the diagonal
-p - t. Votes are counted per (document, template, diagonal) and neighbouring diagonals
-(shifted by a few inserted or dropped words) are merged into spans; a span is verified by the
-share of the template's k-grams that it holds in order.
+p - t. Votes are gathered per (document, template, diagonal); a diagonal holds each template
+position at most once. Neighbouring diagonals (shifted by a few inserted or dropped words) are
+merged, and each group of them is verified: the best span is the one with the longest chain of
+matches whose document and template positions both rise, within a window of the template's
+length plus its allowed edits. A phrase repeated many times therefore counts once.
 
 Base phrases need all of their k-grams on one diagonal (score 1). Longer templates need a
-share of ``MIN_SHARE``; their label and best share follow.
+share of ``MIN_SHARE`` of their k-grams in such a chain; their label and best share follow.
 
 Defined cases: null and empty texts have no words and no labels (score 0); rows repeated in
 full, or with one id, are counted as one document each by a row key; null ids are kept; texts
@@ -16,7 +18,9 @@ are read whole, and a document's k-grams leave its scan only where they match a
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +36,7 @@ PHRASE_K, NOTICE_K = 2, 3
 MERGE = 3
 MIN_SHARE = 0.6
 
-# Phrases and labels of the base, and wordings of common license notices.
+# Phrases and labels of the base, and wordings of common license notices and of whole short licenses.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = {
     "apache": [
@@ -43,10 +47,36 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "Released under the MIT License.",
         "Licensed under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING "
+        "BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS "
+        "ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE "
+        "AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, "
+        "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE "
+        "OR PERFORMANCE OF THIS SOFTWARE.",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Released under the BSD License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT "
+        "HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+        "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF "
+        "SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+        "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+        "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ],
     "gpl-notice": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -101,7 +131,10 @@ def _document_grams():
 
 
 def votes(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n_words, template, diagonal, n): matches of each document by diagonal; a row without, too."""
+    """(row, doc_id, n_words, template, diagonal, held): matches of each document by diagonal; a row without, too.
+
+    ``held``: the template positions matched on the diagonal, each once.
+    """
     spark = docs.sparkSession
     rows = [(_ROW, -1, 0)]
     for number, grams in enumerate(_template_grams()):
@@ -120,10 +153,52 @@ def votes(docs: DataFrame) -> DataFrame:
     return (
         matched.where(right)
         .groupBy("row", "doc_id", "n_words", "template", F.when(F.col("template") >= 0, start).alias("diagonal"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.collect_list("at").alias("held"))
     )
 
 
+def _chain(span: list[tuple[int, int]]) -> int:
+    """The most matches of a span, (document position, template position), that rise in both."""
+    tails: list[int] = []
+    # At one document position only one match counts: falling template positions can't follow each other.
+    for _, t in sorted(span, key=lambda x: (x[0], -x[1])):
+        i = bisect_left(tails, t)
+        tails[i : i + 1] = [t]
+    return len(tails)
+
+
+def verified(diagonals: list[tuple[int, list[int]]], size: int) -> int:
+    """The longest chain of a template's matches within one span; ``diagonals``: (diagonal, template positions held).
+
+    A span lies on diagonals at most ``MERGE`` apart, one by one, and is as long as the template's
+    ``size`` k-grams plus the share of them that may be missing. Only spans with enough distinct
+    template positions to beat the best one so far are searched.
+    """
+    length = size + max(MERGE, math.ceil((1 - MIN_SHARE) * size))
+    groups: list[list[tuple[int, int]]] = []
+    last = None
+    for d, held in sorted(diagonals):
+        if last is None or d - last > MERGE:
+            groups.append([])
+        groups[-1] += [(d + t, t) for t in held]
+        last = d
+    best = 0
+    for points in groups:
+        points.sort()
+        inside: Counter[int] = Counter()
+        begin = 0
+        for end, (p, t) in enumerate(points):
+            inside[t] += 1
+            while points[begin][0] <= p - length:
+                inside[points[begin][1]] -= 1
+                if not inside[points[begin][1]]:
+                    del inside[points[begin][1]]
+                begin += 1
+            if len(inside) > best:
+                best = max(best, _chain(points[begin : end + 1]))
+    return best
+
+
 def _judge():
     listed = templates()
     sizes = [max(len(g), 1) for g in _template_grams()]
@@ -132,26 +207,20 @@ def _judge():
     def judge(found: pd.Series) -> pd.DataFrame:
         out = []
         for own in found:
-            by: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            by: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
             for v in own:
-                by[v["template"]].append((v["diagonal"], v["n"]))
+                by[v["template"]].append((int(v["diagonal"]), [int(t) for t in v["held"]]))
             places, base, labels, score = [], set(), set(), 0.0
             for number, diagonals in by.items():
                 label, _, is_base = listed[number]
                 if is_base:
-                    starts = [d for d, n in diagonals if n == sizes[number]]
+                    starts = [d for d, held in diagonals if len(held) == sizes[number]]
                     if starts:
                         places += starts
                         base.add(label)
                         score = 1.0
                     continue
-                diagonals.sort()
-                best = total = 0
-                last = None
-                for d, n in diagonals:
-                    total = total + n if last is not None and d - last <= MERGE else n
-                    best, last = max(best, total), d
-                share = min(1.0, best / sizes[number])
+                share = verified(diagonals, sizes[number]) / sizes[number]
                 if share >= MIN_SHARE:
                     labels.add(label)
                     score = max(score, share)
@@ -173,6 +242,6 @@ def _judge():
 
 def digest(docs: DataFrame) -> DataFrame:
     """Every row's n_words, phrase places, labels and score."""
-    vote = F.when(F.col("template") >= 0, F.struct("template", "diagonal", "n"))
+    vote = F.when(F.col("template") >= 0, F.struct("template", "diagonal", "held"))
     found = votes(docs).groupBy("row", "doc_id", "n_words").agg(F.collect_list(vote).alias("votes"))
     return found.select("doc_id", "n_words", _judge()("votes").alias("j")).select("doc_id", "n_words", "j.*")

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -64,3 +65,71 @@ def test_no_rows_null_ids_and_repeated_rows(spark):
     got = sorted((r["doc_id"] or 0, r["n_words"], r["n_base"]) for r in s.digest(df).collect())
     assert got == [(0, 0, 0), (0, 2, 1), (1, 2, 1), (1, 2, 1)]
     assert s.digest(df.limit(0)).count() == 0
+
+
+def brute_labels(text):
+    """Votes by comparing all k-grams, spans by trying every window, chains by trying every earlier match."""
+    own, out, top = words(text), set(), 0.0
+    k = s.NOTICE_K
+    for label, texts in s.TEMPLATES.items():
+        for wording in texts:
+            want = words(wording)
+            size = len(want) - k + 1
+            length = size + max(s.MERGE, math.ceil((1 - s.MIN_SHARE) * size))
+            where = {}
+            for t in range(size):
+                where.setdefault(tuple(want[t : t + k]), []).append(t)
+            points = [(p, t) for p in range(len(own) - k + 1) for t in where.get(tuple(own[p : p + k]), [])]
+            group, number, last = {}, 0, None
+            for d in sorted({p - t for p, t in points}):
+                number += last is not None and d - last > s.MERGE
+                group[d] = number
+                last = d
+            best = 0
+            for begin in {p for p, _ in points}:
+                for g in set(group.values()):
+                    span = sorted(x for x in points if begin <= x[0] < begin + length and group[x[0] - x[1]] == g)
+                    longest = []
+                    for i, (p, t) in enumerate(span):
+                        longest.append(1 + max((longest[j] for j in range(i) if span[j][0] < p and span[j][1] < t), default=0))
+                    best = max([best, *longest])
+            if best >= s.MIN_SHARE * size:
+                out.add(label)
+                top = max(top, best / size)
+    return out, top
+
+
+def test_labels_equal_brute_force(spark):
+    rng = random.Random(9)
+    short = [t for ts in s.TEMPLATES.values() for t in ts if len(t) < 200]
+    texts = []
+    for _ in range(60):
+        own = " ".join(rng.choices(short, k=rng.randint(1, 3))).split()
+        for _ in range(rng.randint(0, 8)):
+            i = rng.randrange(len(own))
+            own[i : i + rng.randint(0, 2)] = rng.choice([[], ["word"], own[:4], ["licensed", "under", "the"]])
+            own = own or ["x"]
+        texts.append(" ".join(own))
+    got = label(spark, texts)
+    for i, text in enumerate(texts):
+        labels, share = brute_labels(text)
+        assert set(filter(None, got[i]["labels"].split(","))) == labels | set(filter(None, brute(text)[4].split(","))), text
+        assert got[i]["score"] == (1.0 if brute(text)[1] else share), text
+
+
+def test_repeated_phrases_are_no_license(spark):
+    mit = s.TEMPLATES["mit"][-1]
+    texts = [
+        "licensed under the " * 10,
+        "licensed under the " * 50000,
+        "the terms of the " * 100 + "subject to the terms of " * 100,
+        mit,
+        s.TEMPLATES["isc"][0].replace("THE AUTHOR", "THE OWNER"),
+    ]
+    got = label(spark, texts)
+    assert [got[i]["labels"] for i in (0, 1, 2)] == ["", "", ""] and got[1]["score"] == 0
+    assert "mit" in got[3]["labels"] and got[3]["score"] == 1
+    assert "isc" in got[4]["labels"] and 0.6 <= got[4]["score"] < 1
+    # Far diagonals are no span; falling positions on near ones are no chain.
+    assert s.verified([(0, list(range(30))), (400, list(range(30, 60)))], 100) == 30
+    assert s.verified([(0, [3]), (2, [2]), (4, [1])], 10) == 1

@@ -1,3 +1,4 @@
+import time
 from collections import defaultdict
 
 import pytest
@@ -112,3 +113,51 @@ def test_no_rows_null_and_repeated_rows(spark):
     )
     rows = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in h.main_text(df).collect())
     assert rows == [(0, "", 0), (0, "q", 1), (1, "a b", 3), (1, "a b", 3)]
+
+
+LOSSES = [
+    ('<article><p>a</p><svg class="x"/><p>b</p></article>', "a b"),
+    ("<article><p>a</p><object><p>b</p><math><mi>x</mi></math><p>c</p></article>", "a b c"),
+    ("<article><p data-x=it's>one</p><p>two</p></article>", "one two"),
+    ("<article><p title='a>b' data-y=\"c>'d\" e=f=\"g>one</p><p>two</p></article>", "one two"),
+    ("<article><h2 class='search'>a</h2><p class='notice'>b</p><p class='share promo'>c <span class='comment'>d</span></p><p class='ad'>e</p></article>", "a b c d"),
+    ("<article><p>teaser</p></article><div><p>the text of the page is longer than that</p></div>", "teaser the text of the page is longer than that"),
+    ("<article><p>the text of the page</p></article><div><p>other</p></div>", "the text of the page"),
+    ("<article><script>x</scripts> y</script><p data-id='ad'>kept</p></article>", "kept"),
+]
+
+
+@pytest.mark.parametrize(("html", "want"), LOSSES)
+def test_no_text_is_lost_to_single_marks(html, want):
+    main, tokens = h._read(html)
+    assert (main or " ".join(tokens)) == want
+
+
+def test_main_loses_a_repeated_plain_footer_and_keeps_its_article(spark):
+    foot = "<div><span>about us and all our other pages in this footer</span></div>"
+    shared = " ".join(f"shared{i}" for i in range(20))
+    rows = []
+    for i in range(5):
+        own = " ".join(f"w{i}_{j}" for j in range(30))
+        rows.append((i, "http://a.org/x", f"<main><h1>Page {i}</h1><p>{own}</p>{foot}</main>"))
+    # An article element keeps a passage of other pages; of main, text on two pages only stays.
+    rows += [(10 + i, "http://b.org/x", f"<main><article>own{i} {shared}</article>{foot}</main>") for i in range(4)]
+    rows += [(20 + i, "http://c.org/x", f"<main><p>{shared}</p><p>one{i}</p></main>") for i in range(2)]
+    # Copies of one page are one page.
+    rows += [(30 + i, "http://d.org/x", f"<main><p>{shared}</p></main>") for i in range(9)]
+    got = run(spark, rows)
+    for i in range(5):
+        assert got[i] == f"Page {i} " + " ".join(f"w{i}_{j}" for j in range(30))
+    assert [got[10 + i] for i in range(4)] == [f"own{i} {shared}" for i in range(4)]
+    assert [got[20 + i] for i in range(2)] == [f"{shared} one{i}" for i in range(2)]
+    assert {got[30 + i] for i in range(9)} == {shared}
+
+
+def test_deep_and_unclosed_markup_takes_linear_time():
+    n = 100_000
+    started = time.monotonic()
+    assert h.blocks("<div>" * n + "x" + "</i></div>" * n) == [(h.OPEN, "x")]
+    assert h.blocks("<svg>" * n + "x") == [(h.OPEN, "x")]
+    assert len(h.blocks("<p><b>x" * n)) == n
+    assert h.blocks("<a " + "b='" * n) == [] and h.blocks("<a " + "b=" * n + ">x") == [(h.OPEN, "x")]
+    assert time.monotonic() - started < 30

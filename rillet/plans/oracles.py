@@ -174,6 +174,8 @@ WHERE t1."offset" >= greatest(f.k - 1, 0)""",
        to_json(struct_pack(event_id := event_id, ts := strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), user_id := user_id, event_type := event_type,
                            value := value, props := props)) AS value
 FROM events""",
+    "csv_multiline_documents": """SELECT doc_id, lang, source, CAST(n_chars AS BIGINT) AS n_chars, md5(text) AS text_md5,
+       CAST(length(text) AS BIGINT) AS text_chars FROM documents""",
     "replicate_batched_commits": f"""WITH {T1}
 SELECT 'group1' AS group_id, topic, partition, CAST(max("offset") + 1 AS BIGINT) AS next_offset
 FROM t1 GROUP BY topic, partition, "offset" // 20""",

@@ -28,6 +28,7 @@ from rillet.operators.partitions import process_partitions
 from rillet.operators.routing import multi_envelope, route, single_envelope
 from rillet.session import configure, scratch_dir
 from rillet.sources.csv_ingest import TIMESTAMP, ingest_csv
+from rillet.sources.csv_records import read_csv
 from rillet.sources.generate import events_to_produced, table_to_produced
 from rillet.sources import fs
 from rillet.sources.log import TopicLog
@@ -447,6 +448,16 @@ def q_csv_to_json_topic(spark, sf_dir):
     return _records(log.read("csv_events"))
 
 
+def q_csv_multiline_documents(spark, sf_dir):
+    """Documents, whose texts hold line breaks and quotes, written as CSV and framed by many tasks."""
+    folder = scratch_dir(spark, "csv-docs")
+    spaces = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.options(header=True, escape='"', **spaces).csv(folder)
+    rows = read_csv(spark, folder, "doc_id long, text string, lang string, source string, n_chars long", **spaces)
+    return rows.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("text_chars"))
+
+
 def q_replicate_batched_commits(spark, sf_dir):
     """Copy with one commit per batch of 20 positions; the full commit log."""
     dst = _fresh(spark, "copy-batched")
@@ -626,6 +637,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "external_offsets": q_external_offsets,
     "external_offsets_inclusive": q_external_offsets_inclusive,
     "csv_to_json_topic": q_csv_to_json_topic,
+    "csv_multiline_documents": q_csv_multiline_documents,
     "replicate_batched_commits": q_replicate_batched_commits,
     "replicate_grouped_commits": q_replicate_grouped_commits,
     "chain_exactly_once": q_chain_exactly_once,

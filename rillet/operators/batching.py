@@ -75,45 +75,40 @@ def positions(
     raise ValueError(f"unknown grouping {grouping!r}")
 
 
-def open_positions(rows: DataFrame, group_id: str = DEFAULT_GROUP) -> DataFrame:
-    """Positions of the records of open groups, for their commit at the end of a stream."""
-    return positions(rows, group_id)
-
-
-OPEN_GROUP_SCHEMA = "topic string, partition int, offset long, timestamp timestamp"
-
-
 def grouped_commits_carrying(
     consumed: DataFrame,
     carried: DataFrame,
     n: int,
     seconds: float,
-    group_id: str = DEFAULT_GROUP,
-) -> tuple[DataFrame, DataFrame]:
-    """G4 across micro-batches: (positions of closed groups, records of still-open groups).
+    group_id: str,
+    open_id: str,
+    path: str,
+) -> DataFrame:
+    """G4 across micro-batches: positions of the groups that closed, and of those still open.
 
-    ``carried`` holds the records of each partition's open group from the previous
-    batch (at most n per partition); they are put in front of this batch's records,
-    so a group may span batches and closed groups equal the batch definition. The
-    last group of a partition stays open unless it is full.
+    ``carried`` holds the records of each partition's open group (at most n per partition);
+    they are put in front of this batch's records, so a group may span batches and closed groups
+    equal the batch definition. The last group of a partition stays open unless it is full: its
+    range is a position of ``open_id`` (an empty range at the end of what was read, if none is
+    open). The groups are written once, to ``path``.
     """
     from rillet.operators.grouped_within import grouped_within
     from rillet.operators.offsets import join_small
-    from rillet.session import scratch_dir
 
     rows = consumed.select("topic", "partition", "offset", F.col("timestamp").cast("timestamp")).unionByName(
         carried.select("topic", "partition", "offset", "timestamp")
     )
-    spark = rows.sparkSession
-    path = scratch_dir(spark, "groups")  # written once: closed and open groups both read it
     grouped_within(rows, n, seconds).write.parquet(path)
-    groups = spark.read.parquet(path)
+    groups = rows.sparkSession.read.parquet(path)
     last = groups.groupBy("topic", "partition").agg(F.max("first_offset").alias("_last"))
     tagged = join_small(groups, last, ["topic", "partition"])
-    is_open = (F.col("first_offset") == F.col("_last")) & (F.col("n_records") < n)
+    is_last = F.col("first_offset") == F.col("_last")
+    is_open = is_last & (F.col("n_records") < n)
     closed = tagged.where(~is_open).select(
         F.lit(group_id).alias("group_id"), "topic", "partition", F.col("first_offset").alias("begin_offset"), "next_offset"
     )
-    starts = tagged.where(is_open).select("topic", "partition", F.col("first_offset").alias("_open"))
-    still_open = join_small(rows, starts, ["topic", "partition"]).where(F.col("offset") >= F.col("_open"))
-    return closed, still_open.select("topic", "partition", "offset", "timestamp")
+    begin = F.when(is_open, F.col("first_offset")).otherwise(F.col("next_offset"))
+    still_open = tagged.where(is_last).select(
+        F.lit(open_id).alias("group_id"), "topic", "partition", begin.alias("begin_offset"), "next_offset"
+    )
+    return closed.unionByName(still_open)

@@ -192,6 +192,14 @@ SELECT 'group1' AS group_id, topic, partition, CAST("offset" + 1 AS BIGINT) AS n
     "stream_grouped_commits": f"""WITH RECURSIVE {T1},
 {GROUPED}
 SELECT 'group1' AS group_id, 'topic1' AS topic, partition, CAST(next_offset AS BIGINT) AS next_offset FROM g""",
+    "stream_groups_keyed": f"""WITH RECURSIVE {T1},
+{GROUPED}
+SELECT 'topic1' AS topic, g.partition, CAST(first_offset AS BIGINT) AS first_offset,
+       CAST(next_offset AS BIGINT) AS next_offset, CAST(next_offset - first_offset AS BIGINT) AS n_records
+FROM g JOIN ends e ON e.partition = g.partition
+WHERE next_offset < e.end_offset OR next_offset - first_offset = 20""",
+    "stream_file_sink": f"""WITH {T1}
+SELECT topic, partition, "offset", key, value FROM t1""",
     "stream_batched_commits": f"""WITH {T1}
 SELECT 'group1' AS group_id, topic, partition, CAST(max("offset") + 1 AS BIGINT) AS next_offset
 FROM t1 GROUP BY topic, partition, "offset" // 20""",

@@ -34,6 +34,8 @@ from rillet.sources import fs
 from rillet.sources.log import TopicLog
 from rillet.streaming.external import process_from_stored_offset, stop_positions
 from rillet.streaming.flows import await_end, envelope_stream, replicate_stream
+from rillet.streaming.sinks import to_files
+from rillet.streaming.stateful import grouped_within_stream
 
 RESULT_PARTS = "array<struct<topic:string,partition:int,offset:bigint,value:string>>"
 
@@ -601,6 +603,23 @@ def q_stream_grouped_commits(spark, sf_dir):
     return dst.commit_log(DEFAULT_GROUP)
 
 
+def q_stream_groups_keyed(spark, sf_dir):
+    """G4 / T8 on Spark's keyed state: the count-or-time groups that close as topic1 grows, into the file sink."""
+    out, checkpoint = scratch_dir(spark, "groups"), scratch_dir(spark, "groups-checkpoint")
+    for src in _arriving(spark, sf_dir):
+        groups = grouped_within_stream(src.stream_records("topic1"), GROUP_N, GROUP_HOURS * 3600, timeout=None, dense=True)
+        to_files(groups, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out)
+
+
+def q_stream_file_sink(spark, sf_dir):
+    """topic1 as it grows, through Spark's own file sink."""
+    out, checkpoint = scratch_dir(spark, "files"), scratch_dir(spark, "files-checkpoint")
+    for src in _arriving(spark, sf_dir):
+        to_files(src.stream_records("topic1"), out, checkpoint).awaitTermination()
+    return _records(spark.read.parquet(out))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topic_from_events": q_topic_from_events,
     "produce_report": q_produce_report,
@@ -652,4 +671,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "range_source": q_range_source,
     "single_envelopes": q_single_envelopes,
     "stream_grouped_commits": q_stream_grouped_commits,
+    "stream_groups_keyed": q_stream_groups_keyed,
+    "stream_file_sink": q_stream_file_sink,
 }

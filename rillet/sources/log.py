@@ -192,6 +192,20 @@ class TopicLog:
         reader = self.spark.read.schema(STORED_SCHEMA).option("basePath", self.data_path)
         return reader.parquet(*paths)
 
+    def read_ranges(self, ranges: DataFrame) -> DataFrame:
+        """Records inside the given ranges (topic, partition, begin_offset, next_offset), committed only.
+
+        The index names the folders that a range overlaps; no other is opened.
+        """
+        named = ranges.select(*[F.col(c).alias(f"_{c}") for c in RANGE_SCHEMA.names])
+        same = [F.col("topic") == F.col("_topic"), F.col("partition") == F.col("_partition")]
+        rows = getattr(ranges, "_rillet_rows", None)
+        overlap = [*same, F.col("begin_offset") < F.col("_next_offset"), F.col("end_offset") > F.col("_begin_offset")]
+        index = join_small(self.segments(), named, overlap, "left_semi", rows)
+        records = self._folders([tuple(r) for r in index.select(*TP, "seg").collect()])
+        inside = [*same, F.col("offset") >= F.col("_begin_offset"), F.col("offset") < F.col("_next_offset")]
+        return join_small(records, named, inside, "left_semi", rows).select(*RECORD_COLUMNS)
+
     @staticmethod
     def _without(df: DataFrame, ranges: DataFrame, begin: Column, end: Column) -> DataFrame:
         """The rows of ``df`` whose [begin, end) does not lie inside one of the ranges."""
@@ -441,6 +455,19 @@ class TopicLog:
         """
         return self._commits(group_id, source).groupBy("group_id", *TP).agg(F.max("next_offset").alias("next_offset"))
 
+    def last_ranges(self, group_id: str, source: str | None = None, before: DataFrame | None = None) -> DataFrame:
+        """The range that ``group_id`` committed last in each partition: the one that ends furthest on.
+
+        ``before`` (topic, partition, offset): only ranges that end at or before the offset, and
+        only these partitions. One row a partition, frozen now.
+        """
+        rows = self._commits(group_id, source).select(*RANGE_SCHEMA.names)
+        if before is not None:
+            rows = join_small(rows, before.select(*TP, F.col("offset").alias("_at")), TP).where("next_offset <= _at")
+        last = rows.groupBy(*TP).agg(F.max(F.struct("next_offset", "begin_offset")).alias("last"))
+        found = last.select(*TP, "last.begin_offset", "last.next_offset").collect()
+        return local_table(self.spark, [tuple(r) for r in found], RANGE_SCHEMA)
+
     def bind_flow(self, flow: str, **identity) -> None:
         """Tie a flow's name to what it reads, writes and where its progress is; raise when it is taken.
 
@@ -457,40 +484,6 @@ class TopicLog:
         if known != record:
             raise ValueError(f"flow {flow!r} is bound to ({known}), not to ({record})")
 
-    def write_state(self, flow: str, batch_id: int, rows: DataFrame) -> None:
-        """Small per-flow state after ``batch_id``; a replay overwrites its own batch.
-
-        States older than the previous batch are dropped (a replay of this batch
-        needs only the state before it).
-        """
-        folder = f"{self.root}/state/{flow}"
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{folder}/b{int(batch_id):012d}")
-        for name in fs.list_names(self.spark, folder):
-            if name.startswith("b") and name[1:].isdigit() and int(name[1:]) < batch_id - 1:
-                fs.delete(self.spark, f"{folder}/{name}")
-
-    def read_state(self, flow: str, before: int, schema: str) -> DataFrame:
-        """The latest state written by a batch below ``before`` (empty when there is none)."""
-        folder = f"{self.root}/state/{flow}"
-        done = [
-            int(name[1:])
-            for name in fs.list_names(self.spark, folder)
-            if name.startswith("b") and name[1:].isdigit() and int(name[1:]) < before
-            and fs.exists(self.spark, f"{folder}/{name}/_SUCCESS")
-        ]
-        if not done:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{folder}/b{max(done):012d}")
-
-    def last_state(self, flow: str, schema: str) -> tuple[int | None, DataFrame]:
-        """The number of the batch that wrote the latest state, and the state."""
-        folder = f"{self.root}/state/{flow}"
-        done = [int(n[1:]) for n in fs.list_names(self.spark, folder) if n.startswith("b") and n[1:].isdigit()]
-        if not done:
-            return None, self.spark.createDataFrame([], schema)
-        rows = self.read_state(flow, max(done) + 1, schema).collect()  # at most a group's size for each partition
-        return max(done), self.spark.createDataFrame(rows, schema)
-
     def claim(self, flow: str, batch_id: int) -> bool:
         """Atomically claim (flow, batch); False when it was claimed before."""
         return fs.create_new(self.spark, f"{self.claims_path}/{flow}/{int(batch_id)}", "claimed")

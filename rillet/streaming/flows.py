@@ -37,13 +37,9 @@ from rillet.model import (
     RESTART_MIN_SECONDS,
     RESTART_RANDOM_FACTOR,
     SEGMENT_SCHEMA,
+    TP,
 )
-from rillet.operators.batching import (
-    OPEN_GROUP_SCHEMA,
-    open_positions,
-    grouped_commits_carrying,
-    positions as commit_rows,
-)
+from rillet.operators.batching import grouped_commits_carrying, positions as commit_rows
 from rillet.operators.offsets import number, offsets_from_source, staging_area
 from rillet.operators.routing import explode_envelopes
 from rillet.session import scratch_dir
@@ -219,9 +215,9 @@ def replicate_stream(
     ``fn`` is the P11 transform hook. Positions are committed for ``group_id``:
     one per partition and micro-batch, or per batch of n (``("batch", n)``, T3 /
     T7) or per count-or-time group (``("within", n, seconds)``, T8). Count-or-time
-    groups span micro-batches: the open group's records are kept as flow state
-    (at most n per partition) and a group is committed once it closes, or when the
-    stream ends (``await_end``, ``drain``). ``flow`` names the flow within ``dst``; it is
+    groups span micro-batches: the open group's range is a position of the flow, written with
+    the others, from which the next batch reads its records again (at most n per partition). A
+    group is committed once it closes, or when the stream ends (``await_end``, ``drain``). ``flow`` names the flow within ``dst``; it is
     bound to the source, topics, guarantee and checkpoint, and resumes with the same ones.
     Positions are those of the records consumed, whatever ``fn`` makes of them.
     """
@@ -233,23 +229,24 @@ def replicate_stream(
         guarantee=guarantee, checkpoint=checkpoint,
     )
 
+    within = commit_grouping[1:] if commit_grouping and commit_grouping[0] == "within" else None
+
     def handler(consumed: DataFrame, batch_id: int) -> None:
-        if commit_grouping and commit_grouping[0] == "within":
-            carried = dst.read_state(flow, batch_id, OPEN_GROUP_SCHEMA)
-            positions, still_open = grouped_commits_carrying(
-                consumed, carried, commit_grouping[1], commit_grouping[2], group_id
-            )
-            dst.write_state(flow, batch_id, still_open)
-        else:
-            positions = commit_rows(consumed, group_id, commit_grouping)
         copies = readdress(business(consumed, fn), dst_topic, keep_key)
-        deliver(
-            dst, copies, positions, flow, batch_id, guarantee, hook,
-            changed=fn is not None, topics=[dst_topic], source=src.root,
-        )
+        with staging_area(dst.spark) as groups:
+            if within:
+                at = consumed.groupBy(*TP).agg(F.min("offset").alias("offset"))
+                carried = src.read_ranges(dst.last_ranges(open_groups(flow), src.root, at))
+                positions = grouped_commits_carrying(consumed, carried, *within, group_id, open_groups(flow), f"{groups}/groups")
+            else:
+                positions = commit_rows(consumed, group_id, commit_grouping)
+            deliver(
+                dst, copies, positions, flow, batch_id, guarantee, hook,
+                changed=fn is not None, topics=[dst_topic], source=src.root,
+            )
 
     query = start_flow(src, topics, handler, checkpoint, trigger, max_segments, flow)
-    if commit_grouping and commit_grouping[0] == "within":
+    if within:
         query._rillet_end = lambda: commit_open_groups(dst, flow, group_id, src.root)
     return query
 
@@ -261,12 +258,19 @@ def flow_checkpoint(dst: TopicLog, flow: str | None) -> str:
     return f"{dst.root}/checkpoints/{dst._dir('flow', flow)}"
 
 
+def open_groups(flow: str) -> str:
+    """The group whose positions are the ranges of a flow's open count-or-time groups."""
+    return f"{flow}.open"
+
+
 def commit_open_groups(dst: TopicLog, flow: str, group_id: str = DEFAULT_GROUP, source: str | None = None) -> None:
     """Commit what is left in a flow's open groups; a later run starts new groups."""
-    last, rows = dst.last_state(flow, OPEN_GROUP_SCHEMA)
-    if last is not None and not rows.isEmpty():
-        dst.write_commits(open_positions(rows, group_id), f"{flow}-end-b{last:012d}", alone=True, source=source)
-        dst.write_state(flow, last, rows.sparkSession.createDataFrame([], OPEN_GROUP_SCHEMA))
+    left = dst.last_ranges(open_groups(flow), source).where("begin_offset < next_offset")
+    if left.isEmpty():
+        return
+    closed = left.withColumn("group_id", F.lit(group_id))
+    none_open = left.withColumns({"group_id": F.lit(open_groups(flow)), "begin_offset": F.col("next_offset")})
+    dst.write_commits(closed.unionByName(none_open), new_segment_id(f"{flow}-end"), alone=True, source=source)
 
 
 def produce_stream(

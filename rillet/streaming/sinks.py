@@ -1,4 +1,4 @@
-"""Terminal sinks (K7-K9) for record frames, batch or streaming."""
+"""Terminal sinks (K5, K7-K9) for record frames, batch or streaming."""
 
 from __future__ import annotations
 
@@ -50,3 +50,20 @@ def to_memory(df: DataFrame, name: str, trigger: dict | None = None) -> Streamin
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def to_files(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """K5 by Spark's own file sink: Parquet files under ``path``, each row once.
+
+    A batch's files count once the sink's ``_spark_metadata`` names them, which is one atomic
+    write; a replayed batch that is named already is skipped. ``spark.read.parquet(path)`` reads
+    the named files only, so what a failed attempt left is never seen.
+    """
+    return (
+        df.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )

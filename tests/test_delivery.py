@@ -108,7 +108,49 @@ def test_grouped_commits_span_micro_batches(spark, weekly, new_log):
             checkpoint=scratch_dir(spark, "test-ckpt"), commit_grouping=("within", 7, 4 * 3600),
         )
     )
-    assert {(r.partition, r.next_offset) for r in dst.commit_log().collect()} == _all_groups(weekly, 7, 4 * 3600)
+    assert {(r.partition, r.next_offset) for r in dst.commit_log("group1").collect()} == _all_groups(weekly, 7, 4 * 3600)
+
+
+@pytest.mark.parametrize(("guarantee", "stage"), [("exactly_once", "before_write"), ("at_least_once", "after_write")])
+def test_open_groups_survive_a_failure(spark, weekly, new_log, guarantee, stage):
+    """A replayed batch takes up the group that was open before it, whatever it had written."""
+    dst, fired = new_log("grouped-failure"), []
+
+    def hook(at, batch_id):
+        if at == stage and batch_id == 2 and not fired:
+            fired.append(1)
+            raise RuntimeError("injected")
+
+    run_with_restart(
+        lambda: replicate_stream(
+            weekly, "topic1", "copy", dst, guarantee, max_segments=1, flow="copy", hook=hook,
+            checkpoint=f"{dst.root}/ckpt", commit_grouping=("within", 7, 4 * 3600),
+        ),
+        sleep=lambda s: None,
+    )
+    assert fired
+    rows = dst.commit_log("group1").collect()
+    assert {(r.partition, r.next_offset) for r in rows} == _all_groups(weekly, 7, 4 * 3600)
+    assert len(rows) == len(set(rows))
+
+
+def test_positions_written_twice_do_not_move_the_open_group(spark, weekly, new_log):
+    """Of the ranges a flow has committed, a batch takes those that end before it."""
+    dst = new_log("open")
+    schema = "group_id string, topic string, partition int, begin_offset long, next_offset long"
+    for seg, begin, end in (("a", 3, 5), ("b", 8, 9), ("a2", 3, 5)):
+        dst.write_commits(spark.createDataFrame([("f.open", "topic1", 0, begin, end)], schema), seg, alone=True, source="x")
+    at = spark.createDataFrame([("topic1", 0, 5), ("topic1", 1, 0)], "topic string, partition int, offset long")
+    assert [tuple(r) for r in dst.last_ranges("f.open", "x", at).collect()] == [("topic1", 0, 3, 5)]
+    assert [tuple(r) for r in dst.last_ranges("f.open", "x").collect()] == [("topic1", 0, 8, 9)]
+    assert dst.last_ranges("f.open", "y").count() == dst.last_ranges("other", "x").count() == 0
+
+
+def test_ranges_open_only_the_folders_they_overlap(spark, weekly):
+    ranges = spark.createDataFrame([("topic1", 0, 2, 5), ("topic1", 1, 4, 4), ("nowhere", 0, 0, 9)], "topic string, partition int, begin_offset long, next_offset long")
+    found = weekly.read_ranges(ranges)
+    assert sorted((r.partition, r.offset) for r in found.collect()) == [(0, 2), (0, 3), (0, 4)]
+    assert len({f.split("/seg=")[1].split("/")[0] for f in found.inputFiles()}) <= 2
 
 
 def test_drain_commits_open_groups(spark, weekly, new_log):
@@ -117,7 +159,7 @@ def test_drain_commits_open_groups(spark, weekly, new_log):
         weekly, "topic1", "copy", dst, flow="copy", trigger={"processingTime": "1 second"}, commit_grouping=("within", 7, 4 * 3600),
     ))
     ends = {r.partition: r.end_offset for r in weekly.catalog().collect()}
-    assert {r.partition: r.next_offset for r in dst.committed_positions().collect()} == ends
+    assert {r.partition: r.next_offset for r in dst.committed_positions("group1").collect()} == ends
 
 
 def test_a_flow_name_belongs_to_one_flow(spark, weekly, new_log):
@@ -212,7 +254,7 @@ def test_restarts_have_no_limit(spark):
 
 
 def test_keyed_state_grouping_in_order(spark, weekly):
-    """The applyInPandasWithState form, fed in offset order, closes the same groups."""
+    """The keyed-state form, fed in offset order, closes the same groups."""
     from rillet.streaming.stateful import grouped_within_stream
 
     out = grouped_within_stream(weekly.stream_records("topic1"), 7, 4 * 3600, timeout=None)
@@ -222,6 +264,75 @@ def test_keyed_state_grouping_in_order(spark, weekly):
     assert got == _closed_batch_groups(weekly, 7, 4 * 3600)
 
 
+def test_keyed_state_grouping_out_of_order(spark, weekly, tmp_path):
+    """Records that arrive ahead, or twice, change no group of a topic without gaps."""
+    from rillet.streaming.sinks import to_files
+    from rillet.streaming.stateful import grouped_within_stream
+
+    records = weekly.read("topic1").cache()
+    late = F.col("offset") % 20 >= 10
+    folder = f"file://{tmp_path}"
+    groups = None
+    # the second tens of each twenty, then some of those again with what is missing
+    for part in (records.where(late), records.where(~late | (F.col("offset") % 20 == 15))):
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(records.schema).parquet(f"{folder}/in")
+        groups = grouped_within_stream(stream, 7, 4 * 3600, timeout=None, dense=True)
+        to_files(groups, f"{folder}/out", f"{folder}/ckpt").awaitTermination()
+    got = [(r.partition, r.first_offset, r.next_offset) for r in spark.read.parquet(f"{folder}/out").collect()]
+    assert len(got) == len(set(got)) and set(got) == _closed_batch_groups(weekly, 7, 4 * 3600)
+
+
+def test_fold_in_pieces_equals_fold_at_once():
+    import numpy as np
+
+    from rillet.streaming.stateful import fold
+
+    rng = np.random.default_rng(5)
+    offsets = np.cumsum(rng.integers(1, 3, 300))  # with gaps
+    ts = np.cumsum(rng.integers(0, 4, 300)) - 3 * (rng.random(300) < 0.1)
+    whole, open_ = fold(None, None, offsets, ts, 6, 9)
+    for _ in range(20):
+        cuts = np.unique(rng.integers(0, 301, 25))
+        pieces, state, taken = [], None, None
+        for at in np.split(np.arange(300), cuts):
+            closed, state = fold(state, taken, offsets[at], ts[at], 6, 9)
+            taken = int(offsets[at[-1]]) + 1 if len(at) else taken
+            pieces += closed
+        assert pieces == whole and state == open_
+
+
+def test_file_sink_writes_each_row_once_after_a_failure(spark, weekly, tmp_path):
+    """K5: a task fails after others have written; the restarted query's files hold the source, strays are unseen."""
+    from pyspark.sql.functions import pandas_udf
+
+    from rillet.streaming.sinks import to_files
+
+    folder, flag = f"file://{tmp_path}", str(tmp_path / "failed")
+
+    @pandas_udf("long")
+    def once(offset):
+        import os
+
+        if (offset == 40).any() and not os.path.exists(flag):
+            open(flag, "w").close()
+            raise RuntimeError("injected")
+        return offset
+
+    def start():
+        records = weekly.stream_records("topic1", max_files=6).withColumn("offset", once("offset"))
+        return to_files(records, f"{folder}/out", f"{folder}/ckpt")
+
+    with pytest.raises(Exception, match="injected"):
+        start().awaitTermination()
+    start().awaitTermination()
+    weekly.read("topic1").limit(3).write.mode("append").parquet(f"{folder}/stray")
+    stray = next((tmp_path / "stray").glob("part-*.parquet"))
+    stray.rename(tmp_path / "out" / stray.name)
+    got = sorted((r.partition, r.offset) for r in spark.read.parquet(f"{folder}/out").collect())
+    assert got == _source(weekly)
+
+
 def test_observed_metrics_and_shutdown(spark, weekly, new_log):
     """O1: records and highest offset observed per micro-batch; C1: stop keeps progress."""
     from rillet.streaming.flows import shutdown

@@ -192,6 +192,10 @@ SELECT 'group1' AS group_id, topic, partition, CAST("offset" + 1 AS BIGINT) AS n
     "stream_grouped_commits": f"""WITH RECURSIVE {T1},
 {GROUPED}
 SELECT 'group1' AS group_id, 'topic1' AS topic, partition, CAST(next_offset AS BIGINT) AS next_offset FROM g""",
+    "topic_catalog_compacted": f"""WITH {T1}
+SELECT topic, partition, CAST(min("offset") AS BIGINT) AS begin_offset, CAST(max("offset") + 1 AS BIGINT) AS end_offset,
+       CAST(count(*) AS BIGINT) AS n_records
+FROM t1 GROUP BY topic, partition""",
     "stream_groups_keyed": f"""WITH RECURSIVE {T1},
 {GROUPED}
 SELECT 'topic1' AS topic, g.partition, CAST(first_offset AS BIGINT) AS first_offset,

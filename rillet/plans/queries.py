@@ -603,6 +603,14 @@ def q_stream_grouped_commits(spark, sf_dir):
     return dst.commit_log(DEFAULT_GROUP)
 
 
+def q_topic_catalog_compacted(spark, sf_dir):
+    """The catalog of topic1 from a snapshot of its index and the segments since."""
+    for log in _arriving(spark, sf_dir):
+        found = log.catalog(["topic1"])
+        log.compact()
+    return found
+
+
 def q_stream_groups_keyed(spark, sf_dir):
     """G4 / T8 on Spark's keyed state: the count-or-time groups that close as topic1 grows, into the file sink."""
     out, checkpoint = scratch_dir(spark, "groups"), scratch_dir(spark, "groups-checkpoint")
@@ -671,6 +679,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "range_source": q_range_source,
     "single_envelopes": q_single_envelopes,
     "stream_grouped_commits": q_stream_grouped_commits,
+    "topic_catalog_compacted": q_topic_catalog_compacted,
     "stream_groups_keyed": q_stream_groups_keyed,
     "stream_file_sink": q_stream_file_sink,
 }

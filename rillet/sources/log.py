@@ -6,6 +6,7 @@ Layout under ``root``::
     segments/seg=<s>/part-*.parquet                        one row per (topic, partition) in <s>
     commits/group_id=<g>/seg=<s>/part-*.parquet            committed positions
     claims/<flow>/<batch>                                  at-most-once claim markers
+    snapshots/n=<k>/{index,catalog,done}                   the index so far in few files (``compact``)
 
 A *segment* is everything one write produced. It becomes visible when its index
 rows exist (written last), so readers see committed segments only
@@ -61,23 +62,100 @@ class TopicLog:
         self.index_path = f"{self.root}/segments"
         self.commits_path = f"{self.root}/commits"
         self.claims_path = f"{self.root}/claims"
+        self.snapshots_path = f"{self.root}/snapshots"
+        self._covered: tuple[str, frozenset[str]] | None = None
 
     # ------------------------------------------------------------------ index
     def segments(self) -> DataFrame:
+        """The index: rows of all committed segments, from the snapshot where there is one, and the newer folders."""
         if not fs.exists(self.spark, self.index_path):
             return self.spark.createDataFrame([], SEGMENT_SCHEMA)
-        return self.spark.read.schema(SEGMENT_SCHEMA).parquet(self.index_path)
+        at = self._since_snapshot()
+        if at is None:
+            return self.spark.read.schema(SEGMENT_SCHEMA).parquet(self.index_path)
+        snapshot, newer = at
+        return self.spark.read.schema(SEGMENT_SCHEMA).parquet(f"{snapshot}/index").unionByName(self._index_of(newer))
+
+    def _index_of(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], SEGMENT_SCHEMA)
+        reader = self.spark.read.schema(SEGMENT_SCHEMA).option("basePath", self.index_path)
+        return reader.parquet(*[f"{self.index_path}/{name}" for name in folders])
+
+    def _since_snapshot(self) -> tuple[str, list[str]] | None:
+        """The latest snapshot's folder and the index folders that it does not hold; None without one.
+
+        The driver lists the folders' names; the files of covered folders are not opened. None also
+        when there are too many newer folders to name.
+        """
+        done = [n for n in self._snapshots() if fs.exists(self.spark, f"{self.snapshots_path}/{n}/done")]
+        if not done:
+            return None
+        snapshot = f"{self.snapshots_path}/{done[-1]}"
+        if self._covered is None or self._covered[0] != snapshot:
+            names = self.spark.read.parquet(f"{snapshot}/index").select("seg").distinct().collect()
+            self._covered = (snapshot, frozenset(self._dir("seg", r.seg) for r in names))
+        folders = [n for n in fs.list_names(self.spark, self.index_path) if n.startswith("seg=")]
+        newer = sorted(n for n in folders if n not in self._covered[1])
+        return None if len(newer) > NAMED_FOLDERS else (snapshot, newer)
+
+    def _snapshots(self) -> list[str]:
+        return sorted(n for n in fs.list_names(self.spark, self.snapshots_path) if n.startswith("n="))
+
+    def compact(self) -> None:
+        """Write the index so far as a snapshot, so that readers open few files instead of one a segment.
+
+        A snapshot counts once its ``done`` marker exists; the one before it stays for readers that
+        have begun, older ones go. Index folders stay where they are: streams read them. One
+        compaction at a time; writers and readers may go on.
+        """
+        if not fs.exists(self.spark, self.index_path):
+            return
+        known = self._snapshots()
+        name = f"n={int(known[-1][2:]) + 1 if known else 1:012d}"
+        folder = f"{self.snapshots_path}/{name}"
+        rows = self.segments().repartitionByRange("topic", "partition").sortWithinPartitions(*TP, "begin_offset")
+        rows.select(*SEGMENT_SCHEMA.names).write.parquet(f"{folder}/index")
+        # the catalog of exactly these rows: segments may have come since
+        held = self.spark.read.schema(SEGMENT_SCHEMA).parquet(f"{folder}/index")
+        self._summed(held).coalesce(1).write.parquet(f"{folder}/catalog")
+        fs.create_new(self.spark, f"{folder}/done", "done")
+        for old in known[:-1]:
+            fs.delete(self.spark, f"{self.snapshots_path}/{old}")
+
+    def _forget_snapshots(self, seg: str | Column) -> None:
+        """Before a covered segment is written again (or several of any name): its rows in a snapshot would be old."""
+        if not self._snapshots():
+            return
+        if isinstance(seg, str):
+            self._since_snapshot()
+            if self._covered is not None and self._dir("seg", seg) not in self._covered[1]:
+                return
+        fs.delete(self.spark, self.snapshots_path)
+        self._covered = None
 
     def is_committed(self, seg: str) -> bool:
         """A segment is committed once its index directory exists (renamed in at job commit)."""
         return fs.exists(self.spark, f"{self.index_path}/{self._dir('seg', seg)}")
 
     def catalog(self, topics: list[str] | None = None) -> DataFrame:
-        """One row per (topic, partition) with begin/end offsets and record count."""
-        seg = self.segments()
+        """One row per (topic, partition) with begin/end offsets and record count.
+
+        With a snapshot, from its catalog and the index rows of newer segments.
+        """
+        at = self._since_snapshot()
+        if at is None:
+            rows = self.segments()
+        else:
+            kept = self.spark.read.schema(self._summed(self._index_of([])).schema).parquet(f"{at[0]}/catalog")
+            rows = kept.unionByName(self._index_of(at[1]).select(*kept.columns))
         if topics is not None:
-            seg = seg.where(F.col("topic").isin(list(topics)))
-        return seg.groupBy(*TP).agg(
+            rows = rows.where(F.col("topic").isin(list(topics)))
+        return self._summed(rows)
+
+    @staticmethod
+    def _summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*TP).agg(
             F.min("begin_offset").alias("begin_offset"),
             F.max("end_offset").alias("end_offset"),
             F.sum("n_records").cast("long").alias("n_records"),
@@ -354,6 +432,7 @@ class TopicLog:
         """
         if commits is not None and not isinstance(seg, str):
             raise ValueError("positions are committed with a single named segment")
+        self._forget_snapshots(seg)
         seg_col = F.lit(seg) if isinstance(seg, str) else seg
         src = [
             (F.col(c) if c in records.columns else F.lit(None)).cast(f.dataType).alias(c)

@@ -2,32 +2,37 @@
 
 A partitioned source in the reference is one sub-stream a partition, each consumed in order by
 one consumer, its positions committed in batches. A function of a partition that needs order
-can't be split, but it need not run in one task: ``process_partitions`` takes a slice of every
-partition at a time, in offset order, and hands what the function carries from one slice to the
-next. Partitions run in parallel and end independently of each other; a task holds one slice.
-
-What is carried is a record of a topic of its own in the output log, written in the slice's
-segment together with its output and positions. So a run that ends anywhere is resumed where
-it was: output, positions and carried state are committed together or not at all.
+can't be split, but it need not see the partition at once: it gets a slice at a time, in offset
+order, and what it carried from the slice before. ``process_partitions`` takes up to ``ROUND``
+records of every partition in a round (one Spark job): a task reads its partition's records as
+sorted by the shuffle and holds one slice. Partitions run in parallel and end independently of
+each other. So the number of jobs follows the records, however short the slices are.
+
+What is carried is a record of a topic of its own in the output log, one for each slice, written
+in the round's segment together with its output and positions. So a run that ends anywhere is
+resumed where it was: output, positions and carried state are committed together or not at all.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillet.model import DEFAULT_GROUP, MERGED_COMMIT_BATCH, TP
-from rillet.operators.batching import positions as commit_rows
-from rillet.operators.offsets import join_small, number, staging_area
-from rillet.session import scratch_dir
+from rillet.operators.offsets import join_small, local_table, number, staging_area
 from rillet.sources.log import TopicLog, new_segment_id
 
-#: Records of a partition that one task takes in a round.
+#: Records of a partition that the function gets at a time.
 SLICE = 1_000_000
+#: Records of a partition that one task takes in a round (one slice, where that is longer).
+ROUND = 1_000_000
+#: Records whose output a task hands over at once.
+HAND_OVER = 10_000
 
 #: fn(records in offset order, carry or None) -> (one value (text) or None for each record, carry)
 SliceFn = Callable[[pd.DataFrame, object], tuple[list, object]]
@@ -41,30 +46,52 @@ def carry_topic(out_topic: str, group_id: str) -> str:
 
 
 def _run(fn: SliceFn, out_topic: str, carried: str, topic: str):
-    def run(key, records: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
-        records = records.sort_values("offset", kind="stable")
-        if records.empty:  # nothing new in this partition: its carry stays as it is
-            return pd.DataFrame(columns=[c.split()[0] for c in _OUT.split(", ")])
-        state = json.loads(bytes(carry["value"].iloc[0])) if len(carry) else None
-        values, state = fn(records, state)
-        out = pd.DataFrame(
-            {
-                "topic": out_topic, "partition": records["partition"], "key": records["key"],
-                "value": [None if v is None else str(v).encode() for v in values],
-                "timestamp": records["timestamp"], "src_topic": topic,
-                "src_partition": records["partition"], "src_offset": records["offset"],
-            }
-        )
-        out = out[out["value"].notna()]
-        last = records.iloc[-1]
-        kept = pd.DataFrame(
-            {
-                "topic": [carried], "partition": [last["partition"]], "key": [None], "value": [json.dumps(state).encode()],
-                "timestamp": [last["timestamp"]], "src_topic": [topic], "src_partition": [last["partition"]],
-                "src_offset": [last["offset"]],
-            }
-        )
-        return pd.concat([out, kept]).astype({"partition": "int32", "src_partition": "int32", "src_offset": "int64"})
+    columns = [c.split()[0] for c in _OUT.split(", ")]
+
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, pd.DataFrame]]:
+        """(partition, slice, records) of each slice; what was carried comes as slice -1."""
+        held, of = [], None
+        for batch in batches:
+            if batch.empty:
+                continue
+            tags = batch[["partition", "_slice"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((tags[1:] != tags[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+            for low, high in zip(cuts, cuts[1:]):
+                tag = tuple(tags[low].tolist())
+                if held and tag != of:
+                    yield *of, pd.concat(held, ignore_index=True)
+                    held = []
+                of = tag
+                held.append(batch.iloc[low:high])
+        if held:
+            yield *of, pd.concat(held, ignore_index=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken, values, kept, of, state = [], [], [], None, None
+        for partition, slice_, records in slices(batches):
+            if partition != of:
+                of, state = partition, None
+            if slice_ < 0:
+                state = json.loads(bytes(records["value"].iloc[-1]))
+                continue
+            got, state = fn(records[_IN], state)
+            if len(got) != len(records):
+                raise ValueError(f"{len(got)} values for {len(records)} records")
+            taken.append(records)
+            values += [None if v is None else str(v).encode() for v in got]
+            kept.append((partition, json.dumps(state).encode(), records["timestamp"].iloc[-1], records["offset"].iloc[-1]))
+            if len(values) >= HAND_OVER:
+                yield from made(taken, values, kept)
+                taken, values, kept = [], [], []
+        if taken:
+            yield from made(taken, values, kept)
+
+    def made(taken: list[pd.DataFrame], values: list, kept: list[tuple]) -> Iterator[pd.DataFrame]:
+        out = pd.concat(taken, ignore_index=True)[["partition", "key", "timestamp", "offset"]].assign(topic=out_topic, value=values)
+        states = pd.DataFrame(kept, columns=["partition", "value", "timestamp", "offset"]).assign(topic=carried, key=None)
+        for part in (out[out["value"].notna()], states):
+            part = part.rename(columns={"offset": "src_offset"}).assign(src_topic=topic, src_partition=part["partition"])
+            yield part[columns].astype({"partition": "int32", "src_partition": "int32", "src_offset": "int64"})
 
     return run
 
@@ -84,8 +111,9 @@ def process_partitions(
 
     ``fn`` gets a slice's records in order and what it carried from the slice before (None at
     first; anything that JSON holds), and returns a value (or None: no record) for each record
-    and what to carry on. Positions are committed every ``commit_every`` records of a partition.
-    Runs until everything is processed, or ``rounds`` slices a partition; returns the rounds run.
+    and what to carry on. Positions are committed every ``commit_every`` records of a partition
+    and at a slice's end. Runs until everything is processed, or ``rounds`` slices a partition;
+    returns the slices of the partition that had most.
     """
     spark = src.spark
     carried = carry_topic(out_topic, group_id)
@@ -99,26 +127,34 @@ def process_partitions(
         ).where("_from < _end").collect()
         if not bounds:
             return done
-        low = spark.createDataFrame([(r.topic, r.partition, r._from) for r in bounds], "topic string, partition int, next_offset long")
-        high = low.withColumn("next_offset", F.col("next_offset") + slice_records)
+        n_slices = max(1, ROUND // slice_records)
+        if rounds is not None:
+            n_slices = min(n_slices, rounds - done)
+        reach = n_slices * slice_records
+        low = local_table(spark, [(r.topic, r.partition, r._from) for r in bounds], "topic string, partition int, next_offset long")
+        high = local_table(spark, [(r.topic, r.partition, r._from + reach) for r in bounds], low.schema)
+        task = local_table(spark, [(r.partition, i, r._from) for i, r in enumerate(bounds)], "partition int, _task int, _from long")
         # the least and greatest offsets wanted reach the scan and skip row groups
-        reach = (F.col("offset") >= min(r._from for r in bounds)) & (F.col("offset") < max(r._from for r in bounds) + slice_records)
+        inside = (F.col("offset") >= min(r._from for r in bounds)) & (F.col("offset") < max(r._from for r in bounds) + reach)
         parts = [r.partition for r in bounds]
-        records = src.read(topic, partitions=parts, from_positions=low, to_positions=high).where(reach)
-        carry = _carry(out, carried)
+        records = src.read(topic, partitions=parts, from_positions=low, to_positions=high).where(inside)
+        slice_ = F.floor((F.col("offset") - F.col("_from")) / F.lit(slice_records)).cast("long")
+        records = join_small(records.select(*_IN), task, "partition").withColumn("_slice", slice_)
+        carry = join_small(_carry(out, carried), task, "partition").withColumn("_slice", F.lit(-1).cast("long"))
+        rows = records.unionByName(carry, allowMissingColumns=True).repartitionById(len(bounds), "_task")
+        rows = rows.sortWithinPartitions("partition", "_slice", "offset")
+        commits = records.groupBy(*TP, "_slice", F.floor(F.col("offset") / F.lit(commit_every))).agg(
+            F.min("offset").alias("begin_offset"), (F.max("offset") + 1).alias("next_offset")
+        ).select(F.lit(group_id).alias("group_id"), *TP, "begin_offset", "next_offset")
         seg = new_segment_id(f"ordered-{group_id}")
-        path = scratch_dir(spark, "ordered")
-        made = records.select(*_IN).groupBy("partition").cogroup(carry.groupBy("partition")).applyInPandas(
-            _run(fn, out_topic, carried, topic), _OUT
-        )
-        made.write.parquet(path)
-        made = spark.read.parquet(path)
-        order = ["src_topic", "src_partition", "src_offset"]
         with staging_area(spark) as area:
+            path = f"{area}/made"
+            rows.select(*_IN, "_slice").mapInPandas(_run(fn, out_topic, carried, topic), _OUT).write.parquet(path)
+            made = spark.read.parquet(path)
+            order = ["src_topic", "src_partition", "src_offset"]
             numbered, index = number(made, order, out.end_offsets([out_topic, carried]), area)
-            commits = commit_rows(records, group_id, ("batch", commit_every))
             out.write_segment(numbered, seg, commits, index=index, source=src.root)
-        done += 1
+        done += max(min(n_slices, -(-(r._end - r._from) // slice_records)) for r in bounds)
     return done
 
 

@@ -127,3 +127,19 @@ def test_ordered_flow_survives_a_lost_round(spark, new_log, monkeypatch):
     monkeypatch.setattr(TopicLog, "write_commits", write)
     process_partitions(src, "topic1", _running(), out, "sums", slice_records=20)
     assert sorted((r.partition, bytes(r.value).decode()) for r in out.read("sums").collect()) == _expected(src)
+
+
+def test_jobs_of_an_ordered_flow_follow_the_records_not_the_slices(spark, new_log, monkeypatch):
+    """Many short slices are one round: one segment, a carry and commits for each slice."""
+    from rillet.sources.log import TopicLog
+
+    src, out, writes = _numbers(spark, new_log("s"), 200, partitions=2), new_log("o"), []
+    write = TopicLog.write_segment
+    monkeypatch.setattr(TopicLog, "write_segment", lambda self, *a, **kw: (writes.append(1), write(self, *a, **kw))[1])
+    assert process_partitions(src, "topic1", _running(), out, "sums", commit_every=4, slice_records=10) == 10
+    assert len(writes) == 1
+    assert sorted((r.partition, bytes(r.value).decode()) for r in out.read("sums").collect()) == _expected(src)
+    carry = out.read(carry_topic("sums", "group1"), with_source=True).where("partition = 1").orderBy("offset").collect()
+    assert [r.src_offset for r in carry] == list(range(9, 100, 10))
+    commits = sorted(r.next_offset for r in out.commit_log("group1").where("partition = 0").collect())
+    assert commits == sorted({e for s in range(0, 100, 10) for e in [*range(s - s % 4 + 4, s + 10, 4), s + 10]})

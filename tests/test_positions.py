@@ -143,3 +143,19 @@ def test_jobs_of_an_ordered_flow_follow_the_records_not_the_slices(spark, new_lo
     assert [r.src_offset for r in carry] == list(range(9, 100, 10))
     commits = sorted(r.next_offset for r in out.commit_log("group1").where("partition = 0").collect())
     assert commits == sorted({e for s in range(0, 100, 10) for e in [*range(s - s % 4 + 4, s + 10, 4), s + 10]})
+
+
+def test_rounds_of_an_ordered_flow_are_bounded(spark, new_log, monkeypatch):
+    """Partitions of unlike length over several rounds, slices that end inside Arrow batches."""
+    from rillet.operators import partitions
+
+    monkeypatch.setattr(partitions, "ROUND", 30)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        src, out = _numbers(spark, new_log("s"), 150, partitions=2), new_log("o")
+        src = _numbers(spark, src, 20, partitions=1, first=500)
+        assert process_partitions(src, "topic1", _running(), out, "sums", slice_records=10) == 10
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.partition, bytes(r.value).decode()) for r in out.read("sums").collect()) == _expected(src)
+    assert out.read(carry_topic("sums", "group1")).count() == 10 + 8

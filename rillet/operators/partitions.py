@@ -8,6 +8,10 @@ records of every partition in a round (one Spark job): a task reads its partitio
 sorted by the shuffle and holds one slice. Partitions run in parallel and end independently of
 each other. So the number of jobs follows the records, however short the slices are.
 
+A partition's output goes to the same partition of the output topic, from one task and in order.
+So the task numbers its records as it makes them, from the committed end offset on, and the
+round's output is written once, in place: it is not staged, counted and read again.
+
 What is carried is a record of a topic of its own in the output log, one for each slice, written
 in the round's segment together with its output and positions. So a run that ends anywhere is
 resumed where it was: output, positions and carried state are committed together or not at all.
@@ -20,11 +24,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillet.model import DEFAULT_GROUP, MERGED_COMMIT_BATCH, TP
-from rillet.operators.offsets import join_small, local_table, number, staging_area
+from rillet.operators.offsets import join_small, local_table
 from rillet.sources.log import TopicLog, new_segment_id
 
 #: Records of a partition that the function gets at a time.
@@ -37,61 +42,78 @@ HAND_OVER = 10_000
 #: fn(records in offset order, carry or None) -> (one value (text) or None for each record, carry)
 SliceFn = Callable[[pd.DataFrame, object], tuple[list, object]]
 
-_IN = ["topic", "partition", "offset", "key", "value", "timestamp"]
-_OUT = "topic string, partition int, key string, value binary, timestamp timestamp, src_topic string, src_partition int, src_offset long"
+_IN = ["partition", "offset", "key", "value", "timestamp"]
+_OUT = "partition int, offset long, key string, value binary, timestamp timestamp, src_offset long, _carried boolean"
+#: The offset of what was carried, before a partition's records.
+_CARRY = -1
 
 
 def carry_topic(out_topic: str, group_id: str) -> str:
     return f"{out_topic}-carry-{group_id}"
 
 
-def _run(fn: SliceFn, out_topic: str, carried: str, topic: str):
-    columns = [c.split()[0] for c in _OUT.split(", ")]
+def _run(fn: SliceFn, topic: str, slice_records: int, starts: dict[int, int], ends: dict[int, tuple[int, int]]):
+    """``starts``: where each partition begins. ``ends``: the end offsets of its output and of its carries."""
 
-    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, pd.DataFrame]]:
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Table]]:
         """(partition, slice, records) of each slice; what was carried comes as slice -1."""
-        held, of = [], None
+        held, of, partition = [], None, None
         for batch in batches:
-            if batch.empty:
+            if not batch.num_rows:
                 continue
-            tags = batch[["partition", "_slice"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((tags[1:] != tags[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+            found = np.unique(batch.column("partition").to_numpy())
+            partition = int(found[0]) if partition is None else partition
+            if found.tolist() != [partition]:
+                raise ValueError(f"a task of partition {partition} got records of {found.tolist()}")
+            offsets = batch.column("offset").to_numpy()
+            tags = np.where(offsets == _CARRY, -1, (offsets - starts[partition]) // slice_records)
+            cuts = [0, *(np.flatnonzero(tags[1:] != tags[:-1]) + 1).tolist(), batch.num_rows]
             for low, high in zip(cuts, cuts[1:]):
-                tag = tuple(tags[low].tolist())
+                tag = int(tags[low])
                 if held and tag != of:
-                    yield *of, pd.concat(held, ignore_index=True)
+                    yield partition, of, pa.Table.from_batches(held)
                     held = []
                 of = tag
-                held.append(batch.iloc[low:high])
+                held.append(batch.slice(low, high - low))
         if held:
-            yield *of, pd.concat(held, ignore_index=True)
+            yield partition, of, pa.Table.from_batches(held)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        taken, values, kept, of, state = [], [], [], None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken, values, kept, state, at = [], [], [], None, None
         for partition, slice_, records in slices(batches):
-            if partition != of:
-                of, state = partition, None
+            at = at or list(ends[partition])
             if slice_ < 0:
-                state = json.loads(bytes(records["value"].iloc[-1]))
+                state = json.loads(records["value"][-1].as_py())
                 continue
-            got, state = fn(records[_IN], state)
-            if len(got) != len(records):
-                raise ValueError(f"{len(got)} values for {len(records)} records")
+            frame = records.to_pandas(coerce_temporal_nanoseconds=True)
+            frame["timestamp"] = frame["timestamp"].dt.tz_localize(None)
+            frame.insert(0, "topic", topic)
+            got, state = fn(frame, state)
+            if len(got) != len(frame):
+                raise ValueError(f"{len(got)} values for {len(frame)} records")
             taken.append(records)
-            values += [None if v is None else str(v).encode() for v in got]
-            kept.append((partition, json.dumps(state).encode(), records["timestamp"].iloc[-1], records["offset"].iloc[-1]))
+            values += [None if v is None else str(v) for v in got]
+            kept.append((records.slice(len(frame) - 1), json.dumps(state)))
             if len(values) >= HAND_OVER:
-                yield from made(taken, values, kept)
+                yield from made(taken, values, kept, at)
                 taken, values, kept = [], [], []
         if taken:
-            yield from made(taken, values, kept)
-
-    def made(taken: list[pd.DataFrame], values: list, kept: list[tuple]) -> Iterator[pd.DataFrame]:
-        out = pd.concat(taken, ignore_index=True)[["partition", "key", "timestamp", "offset"]].assign(topic=out_topic, value=values)
-        states = pd.DataFrame(kept, columns=["partition", "value", "timestamp", "offset"]).assign(topic=carried, key=None)
-        for part in (out[out["value"].notna()], states):
-            part = part.rename(columns={"offset": "src_offset"}).assign(src_topic=topic, src_partition=part["partition"])
-            yield part[columns].astype({"partition": "int32", "src_partition": "int32", "src_offset": "int64"})
+            yield from made(taken, values, kept, at)
+
+    def made(taken: list[pa.Table], values: list, kept: list[tuple[pa.Table, str]], at: list[int]) -> Iterator[pa.RecordBatch]:
+        states = [s for _, s in kept]
+        for k, (parts, texts) in enumerate(((taken, values), ([r for r, _ in kept], states))):
+            source, value = pa.concat_tables(parts), pa.array(texts, pa.string()).cast(pa.binary())
+            if value.null_count:  # a value of None is no record
+                source, value = source.filter(value.is_valid()), value.drop_null()
+            n = len(value)
+            columns = {
+                "partition": source["partition"], "offset": np.arange(at[k], at[k] + n),
+                "key": pa.nulls(n, pa.string()) if k else source["key"], "value": value,
+                "timestamp": source["timestamp"], "src_offset": source["offset"], "_carried": np.full(n, bool(k)),
+            }
+            at[k] += n
+            yield from pa.table(columns).combine_chunks().to_batches()
 
     return run
 
@@ -131,29 +153,28 @@ def process_partitions(
         if rounds is not None:
             n_slices = min(n_slices, rounds - done)
         reach = n_slices * slice_records
-        low = local_table(spark, [(r.topic, r.partition, r._from) for r in bounds], "topic string, partition int, next_offset long")
-        high = local_table(spark, [(r.topic, r.partition, r._from + reach) for r in bounds], low.schema)
-        task = local_table(spark, [(r.partition, i, r._from) for i, r in enumerate(bounds)], "partition int, _task int, _from long")
+        reached = [(r.partition, i, r._from, r._from + reach) for i, r in enumerate(bounds)]
+        task = local_table(spark, reached, "partition int, _task int, _from long, _to long")
         # the least and greatest offsets wanted reach the scan and skip row groups
         inside = (F.col("offset") >= min(r._from for r in bounds)) & (F.col("offset") < max(r._from for r in bounds) + reach)
-        parts = [r.partition for r in bounds]
-        records = src.read(topic, partitions=parts, from_positions=low, to_positions=high).where(inside)
-        slice_ = F.floor((F.col("offset") - F.col("_from")) / F.lit(slice_records)).cast("long")
-        records = join_small(records.select(*_IN), task, "partition").withColumn("_slice", slice_)
-        carry = join_small(_carry(out, carried), task, "partition").withColumn("_slice", F.lit(-1).cast("long"))
-        rows = records.unionByName(carry, allowMissingColumns=True).repartitionById(len(bounds), "_task")
-        rows = rows.sortWithinPartitions("partition", "_slice", "offset")
-        commits = records.groupBy(*TP, "_slice", F.floor(F.col("offset") / F.lit(commit_every))).agg(
+        records = src.read(topic, partitions=[r.partition for r in bounds]).where(inside).select(*_IN)
+        records = join_small(records, task, "partition").where("offset >= _from and offset < _to")
+        carry = join_small(_carry(out, carried), task.select("partition", "_task"), "partition", rows=len(bounds))
+        rows = records.drop("_from", "_to").unionByName(carry.withColumn("offset", F.lit(_CARRY).cast("long")), allowMissingColumns=True)
+        # a partition is a task of its own, so the offset alone is its order
+        rows = rows.repartitionById(len(bounds), "_task").sortWithinPartitions("offset").select(*_IN)
+        slice_, batch = (F.floor(x / F.lit(n)) for x, n in ((F.col("offset") - F.col("_from"), slice_records), (F.col("offset"), commit_every)))
+        commits = records.groupBy("partition", slice_.alias("_slice"), batch.alias("_batch")).agg(
             F.min("offset").alias("begin_offset"), (F.max("offset") + 1).alias("next_offset")
-        ).select(F.lit(group_id).alias("group_id"), *TP, "begin_offset", "next_offset")
-        seg = new_segment_id(f"ordered-{group_id}")
-        with staging_area(spark) as area:
-            path = f"{area}/made"
-            rows.select(*_IN, "_slice").mapInPandas(_run(fn, out_topic, carried, topic), _OUT).write.parquet(path)
-            made = spark.read.parquet(path)
-            order = ["src_topic", "src_partition", "src_offset"]
-            numbered, index = number(made, order, out.end_offsets([out_topic, carried]), area)
-            out.write_segment(numbered, seg, commits, index=index, source=src.root)
+        ).select(F.lit(group_id).alias("group_id"), F.lit(topic).alias("topic"), "partition", "begin_offset", "next_offset")
+        known = {(r.topic, r.partition): r.end_offset for r in out.end_offsets([out_topic, carried]).collect()}
+        ends = {r.partition: (known.get((out_topic, r.partition), 0), known.get((carried, r.partition), 0)) for r in bounds}
+        made = rows.mapInArrow(_run(fn, topic, slice_records, {r.partition: r._from for r in bounds}, ends), _OUT)
+        made = made.select(
+            F.when(F.col("_carried"), F.lit(carried)).otherwise(F.lit(out_topic)).alias("topic"), *_IN,
+            F.lit(topic).alias("src_topic"), F.col("partition").alias("src_partition"), "src_offset",
+        )
+        out.write_segment(made, new_segment_id(f"ordered-{group_id}"), commits, source=src.root)
         done += max(min(n_slices, -(-(r._end - r._from) // slice_records)) for r in bounds)
     return done
 

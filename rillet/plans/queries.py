@@ -55,6 +55,7 @@ ORDERED_SLICE = 1000  # several slices for each partition from sf0.01 on
 GROUP_CHUNK = 500  # several chunks for each partition at every size
 
 _LOGS: dict[tuple, TopicLog] = {}
+_SCAN = json.JSONDecoder().scan_once
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -537,11 +538,23 @@ def q_route_resume(spark, sf_dir):
     return _records(dst.read(list(DUPLICATE_TOPICS), with_source=True), "src_offset")
 
 
+def _payload(value):
+    """The JSON of one payload; most are read without the checks that ``json.loads`` makes first."""
+    try:
+        text = value.decode()
+        found, end = _SCAN(text, 0)
+        if end == len(text):
+            return found
+    except (StopIteration, ValueError):  # space around it, other encodings, broken JSON
+        pass
+    return json.loads(value)
+
+
 def _running_sum(records, carry):
     """The sum of the payload's k so far; the carry is the sum at the slice's end."""
     total, out = carry or 0, []
     for value in records["value"]:
-        k = json.loads(bytes(value)).get("k") if value is not None else None
+        k = _payload(value).get("k") if value is not None else None
         total += k or 0
         out.append(total)
     return out, total

@@ -159,3 +159,74 @@ def test_rounds_of_an_ordered_flow_are_bounded(spark, new_log, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted((r.partition, bytes(r.value).decode()) for r in out.read("sums").collect()) == _expected(src)
     assert out.read(carry_topic("sums", "group1")).count() == 10 + 8
+
+
+def test_an_ordered_flow_numbers_its_output_as_it_makes_it(spark, new_log, monkeypatch):
+    """Nothing is staged, counted or sorted anew to be numbered; offsets go on over rounds, calls and dropped records."""
+    from rillet.operators import offsets, partitions
+
+    def again(*args, **kw):
+        raise AssertionError("records that a task made in order are numbered in a pass of their own")
+
+    monkeypatch.setattr(partitions, "ROUND", 30)
+    src, out, more = _numbers(spark, new_log("s"), 90, partitions=2), new_log("o"), new_log("more")
+    src = _numbers(spark, src, 15, partitions=1, first=500)
+    _numbers(spark, more, 40, partitions=3)
+    with monkeypatch.context() as m:
+        m.setattr(offsets, "assign_in_splits", again)
+        m.setattr(offsets, "assign_offsets", again)
+        process_partitions(src, "topic1", _running(), out, "sums", slice_records=10)
+        process_partitions(more, "topic1", _running(), out, "sums", group_id="other", slice_records=10)
+    for topic in ("sums", carry_topic("sums", "group1"), carry_topic("sums", "other")):
+        held, taken = {}, {}
+        for r in out.read(topic, with_source=True).orderBy("offset").collect():
+            held.setdefault(r.partition, []).append(r.offset)
+            taken.setdefault(r.partition, []).append((r.src_topic, r.src_partition))
+        assert held == {p: list(range(len(at))) for p, at in held.items()}
+        assert all(set(of) == {("topic1", p)} for p, of in taken.items())
+    index = {(r.topic, r.partition): (r.begin_offset, r.end_offset, r.n_records) for r in out.catalog().collect()}
+    counts = out.read().groupBy("topic", "partition").count().collect()
+    assert index == {(r.topic, r.partition): (0, r["count"], r["count"]) for r in counts}
+    assert sorted((r.partition, bytes(r.value).decode()) for r in out.read("sums").collect()) == sorted(_expected(src) + _expected(more))
+
+
+def test_a_slice_is_a_plain_frame_whatever_its_records_hold(spark, new_log):
+    """Null keys, values and times; all columns; the index counts from 0 in every slice."""
+    src, out = new_log("s"), new_log("o")
+    rows = [(i, None if i % 3 else f"k{i}", None if i % 4 == 1 else f"v{i}") for i in range(25)]
+    df = spark.createDataFrame(rows, "n int, key string, value string").selectExpr(
+        "'topic1' as topic", "cast(n % 2 as int) as partition", "key", "cast(value as binary) as value", "n",
+        "case when n >= 6 then timestamp'2024-01-01 00:00:00' + make_dt_interval(0, n) end as at",
+    )
+    src.produce(df, ["n"], timestamp="at")
+
+    def seen(records, carry):
+        kinds = {c: str(t) for c, t in records.dtypes.items()}
+        assert list(records.columns) == ["topic", "partition", "offset", "key", "value", "timestamp"]
+        assert (kinds["partition"], kinds["offset"], kinds["timestamp"]) == ("int32", "int64", "datetime64[ns]")
+        assert list(records.index) == list(range(len(records))) and set(records["topic"]) == {"topic1"}
+        return [
+            f"{r.offset} {r.key} {None if r.value is None else r.value.decode()} {r.timestamp}" for r in records.itertuples()
+        ], carry
+
+    process_partitions(src, "topic1", seen, out, "seen", slice_records=4)
+    want = {
+        (r.partition, r.offset, r.key, r.timestamp, f"{r.offset} {r.key} {None if r.value is None else bytes(r.value).decode()} {r.timestamp or 'NaT'}")
+        for r in src.read("topic1").collect()
+    }
+    assert {(r.partition, r.src_offset, r.key, r.timestamp, bytes(r.value).decode()) for r in out.read("seen", with_source=True).collect()} == want
+
+
+def test_payloads_of_running_sums_are_read_as_json():
+    import json
+
+    import pandas as pd
+
+    from rillet.plans.queries import _running_sum
+
+    odd = [b'{"k": 3}', b' {"k": 4}\n', None, b'{"k": null}', b"{}", '{"k": 5, "é": [1]}'.encode(), '{"k": 6}'.encode("utf-16"), b'\xef\xbb\xbf{"k": 7}']
+    sums = [sum(json.loads(v).get("k") or 0 for v in odd[: i + 1] if v is not None) for i in range(len(odd))]
+    assert _running_sum(pd.DataFrame({"value": odd}), None) == (sums, 25)
+    for broken in (b'{"k": 1} 2', b'{"k": ', b""):
+        with pytest.raises(ValueError):
+            _running_sum(pd.DataFrame({"value": [broken]}), 1)

@@ -78,3 +78,46 @@ def test_other_query_sets(spark):
     rows = vectors(40, 3, 5)
     found = t.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") < 2, k=3).collect()
     assert len(found) == 6 and {r["query_id"] for r in found} == {0, 1}
+
+
+def test_blocks_are_dealt_to_tasks_not_gathered(spark, monkeypatch):
+    monkeypatch.setattr(t, "VECTOR_BLOCK", 64)
+    monkeypatch.setattr(t, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(t, "TILE_BYTES", 3 * 4 * 12)
+    monkeypatch.setattr(t, "SHARD_BYTES", 200 * 4 * 12)
+    rows = vectors(900, 12, 6)
+    df = t.digest(spark.createDataFrame(rows, SCHEMA))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan  # blocks of queries or vectors would go through the driver
+    assert sorted(map(tuple, df.collect())) == brute(rows)
+
+
+@pytest.mark.parametrize(("bend", "scale", "pruned"), [(0.0, 1, False), (2.0, 1, True), (2.0, 1 << 13, True), (0.0, 1 << 13, False)])
+def test_tile_equals_all_scores(monkeypatch, bend, scale, pruned):
+    monkeypatch.setattr(t, "QUERY_STEP", 100)
+    monkeypatch.setattr(t, "TRIAL_STEPS", 1)
+    rng = np.random.default_rng(8)
+    x = np.floor(rng.normal(size=(3000, 32)) * 1000 * scale * np.arange(1, 33) ** -bend)
+    x = x[np.argsort(-(x * x).sum(axis=1))]
+    turn = np.linalg.eigh(x.T @ x)[1][:, ::-1].copy()
+    ids = rng.permutation(3000)
+    ids[5] = ids[6]
+    mine = rng.permutation(3000)[:250]
+    tile = t.Tile(ids[mine], x[mine], np.full(250, -np.inf), turn, 10)
+    heads = set()
+    for at in range(0, 3000, 700):
+        tile.scan(ids[at : at + 700], x[at : at + 700])
+        heads.add(tile.head)
+    assert any(heads) == pruned
+    score = x[mine] @ x.T
+    score[ids[mine][:, None] == ids] = -np.inf
+    for i, s in enumerate(score):
+        best = np.lexsort((ids, -s))[:10]
+        assert tile.found[i].tolist() == ids[best].tolist() and tile.score[i].tolist() == s[best].tolist()
+    assert not tile.scan(np.array([7000]), np.zeros((1, 32)))
+
+
+def test_integers_are_kept_in_the_smallest_type():
+    for most, kind in ((32767, "<i2"), (-32768, "<i4"), (2**31 - 1, "<i4"), (2.0**40, "<f8")):
+        got = t._narrow(np.array([[0.0, most]]))
+        assert got.dtype.str == kind and got.tolist() == [[0, most]]

@@ -294,3 +294,92 @@ def test_no_rows_null_ids_and_no_training_rows(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     only = y.digest(spark.createDataFrame([(held, "a b")], schema)).first()
     assert only["train_tokens"] == 0 and only["base_score"] == 0 and math.isfinite(only["score"])
+
+
+def seated_one_by_one(tokens, n_tokens, parent):
+    out, i = [], 0
+    for n in n_tokens:
+        customers, tables = Counter(), Counter()
+        for at in range(n):
+            w, c = tokens[i], customers[tokens[i]]
+            out.append((at, c, tables[w], sum(tables.values())))
+            new = (y.TEXT_STRENGTH + y.TEXT_DISCOUNT * sum(tables.values())) * parent[i]
+            chance = y.chance_of(tokens[i : i + 1], np.array([at]))[0]
+            if not c or chance * (c - y.TEXT_DISCOUNT * tables[w] + new) < new:
+                tables[w] += 1
+            customers[w] += 1
+            i += 1
+    return out
+
+
+def test_a_text_is_seated_word_after_word():
+    rng = np.random.default_rng(12)
+    n_tokens = rng.integers(1, 200, 60)
+    tokens = rng.choice(np.array([y.END_TOKEN, *range(-20, -2)]), n_tokens.sum(), p=1 / np.arange(1, 20) / (1 / np.arange(1, 20)).sum())
+    parent = rng.choice([1e-6, 1e-3, 0.01, 0.2], len(tokens))
+    got = np.stack(y.seat(tokens, n_tokens, parent), axis=1)
+    assert got.tolist() == [list(map(int, x)) for x in seated_one_by_one(tokens, n_tokens, parent)]
+    assert (got[:, 2] > 1).sum() > 100  # words with several tables
+
+
+def test_chances_are_even():
+    u = y.chance_of(np.arange(-100_000, 0), np.arange(100_000) % 50)
+    assert abs(u.mean() - 0.5) < 0.005 and 0 <= u.min() and u.max() < 1 and abs(np.mean(u < 0.1) - 0.1) < 0.005
+
+
+def test_words_tables_have_the_weights_of_their_restaurant(spark):
+    """Words alike in one restaurant: the sampled state solves tables = what the process gives with that mass."""
+    copies, customers, base, alone = 6000, 5, 1e-4, 500
+    rows = [(-i - 2, customers, base) for i in range(copies)]
+    got = y.word_tables(spark.createDataFrame(rows, "key long, n long, base double"), alone, 3).toPandas()
+    assert len(got) == copies and (got.n == customers).all() and got.tables.between(1, customers).all()
+    mass = y.WORD_STRENGTH / y.WORD_DISCOUNT + alone + got.tables.sum()
+    weight = counted(customers, y.WORD_DISCOUNT) * (y.WORD_DISCOUNT * mass * base) ** np.arange(customers + 1.0)
+    want = (weight * np.arange(customers + 1)).sum() / weight.sum()
+    assert got.tables.mean() == pytest.approx(want, abs=0.05) and want > 1.2
+
+
+def test_spellings_of_words(spark):
+    texts = ["ab cd ab", "x ab", None, "", "longer words, ünlike others", "ab"]
+    grams, tokens, sizes, n = y.symbols_of(pa.array(texts))
+    seen = {}
+    for t, own in zip(tokens.tolist(), np.split(grams, np.cumsum(sizes)[:-1])):
+        seen.setdefault(t, []).append(own.tolist())
+    docs = spark.createDataFrame([(t or "", False) for t in texts] + [("zz ab", True)], "text string, held_out boolean")
+    got = {r["key"]: r for r in y.counts(docs).collect()}
+    assert {k: r["n"] for k, r in got.items() if k < 0} == {k: len(v) for k, v in seen.items()}
+    for key, r in got.items():
+        if key >= 0:
+            assert r["spelling"] is None
+            continue
+        own, size = y.grams_of_spellings(pa.array([bytes(r["spelling"])]))
+        assert own.tolist() in seen[key] and size.tolist() == [len(own)]
+    held = y.symbols_of(pa.array(["zz ab"]))[0].tolist()
+    assert {k for k in got if k >= 0} == {*grams.tolist(), *held}
+
+
+def test_score_seats_training_words_and_the_texts_own(spark, monkeypatch):
+    """Score of a text by hand: every symbol is 1/256, so only the words' restaurants matter."""
+    monkeypatch.setattr(y, "probabilities", lambda grams, groups: grams.select("key", y.F.lit(math.log10(1 / 256)).alias("p")))
+    rows = [(i, " ".join(["aa"] * 30 + ["b"] * (i % 3))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in tokens_of(t))
+    base = {"aa": 256.0**-3, "b": 256.0**-2, None: 256.0**-1}
+    listed = y.word_tables(spark.createDataFrame([(-k - 2, n, base[w]) for k, (w, n) in enumerate(train.items())], "key long, n long, base double"), 0, 13)
+    tables = {w: r["tables"] for (w, n), r in zip(train.items(), sorted(listed.collect(), key=lambda r: -r["key"]), strict=True)}
+    assert tables[None] >= 1 and sum(tables.values()) < 12
+    got = {r["doc_id"]: r["score"] for r in y.score(docs).collect()}
+    for i, t in rows:
+        keys, n_tokens = y.symbols_of(pa.array([t]))[1], np.array([len(tokens_of(t))])
+        new = y.WORD_STRENGTH + y.WORD_DISCOUNT * sum(tables.values())
+        p = np.array([(train[w] - y.WORD_DISCOUNT * tables[w] + new * base[w]) / (y.WORD_STRENGTH + train.total()) for w in tokens_of(t)])
+        seated = seated_one_by_one(keys, n_tokens, p)
+        want = sum(math.log10((c - 0.9 * own + (300 + 0.9 * all_) * p[at]) / (300 + at)) for at, c, own, all_ in seated)
+        assert got[i] == pytest.approx(want, abs=0.2)  # the words' few tables are sampled
+        assert max(own for _, _, own, _ in seated) > 5  # a word of the text has many
+
+
+def test_a_frequent_word_has_more_tables_than_one(spark):
+    words = [(-2, 1600, 1e-2), *((-3 - i, 2, 1e-9) for i in range(200))]
+    tables = {r["key"]: r["tables"] for r in y.word_tables(spark.createDataFrame(words, "key long, n long, base double"), 0, 1).collect()}
+    assert tables[-2] > 2 and np.mean([t for k, t in tables.items() if k < -2]) < 1.01
